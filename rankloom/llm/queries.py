@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rankloom.llm import exact_dedup, simhash
+from rankloom.llm import bpe, exact_dedup, simhash
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op6_byte_bpe": bpe.op6_byte_bpe,
         "op10_simhash": simhash.op10_simhash,
     }
 
