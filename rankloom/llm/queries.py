@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from rankloom.llm import bpe, exact_dedup, simhash
+from rankloom.llm import bpe, decontam, exact_dedup, langid, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op6_byte_bpe": bpe.op6_byte_bpe,
+        "op7_language_id": langid.op7_language_id,
+        "op8_decontamination": decontam.op8_decontamination,
         "op10_simhash": simhash.op10_simhash,
     }
 
