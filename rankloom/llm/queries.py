@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from rankloom.llm import bpe, decontam, exact_dedup, langid, simhash, toxicity
+from rankloom.llm import bpe, decontam, exact_dedup, html_extract, langid, packing, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_token_packing": packing.op4_token_packing,
+        "op5_warc": warc.op5_warc,
         "op6_byte_bpe": bpe.op6_byte_bpe,
         "op7_language_id": langid.op7_language_id,
         "op8_decontamination": decontam.op8_decontamination,
+        "op9_html_extraction": html_extract.op9_html_extraction,
         "op10_simhash": simhash.op10_simhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op5_warc": warc.OP5_SQL}
