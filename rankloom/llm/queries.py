@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from rankloom.llm import bpe, decontam, exact_dedup, html_extract, langid, packing, simhash, toxicity, warc
+from rankloom.llm import bpe, decontam, exact_dedup, html_extract, langid, license_scan, packing, simhash, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_license_scan": license_scan.op2_license_scan,
         "op3_toxicity": toxicity.op3_toxicity,
         "op4_token_packing": packing.op4_token_packing,
         "op5_warc": warc.op5_warc,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op5_warc": warc.OP5_SQL}
+    return {"op1_exact_dedup": exact_dedup.OP1_SQL, "op2_license_scan": license_scan.OP2_SQL, "op5_warc": warc.OP5_SQL}
