@@ -264,17 +264,8 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken", folder: str = TOKENIZE
     return module.path(name), module.PATTERN
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (array of int), decoded text of every row."""
-    return _mapped(docs, path, pattern, True)
-
-
-def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, SHA-256 of the ids and of the decoded bytes of every row: documents go through the same encoder and decoder, and only digests leave the worker."""
-    return _mapped(docs, path, pattern, False)
-
-
-def _mapped(docs: DataFrame, path: str, pattern: str, full: bool) -> DataFrame:
+def digest_documents(docs: DataFrame, path: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, SHA-256 of the ids and of the decoded bytes, and if asked for the ids, of every row of docs(doc_id, text). Documents are encoded, and decoded again from their ids."""
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -282,28 +273,26 @@ def _mapped(docs: DataFrame, path: str, pattern: str, full: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for b in batches:
-            cols = [[], [], []]
+            n, ids_sha, text_sha, all_ids = [], [], [], []
             for x in b.column("text"):
                 data = own.encode_bytes(x.as_py())
                 ids = np.frombuffer(data, "<u4")
-                if full:
-                    cols[0].append(ids.astype(np.int32))
-                    cols[1].append(own.decode(ids.tolist()))
-                    continue
                 decoded = hashlib.sha256()
                 for part in own.decode_stream(ids.tolist()):
                     decoded.update(part.encode("utf-8"))
-                cols[0].append(len(ids))
-                cols[1].append(hashlib.sha256(data).hexdigest())
-                cols[2].append(decoded.hexdigest())
-            if full:
-                arrays = [pa.array(cols[0], pa.list_(pa.int32())), pa.array(cols[1], pa.string())]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], ["doc_id", "ids", "decoded"])
-            else:
-                arrays = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    kinds = "ids array<int>, decoded string" if full else "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+                n.append(len(ids))
+                ids_sha.append(hashlib.sha256(data).hexdigest())
+                text_sha.append(decoded.hexdigest())
+                if with_ids:
+                    all_ids.append(ids.astype(np.int32))
+            arrays = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                arrays.append(pa.array(all_ids, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(arrays, names)
+
+    kinds = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     return rows.mapInArrow(run, f"doc_id {kind}, {kinds}")
 
 
