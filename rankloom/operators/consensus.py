@@ -5,6 +5,8 @@ Runs are turned once into one row per query and document with a rank and a score
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,7 +39,8 @@ class Layers:
         self.layers: list[list[tuple[str, str]]] = []
 
     def add(self, **named: str) -> None:
-        self.layers.append(list(named.items()))
+        """Literals become doubles; as decimals they would be divided with few digits."""
+        self.layers.append([(name, re.sub(r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1e0", e)) for name, e in named.items()])
 
     def on(self, df: DataFrame) -> DataFrame:
         for layer in self.layers:
