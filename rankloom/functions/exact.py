@@ -26,11 +26,12 @@ def units(spark: SparkSession, k: int = 60, depth: int = 100) -> DataFrame:
     return spark.createDataFrame(unit_rows(k, depth), "rank int, " + ", ".join(f"l{i} bigint" for i in range(LIMBS)))
 
 
-def exact_rrf(runs: DataFrame, k: int = 60, depth: int = 100) -> DataFrame:
-    """RRF whose order no rounding touches: qid, docid, rank0. The table of units has depth rows, a parameter."""
+def exact_rrf(runs: DataFrame, k: int = 60, depth: int = 100, times: dict[str, int] | None = None) -> DataFrame:
+    """RRF whose order no rounding touches: qid, docid, rank0. times: whole weights by source. The table of units has depth rows, a parameter."""
     from rankloom.operators.ranking import rank_within
 
-    rows = runs.join(F.broadcast(units(runs.sparkSession, k, depth)), "rank").groupBy("qid", "docid").agg(*[F.sum(f"l{i}").alias(f"l{i}") for i in range(LIMBS)])
+    n = F.lit(1) if times is None else F.coalesce(*[F.when(F.col("source") == s, F.lit(x)) for s, x in times.items()])
+    rows = runs.join(F.broadcast(units(runs.sparkSession, k, depth)), "rank").groupBy("qid", "docid").agg(*[F.sum(F.col(f"l{i}") * n).alias(f"l{i}") for i in range(LIMBS)])
     for i in range(LIMBS - 1):
         rows = rows.withColumn(f"l{i + 1}", F.col(f"l{i + 1}") + F.expr(f"l{i} div {BASE}")).withColumn(f"l{i}", F.col(f"l{i}") % BASE)
     return rank_within(rows, ["qid"], [*[F.desc(f"l{i}") for i in reversed(range(LIMBS))], F.asc("docid")], None, "rank0").select("qid", "docid", "rank0")

@@ -127,3 +127,21 @@ def scalar_interval(head: DataFrame, a: DataFrame, s: DataFrame) -> DataFrame:
     left, right = low_num.cast("decimal(18,0)") * (-F.col("hi.den")).cast("decimal(18,0)"), (-F.col("hi.num")).cast("decimal(18,0)") * low_den.cast("decimal(18,0)")
     open_ = F.col("hi").isNull() | (left < right) | ((left == right) & ~low_strict & ~hi_strict)
     return found.select("qid", F.round(low_num / low_den, 9).alias("lower"), low_strict.alias("lower_strict"), F.round(F.col("hi.num") / F.col("hi.den"), 9).alias("upper"), F.when(F.col("hi").isNotNull(), hi_strict).alias("upper_strict"), (open_ & ~F.coalesce("stuck", F.lit(False))).alias("feasible"))
+
+
+def share_bounds(groups: DataFrame, qrels: DataFrame, relevant: int = 2) -> DataFrame:
+    """groups(qid, docid, group) to group, n, relevant, unknown, lower and upper share that is relevant, whatever the unknown are."""
+    rows = groups.join(qrels, ["qid", "docid"], "left")
+    n, r, u = F.count(F.lit(1)), F.sum((F.coalesce("grade", F.lit(-1)) >= relevant).cast("int")), F.sum(F.col("grade").isNull().cast("int"))
+    return rows.groupBy("group").agg(n.alias("n"), r.alias("relevant"), u.alias("unknown"), F.round(r / n, 9).alias("lower"), F.round((r + u) / n, 9).alias("upper"))
+
+
+def observability(runs: DataFrame, qrels: DataFrame, heads=(10, 30)) -> DataFrame:
+    """source, and for each head how many documents are judged, and of how many no other list of the query has any."""
+    alone = F.count(F.lit(1)).over(Window.partitionBy("qid", "docid")) == 1
+    rows = runs.withColumn("alone", alone).join(qrels, ["qid", "docid"], "left")
+    cols = []
+    for k in heads:
+        inside = F.col("rank") < k
+        cols += [F.sum((inside & F.col("grade").isNotNull()).cast("int")).alias(f"judged{k}"), F.sum((inside & F.col("alone")).cast("int")).alias(f"alone{k}"), F.sum((inside & F.col("alone") & F.col("grade").isNotNull()).cast("int")).alias(f"judged_alone{k}")]
+    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *cols)

@@ -277,3 +277,18 @@ def regime_sql(sources) -> str:
     b.add(**{f"alpha_{k[4:]}": v for k, v in ALPHA.items()})
     names = ["rho", "h_cov", "tq", *(f"alpha_{k[4:]}" for k in ALPHA)]
     return f"SELECT qid, {', '.join(f'round(max({c}), 9) AS {c}' for c in names)} FROM ({b.sql(f'({wide_sql(sources)})')}) GROUP BY qid"
+
+
+#: What explain() shows of a soft-routed fusion.
+EXPLAINED = ("cov", "disp4", "tq", "ae", "base", "final4")
+
+
+def explain(runs: DataFrame, sources, name: str = "v5", k: int = 60) -> DataFrame:
+    """qid, docid and how its score came about: coverage, dispersion, disagreement, strength of modulation, the score before it and after, and each list's weight."""
+    rows = fusion_layers(name, len(sources), k).on(wide(runs, sources))
+    return rows.select("qid", "docid", *[F.round(c, 9).alias(c) for c in EXPLAINED], *[F.round(f"w{ROUNDS}_{r}", 9).alias(f"weight{r}") for r in range(len(sources))])
+
+
+def explain_sql(sources, name: str = "v5", k: int = 60) -> str:
+    inner = fusion_layers(name, len(sources), k).sql(f"({wide_sql(sources)})")
+    return f"SELECT qid, docid, {', '.join(f'round({c}, 9) AS {c}' for c in EXPLAINED)}, {', '.join(f'round(w{ROUNDS}_{r}, 9) AS weight{r}' for r in range(len(sources)))} FROM ({inner})"

@@ -161,3 +161,35 @@ def mc4(runs: DataFrame, pool: int = 30, damping: float = 0.15, iterations: int
         return pd.DataFrame({"qid": rows["qid"].iloc[0], "docid": wide.index, "score": pi})
 
     return ranking(runs.select("qid", "source", "docid", "rank").groupBy("qid").applyInPandas(one, "qid string, docid string, score double"))
+
+
+def ensembles(runs: DataFrame, arms: DataFrame, k: float = K) -> DataFrame:
+    """RRF of several ensembles at once: arms(arm, source[, copies]) to arm, qid, docid, rank0, score; a source may count several times. Arms are a parameter, a few rows."""
+    copies = F.col("copies") if "copies" in arms.columns else F.lit(1)
+    rows = runs.join(F.broadcast(arms), "source")
+    return ranking(rows.groupBy("arm", "qid", "docid").agg(F.sum(copies / (k + F.col("rank") + 1)).alias("score")), ["arm", "qid"])
+
+
+def permutation_control(runs: DataFrame, qrels: DataFrame, replicates: int = 4) -> DataFrame:
+    """rep, qid, source, docid, rank: lists in which documents of one grade (or unjudged) that the same lists hold have changed places. Draws come from a digest of replicate and document, so they are the same on every engine."""
+    own = Window.partitionBy("qid", "source", "grade", "mask")
+    held = Window.partitionBy("qid", "docid")
+    rows = runs.join(qrels, ["qid", "docid"], "left").withColumn("mask", F.array_join(F.sort_array(F.collect_set("source").over(held)), ","))
+    rows = rows.withColumn("grade", F.coalesce("grade", F.lit(-1))).withColumn("place", F.row_number().over(own.orderBy("rank")))
+    each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    mine = Window.partitionBy("rep", "qid", "source", "grade", "mask").orderBy(F.md5(F.concat_ws(":", "rep", "docid")), "docid")
+    drawn = each.select("rep", "qid", "source", "grade", "mask", "docid", F.row_number().over(mine).alias("place"))
+    keys = ["qid", "source", "grade", "mask", "place"]
+    return drawn.join(rows.select(*keys, "rank"), keys).select("rep", "qid", "source", "docid", "rank")
+
+
+def demo_runs(spark, queries: int = 50, documents: int = 500, rankers: int = 4, depth: int = 100, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Synthetic runs and judgments: grades 0..3 by a power law, and rankers that see them through more or less noise."""
+    unit = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    base = spark.range(queries).select(F.format_string("q%03d", "id").alias("qid")).join(spark.range(documents).select(F.format_string("d%05d", "id").alias("docid")), F.lit(True))
+    graded = base.withColumn("grade", F.floor(4 * F.pow(unit("qid", "docid"), F.lit(6.0))).cast("int"))
+    each = graded.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rankers))))
+    scored = each.select("qid", F.format_string("ranker%d", "r").alias("source"), "docid", F.round(F.col("grade") + F.col("r") * unit("qid", "docid", "r"), 6).alias("score"))
+    from rankloom.operators.ranking import rank_within
+
+    return rank_within(scored, ["qid", "source"], [F.desc("score"), F.asc("docid")], depth).select("qid", "source", "docid", "rank", "score"), graded.select("qid", "docid", "grade")

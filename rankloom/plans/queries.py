@@ -520,6 +520,60 @@ def program_trace(spark, d):
     return labs.trace(spark, [("p", -3, 4, 3), ("q", 1, 1, 8), ("r", 2, -5, 0)])
 
 
+_TIMES = {"revenue": 1, "quantity": 1, "orders": 1, "returned": 3}
+_TIMES_SQL = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _TIMES.items()) + " END"
+_FAMILY = "SELECT qid, docid, " + ", ".join(f"CAST(sum(l{i} * {_TIMES_SQL}) AS HUGEINT) AS l{i}" for i in _LIMBS) + " FROM runs JOIN units ON runs.rank = units.rank GROUP BY qid, docid"
+
+
+@query(with_runs(f"SELECT qid, docid, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_HIGH} DESC, {_LOW} DESC, {_LOWEST} DESC, docid) - 1 AS INT) AS rank0 FROM ({_FAMILY})", _UNITS))
+def family_fusion(spark, d):
+    """The mean of three lists plus a fourth, exactly."""
+    return exact.exact_rrf(W.runs(spark, d), times=_TIMES)
+
+
+_ARM_ROWS = [("P", s, 1) for s in SOURCES] + [("S", "returned", 1), ("A", "revenue", 1), ("A", "quantity", 1), ("B", "revenue", 1), ("B", "quantity", 1), ("B", "returned", 1), ("H", "revenue", 1), ("H", "returned", 1), ("copied", "revenue", 4), ("copied", "returned", 1)]
+_ARM_SQL = rank_sql("SELECT arm, qid, docid, sum(copies / (61.0 + rank)) AS score FROM runs JOIN arms ON arms.source = runs.source GROUP BY arm, qid, docid", ("arm", "qid"))
+
+
+def _arm_ranks(spark, d):
+    return fusion.ensembles(W.runs(spark, d), spark.createDataFrame(_ARM_ROWS, "arm string, source string, copies int"))
+
+
+@query(with_runs(f"SELECT arm, count(*) AS n, round(avg(ndcg10), 9) AS ndcg10, round(avg(map100), 9) AS map100, round(avg(mrr), 9) AS mrr FROM ({metrics.evaluate_sql(_ARM_SQL, by=('arm', 'qid'))}) GROUP BY arm", f"arms(arm, source, copies) AS (VALUES {', '.join(map(str, _ARM_ROWS))})"))
+def ensemble_sweep(spark, d):
+    """Five ensembles and one with copies of a list, evaluated together."""
+    rows = metrics.evaluate(_arm_ranks(spark, d), W.qrels(spark, d), ["arm", "qid"])
+    return rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 9).alias(c) for c in ("ndcg10", "map100", "mrr")])
+
+
+@query(with_runs("""SELECT r.rep, r.qid, r.source, r.docid, t.rank FROM (SELECT *, row_number() OVER (PARTITION BY rep, qid, source, grade, mask ORDER BY md5(CAST(rep AS VARCHAR) || ':' || docid), docid) AS place FROM s CROSS JOIN (SELECT CAST(range AS INT) AS rep FROM range(4))) r
+JOIN (SELECT *, row_number() OVER (PARTITION BY qid, source, grade, mask ORDER BY rank) AS place FROM s) t ON t.qid = r.qid AND t.source = r.source AND t.grade = r.grade AND t.mask = r.mask AND t.place = r.place""", "s AS (SELECT r.qid, r.source, r.docid, r.rank, coalesce(grade, -1) AS grade, m.mask FROM runs r LEFT JOIN qrels q ON q.qid = r.qid AND q.docid = r.docid JOIN (SELECT qid, docid, string_agg(source, ',' ORDER BY source) AS mask FROM runs GROUP BY qid, docid) m ON m.qid = r.qid AND m.docid = r.docid)"))
+def permutation_control(spark, d):
+    return fusion.permutation_control(W.runs(spark, d), W.qrels(spark, d))
+
+
+@query(with_runs(f'SELECT "group", count(*) AS n, CAST(sum(CASE WHEN grade >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS relevant, CAST(sum(CASE WHEN grade IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unknown, round(sum(CASE WHEN grade >= 2 THEN 1 ELSE 0 END) / count(*), 9) AS lower, round(sum(CASE WHEN grade >= 2 OR grade IS NULL THEN 1 ELSE 0 END) / count(*), 9) AS upper FROM ({_SPEC}) s LEFT JOIN qrels q ON q.qid = s.qid AND q.docid = s.docid GROUP BY ALL'))
+def specialist_share_bounds(spark, d):
+    return bounds.share_bounds(sets.specialists(W.runs(spark, d)), W.qrels(spark, d))
+
+
+@query(with_runs("SELECT source, count(*) AS n, " + ", ".join(f"CAST(sum(CASE WHEN rank < {k} AND grade IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS judged{k}, CAST(sum(CASE WHEN rank < {k} AND c = 1 THEN 1 ELSE 0 END) AS BIGINT) AS alone{k}, CAST(sum(CASE WHEN rank < {k} AND c = 1 AND grade IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS judged_alone{k}" for k in (10, 30)) + " FROM (SELECT *, count(*) OVER (PARTITION BY qid, docid) AS c FROM runs) r LEFT JOIN qrels q ON q.qid = r.qid AND q.docid = r.docid GROUP BY source"))
+def observability(spark, d):
+    return bounds.observability(W.runs(spark, d), W.qrels(spark, d))
+
+
+@query(with_runs(consensus.explain_sql(SOURCES)))
+def explain_v5(spark, d):
+    return consensus.explain(W.runs(spark, d), SOURCES)
+
+
+@query(with_runs(f"SELECT qid, CAST(sum(CASE WHEN grade IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS judged, count(*) AS n, round(sum(CASE WHEN grade IS NULL THEN 1 ELSE 0 END) / count(*), 9) AS unjudged_share FROM (SELECT r.qid, grade FROM ({rank_sql(RRF)}) r LEFT JOIN qrels q ON q.qid = r.qid AND q.docid = r.docid WHERE rank0 < 10) GROUP BY qid"))
+def judged_coverage(spark, d):
+    rows = fusion.rrf(W.runs(spark, d)).where("rank0 < 10").join(W.qrels(spark, d), ["qid", "docid"], "left")
+    n, judged = F.count(F.lit(1)), F.count("grade")
+    return rows.groupBy("qid").agg(judged.alias("judged"), n.alias("n"), F.round((n - judged) / n, 9).alias("unjudged_share"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 
