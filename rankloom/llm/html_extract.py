@@ -3,7 +3,7 @@
 1. A page's tags are matched and its subtrees of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments dropped, by element, role, class or id. If there is an article or main element only what is inside counts. The rest is cut into blocks at block elements.
 2. Blocks that markup vouches for (paragraphs, headings, lists, quotations and the like inside an article or main element) stay. Of the others (bare divisions, or all blocks of a page without such an element), the token streams of a host's pages are concatenated, in groups of pages of bounded size, and sorted by their suffixes; suffixes that share LENGTH tokens are neighbours then. A shared beginning counts in how many distinct pages it stands; groups are summed up by key, so a host with a third of all pages is many groups. Beginnings on at least PAGES pages and a SHARE of the host's pages are boilerplate: the tokens that they cover are removed, the runs between them stay. A block shorter than LENGTH is compared as a whole.
 
-Defined results: null html is empty and gives an empty text; a null url is a host of its own. Pages with equal page_id and html get the same text each; copies count as one page. Character references are decoded also without semicolon, as browsers do. An element that is never closed is dropped up to the next article or main element or the end. An empty table gives no rows. Pages are read whole.
+Defined results: null html is empty and gives an empty text; a null url is a host of its own. Rows that repeat get the same text each and count as one page. Character references are decoded also without semicolon, as browsers do. An element that is never closed is dropped up to the next article or main element or the end. An empty table gives no rows. Pages are read whole.
 """
 
 from __future__ import annotations
@@ -63,6 +63,10 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         elif closing and open_by.get(name):
             close[open_by[name].pop()] = i
     roots = [i for i, t in enumerate(tags) if not t[2] and t[3] == "article" and not _marked(t[3], t[4], True)] or [i for i, t in enumerate(tags) if not t[2] and (t[3] == "main" or re.search(r"role\s*=\s*[\"']?main\b", t[4]))]
+    spans = [(i, close[i]) for i, t in enumerate(tags) if roots and i in close and t[3] not in ("article", "main") and (t[3] in DROP or t[3] == "header" or _marked(t[3], t[4], False))]
+    free = [r for r in roots if not any(a < r < b for a, b in spans)]
+    around = set() if free else {a for a, b in spans if any(a < r < b for r in roots)}  # marked, but all there is of the article is inside
+    roots = free or roots
     starts = set(roots)
     out: list[tuple[str, bool]] = []
     text: list[str] = []
@@ -83,7 +87,7 @@ def blocks(page: str) -> list[tuple[str, bool]]:
         at = end
         if i <= skip_to or not name:
             continue
-        if not closing and name not in VOID and i not in starts and (name in DROP or name == "header" and not inside or _marked(name, attributes, bool(inside))):
+        if not closing and name not in VOID and i not in starts and i not in around and (name in DROP or name == "header" and not inside or _marked(name, attributes, bool(inside))):
             if name in BLOCKS or name in ("title", "head"):
                 flush()
             if i in close:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialize, scratch, skew_join, table
+from rankloom.llm.common import materialize, scratch, skew_join, small_batches, table
 
 LEAST_BYTES, RECORD_BYTES, BROADCAST_ROWS, DATE = 1000, 8 << 20, 100_000, "2024-01-01T00:00:00Z"
 END = "\r\n"
@@ -120,6 +120,7 @@ def read(spark, path: str, kind: str = "bigint") -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.gz").load(path).select("content")
     got = files.mapInArrow(_read, "page string, url string, payload_bytes bigint, payload_digest string, record_type string, refers string")
     got = materialize(got, "records")
+    small_batches(spark)
     key = lambda c: F.concat_ws(":", F.coalesce(c, F.lit("none")), "payload_digest")
     ids = [F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to")]
     responses, others = got.where("record_type = 'response'"), got.where("record_type = 'revisit'")

@@ -388,6 +388,8 @@ def test_markup():
     assert [b for b, _ in html_extract.blocks(page)] == ["Title & more", "a b c d", "e <f>", "one", "two"]
     assert html_extract.blocks("") == [] and html_extract.blocks("plain") == [("plain", False)]
     assert [b for b, _ in html_extract.blocks("<article><p>a</p></article><footer>never closed <p>x")] == ["a"]
+    assert [b for b, _ in html_extract.blocks('<div class="has-sidebar"><article><p>in</p></article></div>')] == ["in"]
+    assert [b for b, _ in html_extract.blocks('<main><article><p>in</p></article></main><div class="comments"><article><p>no</p></article></div>')] == ["in"]
     assert [b for b, _ in html_extract.blocks("<nav>open <article><p>kept &am</p></article>")] == ["kept &am"]
 
 
