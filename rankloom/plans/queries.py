@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankloom.functions import exact
+from rankloom.functions import text as text_functions
 from rankloom.operators import bounds, consensus, features, fusion, labs, metrics, rankers, ranking, sets, statistics
 from rankloom.plans import workloads as W
 from rankloom.sources import trec
@@ -574,6 +575,35 @@ def judged_coverage(spark, d):
     return rows.groupBy("qid").agg(judged.alias("judged"), n.alias("n"), F.round((n - judged) / n, 9).alias("unjudged_share"))
 
 
+_DEPTH_ARMS = {"full": "true", "equalized": "rank < least_n", "top30": "rank < 30"}
+_BY_ARM = " UNION ALL ".join(f"SELECT '{a}' AS arm, {k} AS k, qid, docid, sum(1.0 / ({k}.0 + 1 + rank)) AS score FROM ({_ARMS}) WHERE {c} GROUP BY qid, docid" for a, c in _DEPTH_ARMS.items() for k in (60, 200))
+
+
+@query(with_runs(f"SELECT arm, k, count(*) AS n, round(avg(ndcg10), 9) AS ndcg10 FROM ({metrics.evaluate_sql(rank_sql(_BY_ARM, ('arm', 'k', 'qid')), by=('arm', 'k', 'qid'))}) GROUP BY arm, k"))
+def depth_intervention(spark, d):
+    """Mean NDCG@10 of two smoothing constants on lists of different depth."""
+    arms = ranking.depth_arms(W.runs(spark, d)).where("arm <> 'shared'").withColumn("k", F.explode(F.array(F.lit(60), F.lit(200))))
+    fused = ranking.ranking(arms.groupBy("arm", "k", "qid", "docid").agg(F.sum(1 / (F.col("k") + 1 + F.col("rank"))).alias("score")), ["arm", "k", "qid"])
+    return metrics.evaluate(fused, W.qrels(spark, d), ["arm", "k", "qid"]).groupBy("arm", "k").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("ndcg10"), 9).alias("ndcg10"))
+
+
+@query(with_runs("SELECT qid, source, docid, rank, CAST(score AS BIGINT)::VARCHAR || '.' || repeat('0', 39) || '1' AS score_text, false AS moved FROM runs"))
+def exact_score_order(spark, d):
+    """Scores of more than 38 digits, ranked exactly."""
+    long = F.concat(F.col("score").cast("bigint").cast("string"), F.lit("." + "0" * 39 + "1"))
+    lines = W.runs(spark, d).select(F.concat_ws(" ", "qid", F.lit("Q0"), "docid", F.col("rank").cast("string"), long, "source").alias("value"))
+    return trec.rank_exact_scores(lines)
+
+
+_TEXT_FN = "SELECT doc_id, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda x: length(x) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text_functions.STOPWORDS) + "], x))) AS n_tokens, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS n_raw, greatest(length(text) - 3, 0) AS n_grams FROM documents"
+
+
+@query(_TEXT_FN)
+def token_counts(spark, d):
+    docs = W.table(spark, d, "documents")
+    return docs.select("doc_id", F.size(text_functions.tokenize(F.col("text"))).alias("n_tokens"), F.size(text_functions.tokenize_raw(F.col("text"))).alias("n_raw"), F.size(text_functions.char_ngrams(F.col("text"))).alias("n_grams"))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

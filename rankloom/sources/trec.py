@@ -109,3 +109,45 @@ def write_runs(runs: DataFrame, path: str) -> None:
 def write_json(df: DataFrame, path: str) -> None:
     """JSON lines with sorted keys. Refuses to overwrite."""
     df.select(*sorted(df.columns)).write.mode("errorifexists").json(path)
+
+
+def rank_exact_scores(lines: DataFrame, depth: int | None = None) -> DataFrame:
+    """lines(value) of six fields with decimal scores of any length to qid, source, docid, rank, score_text, moved: ranked by exact score, then docid; the stored rank is ignored but compared (moved). A score that isn't a decimal raises."""
+    from rankloom.functions.text import decimal_key
+
+    rows = _fields(lines, 6).select(F.element_at("f", 1).alias("qid"), F.element_at("f", 6).alias("source"), F.element_at("f", 3).alias("docid"), F.element_at("f", 4).cast("int").alias("stored"), F.element_at("f", 5).alias("score_text"))
+    key = F.coalesce(decimal_key(F.col("score_text")), F.raise_error(F.concat(F.lit("not a decimal: "), "score_text")).cast("struct<size:int,whole:string,part:string>"))
+    ranked = rank_within(rows.withColumn("key", key), ["qid", "source"], [F.desc("key"), F.asc("docid")], depth)
+    return ranked.select("qid", "source", "docid", "rank", "score_text", (F.col("stored") != F.col("rank")).alias("moved"))
+
+
+def json_problems(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """lines(value) to value, problem of lines that aren't strict JSON objects: syntax, duplicate (a key twice, at any depth), or keys (not exactly those given). Spark's reader takes the last of duplicate keys silently, so this one parses in Python, by Arrow batches."""
+    import json
+
+    import pandas as pd
+
+    class Twice(ValueError):
+        pass
+
+    def once(pairs):
+        found = dict(pairs)
+        if len(found) < len(pairs):
+            raise Twice
+        return found
+
+    def problem(text):
+        try:
+            got = json.loads(text, object_pairs_hook=once)
+        except Twice:
+            return "duplicate"
+        except (TypeError, ValueError):
+            return "syntax"
+        return "keys" if not isinstance(got, dict) or keys is not None and sorted(got) != sorted(keys) else None
+
+    def run(batches):
+        for b in batches:
+            out = pd.DataFrame({"value": b["value"], "problem": [problem(x) for x in b["value"]]})
+            yield out[out["problem"].notna()]
+
+    return lines.select("value").mapInPandas(run, "value string, problem string")

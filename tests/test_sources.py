@@ -61,3 +61,25 @@ def test_stream(spark, tmp_path):
     run = out.writeStream.outputMode("complete").format("memory").queryName("bounds").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert tuple(spark.table("bounds").first()) == ("q", 2, -3, 3)
+
+
+def test_exact_scores(spark):
+    one = "1." + "0" * 39
+    lines = [f"q Q0 a 0 {one}1 t", f"q Q0 b 1 {one}2 t", "q Q0 d 2 1 t", "q Q0 c 3 1.00 t", "q Q0 e 4 -0.5 t", "q Q0 f 5 -0.55 t", "q Q0 g 6 -12 t", "q Q0 h 7 0012.5 t"]
+    got = trec.rank_exact_scores(spark.createDataFrame([(x,) for x in lines], "value string")).orderBy("rank").collect()
+    assert [r["docid"] for r in got] == ["h", "b", "a", "c", "d", "e", "f", "g"]
+    with pytest.raises(Exception):
+        trec.rank_exact_scores(spark.createDataFrame([("q Q0 a 0 1e5 t",)], "value string")).collect()
+
+
+def test_strict_json(spark):
+    lines = ['{"a": 1, "b": {"c": 1}}', '{"a": 1, "a": 2, "b": 0}', '{"a": 1, "b": {"c": 1, "c": 2}}', "{", "[1]", '{"a": 1}', None]
+    got = {r["value"]: r["problem"] for r in trec.json_problems(spark.createDataFrame([(x,) for x in lines], "value string"), ["a", "b"]).collect()}
+    assert got == {lines[1]: "duplicate", lines[2]: "duplicate", "{": "syntax", "[1]": "keys", '{"a": 1}': "keys", None: "syntax"}
+
+
+def test_demo(spark):
+    from rankloom.operators import fusion, metrics
+
+    runs, qrels = fusion.demo_runs(spark, 5, 60, 3, 20)
+    assert runs.count() == 5 * 3 * 20 and metrics.evaluate(fusion.rrf(runs), qrels).count() <= 5
