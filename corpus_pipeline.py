@@ -1,6 +1,6 @@
 """A corpus pipeline of five operators. Each stage works on all rows that the one before it kept, as read back from Parquet.
 
-STAGES: language ID (texts without letters, or that no learned language explains, go), exact deduplication (of equal texts the largest doc_id stays), SimHash near-deduplication (of each component the smallest doc_id stays), benchmark decontamination (documents that contain an item go), byte-level BPE (documents become token ids). All but the last return the columns of documents.
+STAGES: language ID (texts without letters go), exact deduplication (of equal texts the largest doc_id stays), SimHash near-deduplication (of each component the smallest doc_id stays), benchmark decontamination (documents that contain an item go), byte-level BPE (documents become token ids). All but the last return the columns of documents.
 """
 
 from __future__ import annotations
@@ -11,16 +11,13 @@ from pyspark.sql import functions as F
 from rankloom.llm import bpe, decontam, exact_dedup, langid, simhash
 from rankloom.llm.common import materialize, table
 
-#: A pooled probability below this is hardly above chance for four languages.
-LEAST_SCORE = 0.3
-
 
 def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learns from the rows that op7 learns from, and keeps rows whose text is explained by a learned language. Where nothing can be learned all texts with letters stay."""
+    """Learns from the rows that op7 learns from, and rejects what it finds undetermined: null texts and those without a letter. A low score alone rejects nothing, as short and mixed texts are clean. Where nothing can be learned all texts with letters stay."""
     model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row_"), F.col("text"))
-    found = langid.predict(rows, model, "row_").where(F.col("lang_pred") != "und") if model else rows.where(F.col("text").rlike(r"\p{L}")).withColumn("score", F.lit(1.0))
-    return found.where(F.col("score") >= LEAST_SCORE).select(*[F.col("row_").getField(c).alias(c) for c in docs.columns])
+    found = langid.predict(rows, model, "row_").where(F.col("lang_pred") != "und") if model else rows.where(F.col("text").rlike(r"\p{L}"))
+    return found.select(*[F.col("row_").getField(c).alias(c) for c in docs.columns])
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
