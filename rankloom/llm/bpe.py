@@ -14,6 +14,7 @@ import hashlib
 import struct
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -240,13 +241,10 @@ class Tokenizer:
 
     def decode_stream(self, ids: Iterable[int], every: int = 4096) -> Iterator[str]:
         """Text as ids come in; characters may span tokens."""
-        stream, some = Utf8Stream(), []
-        for i in ids:
-            some.append(i)
-            if len(some) == every:
-                yield stream.feed(self.decode_bytes(some))
-                some.clear()
-        yield stream.feed(self.decode_bytes(some), final=True)
+        stream, ids = Utf8Stream(), iter(ids)
+        while some := list(islice(ids, every)):
+            yield stream.feed(self.decode_bytes(some))
+        yield stream.feed(b"", final=True)
 
     def decode(self, ids: Iterable[int]) -> str:
         return "".join(self.decode_stream(ids))
