@@ -1,7 +1,7 @@
 """Main text of web pages: markup first, then a host suffix array for what markup leaves in doubt.
 
 1. A page's tags are matched and its subtrees of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments dropped, by element, role, class or id. If there is an article or main element only what is inside counts. The rest is cut into blocks at block elements.
-2. Blocks that markup vouches for (paragraphs, headings, lists, quotations and the like inside an article or main element) stay. Of the others (bare divisions, or all blocks of a page without such an element), the token streams of a host's pages are concatenated, in groups of pages of bounded size, and sorted by their suffixes; suffixes that share LENGTH tokens are neighbours then. A shared beginning counts in how many distinct pages it stands; groups are summed up by key, so a host with a third of all pages is many groups. Beginnings on at least PAGES pages and a SHARE of the host's pages are boilerplate: the tokens that they cover are removed, the runs between them stay. A block shorter than LENGTH is compared as a whole.
+2. Blocks that markup vouches for (paragraphs, headings, lists, quotations and the like inside an article or main element) stay. Of everything else (what was dropped, with negative block numbers; bare divisions; all blocks of a page without such an element) the token streams of a host's pages are concatenated, in groups of pages of bounded size, and sorted by their suffixes; suffixes that share LENGTH tokens are neighbours then. A shared beginning counts in how many distinct pages it stands; groups are summed up by key, so a host with a third of all pages is many groups. Beginnings on at least PAGES pages and a SHARE of the host's pages are boilerplate, learned from dropped and doubtful blocks alike: the tokens of doubtful blocks that they cover are removed, the runs between them stay. A block shorter than LENGTH is compared as a whole.
 
 Defined results: null html is empty and gives an empty text; a null url is a host of its own. Rows that repeat get the same text each and count as one page. Character references are decoded also without semicolon, as browsers do. An element that is never closed is dropped up to the next article or main element or the end. An empty table gives no rows. Pages are read whole.
 """
@@ -50,8 +50,8 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[str, bool]]:
-    """(text, vouched for) of the blocks that markup leaves."""
+def blocks(page: str, dropped: list[str] | None = None) -> list[tuple[str, bool]]:
+    """(text, vouched for) of the blocks that markup leaves; dropped gets the text of those it doesn't."""
     tags = []  # start, end, closing, name, attributes
     for m in TAG.finditer(page):
         name = (m[3] or m[6] or "").lower()
@@ -94,6 +94,10 @@ def blocks(page: str) -> list[tuple[str, bool]]:
                 skip_to = close[i]
             else:
                 skip_to = next((r for r in roots if r > i), len(tags)) - 1
+            if dropped is not None and name != "head":
+                rest = page[end : tags[skip_to][0] if i in close else tags[skip_to + 1][0] if skip_to + 1 < len(tags) else len(page)]
+                if words := " ".join(html.unescape(TAG.sub(" ", rest)).split()):
+                    dropped.append(words)
             continue
         if name == "br":
             text.append(" ")
@@ -133,10 +137,11 @@ def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         out = [[] for _ in range(4)]
         for key, url, page in zip(b.column("key").to_pylist(), b.column("url").to_pylist(), b.column("html")):
-            for n, (block, sure) in enumerate(blocks(page.as_py())):
-                if not sure:
-                    for col, v in zip(out, (host(url), key, n, _hashes(block))):
-                        col.append(v)
+            dropped: list[str] = []
+            kept = blocks(page.as_py(), dropped)
+            for n, block in [*((n, x) for n, (x, sure) in enumerate(kept) if not sure), *((-1 - n, x) for n, x in enumerate(dropped))]:
+                for col, v in zip(out, (host(url), key, n, _hashes(block))):
+                    col.append(v)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], ["host", "key", "block", "tokens"])
 
 
@@ -213,7 +218,7 @@ def boilerplate(pages: DataFrame, share: float = SHARE) -> DataFrame:
     shared = dealt.groupBy("host", "group").applyInPandas(_shared, "host string, window bigint, pages bigint")
     often = shared.groupBy("host", "window").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES)
     often = often.join(sizes, "host").where(F.col("pages") >= F.col("n_pages") * share).select("host", "window")
-    spread = rows.mapInPandas(_spread, "host string, key bigint, block int, at int, size int, window bigint")
+    spread = rows.where("block >= 0").mapInPandas(_spread, "host string, key bigint, block int, at int, size int, window bigint")
     found = spread.join(often, ["host", "window"]).groupBy("key").agg(F.collect_set(F.struct("block", "at", "size")).alias("spans"))
     return found
 

@@ -412,13 +412,14 @@ def test_host_boilerplate(spark, monkeypatch):
         want[i] = own
     article = words(30)
     rows += [(100 + i, f"http://h.example/a{i}", f"<article><p>{article}</p></article>") for i in range(5)]
+    rows += [(300 + i, f"http://menus.example/{i}", f"<nav>home news sports weather contact {i // 20} us</nav><div>home news sports weather contact {i // 20} us</div><div>{want.setdefault(300 + i, words(9))}</div>") for i in range(20)]
     rows += [(200, "http://other.example/", f"<div>{notice}</div>"), (201, None, None), (202, None, ""), (None, None, "<p>x</p>"), (0, rows[0][1], rows[0][2])]
     monkeypatch.setattr(html_extract, "GROUP_TOKENS", 200)
     got = {}
     for r in html_extract.extract(pages_of(spark, rows)).collect():
         got.setdefault(r["page_id"], []).append(r["text"])
         assert r["n_chars"] == len(r["text"])
-    assert all(got[i] == [own] * (2 if i == 0 else 1) for i, own in want.items())
+    assert all(got[i] == [own] * (2 if i == 0 else 1) for i, own in want.items()), (got[300], want[300])
     assert all(got[100 + i] == [article] for i in range(5))
     assert got[200] == [notice] and got[201] == got[202] == [""] and got[None] == ["x"]
     assert html_extract.extract(pages_of(spark, [])).count() == 0
