@@ -26,52 +26,53 @@ WINDOW, LITERALS, CONTAINMENT, IN_WORKERS, KNOWN = 5, 3, 0.5, 1 << 20, 400_000
 TOKENS = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n%$€£]").findall
 #: Fixed words: units that may follow a number.
 UNITS = frozenset("% $ € £ percent dollar dollars euro euros pound pounds cent cents m km cm mm mile miles meter meters metre metres foot feet inch inches yard yards kg g mg gram grams kilogram kilograms lb lbs oz ounce ounces ton tons l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kph degree degrees watt watts volt volts".split())
-WORD, CAPITAL, NUMBER, UNIT, END = range(5)
+WORD, CAPITAL, NUMBER, UNIT, END, SYMBOL = range(6)
 SLOTS = {CAPITAL: "<name>", NUMBER: "<number>", UNIT: "<unit>"}
+SLOT_HASHES = [(k, np.uint64(xxhash.xxh64_intdigest(name))) for k, name in SLOTS.items()]
 
 
-class Templates:
-    """Tokens to kinds and hashes; what is known of a token is kept, up to a bound."""
+class Templates(dict):
+    """Token to number, and a kind and a hash by number; what is known of a token is kept, up to a bound."""
 
     def __init__(self):
-        self.reset()
+        super().__init__()
+        self.kinds, self.hashes = np.empty(1024, np.int8), np.empty(1024, np.uint64)
 
-    def reset(self) -> None:
-        self.at: dict[str, int] = {}
-        self.kinds, self.hashes = [], []
-
-    def _add(self, t: str) -> int:
+    def __missing__(self, t: str) -> int:
         low = t.lower()
         if t in ".!?\n":
             kind = END
         elif t[0].isdigit():
             kind = NUMBER
         elif low in UNITS:
-            kind = UNIT
+            kind = UNIT if t.isalpha() else SYMBOL
         else:
             kind = CAPITAL if len(t) > 1 and t[0].isupper() and t[1:] == t[1:].lower() else WORD
-        self.at[t] = i = len(self.kinds)
-        self.kinds.append(kind)
-        self.hashes.append(xxhash.xxh64_intdigest(low))
+        self[t] = i = len(self)
+        if i == len(self.kinds):
+            self.kinds, self.hashes = (np.concatenate([x, np.empty_like(x)]) for x in (self.kinds, self.hashes))
+        self.kinds[i], self.hashes[i] = kind, xxhash.xxh64_intdigest(low)
         return i
 
     def read(self, text: str):
-        """Tokens, the slot kind of each (WORD if none) and the hash of its template token."""
-        if len(self.at) > KNOWN:
-            self.reset()
+        """Tokens, the slot kind of each (WORD if none), the hash of its template token, and which of the text's tokens they are."""
+        if len(self) > KNOWN:
+            self.clear()
         tokens = TOKENS(text)
-        get, add = self.at.get, self._add
-        ids = np.fromiter(((i if (i := get(t)) is not None else add(t)) for t in tokens), np.int64, len(tokens))
-        if not len(ids):
-            return [], np.empty(0, np.int8), np.empty(0, np.uint64)
-        kind = np.array(self.kinds, np.int8)[ids] if len(ids) > 20_000 else np.fromiter((self.kinds[i] for i in ids.tolist()), np.int8, len(ids))
-        before = np.r_[np.int8(END), kind[:-1]]
-        slot = np.where((kind == CAPITAL) & (before != END) | (kind == NUMBER) | (kind == UNIT) & (before == NUMBER), kind, np.int8(WORD))
-        hashes = np.fromiter((self.hashes[i] for i in ids.tolist()), np.uint64, len(ids))
-        for k, name in SLOTS.items():
-            hashes[slot == k] = xxhash.xxh64_intdigest(name)
-        keep = np.flatnonzero((kind != END) & ~((kind == UNIT) & (slot == WORD) & np.fromiter((len(t) == 1 and not t.isalpha() for t in tokens), bool, len(ids))))
-        return [tokens[i] for i in keep.tolist()], slot[keep], hashes[keep]
+        ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        kind, hashes = self.kinds[ids], self.hashes[ids]
+        odd = np.flatnonzero(kind)
+        keep = np.arange(len(ids))
+        slot = np.zeros(len(ids), np.int8)
+        if len(odd):
+            before = np.where(odd > 0, kind[odd - 1], END)
+            k = kind[odd]
+            k = np.where((k == CAPITAL) & (before != END) | (k == NUMBER), k, np.where((k >= UNIT) & (k != END) & (before == NUMBER), UNIT, np.where((k == END) | (k == SYMBOL), END, WORD)))
+            slot[odd] = k
+            for name, digest in SLOT_HASHES:
+                hashes[odd[k == name]] = digest
+            keep = np.flatnonzero(slot != END)
+        return tokens, slot[keep], hashes[keep], keep.tolist
 
 
 def windows(slot: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
@@ -80,12 +81,14 @@ def windows(slot: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
     if n <= 0:
         return np.empty(0, np.uint64)
     out = np.zeros(n, np.uint64)
-    plain = np.zeros(n, np.int64)
+    mixed = hashes ^ (hashes >> np.uint64(29))
     for i in range(size):
-        out = out * np.uint64(0x9E3779B97F4A7C15) + (hashes[i : i + n] ^ (hashes[i : i + n] >> np.uint64(29)))
-        plain += slot[i : i + n] == WORD
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += mixed[i : i + n]
     out ^= out >> np.uint64(31)
-    out[(plain < min(LITERALS, size)) | (out == 0)] = 0
+    if slot.any():
+        plain = np.cumsum(np.r_[0, slot == WORD])
+        out[plain[size:] - plain[:-size] < min(LITERALS, size)] = 0
     return out
 
 
@@ -106,7 +109,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
         for b in batches:
             out = [[] for _ in range(7)]
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
-                tokens, slot, hashes = own.read(text)
+                all_tokens, slot, hashes, keep = own.read(text)
+                tokens = [all_tokens[i] for i in keep()]
                 size = min(WINDOW, len(tokens))
                 if size < LITERALS:
                     continue
@@ -132,7 +136,8 @@ def document_windows(docs: DataFrame, sizes: list[int], among: np.ndarray | None
         for b in batches:
             rows = [[] for _ in range(6)]
             for doc, text in enumerate(b.column("text")):
-                tokens, slot, hashes = own.read(text.as_py())
+                all_tokens, slot, hashes, keep = own.read(text.as_py())
+                tokens = None
                 for size in sizes:
                     h = windows(slot, hashes, size)
                     good = h != 0
@@ -140,6 +145,7 @@ def document_windows(docs: DataFrame, sizes: list[int], among: np.ndarray | None
                         place = np.minimum(np.searchsorted(among, h), len(among) - 1)
                         good &= among[place] == h
                     for at in np.flatnonzero(good).tolist():
+                        tokens = tokens or [all_tokens[i] for i in keep()]
                         template, values = _window_row(tokens, slot, at, size)
                         for col, v in zip(rows, (doc, int(h[at].astype(np.int64)), template, values, at)):
                             col.append(v)
