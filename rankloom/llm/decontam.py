@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: lower-case words, with typed placeholders for numbers, for units after a number, and for names (capitalised words that don't begin a sentence). Windows of WINDOW template tokens are joined by hash (and compared in full) with those of the benchmark items, and on each diagonal (place in the text less place in the item) the slots must be consistent: every value of an item's slot goes to one value of the text's, and no two to one. So a question whose numbers or names were changed throughout is caught, and unrelated text of the same form isn't. A document is contaminated by an item if consistent diagonals cover at least CONTAINMENT of the item's windows.
+Texts become templates: lower-case words, with typed placeholders for numbers, for units after a number, and for names (capitalised words that don't begin a sentence). Windows of WINDOW template tokens are joined by hash (and compared in full) with those of the benchmark items, and on each diagonal (place in the text less place in the item) the slots must be consistent: every value of an item's slot goes to one value of the text's, and no two to one. So a question whose numbers or names were changed throughout is caught, and unrelated text of the same form isn't. A document is contaminated by an item if consistent diagonals cover at least CONTAINMENT of the item's windows, in one of two readings: with placeholders, or as plain words, so that changed capitals or punctuation don't hide a passage.
 
 Windows of fewer than LITERALS plain words say nothing and are not used. An item shorter than a window is one window of its own length; an item without any usable window (fewer than LITERALS plain words) is never found.
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ WINDOW, LITERALS, CONTAINMENT, IN_WORKERS, KNOWN = 5, 3, 0.5, 1 << 20, 400_000
 TOKENS = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n%$€£]").findall
 #: Fixed words: units that may follow a number.
 UNITS = frozenset("% $ € £ percent dollar dollars euro euros pound pounds cent cents m km cm mm mile miles meter meters metre metres foot feet inch inches yard yards kg g mg gram grams kilogram kilograms lb lbs oz ounce ounces ton tons l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kph degree degrees watt watts volt volts".split())
+#: With placeholders, and with words only: punctuation or capitals that were lost or added don't hide a passage.
+READINGS = ("slots: ", "words: ")
 WORD, CAPITAL, NUMBER, UNIT, END, SYMBOL = range(6)
 SLOTS = {CAPITAL: "<name>", NUMBER: "<number>", UNIT: "<unit>"}
 SLOT_HASHES = [(k, np.uint64(xxhash.xxh64_intdigest(name))) for k, name in SLOTS.items()]
@@ -55,7 +58,7 @@ class Templates(dict):
         return i
 
     def read(self, text: str):
-        """Tokens, the slot kind of each (WORD if none), the hash of its template token, and which of the text's tokens they are."""
+        """The text's tokens, which of them count, and for both readings the slot kind of each (WORD if none) and the hash of its template token."""
         if len(self) > KNOWN:
             self.clear()
         tokens = TOKENS(text)
@@ -69,18 +72,20 @@ class Templates(dict):
             k = kind[odd]
             k = np.where((k == CAPITAL) & (before != END) | (k == NUMBER), k, np.where((k >= UNIT) & (k != END) & (before == NUMBER), UNIT, np.where((k == END) | (k == SYMBOL), END, WORD)))
             slot[odd] = k
+            keep = np.flatnonzero(slot != END)
+            words = hashes[keep]
             for name, digest in SLOT_HASHES:
                 hashes[odd[k == name]] = digest
-            keep = np.flatnonzero(slot != END)
-        return tokens, slot[keep], hashes[keep], keep.tolist
+            return tokens, keep.tolist, [(slot[keep], hashes[keep]), (np.zeros(len(keep), np.int8), words)]
+        return tokens, keep.tolist, [(slot, hashes)] * 2
 
 
-def windows(slot: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
-    """The hash of each window; zero if it has too few plain words."""
+def windows(slot: np.ndarray, hashes: np.ndarray, size: int, reading: int = 0) -> np.ndarray:
+    """The hash of each window, unlike in each reading; zero if it has too few plain words."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, reading, np.uint64)
     mixed = hashes ^ (hashes >> np.uint64(29))
     for i in range(size):
         out *= np.uint64(0x9E3779B97F4A7C15)
@@ -92,10 +97,10 @@ def windows(slot: np.ndarray, hashes: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def _window_row(tokens, slot, at: int, size: int) -> tuple[str, str]:
+def _window_row(tokens, slot, at: int, size: int, reading: int) -> tuple[str, str]:
     """A window's template, and its slots' values as kind=value lines."""
     part = range(at, at + size)
-    template = " ".join(SLOTS.get(int(slot[i]), tokens[i].lower()) for i in part)
+    template = READINGS[reading] + " ".join(SLOTS.get(int(slot[i]), tokens[i].lower()) for i in part)
     return template, "\n".join(f"{SLOTS[int(slot[i])]}={tokens[i].lower()}" for i in part if slot[i] != WORD)
 
 
@@ -107,23 +112,24 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Templates()
         for b in batches:
-            out = [[] for _ in range(7)]
+            out = [[] for _ in range(8)]
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
-                all_tokens, slot, hashes, keep = own.read(text)
+                all_tokens, keep, readings = own.read(text)
                 tokens = [all_tokens[i] for i in keep()]
                 size = min(WINDOW, len(tokens))
                 if size < LITERALS:
                     continue
-                h = windows(slot, hashes, size)
-                good = np.flatnonzero(h).tolist()
-                for at in good:
-                    for col, v in zip(out, (int(h[at].astype(np.int64)), *_window_row(tokens, slot, at, size), item, at, size, len(good))):
-                        col.append(v)
-            kinds = (pa.int64(), pa.string(), pa.string(), b.schema.field("item_id").type, pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h", "template", "item_slots", "item_id", "item_at", "size", "n_windows"])
+                for reading, (slot, hashes) in enumerate(readings):
+                    h = windows(slot, hashes, size, reading)
+                    good = np.flatnonzero(h).tolist()
+                    for at in good:
+                        for col, v in zip(out, (int(h[at].astype(np.int64)), *_window_row(tokens, slot, at, size, reading), item, at, size, len(good), reading)):
+                            col.append(v)
+            kinds = (pa.int64(), pa.string(), pa.string(), b.schema.field("item_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h", "template", "item_slots", "item_id", "item_at", "size", "n_windows", "reading"])
 
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text")).dropDuplicates(["item_id", "text"])
-    return rows.mapInArrow(run, f"h bigint, template string, item_slots string, item_id {kind}, item_at int, size int, n_windows int")
+    return rows.mapInArrow(run, f"h bigint, template string, item_slots string, item_id {kind}, item_at int, size int, n_windows int, reading int")
 
 
 def document_windows(docs: DataFrame, sizes: list[int], among: np.ndarray | None) -> DataFrame:
@@ -136,17 +142,17 @@ def document_windows(docs: DataFrame, sizes: list[int], among: np.ndarray | None
         for b in batches:
             rows = [[] for _ in range(6)]
             for doc, text in enumerate(b.column("text")):
-                all_tokens, slot, hashes, keep = own.read(text.as_py())
+                all_tokens, keep, readings = own.read(text.as_py())
                 tokens = None
-                for size in sizes:
-                    h = windows(slot, hashes, size)
+                for size, (reading, (slot, hashes)) in product(sizes, enumerate(readings)):
+                    h = windows(slot, hashes, size, reading)
                     good = h != 0
                     if among is not None and len(h):
                         place = np.minimum(np.searchsorted(among, h), len(among) - 1)
                         good &= among[place] == h
                     for at in np.flatnonzero(good).tolist():
                         tokens = tokens or [all_tokens[i] for i in keep()]
-                        template, values = _window_row(tokens, slot, at, size)
+                        template, values = _window_row(tokens, slot, at, size, reading)
                         for col, v in zip(rows, (doc, int(h[at].astype(np.int64)), template, values, at)):
                             col.append(v)
             take = pa.array(rows[0], pa.int32())
@@ -174,13 +180,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINM
         items.unpersist()
     found = document_windows(docs, sizes, among)
     side = F.broadcast(items) if few else items
-    pairs = found.join(side, ["h", "template"]).select("doc_id", "of_text", "item_id", "n_windows", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", F.arrays_zip(F.split("item_slots", "\n").alias("i"), F.split("doc_slots", "\n").alias("d")).alias("slots"))
-    by = ["doc_id", "of_text", "item_id", "diagonal"]
+    pairs = found.join(side, ["h", "template"]).select("doc_id", "of_text", "item_id", "reading", "n_windows", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", F.arrays_zip(F.split("item_slots", "\n").alias("i"), F.split("doc_slots", "\n").alias("d")).alias("slots"))
+    by = ["doc_id", "of_text", "item_id", "reading", "diagonal"]
     distinct = F.array_distinct(F.flatten(F.collect_set("slots")))
     lines = pairs.groupBy(*by).agg(distinct.alias("slots"), F.collect_set("item_at").alias("places"), F.max("n_windows").alias("n_windows"))
     one_to_one = "size(array_distinct(transform(slots, s -> s.i))) = size(slots) and size(array_distinct(transform(slots, s -> s.d))) = size(slots)"
-    whole = lines.where(one_to_one).groupBy("doc_id", "of_text", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max("n_windows").alias("n_windows"))
-    return whole.withColumn("containment", F.col("n") / F.col("n_windows")).where(F.col("containment") >= containment).select("doc_id", "of_text", "item_id", "containment")
+    whole = lines.where(one_to_one).groupBy("doc_id", "of_text", "item_id", "reading").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max("n_windows").alias("n_windows"))
+    whole = whole.groupBy("doc_id", "of_text", "item_id").agg(F.max(F.col("n") / F.col("n_windows")).alias("containment"))
+    return whole.where(F.col("containment") >= containment).select("doc_id", "of_text", "item_id", "containment")
 
 
 def _best(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -337,12 +337,12 @@ ITEM = "Yesterday evening Alice bought 12 apples and 7 pears at the market for 3
 def test_templates(spark, monkeypatch):
     changed = ITEM.replace("Alice", "Maria").replace("Robert", "Pavel").replace("12", "45").replace("7", "9").replace("30", "88").replace("euros", "dollars")
     mixed = changed.replace("Maria", "Susan", 1)
-    rows = [(1, "Some words first. " + ITEM + " And some more."), (2, "x y z. " + changed), (3, "x y z. " + mixed), (4, "Nothing of the kind stands here, not at all."), (5, None), (6, ""), (6, ""), (None, ITEM), (7, LONG + ITEM), (8, ITEM[:60])]
+    rows = [(1, "Some words first. " + ITEM + " And some more."), (2, "x y z. " + changed), (3, "x y z. " + mixed), (4, "Nothing of the kind stands here, not at all."), (5, None), (6, ""), (6, ""), (None, ITEM), (7, LONG + ITEM), (8, ITEM[:60]), (9, ITEM.title()), (10, ITEM.upper()), (11, ITEM.replace(" 12", ". 12").replace("apples", "Apples"))]
     bench = items(spark, [(10, ITEM, 0, 0), (10, ITEM, 0, 0), (11, None, 0, 0), (12, "ok", 0, 0), (None, ITEM, 0, 0), (13, "a short question here", 0, 0)])
     for most in (decontam.IN_WORKERS, 0):
         monkeypatch.setattr(decontam, "IN_WORKERS", most)
         got = sorted(((r["doc_id"], r["contaminated"], r["item_id"]) for r in decontam.flag(docs(spark, rows), bench).collect()), key=str)
-        want = [(1, True, 10), (2, True, 10), (3, False, None), (4, False, None), (5, False, None), (6, False, None), (6, False, None), (None, True, 10), (7, True, 10), (8, False, None)]
+        want = [(1, True, 10), (2, True, 10), (3, False, None), (4, False, None), (5, False, None), (6, False, None), (6, False, None), (None, True, 10), (7, True, 10), (8, False, None), (9, True, 10), (10, True, 10), (11, True, 10)]
         assert got == sorted(want, key=str)
     df = docs(spark, rows)
     kept = decontam.clean(df, bench)
