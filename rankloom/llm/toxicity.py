@@ -95,84 +95,6 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     return Classifier(dict(zip(names, w.tolist())), float(b))
 
 
-def _sample(docs: DataFrame, ids: DataFrame, n: int, most: int) -> list[str]:
-    """Texts of at most most of the n rows ids(doc_id, lot): the ids are drawn first, so that only texts of drawn ones are moved."""
-    drawn = ids.where(F.col("lot") < min(1.0, 1.2 * most / max(1, n))).select("doc_id").distinct().limit(2 * most)
-    keys = docs.sparkSession.createDataFrame(drawn.collect(), drawn.schema)
-    got = docs.join(F.broadcast(keys), "doc_id", "left_semi").select("text").limit(2 * most).collect()
-    return sorted(r["text"] for r in got)[:: max(1, -(-len(got) // most))]
-
-
-def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
-    """docs(doc_id, text), labels(doc_id, toxic): the rows to learn from. Rows without an id have no label and are not drawn."""
-    said = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    docs = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lots = docs.select("doc_id", (F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0).alias("lot"))
-    rows = lots.join(said, "doc_id", "left")
-    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count("toxic").alias("said"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")).first()
-    if not n["toxic"]:
-        return None
-    positive = _sample(docs, rows.where("toxic > 0"), n["toxic"], POSITIVES)
-    unlabelled = _sample(docs, rows.where("toxic is null or toxic = 0"), n["all"] - n["toxic"], UNLABELLED)
-    return train(positive, unlabelled, n["toxic"] / n["said"])
-
-
-def score(self, text: str) -> float:
-        weight = self.weights
-        words = set(WORDS(text.lower()))
-        f = self.bias
-        found = {w for w in words if w in weight}
-        for n in STEMS:
-            found.update([s for w in words if len(w) >= n and (s := w[:n] + "~") in weight])
-        for x in sorted(found):
-            f += weight[x]
-        return float(1 / (1 + np.exp(-np.clip(f, -30, 30))))
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.tanh(0.5 * x))
-
-
-def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = STEPS) -> Classifier | None:
-    """Adam on the non-negative risk over the whole sample."""
-    if not positive or not unlabelled:
-        return None
-    prior = min(max(prior, 1e-3), 0.999)
-    sets = [features(t) for t in (*positive, *unlabelled)]
-    n_p, n_u = len(positive), len(unlabelled)
-    in_p, in_u = Counter(), Counter()
-    for i, s in enumerate(sets):
-        (in_p if i < n_p else in_u).update(s)
-    names = []
-    for x, n in in_p.items():
-        base = (in_u[x] + 1) / (n_u + 2)
-        if n >= LEAST and (n - n_p * base) / np.sqrt(n_p * base * (1 - base) + 1e-9) >= Z:
-            names.append(x)
-    names.sort()
-    at = {x: i for i, x in enumerate(names)}
-    pairs = [(i, at[x]) for i, s in enumerate(sets) for x in s if x in at]
-    row, col = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.empty(0, np.int64),) * 2
-    is_p = np.arange(len(sets)) < n_p
-    w, b = np.zeros(len(names)), 0.0
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    for step in range(1, steps + 1):
-        f = np.bincount(row, w[col], len(sets)) + b
-        up, down = _sigmoid(f), np.logaddexp(0, f)  # l(-f) and its slope
-        negative = down[~is_p].mean() - prior * down[is_p].mean()
-        d = np.where(is_p, -prior * up / n_p, up / n_u)  # of the negatives' risk
-        if negative >= 0:
-            d += np.where(is_p, -prior * (1 - up) / n_p, 0)
-        else:
-            d = -d
-        g = np.append(np.bincount(col, d[row], len(names)) + L2 * w, d.sum())
-        m += 0.1 * (g - m)
-        v += 0.001 * (g * g - v)
-        change = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        w -= change[:-1]
-        b -= change[-1]
-    return Classifier(dict(zip(names, w.tolist())), float(b))
-
-
 def _sample(rows: DataFrame, n: int, most: int) -> list[str]:
     lot = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
     got = rows.where(lot < min(1.0, 1.2 * most / max(1, n))).select("text").limit(2 * most).collect()
