@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,7 +62,7 @@ def _features(rows: DataFrame, key: str) -> DataFrame:
     return both.select(key, f.alias("f")).groupBy(key, "f").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bigram_cosine(queries: DataFrame, postings: DataFrame, candidates: DataFrame) -> DataFrame:
+def bigram_cosine(queries: DataFrame, postings: DataFrame, candidates: DataFrame, depth: int | None = None) -> DataFrame:
     """Cosine of words and pairs for candidates(qid, docid). Weights are 1 + ln tf times ln(n / (df + 1)), counted over a query's candidates and itself; features in one of them only, or in 95 hundredths and more, are left out, unless that leaves none."""
     docs = candidates.select("qid", "docid").join(_features(postings.join(candidates.select("docid").distinct(), "docid", "left_semi"), "docid"), "docid")
     own = _features(queries, "qid").select("qid", F.lit("").alias("docid"), "f", "tf")
@@ -71,27 +75,52 @@ def bigram_cosine(queries: DataFrame, postings: DataFrame, candidates: DataFrame
     q = w.where("docid = ''").select("qid", "f", F.col("w").alias("qw"))
     q_norm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     d = w.where("docid <> ''").join(q, ["qid", "f"], "left").groupBy("qid", "docid").agg(F.sum(F.coalesce(F.col("w") * F.col("qw"), F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    return ranking(d.join(q_norm, "qid").select("qid", "docid", F.coalesce(F.col("dot") / F.nullif(F.col("dn") * F.col("qn"), F.lit(0.0)), F.lit(0.0)).alias("score")))
-
-
-def proximity(queries: DataFrame, postings: DataFrame, candidates: DataFrame) -> DataFrame:
-    """.20 share of query words found, .40 mean over pairs of words of 1 / (1 + nearest distance), .15 mean of 1 / (1 + first place), .25 neighbouring query words that are neighbours in the text (.3 each, at most 1)."""
+    return ranking(d.join(q_norm, "qid").select("qid", "docid", F.coalesce(F.col("dot") / F.nullif(F.col("dn") * F.col("qn"), F.lit(0.0)), F.lit(0.0)).alias("score")), None, depth)
+
+
+def matching(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    """qid, docid of all documents with at least one of the query's words."""
+    return queries.select("qid", "term").distinct().join(postings.select("docid", "term").distinct(), "term").select("qid", "docid").distinct()
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """qid, docid, have, early, close (null if only one word stands in the text) and phrases of qid, docid and hits (place and number of word, in order of places)."""
+    for b in batches:
+        out = [[] for _ in range(4)]
+        for hits in b.column("hits").to_pylist():
+            number = {i: n for n, i in enumerate(dict.fromkeys(h["i"] for h in hits))}
+            first = {}
+            last, near = np.full(len(number), -np.inf), np.full((len(number), len(number)), np.inf)
+            phrases, before = set(), None
+            for h in hits:
+                n, pos = number[h["i"]], h["pos"]
+                first.setdefault(n, pos)
+                np.minimum(near[n], pos - last, out=near[n])
+                last[n] = pos
+                if before and before["pos"] == pos - 1 and before["i"] == h["i"] - 1:
+                    phrases.add(h["i"])
+                before = h
+            d = np.minimum(near, near.T)[np.triu_indices(len(number), 1)]
+            for col, v in zip(out, (len(number), sum(1 / (1 + x) for x in first.values()) / len(first), float((1 / (1 + d)).mean()) if len(d) else None, len(phrases))):
+                col.append(v)
+        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("docid"), *(pa.array(c, k) for c, k in zip(out, kinds))], ["qid", "docid", "have", "early", "close", "phrases"])
+
+
+def proximity(queries: DataFrame, postings: DataFrame, candidates: DataFrame | None = None, depth: int | None = None) -> DataFrame:
+    """.20 share of query words found, .40 mean over pairs of words of 1 / (1 + nearest distance), .15 mean of 1 / (1 + first place), .25 neighbouring query words that are neighbours in the text (.3 each, at most 1). A query may have any number of words. Without candidates: every document with one of the words."""
     terms = queries.groupBy("qid", "term").agg(F.min("pos").alias("at"))
     size = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("m"))
     terms = terms.withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy("at")))
-    found = candidates.select("qid", "docid").join(terms, "qid").join(postings, ["docid", "term"]).select("qid", "docid", "i", "pos")
-    by_word = found.groupBy("qid", "docid", "i").agg(F.min("pos").alias("first"))
-    words = by_word.groupBy("qid", "docid").agg(F.count(F.lit(1)).alias("have"), F.avg(1 / (1 + F.col("first"))).alias("early"))
-    # nearest distances and neighbours: along a text, the last place of each of the few query words so far
-    last = Window.partitionBy("qid", "docid").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    wide = found.groupBy("qid", "docid", "pos").agg(F.min("i").alias("i"))
-    near = wide.select("*", *[F.max(F.when(F.col("i") == j, F.col("pos"))).over(last).alias(f"l{j}") for j in range(1, 9)])
-    pairs = near.select("qid", "docid", "i", "pos", F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col(f"l{j}").alias("at")) for j in range(1, 9)])).alias("o")).where("o.at is not null and o.j <> i")
-    pairs = pairs.groupBy("qid", "docid", F.least("i", "o.j").alias("a"), F.greatest("i", "o.j").alias("b")).agg(F.min(F.col("pos") - F.col("o.at")).alias("d"), F.max(((F.col("i") == F.col("o.j") + 1) & (F.col("pos") == F.col("o.at") + 1)).cast("int")).alias("next"))
-    of_pairs = pairs.groupBy("qid", "docid").agg(F.avg(1 / (1 + F.col("d"))).alias("close"), F.sum("next").alias("phrases"))
-    rows = words.join(of_pairs, ["qid", "docid"], "left").join(size, "qid")
-    score = 0.2 * F.col("have") / F.col("m") + 0.4 * F.coalesce("close", F.lit(0.0)) + 0.15 * F.col("early") + 0.25 * F.least(0.3 * F.coalesce("phrases", F.lit(0)), F.lit(1.0))
-    return ranking(rows.select("qid", "docid", score.alias("score")))
+    if candidates is None:
+        found = terms.join(postings, "term")
+    else:
+        found = candidates.select("qid", "docid").join(terms, "qid").join(postings, ["docid", "term"])
+    hits = found.groupBy("qid", "docid").agg(F.sort_array(F.collect_list(F.struct("pos", "i"))).alias("hits"))
+    kinds = dict(hits.dtypes)
+    rows = hits.mapInArrow(_places, f"qid {kinds['qid']}, docid {kinds['docid']}, have bigint, early double, close double, phrases bigint").join(size, "qid")
+    score = 0.2 * F.col("have") / F.col("m") + 0.4 * F.coalesce("close", F.lit(0.0)) + 0.15 * F.col("early") + 0.25 * F.least(0.3 * F.col("phrases"), F.lit(1.0))
+    return ranking(rows.select("qid", "docid", score.alias("score")), None, depth)
 
 
 def semantic_hash(queries: DataFrame, postings: DataFrame, candidates: DataFrame, buckets: int = 1 << 14, dims: int = 64) -> DataFrame:

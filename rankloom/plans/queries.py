@@ -427,8 +427,8 @@ def _bm25_sql(k1: float, b: float, depth: int = 200) -> str:
     return rank_sql(f"SELECT qid, tf.docid, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / avg_dl))) AS score FROM {_MATCH} GROUP BY qid, tf.docid", ("qid",), depth)
 
 
-def _collection(spark, d):
-    return W.text_queries(spark, d), rankers.Collection(W.postings(spark, d))
+def _collection(spark, d, first: int | None = W.QUERY_WORDS):
+    return W.text_queries(spark, d, first), rankers.Collection(W.postings(spark, d))
 
 
 @query(with_text(_bm25_sql(*rankers.BM25)))
@@ -481,9 +481,43 @@ def proximity(spark, d):
     return rankers.proximity(q, W.postings(spark, d), rankers.bm25(q, c, depth=50).select("qid", "docid"))
 
 
+# the same rankers for all words of an item, without SQL
+
+
+@query()
+def whole_bm25(spark, d):
+    return rankers.bm25(*_collection(spark, d, None))
+
+
+@query()
+def whole_bm25_tuned(spark, d):
+    return rankers.bm25(*_collection(spark, d, None), *rankers.BM25_TUNED)
+
+
+@query()
+def whole_tfidf(spark, d):
+    return rankers.tfidf(*_collection(spark, d, None))
+
+
+@query()
+def whole_ql_dirichlet(spark, d):
+    return rankers.ql_dirichlet(*_collection(spark, d, None))
+
+
+@query()
+def whole_tfidf_bigram(spark, d):
+    q, p = W.text_queries(spark, d), W.postings(spark, d)
+    return rankers.bigram_cosine(q, p, rankers.matching(q, p), 200)
+
+
+@query()
+def whole_proximity(spark, d):
+    return rankers.proximity(W.text_queries(spark, d), W.postings(spark, d), depth=200)
+
+
 @query()
 def semantic_hash(spark, d):
-    q, c = _collection(spark, d)
+    q, c = _collection(spark, d, None)
     return rankers.semantic_hash(q, W.postings(spark, d), rankers.bm25(q, c, depth=50).select("qid", "docid"))
 
 

@@ -1,6 +1,6 @@
 """Runs, judgments and candidate texts derived from the supplied tables.
 
-The relational workload ranks suppliers for each part type by several integer scores, so that orders do not depend on the order of floating-point sums. The text workload ranks documents for the opening words of each benchmark item.
+The relational workload ranks suppliers for each part type by several integer scores, so that orders do not depend on the order of floating-point sums. The text workload ranks documents for each benchmark item: for all its words, or, where SQL states the result, for its opening words.
 """
 
 from __future__ import annotations
@@ -51,6 +51,7 @@ qrels AS (SELECT qid, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS docid, CAST(((
   FROM (SELECT DISTINCT p_type AS qid FROM part) CROSS JOIN supplier WHERE s_suppkey % 4 <> 0)
 """
 
+#: Opening words of an item in the queries that have SQL.
 QUERY_WORDS = 8
 #: ASCII words of more than one letter.
 WORDS = "[a-z0-9][a-z0-9]+"
@@ -60,10 +61,11 @@ def words(text):
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORDS})"))
 
 
-def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, pos, term: the first words of each benchmark item."""
+def text_queries(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
+    """qid, pos, term: the words of each benchmark item, or its first ones."""
     items = table(spark, sf_dir, "benchmark").where("item_id is not null")
-    return items.select(F.lpad(F.col("item_id").cast("string"), 6, "0").alias("qid"), F.posexplode(F.slice(words(F.col("text")), 1, QUERY_WORDS)).alias("pos", "term"))
+    own = words(F.col("text"))
+    return items.select(F.lpad(F.col("item_id").cast("string"), 6, "0").alias("qid"), F.posexplode(F.slice(own, 1, first) if first else own).alias("pos", "term"))
 
 
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
