@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Texts become templates: lower-case words, with typed placeholders for numbers, for units after a number, and for names (capitalised words that don't begin a sentence). Windows of WINDOW template tokens are joined by hash (and compared in full) with those of the benchmark items, and on each diagonal (place in the text less place in the item) the slots must be consistent: every value of an item's slot goes to one value of the text's, and no two to one. So a question whose numbers or names were changed throughout is caught, and unrelated text of the same form isn't. A document is contaminated by an item if consistent diagonals cover at least CONTAINMENT of the item's windows, in one of two readings: with placeholders, or as plain words, so that changed capitals or punctuation don't hide a passage.
+Texts become templates: lower-case words, with typed placeholders for numbers, for units after a number, and for names (capitalised words that don't begin a sentence). Windows of WINDOW template tokens are joined by hash (and compared in full) with those of the benchmark items, and on each diagonal (place in the text less place in the item) the slots must be consistent: every value of an item's slot goes to one value of the text's, and no two to one. So a question whose numbers or names were changed throughout is caught, and unrelated text of the same form isn't. A document is contaminated by an item if, in one of three readings, consistent diagonals cover at least CONTAINMENT of the item's windows, or one of them has an unbroken run of usable windows that covers RUN words. The readings: with placeholders; as plain words, so that changed capitals or punctuation don't hide a passage; and with placeholders also for capitalised words that begin a sentence (but for fixed function words) and for number words.
 
 Windows of fewer than LITERALS plain words say nothing and are not used. An item shorter than a window is one window of its own length; an item without any usable window (fewer than LITERALS plain words) is never found.
 
@@ -24,22 +24,28 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import small_batches, table
 
 WINDOW, LITERALS, CONTAINMENT, IN_WORKERS, KNOWN = 5, 3, 0.5, 1 << 20, 400_000
+#: Words of an unbroken run that suffices, whatever its share of the item.
+RUN = 13
 TOKENS = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?\n%$€£]").findall
 #: Fixed words: units that may follow a number.
 UNITS = frozenset("% $ € £ percent dollar dollars euro euros pound pounds cent cents m km cm mm mile miles meter meters metre metres foot feet inch inches yard yards kg g mg gram grams kilogram kilograms lb lbs oz ounce ounces ton tons l ml liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks month months year years mph kph degree degrees watt watts volt volts".split())
-#: With placeholders, and with words only: punctuation or capitals that were lost or added don't hide a passage.
-READINGS = ("slots: ", "words: ")
+#: Fixed words that begin a sentence and are no names.
+FUNCTION = frozenset("a an the this that these those he she it they we you i his her its their our my your there here then when while if unless although though because in on at to for from with without by of as into over under between among about and but or nor so yet after before during since until once how what which who whom whose why where is are was were be been do does did has have had can could will would shall should may might must let please each every all some any both many most much few several other another no not only even just also however therefore thus finally first next last later now today tomorrow yesterday suppose given assume find calculate".split())
+#: Fixed number words.
+NUMBERS = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+#: With placeholders; with words only: punctuation or capitals that were lost or added don't hide a passage; with placeholders for names that begin a sentence and for number words as well.
+READINGS = ("slots: ", "words: ", "names: ")
 WORD, CAPITAL, NUMBER, UNIT, END, SYMBOL = range(6)
 SLOTS = {CAPITAL: "<name>", NUMBER: "<number>", UNIT: "<unit>"}
-SLOT_HASHES = [(k, np.uint64(xxhash.xxh64_intdigest(name))) for k, name in SLOTS.items()]
+SLOT_HASHES = np.array([xxhash.xxh64_intdigest(SLOTS.get(k, "")) for k in range(6)], np.uint64)
 
 
 class Templates(dict):
-    """Token to number, and a kind and a hash by number; what is known of a token is kept, up to a bound."""
+    """Token to number, and by number a kind, a hash, and the kind that the third reading adds; what is known of a token is kept, up to a bound."""
 
     def __init__(self):
         super().__init__()
-        self.kinds, self.hashes = np.empty(1024, np.int8), np.empty(1024, np.uint64)
+        self.kinds, self.hashes, self.wide = np.empty(1024, np.int8), np.empty(1024, np.uint64), np.empty(1024, np.int8)
 
     def __missing__(self, t: str) -> int:
         low = t.lower()
@@ -53,31 +59,34 @@ class Templates(dict):
             kind = CAPITAL if len(t) > 1 and t[0].isupper() and t[1:] == t[1:].lower() else WORD
         self[t] = i = len(self)
         if i == len(self.kinds):
-            self.kinds, self.hashes = (np.concatenate([x, np.empty_like(x)]) for x in (self.kinds, self.hashes))
+            self.kinds, self.hashes, self.wide = (np.concatenate([x, np.empty_like(x)]) for x in (self.kinds, self.hashes, self.wide))
         self.kinds[i], self.hashes[i] = kind, xxhash.xxh64_intdigest(low)
+        self.wide[i] = NUMBER if low in NUMBERS else CAPITAL if kind == CAPITAL and low not in FUNCTION else WORD
         return i
 
     def read(self, text: str):
-        """The text's tokens, which of them count, and for both readings the slot kind of each (WORD if none) and the hash of its template token."""
+        """The text's tokens, which of them count, and for each reading the slot kind of each (WORD if none) and the hash of its template token."""
         if len(self) > KNOWN:
             self.clear()
         tokens = TOKENS(text)
         ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        kind, hashes = self.kinds[ids], self.hashes[ids]
+        kind, hashes, wide = self.kinds[ids], self.hashes[ids], self.wide[ids]
         odd = np.flatnonzero(kind)
         keep = np.arange(len(ids))
         slot = np.zeros(len(ids), np.int8)
-        if len(odd):
+        if len(odd) or wide.any():
             before = np.where(odd > 0, kind[odd - 1], END)
             k = kind[odd]
             k = np.where((k == CAPITAL) & (before != END) | (k == NUMBER), k, np.where((k >= UNIT) & (k != END) & (before == NUMBER), UNIT, np.where((k == END) | (k == SYMBOL), END, WORD)))
             slot[odd] = k
             keep = np.flatnonzero(slot != END)
+            more = np.where((wide == NUMBER) | (slot == WORD), wide, slot)
+            counted = np.flatnonzero(wide[:-1] == NUMBER) + 1
+            more[counted[(more[counted] == WORD) & (kind[counted] == UNIT)]] = UNIT
             words = hashes[keep]
-            for name, digest in SLOT_HASHES:
-                hashes[odd[k == name]] = digest
-            return tokens, keep.tolist, [(slot[keep], hashes[keep]), (np.zeros(len(keep), np.int8), words)]
-        return tokens, keep.tolist, [(slot, hashes)] * 2
+            narrow, wide = ((k, np.where(k == WORD, words, SLOT_HASHES[k])) for k in (slot[keep], more[keep]))
+            return tokens, keep.tolist, [narrow, (np.zeros(len(keep), np.int8), words), wide]
+        return tokens, keep.tolist, [(slot, hashes)] * 3
 
 
 def windows(slot: np.ndarray, hashes: np.ndarray, size: int, reading: int = 0) -> np.ndarray:
@@ -105,14 +114,14 @@ def _window_row(tokens, slot, at: int, size: int, reading: int) -> tuple[str, st
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """h, template, item_id, item_at, item_slots, size, n_windows of the items."""
+    """h, template, item_id, item_at, nth (of the item's usable windows), item_slots, size, n_windows of the items."""
     small_batches(benchmark.sparkSession)
     kind = dict(benchmark.dtypes)["item_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Templates()
         for b in batches:
-            out = [[] for _ in range(8)]
+            out = [[] for _ in range(9)]
             for item, text in zip(b.column("item_id").to_pylist(), b.column("text").to_pylist()):
                 all_tokens, keep, readings = own.read(text)
                 tokens = [all_tokens[i] for i in keep()]
@@ -122,14 +131,14 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
                 for reading, (slot, hashes) in enumerate(readings):
                     h = windows(slot, hashes, size, reading)
                     good = np.flatnonzero(h).tolist()
-                    for at in good:
-                        for col, v in zip(out, (int(h[at].astype(np.int64)), *_window_row(tokens, slot, at, size, reading), item, at, size, len(good), reading)):
+                    for nth, at in enumerate(good):
+                        for col, v in zip(out, (int(h[at].astype(np.int64)), *_window_row(tokens, slot, at, size, reading), item, at, size, len(good), reading, nth)):
                             col.append(v)
-            kinds = (pa.int64(), pa.string(), pa.string(), b.schema.field("item_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h", "template", "item_slots", "item_id", "item_at", "size", "n_windows", "reading"])
+            kinds = (pa.int64(), pa.string(), pa.string(), b.schema.field("item_id").type, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["h", "template", "item_slots", "item_id", "item_at", "size", "n_windows", "reading", "nth"])
 
     rows = benchmark.where("item_id is not null and text is not null").select("item_id", F.col("text").cast("string").alias("text")).dropDuplicates(["item_id", "text"])
-    return rows.mapInArrow(run, f"h bigint, template string, item_slots string, item_id {kind}, item_at int, size int, n_windows int, reading int")
+    return rows.mapInArrow(run, f"h bigint, template string, item_slots string, item_id {kind}, item_at int, size int, n_windows int, reading int, nth int")
 
 
 def document_windows(docs: DataFrame, sizes: list[int], among: np.ndarray | None) -> DataFrame:
@@ -139,6 +148,9 @@ def document_windows(docs: DataFrame, sizes: list[int], among: np.ndarray | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Templates()
+        if among is not None:  # most windows are ruled out by a bit of their hash's end
+            maybe = np.zeros(1 << 22, bool)
+            maybe[among & np.uint64((1 << 22) - 1)] = True
         for b in batches:
             rows = [[] for _ in range(6)]
             for doc, text in enumerate(b.column("text")):
@@ -146,11 +158,12 @@ def document_windows(docs: DataFrame, sizes: list[int], among: np.ndarray | None
                 tokens = None
                 for size, (reading, (slot, hashes)) in product(sizes, enumerate(readings)):
                     h = windows(slot, hashes, size, reading)
-                    good = h != 0
-                    if among is not None and len(h):
-                        place = np.minimum(np.searchsorted(among, h), len(among) - 1)
-                        good &= among[place] == h
-                    for at in np.flatnonzero(good).tolist():
+                    if among is None:
+                        good = np.flatnonzero(h)
+                    else:
+                        good = np.flatnonzero(maybe[h & np.uint64((1 << 22) - 1)] & (h != 0))
+                        good = good[among[np.minimum(np.searchsorted(among, h[good]), len(among) - 1)] == h[good]] if len(good) else good
+                    for at in good.tolist():
                         tokens = tokens or [all_tokens[i] for i in keep()]
                         template, values = _window_row(tokens, slot, at, size, reading)
                         for col, v in zip(rows, (doc, int(h[at].astype(np.int64)), template, values, at)):
@@ -180,14 +193,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINM
         items.unpersist()
     found = document_windows(docs, sizes, among)
     side = F.broadcast(items) if few else items
-    pairs = found.join(side, ["h", "template"]).select("doc_id", "of_text", "item_id", "reading", "n_windows", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", F.arrays_zip(F.split("item_slots", "\n").alias("i"), F.split("doc_slots", "\n").alias("d")).alias("slots"))
+    pairs = found.join(side, ["h", "template"]).select("doc_id", "of_text", "item_id", "reading", "n_windows", "size", "nth", (F.col("doc_at") - F.col("item_at")).alias("diagonal"), "item_at", F.arrays_zip(F.split("item_slots", "\n").alias("i"), F.split("doc_slots", "\n").alias("d")).alias("slots"))
     by = ["doc_id", "of_text", "item_id", "reading", "diagonal"]
     distinct = F.array_distinct(F.flatten(F.collect_set("slots")))
-    lines = pairs.groupBy(*by).agg(distinct.alias("slots"), F.collect_set("item_at").alias("places"), F.max("n_windows").alias("n_windows"))
+    lines = pairs.groupBy(*by).agg(distinct.alias("slots"), F.collect_set("item_at").alias("places"), F.sort_array(F.collect_set(F.struct("nth", "item_at", "size"))).alias("run"), F.max("n_windows").alias("n_windows"))
     one_to_one = "size(array_distinct(transform(slots, s -> s.i))) = size(slots) and size(array_distinct(transform(slots, s -> s.d))) = size(slots)"
-    whole = lines.where(one_to_one).groupBy("doc_id", "of_text", "item_id", "reading").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max("n_windows").alias("n_windows"))
-    whole = whole.groupBy("doc_id", "of_text", "item_id").agg(F.max(F.col("n") / F.col("n_windows")).alias("containment"))
-    return whole.where(F.col("containment") >= containment).select("doc_id", "of_text", "item_id", "containment")
+    # words that the longest run of windows, each the item's next usable one, covers
+    run = F.expr(f"""aggregate(run, named_struct('nth', -9, 'stop', -9, 'words', 0, 'most', 0), (a, x) -> named_struct('nth', x.nth, 'stop', x.item_at + x.size,
+        'words', if(x.nth = a.nth + 1, a.words + x.item_at + x.size - greatest(a.stop, x.item_at), x.size),
+        'most', greatest(a.most, if(x.nth = a.nth + 1, a.words + x.item_at + x.size - greatest(a.stop, x.item_at), x.size)))).most""")
+    whole = lines.where(one_to_one).withColumn("run", run).groupBy("doc_id", "of_text", "item_id", "reading").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).alias("n"), F.max("n_windows").alias("n_windows"), F.max("run").alias("run"))
+    whole = whole.groupBy("doc_id", "of_text", "item_id").agg(F.max(F.col("n") / F.col("n_windows")).alias("containment"), F.max("run").alias("run"))
+    return whole.where((F.col("containment") >= containment) | (F.col("run") >= RUN)).select("doc_id", "of_text", "item_id", "containment")
 
 
 def _best(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -351,6 +351,19 @@ def test_templates(spark, monkeypatch):
     assert decontam.clean(df, items(spark, [])).count() == len(rows)
 
 
+def test_names_that_begin_sentences_and_quotations(spark):
+    item = "Tom has 12 apples. Tom gives 5 apples to Ann. Tom then eats 2 apples. How many are left?"
+    other = item.replace("Tom", "Karl").replace("Ann", "Eva").replace("12", "31").replace("5", "8").replace("2", "6")
+    counted = "Mia had three red marbles in the bag. Mia then put four blue marbles in the bag as well."
+    recounted = counted.replace("Mia", "Ole").replace("three", "7").replace("four", "nine")
+    words = "the river runs past a mill where old boats lie under trees and children play until dark falls over quiet fields while their parents mend nets beside open doors or carry baskets of fish along narrow paths that lead from one harbour wall to another before winter storms close every road".split()
+    quoted = " ".join(words[20:45])
+    rows = [(1, other), (2, other.replace("Karl then", "Paul then")), (3, recounted), (4, f"He said: {quoted}, and no more."), (5, "So " + " ".join(words[20:32])), (6, "Karl has no time. Eva likes green tea.")]
+    bench = items(spark, [(1, item, 0, 0), (2, counted, 0, 0), (3, " ".join(words), 0, 0)])
+    got = sorted((r["doc_id"], r["item_id"]) for r in decontam.flag(docs(spark, rows), bench).collect())
+    assert got == [(1, 1), (2, None), (3, 2), (4, 3), (5, None), (6, None)]
+
+
 # WARC
 
 
