@@ -3,7 +3,7 @@
 1. A page's tags are matched and its subtrees of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments dropped, by element, role, class or id. If there is an article or main element only what is inside counts. The rest is cut into blocks at block elements.
 2. Blocks that markup vouches for (paragraphs, headings, lists, quotations and the like inside an article or main element) stay. Of everything else (what was dropped, with negative block numbers; bare divisions; all blocks of a page without such an element) the token streams of a host's pages are concatenated, in groups of pages of bounded size, and sorted by their suffixes; suffixes that share LENGTH tokens are neighbours then. A shared beginning counts in how many distinct pages it stands; groups are summed up by key, so a host with a third of all pages is many groups. Beginnings on at least PAGES pages and a SHARE of the host's pages are boilerplate, learned from dropped and doubtful blocks alike: the tokens of doubtful blocks that they cover are removed, the runs between them stay. A block shorter than LENGTH is compared as a whole.
 
-Defined results: null html is empty and gives an empty text; a null url is a host of its own. Rows that repeat get the same text each and count as one page. Character references are decoded also without semicolon, as browsers do. An element that is never closed is dropped up to the next article or main element or the end. An empty table gives no rows. Pages are read whole.
+Defined results: null html is empty and gives an empty text; a null url is a host of its own. Rows that repeat get the same text each and count as one page. Character references are decoded also without semicolon, as browsers do. An element that is never closed is dropped to where a browser ends it: p at the next block element, li, dd, dt, td and tr at the next of their kind, and these and all others at the end of their parent, or at the next article or main element or the end of the page if no parent is closed. An empty table gives no rows. Pages are read whole.
 """
 
 from __future__ import annotations
@@ -26,6 +26,11 @@ LENGTH, PAGES, SHARE, GROUP_TOKENS, BROADCAST_ROWS = 6, 3, 0.2, 1 << 19, 50_000
 DROP = frozenset("head title script style noscript template nav footer aside form button select option textarea iframe svg canvas object embed applet menu dialog audio video map".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOUCHED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption caption td th summary".split())
+#: What ends an element whose end tag is left out.
+ENDED_BY = {"p": BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr", "html", "body", "legend"}, "li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr", "tbody", "tfoot", "thead"}, "th": {"td", "th", "tr", "tbody", "tfoot", "thead"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "option": {"option", "optgroup"}}
+CELLS = frozenset("td th tr tbody tfoot thead".split())
+#: Elements outside of which a new li, dd, dt or part of a table ends nothing.
+SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}} | dict.fromkeys(CELLS, {"table"})
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Fixed words that mark an element as not of the article, as whole parts of a class or id.
 MARKS = frozenset("ad ads adsense advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments respond disqus replies social share sharing related recommended recommendations widget toolbar masthead copyright searchbox".split())
@@ -50,18 +55,48 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _ends(tags: list[tuple[bool, str]]) -> tuple[dict[int, int], dict[int, int]]:
+    """Of tags (closing, name): the end tag of each element that has one, and for the others the tag before which they end (none if nothing ends them)."""
+    close: dict[int, int] = {}
+    ended: dict[int, int] = {}
+    stack: list[int] = []
+    count: dict[str, int] = {}
+
+    def end(depth: int, at: int) -> None:
+        for j in stack[depth:]:
+            ended[j] = at
+            count[tags[j][1]] -= 1
+        del stack[depth:]
+
+    for i, (closing, name) in enumerate(tags):
+        if not name or name in VOID:
+            continue
+        if closing:
+            if count.get(name):
+                depth = max(d for d, j in enumerate(stack) if tags[j][1] == name)
+                if name in BLOCKS and not any(tags[j][1] in ("article", "main") for j in stack[depth + 1 :]):
+                    end(depth + 1, i)
+                close[stack.pop(depth)] = i  # crossed tags end nothing else
+                count[name] -= 1
+            continue
+        for depth in range(len(stack) - 1, -1, -1):
+            other = tags[stack[depth]][1]
+            if name in ENDED_BY.get(other, ()):
+                end(depth, i)
+            elif other in SCOPE.get(name, ()) or name not in CELLS and other in BLOCKS and other not in ENDED_BY and not (name in SCOPE and other in ("div", "address")):
+                break
+        stack.append(i)
+        count[name] = count.get(name, 0) + 1
+    return close, ended
+
+
 def blocks(page: str, dropped: list[str] | None = None) -> list[tuple[str, bool]]:
     """(text, vouched for) of the blocks that markup leaves; dropped gets the text of those it doesn't."""
     tags = []  # start, end, closing, name, attributes
     for m in TAG.finditer(page):
         name = (m[3] or m[6] or "").lower()
         tags.append((m.start(), m.end(), bool(m[2] or m[5]), name, m[4] or m[7] or ""))
-    close, open_by = {}, {}
-    for i, (_, _, closing, name, _) in enumerate(tags):
-        if name and not closing and name not in VOID:
-            open_by.setdefault(name, []).append(i)
-        elif closing and open_by.get(name):
-            close[open_by[name].pop()] = i
+    close, ended = _ends([(t[2], t[3]) for t in tags])
     roots = [i for i, t in enumerate(tags) if not t[2] and t[3] == "article" and not _marked(t[3], t[4], True)] or [i for i, t in enumerate(tags) if not t[2] and (t[3] == "main" or re.search(r"role\s*=\s*[\"']?main\b", t[4]))]
     spans = [(i, close[i]) for i, t in enumerate(tags) if roots and i in close and t[3] not in ("article", "main") and (t[3] in DROP or t[3] == "header" or _marked(t[3], t[4], False))]
     free = [r for r in roots if not any(a < r < b for a, b in spans)]
@@ -71,7 +106,7 @@ def blocks(page: str, dropped: list[str] | None = None) -> list[tuple[str, bool]
     out: list[tuple[str, bool]] = []
     text: list[str] = []
     stack: list[str] = []
-    inside, skip_to, at = 0, -1, 0
+    inside, skip_to, until, at = 0, -1, -1, 0  # until: the tag up to which text belongs to a dropped element without end tag
     ends: list[int] = []
 
     def flush() -> None:
@@ -82,7 +117,7 @@ def blocks(page: str, dropped: list[str] | None = None) -> list[tuple[str, bool]
             out.append((block, bool(inside) and own in VOUCHED))
 
     for i, (start, end, closing, name, attributes) in enumerate(tags):
-        if i > skip_to:
+        if i > skip_to and i != until:
             text.append(page[at:start])
         at = end
         if i <= skip_to or not name:
@@ -93,7 +128,8 @@ def blocks(page: str, dropped: list[str] | None = None) -> list[tuple[str, bool]
             if i in close:
                 skip_to = close[i]
             else:
-                skip_to = next((r for r in roots if r > i), len(tags)) - 1
+                until = min(ended.get(i, len(tags)), next((r for r in roots if r > i), len(tags)))
+                skip_to = until - 1
             if dropped is not None and name != "head":
                 rest = page[end : tags[skip_to][0] if i in close else tags[skip_to + 1][0] if skip_to + 1 < len(tags) else len(page)]
                 if words := " ".join(html.unescape(TAG.sub(" ", rest)).split()):
@@ -118,7 +154,7 @@ def blocks(page: str, dropped: list[str] | None = None) -> list[tuple[str, bool]
         while ends and i >= min(ends):
             ends.remove(min(ends))
             inside -= 1
-    if skip_to < len(tags):
+    if until < len(tags):
         text.append(page[at:])
     flush()
     return out

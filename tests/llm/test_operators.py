@@ -406,6 +406,21 @@ def test_markup():
     assert [b for b, _ in html_extract.blocks("<nav>open <article><p>kept &am</p></article>")] == ["kept &am"]
 
 
+def test_elements_without_end_tag():
+    def kept(page):
+        return [b for b, _ in html_extract.blocks(page)]
+
+    assert kept('<article><p>a<p class="notice">Cookies <b>x</b> y<p>First</p><p>Second</article><p>no') == ["a", "First", "Second"]
+    assert kept('<article><p class="notice">Cookies<div>one</div><p>two</article>') == ["one", "two"]
+    assert kept('<article><ul><li>a<li class="ad">buy<ul><li>more</ul><li>b</ul><p>c</article>') == ["a", "b", "c"]
+    assert kept('<article><dl><dt>a<dd class="promo">buy<dt>b<dd>c</dl></article>') == ["a", "b", "c"]
+    assert kept('<article><table><tr><td>a<td class="ad"><div>buy<td>b<tr class="ad"><td>buy<tr><td>c</table><p>d</article>') == ["a", "b", "c", "d"]
+    assert kept('<article><section><div class="ad">buy <p>now</section><p>a</article>') == ["a"]
+    assert kept('<article><p>a <span class="ad">buy</p><p>b</article>') == ["a", "b"]
+    assert kept('<p>a</p><div class="ad">buy') == ["a"]
+    assert kept('<div><article><p>a</div><p>b</article><p>no') == ["a", "b"]
+
+
 def test_suffix_classes():
     rng = np.random.default_rng(0)
     tokens = rng.integers(0, 3, 200)
