@@ -123,18 +123,18 @@ def proximity(queries: DataFrame, postings: DataFrame, candidates: DataFrame | N
     return ranking(rows.select("qid", "docid", score.alias("score")), None, depth)
 
 
-def semantic_hash(queries: DataFrame, postings: DataFrame, candidates: DataFrame, buckets: int = 1 << 14, dims: int = 64) -> DataFrame:
+def semantic_hash(queries: DataFrame, postings: DataFrame, candidates: DataFrame, buckets: int = 1 << 14, dims: int = 64, depth: int | None = None) -> DataFrame:
     """Cosine of projected counts of four-letter sequences: each sequence goes to a bucket by a fixed hash, log counts of buckets to dims signed sums, also by a hash. Deterministic on every machine."""
 
     def sums(rows: DataFrame, key: str) -> DataFrame:
         text = rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), " ").alias("t"))
         grams = text.where("length(t) >= 4").select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.substring("t", i, F.lit(4)))).alias("g"))
         counts = grams.groupBy(key, F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("h")).agg(F.ln(F.count(F.lit(1)) + 1).alias("x"))
-        sign = lambda d: F.when(F.shiftright(F.xxhash64("h"), d).bitwiseAND(1) == 1, F.col("x")).otherwise(-F.col("x"))
+        sign = lambda d: F.when(F.shiftright(F.xxhash64("h", *[F.lit(d // 64)][: d // 64]), d % 64).bitwiseAND(1) == 1, F.col("x")).otherwise(-F.col("x"))
         return counts.groupBy(key).agg(F.array(*[F.sum(sign(d)) for d in range(dims)]).alias("v"))
 
     q = sums(queries, "qid").withColumnRenamed("v", "qv")
     d = sums(postings.join(candidates.select("docid").distinct(), "docid", "left_semi"), "docid")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     rows = candidates.select("qid", "docid").join(d, "docid").join(q, "qid")
-    return ranking(rows.select("qid", "docid", (dot("v", "qv") / F.sqrt(dot("v", "v") * dot("qv", "qv"))).alias("score")))
+    return ranking(rows.select("qid", "docid", (dot("v", "qv") / F.sqrt(dot("v", "v") * dot("qv", "qv"))).alias("score")), None, depth)

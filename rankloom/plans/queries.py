@@ -182,6 +182,7 @@ def winner_counts(spark, d):
 
 
 @query()
+@W.whole_runs
 def paired_ttest(spark, d):
     return statistics.paired_t(_pair(spark, d).select(F.lit("v5-vanilla").alias("pair"), F.col("v5").alias("a"), F.col("vanilla").alias("b")))
 
@@ -248,6 +249,7 @@ def empirical_fusion(spark, d):
 
 
 @query()
+@W.whole_runs
 def mc4(spark, d):
     return fusion.mc4(W.runs(spark, d))
 
@@ -381,6 +383,7 @@ def exclusion_certificate(spark, d):
 
 
 @query()
+@W.whole_runs
 def scalar_interval(spark, d):
     """Weights of the revenue list against the returned list that give the fused head."""
     runs = W.runs(spark, d)
@@ -409,10 +412,11 @@ def route_rules(spark, d):
 
 
 @query()
+@W.whole_runs
 def pqas_selector(spark, d):
     rows = features.standardize(per_query_features(spark, d)).join(statistics.folds(W.runs(spark, d), 3), "qid")
     labels = _pair(spark, d).select("qid", (F.col("v5") > F.col("vanilla")).cast("int").alias("label"))
-    return features.select_by_regression(rows.join(labels, "qid"))
+    return features.select_by_regression(rows.join(labels, "qid"), epochs=2000)
 
 
 _STATS = "tf AS (SELECT docid, term, count(*) AS tf FROM post GROUP BY ALL), dl AS (SELECT docid, count(*) AS dl FROM post GROUP BY docid), st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term), tot AS (SELECT count(*) AS n, avg(dl) AS avg_dl, sum(dl) AS c FROM dl)"
@@ -517,8 +521,8 @@ def whole_proximity(spark, d):
 
 @query()
 def semantic_hash(spark, d):
-    q, c = _collection(spark, d, None)
-    return rankers.semantic_hash(q, W.postings(spark, d), rankers.bm25(q, c, depth=50).select("qid", "docid"))
+    q, p = W.text_queries(spark, d), W.postings(spark, d)
+    return rankers.semantic_hash(q, p, rankers.matching(q, p), dims=256, depth=200)
 
 
 @query(with_runs("SELECT qid, source, docid, rank, score FROM runs"))
@@ -638,6 +642,28 @@ def token_counts(spark, d):
     return docs.select("doc_id", F.size(text_functions.tokenize(F.col("text"))).alias("n_tokens"), F.size(text_functions.tokenize_raw(F.col("text"))).alias("n_raw"), F.size(text_functions.char_ngrams(F.col("text"))).alias("n_grams"))
 
 
+@query()
+@W.whole_runs
+def whole_permutation_control(spark, d):
+    return fusion.permutation_control(W.runs(spark, d), W.qrels(spark, d), 256)
+
+
+@query()
+@W.whole_runs
+def whole_bootstrap_ci(spark, d):
+    return statistics.bootstrap(_pair(spark, d).select("qid", F.col("vanilla").alias("x")), 1000)
+
+
+# the arm 'shared' is cut at 200, so these see lists that aren't cut before
+for _name in [n for n in SQL if n.startswith("depth_arm")]:
+    query(name=f"whole_{_name}")(W.whole_runs(QUERIES[_name], 1 << 30))
+
+
+# every other query whose SQL states it for shorter runs, at the reference's depth and without SQL
+for _name in [n for n, sql in SQL.items() if W.RUNS_SQL in sql and f"whole_{n}" not in QUERIES]:
+    query(name=f"whole_{_name}")(W.whole_runs(QUERIES[_name]))
+
+
 def queries() -> dict:
     return dict(QUERIES)
 

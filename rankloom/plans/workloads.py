@@ -5,6 +5,10 @@ The relational workload ranks suppliers for each part type by several integer sc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +16,32 @@ from rankloom.operators.ranking import rank_within
 
 SOURCES = ("revenue", "quantity", "orders", "returned")
 DEPTH = 50
+#: Depth of the reference's runs, for the queries without SQL.
+WHOLE_DEPTH = 200
+_depth = ContextVar("depth", default=DEPTH)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def runs(spark: SparkSession, sf_dir: str, depth: int = DEPTH) -> DataFrame:
+def whole_runs(query: Callable[[SparkSession, str], DataFrame], depth: int = WHOLE_DEPTH) -> Callable[[SparkSession, str], DataFrame]:
+    """The query over runs of the reference's depth, or another."""
+
+    @wraps(query)
+    def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = _depth.set(depth)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _depth.reset(before)
+
+    return deep
+
+
+def runs(spark: SparkSession, sf_dir: str, depth: int | None = None) -> DataFrame:
     """qid, source, docid, rank (from 0), score."""
+    depth = _depth.get() if depth is None else depth
     items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     joined = items.join(parts, items.l_partkey == parts.p_partkey)

@@ -63,3 +63,20 @@ def test_items_are_read_whole(spark):
         assert got[qid] == pytest.approx({d: want[d] for d in best}, abs=1e-8)
     for name in ("whole_proximity", "whole_bm25_tuned", "whole_tfidf", "whole_ql_dirichlet", "semantic_hash"):
         assert {r["qid"] for r in queries.queries()[name](spark, FOLDER).select("qid").distinct().collect()} == {q for q, w in items.items() if w}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no supplied tables")
+def test_reference_sizes(spark):
+    found = queries.queries()
+    deep = found["whole_permutation_control"](spark, FOLDER)
+    assert deep.select("rep").distinct().count() == 256
+    assert deep.where("rep = 0").count() == workloads.whole_runs(workloads.runs)(spark, FOLDER).count()
+    larger = FOLDER.replace("0.001", "0.01")
+    assert workloads.whole_runs(workloads.runs)(spark, larger).agg({"rank": "max"}).first()[0] >= workloads.DEPTH > workloads.runs(spark, larger).agg({"rank": "max"}).first()[0]
+    assert found["whole_bootstrap_ci"](spark, FOLDER).first()["low"] <= found["whole_bootstrap_ci"](spark, FOLDER).first()["high"]
+
+
+def test_semantic_hash_of_many_dimensions(spark):
+    q, p = rows(spark, {"q1": ["alpha", "beta"]}, "qid"), rows(spark, {"a": ["alpha", "beta"], "b": ["gamma", "alpha"]}, "docid")
+    got = scores(rankers.semantic_hash(q, p, rankers.matching(q, p), dims=256))
+    assert got[("q1", "a")] == pytest.approx(1) and got[("q1", "b")] < 0.95
