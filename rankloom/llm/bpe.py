@@ -1,8 +1,12 @@
 """Byte-level BPE as a lazily determinised transducer, and a streaming decoder.
 
-The encoding of every prefix of a piece ends in one token, and a sequence of tokens is the encoding of its bytes exactly if each pair of neighbours is (as merges act locally). So a deterministic machine can read a piece byte by byte. Its state is the last token of each prefix that a later token may still start from: these are the prefixes that end where the longest suffix that begins some token begins, or later. Once all their token chains go through one prefix, what lies before it can't change and is emitted; the state starts anew there. States and transitions are made when they are first needed and kept; the merges are consulted only for pairs not met before.
+A sequence of tokens is the encoding of its bytes exactly if each pair of neighbours stays apart under the merges, so every prefix of a piece has one encoding, which ends in one token. The machine reads a piece byte by byte. Its state has a branch for each place where a later token may still start: the bytes read since, the tokens that lead there, and which tokens may follow there. A branch ends when no token can follow. What the branches' tokens have in common is emitted, after a lookahead of a few bytes at most.
 
-Pieces are the matches of the split pattern; a piece that is itself in the vocabulary is that token, as in the public library. Cached pieces and states are dropped when there are too many, which changes no result.
+Which tokens may follow a token a is stated by its blockers: pairs of a left part y and a place among y's own merges, such that merges over the border between a and y come before y's later ones. Tokens with equal blockers are one class, and only blockers that concern the bytes read are kept. So states don't grow with the spellings met but level off: a corpus of invented words that needed 95,000 states with the tokens themselves in the key needs 26,000 with classes. States and transitions are made when they are first needed and kept; beyond STATES, also within a piece, they are dropped, which changes no result.
+
+Pieces are the matches of the split pattern; a piece that is itself in the vocabulary is that token, as in the public library. Pieces are cached and dropped likewise.
+
+Ranks must be those of a trained vocabulary: every byte a token, and the two parts of each token of lower rank than itself. Others raise ValueError.
 
 Defined results: null text counts as empty and has no token; repeated rows give repeated results; an empty table gives no rows. Texts of any length are read whole.
 """
@@ -12,9 +16,10 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import groupby, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +32,7 @@ from rankloom.llm.common import small_batches, table
 TOKENIZERS = "/opt/tokenizers"
 #: Entries kept before a cache is dropped.
 PIECES, STATES = 400_000, 200_000
-NEVER, START = 1 << 62, -1
+NEVER = 1 << 62
 
 
 def public_tokenizers(folder: str = TOKENIZERS):
@@ -46,146 +51,177 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _State:
-    __slots__ = ("before", "last", "bytes", "live", "next", "end")
+    __slots__ = ("branches", "next", "end")
 
-    def __init__(self, before, last, data, live):
-        self.before, self.last, self.bytes, self.live = before, last, data, live
+    def __init__(self, branches):
+        self.branches = branches
         self.next: dict[int, tuple] = {}
-        self.end: tuple | None = None
+        self.end = branches[-1][1]
+
+
+class _Numbered:
+    """Values and their numbers, in the order in which they are first met."""
+
+    def __init__(self, *values):
+        self.values, self.numbers = [], {}
+        for v in values:
+            self(v)
+
+    def __call__(self, value) -> int:
+        if (number := self.numbers.get(value)) is None:
+            number = self.numbers[value] = len(self.values)
+            self.values.append(value)
+        return number
 
 
 class Transducer:
-    """Encodes pieces. before: the token that ends where a state's bytes begin; last: the last token of each longer prefix."""
+    """Encodes pieces. A branch is (bytes read since its place, tokens that lead there, what may follow): the last is the number of a class while no byte is read, of a tuple of blockers after one, of a tuple of tokens after more (0: all may)."""
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: b for b, i in ranks.items()}
-        self.most = max(map(len, ranks))
-        self.made: dict[int, bool] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.edges: dict[tuple[int, int], list] = {}
-        self.begins = {b[:n] for b in ranks for n in range(1, len(b))}
+        if any(bytes((i,)) not in ranks for i in range(256)):
+            raise ValueError("every byte must be a token")
+        self._read_merges()
+        self.blockers, self.followers, self.classes = _Numbered(()), _Numbered(None), _Numbered(())
+        self.by_byte: list[dict[int, int]] = [{}]  # of a class: first byte of what follows, blockers
+        self.class_of: dict[int, int] = {}
+        self.excluded: dict[tuple, frozenset] = {}
+        self.narrowed: dict[tuple, int] = {}
         self.reset()
 
     def reset(self) -> None:
         self.states: dict[tuple, _State] = {}
-        self.start = self._state(START, (), b"", 0)
+        self.start = self._state(((b"", (), 0),))
+
+    def _state(self, branches: tuple) -> _State:
+        if (s := self.states.get(branches)) is None:
+            s = self.states[branches] = _State(branches)
+        return s
 
-    def merge(self, data: bytes, until: int = 1) -> list[int]:
-        """The merges themselves, lowest rank and leftmost first, down to so many parts; for a token or a pair only."""
+    def _read_merges(self) -> None:
+        """parts: the two tokens that a token's last merge joins. children: a token's merges as the left part. joins: the right parts that the vocabulary has for a left one. below: the tokens that begin with some bytes (two at least)."""
+        ranks = self.ranks
+        self.parts, self.children, self.joins, self.below, self.begins = {}, {}, {}, {}, set()
+        for data, rank in sorted(ranks.items(), key=lambda r: r[1]):
+            for k in range(1, len(data)):
+                x, y = data[:k], data[k:]
+                if x in ranks and y in ranks:
+                    self.joins.setdefault(x, []).append((y, rank))
+            parts = self._merge(data)
+            if len(parts) != 2:
+                continue  # a byte, or merges never lead to it
+            if max(parts) >= rank:
+                raise ValueError("a token's parts must have lower ranks than itself")
+            self.parts[rank] = parts
+            self.children.setdefault(parts[0], []).append(rank)
+            self.begins.update(data[:k] for k in range(1, len(data)))
+            for k in range(2, len(data) + 1):
+                self.below.setdefault(data[:k], []).append(rank)
+
+    def _merge(self, data: bytes) -> list[int]:
+        """A token's bytes under the merges, lowest rank and leftmost first, down to two parts."""
         ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > until:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                r = ranks.get(parts[i] + parts[i + 1])
-                if r is not None and (best is None or r < best):
-                    best, at = r, i
-            if best is None:
-                break
+        pairs = [ranks.get(x + y, NEVER) for x, y in zip(parts, parts[1:])]
+        while len(parts) > 2 and (best := min(pairs)) != NEVER:
+            at = pairs.index(best)
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del pairs[at]
+            for i in (at - 1, at):
+                if 0 <= i < len(pairs):
+                    pairs[i] = ranks.get(parts[i] + parts[i + 1], NEVER)
         return [ranks[p] for p in parts]
 
-    def _is_made(self, t: int) -> bool:
-        """Whether merges lead to the token from its bytes."""
-        if (known := self.made.get(t)) is None:
-            known = self.made[t] = self.merge(self.token[t]) == [t]
+    def _class(self, t: int) -> int:
+        """The class of a token as a left neighbour. Its right edge is a chain of parts, each there from one rank to the next; a part x that the vocabulary joins to y takes y, before y's merges of that rank or a later one."""
+        if (known := self.class_of.get(t)) is not None:
+            return known
+        least: dict[bytes, int] = {}
+        x, ends = t, NEVER
+        while True:
+            parts = self.parts.get(x)
+            begins = x if parts else -1
+            for y, rank in self.joins.get(self.token[x], ()):
+                made = self.ranks[y]
+                if rank < ends and (len(y) == 1 or (made in self.parts and made < ends)):
+                    least[y] = min(max(rank, begins), least.get(y, NEVER))
+            if not parts:
+                break
+            x, ends = parts[1], x
+        entries = tuple(sorted((y, bisect_left(self.children.get(self.ranks[y], ()), rank)) for y, rank in least.items()))
+        known = self.class_of[t] = self.classes(entries)
+        if known == len(self.by_byte):
+            grouped = groupby(entries, lambda e: e[0][0])
+            self.by_byte.append({byte: self.blockers(tuple(some)) for byte, some in grouped})
         return known
 
-    def _edge(self, t: int, side: int) -> list[tuple[bytes, int]]:
-        """What stands at the token's left (0) or right (-1) edge while it is merged: bytes, and the rank that ends it; the last stays. Empty if ranks don't rise along it."""
-        if (known := self.edges.get((t, side))) is None:
-            chain, x = [t], t
-            while len(self.token[x]) > 1:
-                parts = self.merge(self.token[x], 2)
-                x = parts[side]
-                chain.append(x)
-            chain.reverse()
-            rising = all(a < b for a, b in zip(chain[1:], chain[2:]))
-            known = self.edges[t, side] = [(self.token[x], y) for x, y in zip(chain, [*chain[1:], NEVER])] if rising else []
+    def _excludes(self, y: bytes, place: int, pair: bytes) -> frozenset[int]:
+        """Of the tokens that begin with two bytes those that a blocker excludes: y, and what y's merges from that place on lead to."""
+        if (known := self.excluded.get((y, place, pair))) is None:
+            found = [t for t in self.children.get(self.ranks[y], ())[place:] if self.token[t].startswith(pair)]
+            for t in found:  # grows while it is read
+                found += self.children.get(t, ())
+            if y.startswith(pair):
+                found.append(self.ranks[y])
+            known = self.excluded[y, place, pair] = frozenset(found)
         return known
 
-    def _fit(self, a: int, b: int) -> bool:
-        """Whether two tokens stay apart: no merge over their border comes before the merges that end its two sides."""
-        if (known := self.fits.get((a, b))) is not None:
-            return known
-        if len(self.fits) > 5 * STATES:
-            self.fits.clear()
-        left, right = self._edge(a, -1), self._edge(b, 0)
-        if left and right:
-            i = j = 0
-            while True:
-                (x, x_ends), (y, y_ends) = left[i], right[j]
-                r = self.ranks.get(x + y, NEVER)
-                known = not (r < x_ends and r <= y_ends)
-                if not known or x_ends == y_ends == NEVER:
-                    break
-                if x_ends <= y_ends:
-                    i += 1
-                else:
-                    j += 1
-        else:
-            known = self.merge(self.token[a] + self.token[b]) == [a, b]
-        self.fits[a, b] = known
+    def _narrow(self, follow: int, data: bytes) -> int:
+        """What may still follow, once so many bytes are read."""
+        if (known := self.narrowed.get((follow, data))) is None:
+            below = self.below.get(data, ())
+            if len(data) == 2:
+                out = set()
+                for y, place in self.blockers.values[follow]:
+                    if data.startswith(y) or y.startswith(data):
+                        out |= self._excludes(y, place, data)
+                left = tuple([t for t in below if t not in out])
+            else:
+                left = tuple([t for t in self.followers.values[follow] if self.token[t].startswith(data)])
+            known = self.narrowed[follow, data] = self.followers(left if len(left) < len(below) else None)
         return known
 
-    def _state(self, before, last, data, live) -> _State:
-        key = (before, last, live)
-        if (s := self.states.get(key)) is None:
-            s = self.states[key] = _State(before, last, data, live)
-        return s
-
     def _step(self, s: _State, byte: int) -> tuple:
-        data = s.bytes + bytes((byte,))
-        n = len(data)
-        found = None
-        for at in range(max(0, n - 1 - s.live), n):
-            t = self.ranks.get(data[at:])
-            if t is not None and self._is_made(t):
-                left = s.last[at - 1] if at else s.before
-                if left == START or self._fit(left, t):
-                    found = t
-                    break
-        last = (*s.last, found)
-        live = next((n - at for at in range(max(0, n - 1 - s.live), n) if data[at:] in self.begins), 0)
-        # the prefixes that chains of live ones go through, and the last that all go through
-        size = [len(self.token[t]) if t is not None else 0 for t in last]
-        through = [0] * (n + 1)
-        for p in range(n - live, n + 1):
-            through[p] += 1
-            while p:
-                p -= size[p - 1]
-                through[p] += 1
-        common = max(p for p in range(n + 1) if through[p] == live + 1)
-        out, p = [], common
-        while p:
-            out.append(last[p - 1])
-            p -= size[p - 1]
-        kept = tuple(t if through[p] else None for p, t in enumerate(last[common:], common + 1))
-        before = (last[common - 1] if common else s.before) if live == n - common else START
-        to = self._state(before, kept, data[common:], live)
-        s.next[byte] = found = (tuple(out[::-1]), to)
-        return found
-
-    def _end(self, s: _State) -> tuple:
-        out, p = [], len(s.bytes)
-        while p:
-            out.append(s.last[p - 1])
-            p -= len(self.token[s.last[p - 1]])
-        s.end = tuple(out[::-1])
-        return s.end
+        found, branches = None, []
+        for data, chain, follow in s.branches:
+            data += bytes((byte,))
+            t, more = self.ranks.get(data), data in self.begins
+            if len(data) == 1:
+                follow = self.by_byte[follow].get(byte, 0)
+                blockers = self.blockers.values[follow]
+                fits = not blockers or blockers[0][0] != data
+            else:
+                if follow:
+                    follow = self._narrow(follow, data)
+                if follow:
+                    rest = self.followers.values[follow]
+                    fits = t in rest
+                    more = len(rest) > fits
+                else:
+                    fits = t in self.parts
+            if fits and found is None:
+                found = (*chain, t)
+            if more:
+                branches.append((data, chain, follow))
+        branches.append((b"", found, self._class(found[-1])))
+        chains = [b[1] for b in branches]
+        common = next((i for i, tokens in enumerate(zip(*chains)) if len(set(tokens)) > 1), min(map(len, chains)))
+        if len(self.states) >= STATES:
+            self.reset()
+        to = self._state(tuple([(data, chain[common:], follow) for data, chain, follow in branches]))
+        s.next[byte] = got = (found[:common], to)
+        return got
 
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        if len(self.states) > STATES:
-            self.reset()
         s, out = self.start, []
         for byte in piece:
             got = s.next.get(byte)
             emitted, s = got if got is not None else self._step(s, byte)
             if emitted:
                 out += emitted
-        out += s.end if s.end is not None else self._end(s)
+        out += s.end
         return out
 
 

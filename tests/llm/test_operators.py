@@ -179,6 +179,27 @@ def test_caches_change_nothing(tokenizers, monkeypatch):
         assert own.encode(t * 3) == library.encode_ordinary(t * 3)
 
 
+def test_long_pieces_and_few_states(tokenizers, monkeypatch):
+    own, library = tokenizers
+    rng = random.Random(8)
+    long = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    assert own.encode(long) == library.encode_ordinary(long)
+    monkeypatch.setattr(bpe, "STATES", 500)
+    machine = bpe.Transducer(own.machine.ranks)
+    for at in range(0, 100_000, 1000):
+        machine.encode(long[at : at + 50_000 if not at else at + 1000].encode())
+        assert len(machine.states) <= 501  # the cap holds inside a piece too
+
+
+def test_ranks_must_be_trained():
+    with pytest.raises(ValueError):
+        bpe.Transducer({b"a": 0})
+    every = {bytes((i,)): i for i in range(256)}
+    with pytest.raises(ValueError):
+        bpe.Transducer(every | {b"ab": 400, b"abc": 300})
+    assert bpe.Transducer(every | {b"ab": 300, b"abc": 400}).encode(b"abcab") == [400, 300]
+
+
 def test_streaming_decoder():
     data = "aé漢😀z".encode()
     for cuts in itertools.combinations(range(1, len(data)), 3):
