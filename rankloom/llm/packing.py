@@ -4,11 +4,14 @@ Documents are split without loss into segments of at most LENGTH tokens, and seg
 
 A packed row: ids (LENGTH little-endian 32-bit integers, PAD after the last), cu_seqlens (cumulative segment lengths, from 0), position_ids (LENGTH little-endian 16-bit integers that start anew with each segment), and doc_ids and starts, which say of which document and from which of its tokens on each segment is.
 
+Ids come from the public tokenizer library, or from the transducer of bpe.py for texts with long runs of white space.
+
 Defined results: null text counts as empty; a document without tokens has no segment. Rows that repeat are packed each; null ids go through. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,10 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.bpe import read_ranks, vocabulary
+from rankloom.llm.bpe import read_ranks, tokenizer, vocabulary
 from rankloom.llm.common import small_batches, table
 
 LENGTH, GROUP_TOKENS, PAD = 2048, 2_000_000, 0
+#: From a run of so much white space on the library's pattern engine could exhaust its stack; the package's own tokenizer, which gives the same ids, reads such texts.
+WIDE = re.compile(r"\s{1000}").search
 
 
 class Room:
@@ -115,7 +120,8 @@ def pack(docs: DataFrame, path: str, pattern: str, length: int = LENGTH, group_t
         for b in batches:
             id_type = b.schema.field("doc_id").type
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                ids = np.array(encode(text.as_py()), "<i4")
+                text = text.as_py()
+                ids = np.array(tokenizer(path, pattern).encode(text) if WIDE(text) else encode(text), "<i4")
                 segments += [(doc, i, ids[i : i + length]) for i in range(0, len(ids), length)]
                 tokens += len(ids)
                 if tokens >= group_tokens:

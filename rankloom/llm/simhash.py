@@ -48,19 +48,19 @@ def fingerprint(data: bytes, k: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column("text").cast(pa.large_binary())
-        fp = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns keep, and fp (the 64 bits as a long) of every row."""
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"))
+    own = rows.columns[:-1]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column("text_").cast(pa.large_binary())
+            fp = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(fp.view(np.int64))], [*own, "fp"])
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the 64 bits as a long) of every row."""
-    small_batches(docs.sparkSession)
-    kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
+    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kind}" for c, kind in rows.dtypes[:-1]), "fp bigint"]))
 
 
 def _segment(fp: np.ndarray, i: int) -> np.ndarray:
@@ -193,29 +193,34 @@ def components(edges: DataFrame) -> DataFrame:
         edges = edges.join(least, "u").select("v", "m").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def cluster(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id of the component) of every row."""
-    rows = materialize(fingerprints(docs), "fingerprints")
+def cluster(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, the columns keep, fp, component_id (the smallest doc_id of the component) and group (a fingerprint that stands for it) of every row."""
+    rows = materialize(fingerprints(docs, *keep), "fingerprints")
     classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes, "classes")
     n = classes.agg(F.sum("n")).first()[0] or 0
     roots = materialize(components(links(classes)), "roots")
     linked = classes.join(roots.withColumnRenamed("v", "fp"), "fp")
     of_root = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = skew_join(linked.select("fp", "root"), of_root, "root", n, "inner").select("fp", "component_id")
-    whole = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    return skew_join(rows, whole, "fp", n, "inner")
+    linked = skew_join(linked.select("fp", "root"), of_root, "root", n, "inner").select("fp", "root", "component_id")
+    whole = classes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("group"))
+    return skew_join(rows, whole, "fp", n, "inner").select("doc_id", *keep, "fp", "component_id", "group")
 
 
 def near_deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component, the one with the smallest doc_id, with the columns of docs. Rows that repeat an id leave one of them; if all ids of a component are null, none of its rows has a twin to be measured by, and all stay."""
+    """One row of docs for each component, with the columns of docs: the one with the smallest doc_id, null ids last, and of rows that share it the one whose text has the smallest SHA-256. Null texts count as empty; of rows that repeat both one stays."""
     own = docs.columns
-    drop = cluster(docs).where("doc_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    rest = docs.join(drop.withColumnRenamed("doc_id", "id_"), F.col("doc_id") == F.col("id_"), "left_anti").select(*[F.col(f"`{c}`") for c in own])
-    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return rest
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    of_text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    found = materialize(cluster(docs.select("doc_id", "text", of_text.alias("of_text")), "of_text"), "components")
+    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of_text")).alias("first"))
+    both = skew_join(found.select("doc_id", "of_text", "group"), first, "group", found.count(), "inner")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("of_text") == F.col("first.of_text"))
+    drop = both.where(~stays).select(F.col("doc_id").alias("id_"), F.col("of_text").alias("of_")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("doc_id").alias("id"), of_text.alias("of"))
+    rest = rows.join(drop, F.col("id").eqNullSafe(F.col("id_")) & (F.col("of") == F.col("of_")), "left_anti")
+    if not both.where(stays).groupBy("doc_id", "of_text").count().where("count > 1").isEmpty():
+        rest = rest.dropDuplicates(["id", "of"])
+    return rest.select(*[F.col("row").getField(c).alias(c) for c in own])
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
