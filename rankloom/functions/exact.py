@@ -4,34 +4,62 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LIMBS, BASE = 5, 10**15
+BASE = 10**15
 
 
-def unit_rows(k: int = 60, depth: int = 100) -> list[tuple]:
+def limbs(k: int = 60, depth: int = 200) -> int:
+    """How many limbs the common denominator lcm(k+1..k+depth) needs."""
+    return -(-len(str(math.lcm(*range(k + 1, k + depth + 1)))) // 15)
+
+
+def unit_rows(k: int = 60, depth: int = 200) -> list[tuple]:
     """rank (from 0) and the limbs, lowest first, of lcm(k+1..k+depth) / (k + rank + 1)."""
-    whole = math.lcm(*range(k + 1, k + depth + 1))
-    if whole >= BASE**LIMBS:
-        raise ValueError("the denominator has too many digits")
-    rows = []
-    for rank in range(depth):
-        n = whole // (k + rank + 1)
-        rows.append((rank, *[n // BASE**i % BASE for i in range(LIMBS)]))
+    whole, n = math.lcm(*range(k + 1, k + depth + 1)), limbs(k, depth)
+    return [(rank, *[whole // (k + rank + 1) // BASE**i % BASE for i in range(n)]) for rank in range(depth)]
+
+
+def units(spark: SparkSession, k: int = 60, depth: int = 200) -> DataFrame:
+    return spark.createDataFrame(unit_rows(k, depth), "rank int, " + ", ".join(f"l{i} bigint" for i in range(limbs(k, depth))))
+
+
+def exact_sums(runs: DataFrame, by: list[str], k: int = 60, depth: int = 200, times: Column | None = None) -> DataFrame:
+    """by and the limbs of the sum of 1 / (k + rank + 1), with carries, lowest first. times: whole weights. A row deeper than the table of units raises."""
+    n, unit = limbs(k, depth), units(runs.sparkSession, k, depth)
+    times = F.lit(1) if times is None else times
+    rows = runs.withColumn("rank", F.when(F.col("rank") < depth, F.col("rank")).otherwise(F.raise_error(F.lit(f"a rank beyond {depth}")).cast("int"))).join(F.broadcast(unit), "rank")
+    rows = rows.groupBy(*by).agg(*[F.sum(F.col(f"l{i}") * times).alias(f"l{i}") for i in range(n)])
+    for i in range(n - 1):
+        rows = rows.withColumn(f"l{i + 1}", F.col(f"l{i + 1}") + F.expr(f"l{i} div {BASE}")).withColumn(f"l{i}", F.col(f"l{i}") % BASE)
     return rows
 
 
-def units(spark: SparkSession, k: int = 60, depth: int = 100) -> DataFrame:
-    return spark.createDataFrame(unit_rows(k, depth), "rank int, " + ", ".join(f"l{i} bigint" for i in range(LIMBS)))
+def exact_order(k: int = 60, depth: int = 200) -> list[Column]:
+    """Greatest sum first, then docid."""
+    return [*[F.desc(f"l{i}") for i in reversed(range(limbs(k, depth)))], F.asc("docid")]
 
 
-def exact_rrf(runs: DataFrame, k: int = 60, depth: int = 100, times: dict[str, int] | None = None) -> DataFrame:
-    """RRF whose order no rounding touches: qid, docid, rank0. times: whole weights by source. The table of units has depth rows, a parameter."""
+def exact_rrf(runs: DataFrame, k: int = 60, depth: int = 200, times: dict[str, int] | None = None, by: tuple[str, ...] = ("qid",), head: int | None = None) -> DataFrame:
+    """RRF whose order no rounding touches: by, docid, rank0. times: whole weights by source. The table of units has depth rows, a parameter. Only the first head documents, if given."""
     from rankloom.operators.ranking import rank_within
 
-    n = F.lit(1) if times is None else F.coalesce(*[F.when(F.col("source") == s, F.lit(x)) for s, x in times.items()])
-    rows = runs.join(F.broadcast(units(runs.sparkSession, k, depth)), "rank").groupBy("qid", "docid").agg(*[F.sum(F.col(f"l{i}") * n).alias(f"l{i}") for i in range(LIMBS)])
-    for i in range(LIMBS - 1):
-        rows = rows.withColumn(f"l{i + 1}", F.col(f"l{i + 1}") + F.expr(f"l{i} div {BASE}")).withColumn(f"l{i}", F.col(f"l{i}") % BASE)
-    return rank_within(rows, ["qid"], [*[F.desc(f"l{i}") for i in reversed(range(LIMBS))], F.asc("docid")], None, "rank0").select("qid", "docid", "rank0")
+    n = None if times is None else F.coalesce(*[F.when(F.col("source") == s, F.lit(x)) for s, x in times.items()])
+    rows = exact_sums(runs, [*by, "docid"], k, depth, n)
+    return rank_within(rows, list(by), exact_order(k, depth), head, "rank0").select(*by, "docid", "rank0")
+
+
+def exact_sql(rows: str, by: str = "qid", k: int = 60, depth: int = 200, times: str = "1") -> str:
+    """SQL of exact_rrf over rows(by, docid, rank, ...)."""
+    n = limbs(k, depth)
+    sql = f"SELECT {by}, docid, {', '.join(f'CAST(sum(l{i} * {times}) AS HUGEINT) AS l{i}' for i in range(n))} FROM {rows} r JOIN units u ON u.rank = r.rank GROUP BY {by}, docid"
+    for i in range(n - 1):
+        sql = f"SELECT * REPLACE (l{i + 1} + l{i} // {BASE} AS l{i + 1}, l{i} % {BASE} AS l{i}) FROM ({sql})"
+    order = ", ".join(f"l{i} DESC" for i in reversed(range(n)))
+    return f"SELECT {by}, docid, CAST(row_number() OVER (PARTITION BY {by} ORDER BY {order}, docid) - 1 AS INT) AS rank0 FROM ({sql})"
+
+
+def units_sql(k: int = 60, depth: int = 200) -> str:
+    """A common table expression of the units."""
+    return f"units(rank, {', '.join(f'l{i}' for i in range(limbs(k, depth)))}) AS (VALUES {', '.join(map(str, unit_rows(k, depth)))})"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,13 +47,34 @@ def rbp_bounds(a: DataFrame, b: DataFrame, qrels: DataFrame) -> DataFrame:
 
 
 def acquisition_plan(a: DataFrame, b: DataFrame, qrels: DataFrame, budgets=(0, 1, 3)) -> DataFrame:
-    """qid, budget, realized, width (all unknown), by_influence and by_head (widths left after judging so many unknown documents, those of most influence or those highest up)."""
+    """qid, budget, pool (unknown documents), realized, width (all unknown), by_influence, by_head and by_chance (widths left after judging so many unknown documents: those of most influence, those highest up, or expected of any, as numerator over pool), shared (documents that the first two choose both)."""
     rows = rbp_coefficients(a, b).join(qrels.select("qid", "docid"), ["qid", "docid"], "left_anti").withColumn("size", F.abs("coef"))
     own = Window.partitionBy("qid")
     rows = rows.withColumn("i", F.row_number().over(own.orderBy(F.desc("size"), "docid"))).withColumn("h", F.row_number().over(own.orderBy(F.least(F.coalesce("rank_a", F.lit(11)), F.coalesce("rank_b", F.lit(11))), "docid")))
     each = rows.withColumn("budget", F.explode(F.array(*map(F.lit, budgets))))
     left = lambda c: F.sum(F.when(F.col(c) > F.col("budget"), F.col("size")).otherwise(F.lit(0).cast("bigint")))
-    return each.groupBy("qid", "budget").agg(F.least(F.max("budget"), F.count(F.lit(1))).alias("realized"), F.sum("size").alias("width"), left("i").alias("by_influence"), left("h").alias("by_head"))
+    n = F.count(F.lit(1))
+    realized = F.least(F.max("budget"), n)
+    shared = F.sum(((F.col("i") <= F.col("budget")) & (F.col("h") <= F.col("budget"))).cast("bigint"))
+    return each.groupBy("qid", "budget").agg(n.alias("pool"), realized.alias("realized"), F.sum("size").alias("width"), left("i").alias("by_influence"), left("h").alias("by_head"), (F.sum("size") * (n - realized)).alias("by_chance"), shared.alias("shared"))
+
+
+def acquisition_summary(plans: DataFrame, queries: DataFrame) -> DataFrame:
+    """Plans of all queries(qid) to budget, queries, nonempty, realized, the mean width before and after each way to choose (over RBP_SCALE / 3), how many queries choose alike both ways, and how many documents both choose. Queries without unknown documents count as width zero."""
+    n = queries.select("qid").distinct().agg(F.count(F.lit(1)).alias("queries"))
+    mean = lambda c: F.round(F.sum(c) / F.max("queries"), 6)
+    rows = plans.join(F.broadcast(n), F.lit(True)).groupBy("budget")
+    alike = F.sum((F.col("shared") == F.col("realized")).cast("bigint")) + F.max("queries") - F.count(F.lit(1))
+    return rows.agg(F.max("queries").alias("queries"), F.count(F.lit(1)).alias("nonempty"), F.sum("realized").alias("realized"), mean("width").alias("width"), mean("by_influence").alias("by_influence"), mean("by_head").alias("by_head"), mean(F.col("by_chance") / F.col("pool")).alias("by_chance"), alike.alias("alike"), F.sum("shared").alias("shared"))
+
+
+def annual_summary(intervals: DataFrame) -> DataFrame:
+    """intervals(group, qid, lower, upper, unknown) to group, queries, mean_lower, mean_upper, mean_width (numerators over the queries), status of the mean, and how many queries have each status, no width, or unknown documents."""
+    st = status(F.col("lower"), F.col("upper"))
+    count = lambda c: F.sum(c.cast("bigint"))
+    low, high = F.sum("lower"), F.sum("upper")
+    rows = intervals.withColumn("st", st).groupBy("group").agg(F.count(F.lit(1)).alias("queries"), low.alias("lower"), high.alias("upper"), (high - low).alias("width"), *[count(F.col("st") == x).alias(x) for x in ("a_better", "b_better", "tie", "unresolved")], count(F.col("lower") == F.col("upper")).alias("zero_width"), count(F.col("unknown") > 0).alias("with_unknown"))
+    return rows.withColumn("status", status(F.col("lower"), F.col("upper")))
 
 
 def head_coefficients(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -76,6 +99,14 @@ def minority_exchange(majority: DataFrame, specialist: DataFrame, hybrid: DataFr
     return first.join(head.where("rank0 = 9").select("qid", F.col("docid").alias("displaced")), "qid")
 
 
+def generic_exchange(majority: DataFrame, specialist: DataFrame, hybrid: DataFrame) -> DataFrame:
+    """As minority_exchange, for the same queries, but the specialist's first document outside the hybrid's head is admitted, whoever else holds it: qid, policy (M or J), admitted, displaced."""
+    m = minority_exchange(majority, specialist, hybrid)
+    outside = specialist.where("rank0 < 10").join(hybrid.where("rank0 < 10").select("qid", "docid"), ["qid", "docid"], "left_anti")
+    j = m.select("qid", "displaced").join(outside.groupBy("qid").agg(F.min_by("docid", "rank0").alias("admitted")), "qid")
+    return m.select("qid", F.lit("M").alias("policy"), "admitted", "displaced").unionByName(j.select("qid", F.lit("J").alias("policy"), "admitted", "displaced"))
+
+
 def exchange_ledger(exchanges: DataFrame, qrels: DataFrame) -> DataFrame:
     """qid, admitted, displaced, category: rescue, harm, neutral or unresolved."""
     g = lambda name: qrels.select("qid", F.col("docid").alias(name), F.col("grade").alias(f"g_{name}"))
@@ -88,8 +119,9 @@ def exchange_ledger(exchanges: DataFrame, qrels: DataFrame) -> DataFrame:
 def team_bounds(heads: DataFrame, fused: DataFrame, qrels: DataFrame, by: list[str]) -> DataFrame:
     """heads(team, source, qid, docid) of members and fused(team, qid, docid) of teams to by, known, lower, upper, unknown and scale: P@10 of the team's fused head less the members' mean, summed over everything but by. Coefficients are pooled over teams before an unknown document widens the interval, so what cancels between teams doesn't count. Each team's members weigh alike."""
     n = heads.select("team", "source").distinct().groupBy("team").agg(F.count(F.lit(1)).alias("n"))
-    scale = n.agg(F.expr("aggregate(collect_set(n), 1L, (a, x) -> a * x)").alias("scale"))  # a common multiple of the team sizes
-    unit = F.broadcast(n.join(scale, F.lit(True)))
+    sizes = [r["n"] for r in n.select("n").distinct().collect()]  # at most as many as a team has members
+    scale = F.lit(math.lcm(*sizes)).cast("bigint")  # a common multiple of the team sizes; too great a one raises
+    unit = n.withColumn("scale", scale)
     plus = fused.join(unit, "team").select("team", "qid", "docid", F.col("scale").alias("coef"))
     minus = heads.join(unit, "team").select("team", "qid", "docid", (-(F.col("scale") / F.col("n"))).cast("bigint").alias("coef"))
     keys = list(dict.fromkeys([*by, "qid", "docid"]))
@@ -109,24 +141,27 @@ def exclusion_certificate(runs: DataFrame, lexical: list[str], specialist: str,
 
 
 def scalar_interval(head: DataFrame, a: DataFrame, s: DataFrame) -> DataFrame:
-    """For which weights w >= 0 does w * a + s put exactly head(qid, docid) on top? a and s(qid, docid, x) are integer scores, absent is 0. qid, lower_num, lower_den, lower_strict, upper_num, upper_den, upper_strict (null: none), feasible. A query gives 10 times its other candidates' inequalities; they are compared by cross-multiplication and never rounded."""
+    """For which weights w >= 0 does w * a + s put exactly head(qid, docid) on top? a and s(qid, docid, x) are integer scores, absent is 0. qid, lower_num, lower_den, lower_strict, upper_num, upper_den, upper_strict (null: none), feasible, reason (feasible, empty_interval, zero_slope, or coverage: a document of the head in neither list), and the pair of documents that sets each end. A query gives 10 times its other candidates' inequalities; they are compared by cross-multiplication and never rounded."""
     both = a.select("qid", "docid", F.col("x").alias("a"), F.lit(0).cast("bigint").alias("s")).unionByName(s.select("qid", "docid", F.lit(0).cast("bigint").alias("a"), F.col("x").alias("s"))).groupBy("qid", "docid").agg(F.sum("a").alias("a"), F.sum("s").alias("s"))
     outside = both.join(head.select("qid", "docid"), ["qid", "docid"], "left_anti").select("qid", F.struct("docid", "a", "s").alias("y"))
     inside = head.select("qid", "docid").join(both, ["qid", "docid"]).groupBy("qid").agg(F.collect_list(F.struct("docid", "a", "s")).alias("xs"))
     rows = outside.join(inside, "qid").select("qid", "y", F.explode("xs").alias("x"))
-    rows = rows.select("qid", (F.col("x.a") - F.col("y.a")).cast("decimal(18,0)").alias("den"), (F.col("y.s") - F.col("x.s")).cast("decimal(18,0)").alias("num"), (F.col("y.docid") < F.col("x.docid")).alias("strict"))
+    rows = rows.select("qid", (F.col("x.a") - F.col("y.a")).cast("decimal(18,0)").alias("den"), (F.col("y.s") - F.col("x.s")).cast("decimal(18,0)").alias("num"), (F.col("y.docid") < F.col("x.docid")).alias("strict"), F.col("x.docid").alias("head"), F.col("y.docid").alias("excluded"))
     stuck = F.max((F.col("den") == 0) & ((F.col("num") > 0) | ((F.col("num") == 0) & F.col("strict"))))
     # a fraction sorts exactly as whole part, then 18 digits of the rest, as denominators are below 10^9 two unlike fractions differ by more
     whole = F.floor(F.col("num") / F.col("den")).cast("decimal(18,0)")
     rest = (F.col("num") - whole * F.col("den")).cast("decimal(18,0)")
-    key = F.struct(whole.alias("w"), ((rest * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") / F.col("den")).alias("r"), F.col("strict").cast("int").alias("strict"), F.col("num").cast("bigint").alias("num"), F.col("den").cast("bigint").alias("den"))
-    low_key = F.struct(whole.alias("w"), ((rest * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") / F.col("den")).alias("r"), (1 - F.col("strict").cast("int")).alias("strict"), F.col("num").cast("bigint").alias("num"), F.col("den").cast("bigint").alias("den"))
-    found = rows.groupBy("qid").agg(F.max(F.when((F.col("den") > 0) & (F.col("num") >= 0), key)).alias("lo"), F.min(F.when(F.col("den") < 0, low_key)).alias("hi"), stuck.alias("stuck"))
+    sized = lambda strict: F.struct(whole.alias("w"), ((rest * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") / F.col("den")).alias("r"), strict.alias("strict"), F.col("num").cast("bigint").alias("num"), F.col("den").cast("bigint").alias("den"), "head", "excluded")
+    tight = F.col("strict").cast("int")
+    found = rows.groupBy("qid").agg(F.max(F.when((F.col("den") > 0) & (F.col("num") >= 0), sized(tight))).alias("lo"), F.min(F.when(F.col("den") < 0, sized(1 - tight))).alias("hi"), stuck.alias("stuck"))
     low_num, low_den, low_strict = F.coalesce("lo.num", F.lit(0).cast("bigint")), F.coalesce("lo.den", F.lit(1).cast("bigint")), F.coalesce(F.col("lo.strict") == 1, F.lit(False))
     hi_strict = F.col("hi.strict") == 0
     left, right = low_num.cast("decimal(18,0)") * (-F.col("hi.den")).cast("decimal(18,0)"), (-F.col("hi.num")).cast("decimal(18,0)") * low_den.cast("decimal(18,0)")
     open_ = F.col("hi").isNull() | (left < right) | ((left == right) & ~low_strict & ~hi_strict)
-    return found.select("qid", F.round(low_num / low_den, 9).alias("lower"), low_strict.alias("lower_strict"), F.round(F.col("hi.num") / F.col("hi.den"), 9).alias("upper"), F.when(F.col("hi").isNotNull(), hi_strict).alias("upper_strict"), (open_ & ~F.coalesce("stuck", F.lit(False))).alias("feasible"))
+    uncovered = head.select("qid", "docid").join(both.select("qid", "docid"), ["qid", "docid"], "left_anti").groupBy("qid").agg(F.count(F.lit(1)).alias("uncovered"))
+    out = found.join(uncovered, "qid", "left")
+    reason = F.when(F.col("uncovered").isNotNull(), "coverage").when(F.coalesce("stuck", F.lit(False)), "zero_slope").when(open_, "feasible").otherwise("empty_interval")
+    return out.select("qid", low_num.alias("lower_num"), low_den.alias("lower_den"), low_strict.alias("lower_strict"), (-F.col("hi.num")).alias("upper_num"), (-F.col("hi.den")).alias("upper_den"), F.when(F.col("hi").isNotNull(), hi_strict).alias("upper_strict"), (reason == "feasible").alias("feasible"), reason.alias("reason"), F.col("lo.head").alias("lower_head"), F.col("lo.excluded").alias("lower_excluded"), F.col("hi.head").alias("upper_head"), F.col("hi.excluded").alias("upper_excluded"))
 
 
 def share_bounds(groups: DataFrame, qrels: DataFrame, relevant: int = 2) -> DataFrame:
@@ -145,3 +180,73 @@ def observability(runs: DataFrame, qrels: DataFrame, heads=(10, 30)) -> DataFram
         inside = F.col("rank") < k
         cols += [F.sum((inside & F.col("grade").isNotNull()).cast("int")).alias(f"judged{k}"), F.sum((inside & F.col("alone")).cast("int")).alias(f"alone{k}"), F.sum((inside & F.col("alone") & F.col("grade").isNotNull()).cast("int")).alias(f"judged_alone{k}")]
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *cols)
+
+
+def average(intervals: DataFrame, triggered: DataFrame | None = None) -> DataFrame:
+    """intervals(qid, known, lower, upper, unknown) to scope (all, or triggered: only queries of triggered(qid)), queries and sums over them, with sign and decision of the mean. No query has no row."""
+    rows = intervals.withColumn("scope", F.lit("all"))
+    if triggered is not None:
+        rows = rows.unionByName(intervals.join(triggered.select("qid").distinct(), "qid", "left_semi").withColumn("scope", F.lit("triggered")))
+    rows = rows.groupBy("scope").agg(F.count(F.lit(1)).alias("queries"), *[F.sum(c).alias(c) for c in ("known", "lower", "upper", "unknown")])
+    sign, said = decision(F.col("lower"), F.col("upper"))
+    return rows.withColumn("sign", sign).withColumn("decision", said)
+
+
+def label_changes(early: DataFrame, late: DataFrame) -> DataFrame:
+    """Two qrels to qid, docid, early_grade, late_grade, kind: added, removed or revised; equal ones have no row."""
+    both = early.select("qid", "docid", F.col("grade").alias("early_grade")).join(late.select("qid", "docid", F.col("grade").alias("late_grade")), ["qid", "docid"], "full")
+    kind = F.when(F.col("early_grade").isNull(), "added").when(F.col("late_grade").isNull(), "removed").otherwise("revised")
+    return both.where(~F.col("early_grade").eqNullSafe(F.col("late_grade"))).withColumn("kind", kind)
+
+
+def compare_phases(coefficients: DataFrame, early: DataFrame, late: DataFrame) -> DataFrame:
+    """coefficients(qid, docid, coef) under two states of the judgments, relevance binary: qid, both intervals, width_reduction, revealed (documents that became known), raised and lowered (by how much the lower end rose and the upper fell), nested (whether the later interval lies within the earlier one, as it must if grades are only added), both decisions."""
+    gain = (F.col("grade") > 0).cast("bigint")
+    one = lambda q, name: interval(coefficients, q, ["qid"], gain).select("qid", *[F.col(c).alias(f"{name}_{c}") for c in ("lower", "upper", "unknown")])
+    rows = one(early, "early").join(one(late, "late"), "qid")
+    raised, lowered = F.col("late_lower") - F.col("early_lower"), F.col("early_upper") - F.col("late_upper")
+    said = lambda name: decision(F.col(f"{name}_lower"), F.col(f"{name}_upper"))[1].alias(f"{name}_decision")
+    return rows.select("qid", "early_lower", "early_upper", "late_lower", "late_upper", (raised + lowered).alias("width_reduction"), (F.col("early_unknown") - F.col("late_unknown")).alias("revealed"), raised.alias("raised"), lowered.alias("lowered"), ((raised >= 0) & (lowered >= 0)).alias("nested"), said("early"), said("late"))
+
+
+def control_coefficients(heads: DataFrame, controls: DataFrame, count: int) -> DataFrame:
+    """heads(name, qid, docid) of named policies and controls(rep, qid, docid), the heads of count replicates, to contrast, qid, docid, coef: each policy less the controls' mean (name-C), over count times ten."""
+    mean = controls.groupBy("qid", "docid").agg((-F.count(F.lit(1))).alias("coef"))
+    names = heads.select("name").distinct()
+    minus = mean.join(F.broadcast(names), F.lit(True)).select(F.concat("name", F.lit("-C")).alias("contrast"), "qid", "docid", "coef")  # policies are a parameter, a few names
+    plus = heads.select(F.concat("name", F.lit("-C")).alias("contrast"), "qid", "docid", F.lit(count).cast("bigint").alias("coef"))
+    return plus.unionByName(minus).groupBy("contrast", "qid", "docid").agg(F.sum("coef").alias("coef")).where("coef <> 0")
+
+
+def share_contrast(groups: DataFrame, qrels: DataFrame, first: str = "tail_supported", second: str = "isolated", relevant: int = 2) -> DataFrame:
+    """groups(qid, docid, group) to qid, lower, upper, width of the first group's relevant share less the second's, whatever the unknown are; queries that lack one of them have no row."""
+    rows = groups.join(qrels, ["qid", "docid"], "left").groupBy("qid", "group").agg(F.count(F.lit(1)).alias("n"), F.sum((F.coalesce("grade", F.lit(-1)) >= relevant).cast("int")).alias("r"), F.sum(F.col("grade").isNull().cast("int")).alias("u"))
+    one = lambda name, p: rows.where(F.col("group") == name).select("qid", (F.col("r") / F.col("n")).alias(f"{p}l"), ((F.col("r") + F.col("u")) / F.col("n")).alias(f"{p}u"))
+    both = one(first, "a").join(one(second, "b"), "qid")
+    low, high = F.col("al") - F.col("bu"), F.col("au") - F.col("bl")
+    return both.select("qid", F.round(low, 9).alias("lower"), F.round(high, 9).alias("upper"), F.round(high - low, 9).alias("width"))
+
+
+def _fraction(num: Column, den: Column) -> Column:
+    """A fraction with a positive denominator below 10^9 as a struct that sorts exactly: its whole part, then 18 digits of the rest."""
+    n, d = num.cast("decimal(18,0)"), den.cast("decimal(18,0)")
+    whole = F.floor(n / d).cast("decimal(18,0)")
+    rest = (n - whole * d).cast("decimal(18,0)")
+    return F.struct(whole.alias("w"), ((rest * F.lit(10**18).cast("decimal(19,0)")).cast("decimal(38,0)") / d).alias("r"))
+
+
+def common_interval(intervals: DataFrame) -> DataFrame:
+    """scalar_interval's rows to one: the weights that serve all queries. queries, infeasible (how many have none), feasible, reason (feasible, query_infeasible or empty_common), and both ends with the first query that sets each (null: none does)."""
+    low = F.struct(_fraction(F.col("lower_num"), F.col("lower_den")).alias("x"), F.col("lower_strict").cast("int").alias("strict"))
+    high = F.when(F.col("upper_den").isNotNull(), F.struct(_fraction(F.col("upper_num"), F.col("upper_den")).alias("x"), (1 - F.col("upper_strict").cast("int")).alias("loose")))
+    rows = intervals.withColumn("low", low).withColumn("high", high)
+    ends = rows.agg(F.count(F.lit(1)).alias("queries"), F.sum((~F.col("feasible")).cast("bigint")).alias("infeasible"), F.max("low").alias("lo"), F.min("high").alias("hi"))
+    both = rows.join(F.broadcast(ends), F.lit(True))  # one row
+    own = lambda side, end: F.min(F.when(F.col(side) == F.col(end), F.struct("qid", *[c for c in intervals.columns if c.startswith({"low": "lower", "high": "upper"}[side])])))
+    rows = both.agg(F.max("queries").alias("queries"), F.max("infeasible").alias("infeasible"), own("low", "lo").alias("l"), own("high", "hi").alias("h"))
+    left = F.col("l.lower_num").cast("decimal(18,0)") * F.col("h.upper_den").cast("decimal(18,0)")
+    right = F.col("h.upper_num").cast("decimal(18,0)") * F.col("l.lower_den").cast("decimal(18,0)")
+    some = F.col("h").isNull() | (left < right) | ((left == right) & ~F.col("l.lower_strict") & ~F.col("h.upper_strict"))
+    reason = F.when(F.col("infeasible") > 0, "query_infeasible").when(some, "feasible").otherwise("empty_common")
+    ratio = lambda a, b: F.round(F.col(a) / F.col(b), 9)
+    return rows.select("queries", "infeasible", (reason == "feasible").alias("feasible"), reason.alias("reason"), ratio("l.lower_num", "l.lower_den").alias("lower"), F.col("l.lower_strict"), F.col("l.qid").alias("lower_qid"), ratio("h.upper_num", "h.upper_den").alias("upper"), F.col("h.upper_strict"), F.col("h.qid").alias("upper_qid")).where("queries > 0")

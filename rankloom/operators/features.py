@@ -30,12 +30,22 @@ def route(features: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 #: Fixed thresholds of hand rules.
+_PRODUCT = "greatest(0.0D, (rho - 0.25D) / 0.30D) * greatest(0.0D, (0.92D - h_cov) / 0.10D) * greatest(0.0D, (15.0D - max_score_gap) / 10.0D)"
+_VOTE = "(rho - 0.30D) / 0.30D + (0.90D - h_cov) / 0.10D + 0.5D * (12.0D - max_score_gap) / 8.0D + 0.5D * (50.0D - top1_spread) / 30.0D"
 RULES = {
+    "always": "true",
+    "never": "false",
     "rho_high": "rho > 0.42",
     "coverage_low": "h_cov < 0.89",
     "gap_low": "max_score_gap < 1000000",
     "spread_low": "top1_spread < 45",
     "coverage_and_spread": "h_cov < 0.89 and top1_spread < 45",
+    **{f"rho>{r} and gap<{g}": f"rho > {r} and max_score_gap < {g}" for r in (0.40, 0.45, 0.50) for g in (8.0, 10.0, 12.0)},
+    **{f"coverage<{h}": f"h_cov < {h}" for h in (0.86, 0.88, 0.90)},
+    **{f"coverage<{h} and rho>{r}": f"h_cov < {h} and rho > {r}" for h in (0.86, 0.88) for r in (0.40, 0.45)},
+    **{f"spread<{t} {o} rho>{r}": f"top1_spread < {t} {o} rho > {r}" for t in (40, 50, 60) for r in (0.35, 0.40, 0.45) for o in ("and", "or")},
+    **{f"product>{t}": f"{_PRODUCT} > {t}D" for t in (0.1, 0.2, 0.3, 0.4)},
+    **{f"vote>{t}": f"{_VOTE} > {t}D" for t in (0.0, 0.5, 1.0, 1.5)},
 }
 
 
@@ -51,26 +61,134 @@ def standardize(features: DataFrame, keys=KEYS) -> DataFrame:
     return rows.select("qid", *[F.round((F.col(k) - F.col(f"{k}_.m")) / F.col(f"{k}_.s"), 9).alias(k) for k in keys], *[c for c in features.columns if c not in (*keys, "qid", "n_unique")])
 
 
-def select_by_regression(rows: DataFrame, keys=KEYS, rate: float = 0.05, l2: float = 0.01, epochs: int = 400, seed: int = 7) -> DataFrame:
-    """rows(fold, qid, keys, label) to qid, fold, p: logistic regression by batch gradient descent, the bias without penalty, trained for each fold on the other folds. A fold's training rows are per-query features, a few hundred bytes a query."""
+#: Fixed settings of the learned selectors: seeds, ridge penalties, thresholds, and the band in which the cascade trusts neither.
+SEEDS, PENALTIES, THRESHOLDS, UNSURE = (42, 123, 7, 2024, 99), (0.001, 0.01, 0.05, 0.10, 0.30, 1.0), (0.30, 0.40, 0.50, 0.60, 0.70), (0.35, 0.65)
+#: Queries that a selector is fitted to at most, by a hash of their ids: one task holds their features (8 bytes each).
+FIT_ROWS = 200_000
+
+
+def collection_features(rows: DataFrame, keys=KEYS) -> DataFrame:
+    """rows(collection, keys, ...) with mean and population deviation of each key over the collection: corpus_<key>_mean, corpus_<key>_std."""
+    sums = rows.groupBy("collection").agg(*[x for k in keys for x in (F.round(F.avg(k), 9).alias(f"corpus_{k}_mean"), F.round(F.stddev_pop(k), 9).alias(f"corpus_{k}_std"))])
+    return rows.join(sums, "collection")
+
+
+def soft_target(curve, alphas: list[float], gamma: float = 1.0):
+    """The mean of alphas weighted by curve (a column of an array) to the power gamma; one half for a flat zero."""
+    w = F.transform(curve, lambda x: F.pow(x, F.lit(gamma)))
+    total = F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
+    dot = F.aggregate(F.zip_with(w, F.array(*map(F.lit, alphas)), lambda x, a: x * a), F.lit(0.0), lambda a, x: a + x)
+    return F.when(total < 1e-9, 0.5).otherwise(dot / total)
+
+
+def on_curve(curve, alphas: list[float], alpha):
+    """A curve's value at alpha, between two of its points on their line. alphas: evenly spaced from 0 to 1."""
+    step = alphas[1] - alphas[0]
+    at = F.least(F.greatest(alpha / step, F.lit(0.0)), F.lit(float(len(alphas) - 1)))
+    left = F.least(F.floor(at), F.lit(len(alphas) - 2)).cast("int")
+    t = at - left
+    return F.element_at(curve, left + 1) * (1 - t) + F.element_at(curve, left + 2) * t
+
+
+def _gradient(kind: str, z, target):
+    """The loss's slope by z, row by row; target is the label, the wished alpha, the class, or the curve."""
+    import numpy as np
+
+    if kind == "classes":
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        return p - (target[:, None] == np.arange(z.shape[1]))
+    p = 0.5 * (1 + np.tanh(0.5 * z[:, 0]))
+    if kind == "label":
+        d = p - target
+    elif kind == "alpha":
+        d = (p - target) * p * (1 - p)
+    else:  # curve: minus the slope of the value at p
+        n = target.shape[1] - 1
+        left = np.minimum((p * n).astype(int), n - 1)
+        rows = np.arange(len(p))
+        d = -(target[rows, left + 1] - target[rows, left]) * n * p * (1 - p)
+    return d[:, None]
+
+
+def fit(x, target, kind: str, classes: int = 1, rate: float = 0.05, l2: float = 0.10, epochs: int = 2000, seed: int = 42):
+    """Weights (features by outputs) and biases after gradient descent over all rows; biases have no penalty."""
+    import numpy as np
+
+    w, b = np.random.default_rng(seed).uniform(-0.01, 0.01, (x.shape[1], classes)), np.zeros(classes)
+    for _ in range(epochs if len(x) else 0):
+        d = _gradient(kind, x @ w + b, target) / len(x)
+        w -= rate * (x.T @ d + l2 * w)
+        b -= rate * d.sum(axis=0)
+    return w, b
+
+
+def predict(x, w, b, kind: str):
+    import numpy as np
+
+    z = x @ w + b
+    if kind == "classes":
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        return p / p.sum(axis=1, keepdims=True)
+    return 0.5 * (1 + np.tanh(0.5 * z))
+
+
+def cross_fit(rows: DataFrame, kind: str, keys=KEYS, classes: int = 1, penalties=(0.10,), epochs: int = 2000, most: int = FIT_ROWS) -> DataFrame:
+    """rows(seed, fold, qid, keys, target) to seed, fold, l2, qid, held (whether the row's fold was held out), p (array): for each seed, fold and penalty a model is fitted to the other folds and speaks about all rows. kind: label (a logistic regression), alpha (a sigmoid's squared error to a wished value), curve (the value of a curve at the sigmoid, to be made great) or classes. Features are standardised by the training rows' mean and population deviation (at least 1e-6). A fit sees at most about most queries, by a hash of their ids; all are predicted."""
     import numpy as np
     import pandas as pd
 
     names = list(keys)
+    share = F.pmod(F.xxhash64("qid"), F.lit(1 << 20)) / float(1 << 20)
+    n = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
     def one(part: pd.DataFrame) -> pd.DataFrame:
-        fold = part["held"].iloc[0]
-        part = part.sort_values("qid")
-        train, test = part[part["fold"] != fold], part[part["fold"] == fold]
-        x, y = train[names].to_numpy(float), train["label"].to_numpy(float)
-        w, b = np.random.default_rng(seed).uniform(-0.01, 0.01, len(names)), 0.0
-        for _ in range(epochs if len(x) else 0):
-            d = 0.5 * (1 + np.tanh(0.5 * (x @ w + b))) - y
-            w -= rate * (x.T @ d / len(x) + l2 * w)
-            b -= rate * d.mean()
-        p = 0.5 * (1 + np.tanh(0.5 * (test[names].to_numpy(float) @ w + b)))
-        return pd.DataFrame({"qid": test["qid"], "fold": fold, "p": np.round(p, 6)})
-
-    held = rows.select("fold").distinct().withColumnRenamed("fold", "held")
-    each = rows.join(F.broadcast(held), F.lit(True))
-    return each.groupBy("held").applyInPandas(one, "qid string, fold int, p double")
+        fold, seed, l2 = int(part["held"].iloc[0]), int(part["seed"].iloc[0]), float(part["l2"].iloc[0])
+        part = part.sort_values("qid").reset_index(drop=True)
+        test = (part["fold"] == fold).to_numpy()
+        x = part[names].to_numpy(float)
+        used = ~test & part["fits"].to_numpy()
+        mean, sd = x[used].mean(axis=0) if used.any() else 0.0, np.maximum(x[used].std(axis=0), 1e-6) if used.any() else 1.0
+        x = (x - mean) / sd
+        target = np.stack(part["target"].to_numpy()[used]).astype(float) if kind == "curve" and used.any() else part["target"].to_numpy()[used]
+        w, b = fit(x[used], target if kind == "curve" else target.astype(float), kind, classes, 0.05, l2, epochs, seed)
+        return pd.DataFrame({"seed": seed, "fold": fold, "l2": l2, "qid": part["qid"], "held": test, "p": [np.round(p, 6).tolist() for p in predict(x, w, b, kind)]})
+
+    runs = rows.select("seed", F.col("fold").alias("held")).distinct().withColumn("l2", F.explode(F.array(*[F.lit(float(x)) for x in penalties])))
+    each = rows.withColumn("fits", share < min(1.0, most / max(n, 1))).join(F.broadcast(runs), "seed")  # seeds times folds times penalties, parameters all
+    return each.groupBy("seed", "held", "l2").applyInPandas(one, "seed int, fold int, l2 double, qid string, held boolean, p array<double>")
+
+
+def leave_one_out(rows: DataFrame, keys=KEYS, penalties=PENALTIES, thresholds=THRESHOLDS, epochs: int = 2000) -> DataFrame:
+    """rows(collection, qid, keys, a, b) to collection, l2, threshold, queries, n_b, ndcg, train_ndcg, best: a model that the other collections train decides for each query of one between a and b (b where its probability is above the threshold); its label is whether b is at least a. best: the grid's first greatest ndcg by penalty and threshold."""
+    numbered = {c: i for i, c in enumerate(sorted(r[0] for r in rows.select("collection").distinct().collect()))}  # a few names
+    number = F.coalesce(*[F.when(F.col("collection") == c, F.lit(i)) for c, i in numbered.items()])
+    found = cross_fit(rows.withColumn("seed", F.lit(SEEDS[0])).withColumn("fold", number).withColumn("target", (F.col("b") >= F.col("a")).cast("int")), "label", keys, penalties=penalties, epochs=epochs)
+    name = F.element_at(F.array(*map(F.lit, numbered)), F.col("fold") + 1)
+    each = found.select(name.alias("held_out"), "l2", "qid", "held", F.col("p")[0].alias("p"), F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")).join(rows.select("collection", "qid", "a", "b"), "qid")
+    takes = F.col("p") > F.col("threshold")
+    got = F.when(takes, F.col("b")).otherwise(F.col("a"))
+    out = each.groupBy(F.col("held_out").alias("collection"), "l2", "threshold").agg(F.sum(F.col("held").cast("bigint")).alias("queries"), F.sum((F.col("held") & takes).cast("bigint")).alias("n_b"), F.round(F.avg(F.when(F.col("held"), got)), 9).alias("ndcg"), F.round(F.avg(F.when(~F.col("held"), got)), 9).alias("train_ndcg"))
+    return out.withColumn("best", F.row_number().over(Window.partitionBy("collection").orderBy(F.desc("ndcg"), "l2", "threshold")) == 1)
+
+
+def route_by(found: DataFrame, values: DataFrame, choice) -> DataFrame:
+    """cross_fit's rows and values(qid, ...) to qid, chosen: the mean over seeds of what choice (a column of p and of values) takes for the held-out query."""
+    rows = found.where("held").join(values, "qid")
+    return rows.groupBy("qid").agg(F.round(F.avg(choice), 9).alias("chosen"))
+
+
+def two_way(a, b, threshold: float = 0.5):
+    return F.when(F.col("p")[0] > threshold, b).otherwise(a)
+
+
+def cascade(a, b, c, unsure=UNSURE):
+    """c where the probability is between the two bounds, else a or b."""
+    p = F.col("p")[0]
+    return F.when((p > unsure[0]) & (p < unsure[1]), c).otherwise(two_way(a, b))
+
+
+def of_classes(*values):
+    """The value of the likeliest class, of equals the first."""
+    at = F.array_position(F.col("p"), F.array_max("p"))
+    return F.element_at(F.array(*values), at.cast("int"))

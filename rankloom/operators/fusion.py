@@ -66,7 +66,7 @@ def aggregation_family(runs: DataFrame, k: float = K) -> DataFrame:
         F.max(x).alias("max"),
         F.median(x).alias("median"),
         F.exp(F.avg(F.ln(x))).alias("geomean"),
-        (-F.sum(F.ln(F.col("rank") + 1))).alias("rank_prod"),
+        (F.lit(0.0) - F.sum(F.ln(F.col("rank") + 1))).alias("rank_prod"),
         (n / F.sum(1 / x)).alias("harmonic"),
         (F.sum(x) / F.sqrt(n)).alias("sum_normalized"),
     )
@@ -125,14 +125,90 @@ def empirical_log_odds(runs: DataFrame, qrels: DataFrame, depth: int = 50, width
     return bins.select("source", "bin", F.round(odds(F.col("rel"), F.col("n")), DIGITS).alias("log_odds"), F.round(odds(F.sum(width * F.col("rel")).over(own), F.sum(width * F.col("n")).over(own)), DIGITS).alias("marginal"))
 
 
-def empirical_fusion(runs: DataFrame, table: DataFrame, depth: int = 50, width: int = 5) -> DataFrame:
-    """Sum of each list's log odds at a document's rank, its marginal where it lacks the document."""
-    marginal = table.groupBy("source").agg(F.max("marginal").alias("m")).agg(F.sum("m").alias("all_m"))
-    rows = runs.where(F.col("rank") < depth).withColumn("bin", F.floor(F.col("rank") / width).cast("int")).join(F.broadcast(table), ["source", "bin"])
-    return ranking(rows.groupBy("qid", "docid").agg(F.sum(F.col("log_odds") - F.col("marginal")).alias("x")).join(F.broadcast(marginal), F.lit(True)).select("qid", "docid", (F.col("x") + F.col("all_m")).alias("score")))
+def empirical_fusion(runs: DataFrame, table: DataFrame, depth: int = 50, width: int = 5, missing: str = "marginal") -> DataFrame:
+    """Sum of each list's log odds at a document's rank; where a list lacks the document its marginal (marginal), its odds at the deepest bin (tail), or nothing (zero). A bin without data has the marginal."""
+    last = (depth - 1) // width
+    absent = {"marginal": F.max("marginal"), "tail": F.coalesce(F.max(F.when(F.col("bin") == last, F.col("log_odds"))), F.max("marginal")), "zero": F.lit(0.0)}[missing]
+    of_list = table.groupBy("source").agg(absent.alias("absent"))
+    every = of_list.agg(F.sum("absent").alias("all_absent"))
+    rows = runs.where(F.col("rank") < depth).withColumn("bin", F.floor(F.col("rank") / width).cast("int")).join(F.broadcast(table), ["source", "bin"]).join(F.broadcast(of_list), "source")  # bins of sources, parameters both
+    return ranking(rows.groupBy("qid", "docid").agg(F.sum(F.col("log_odds") - F.col("absent")).alias("x")).join(F.broadcast(every), F.lit(True)).select("qid", "docid", (F.col("x") + F.col("all_absent")).alias("score")))
 
 
-def mc4(runs: DataFrame, pool: int = 30, damping: float = 0.15, iterations: int = 80, tolerance: float = 1e-7) -> DataFrame:
+def decay_curve(table: DataFrame, k: float = K, depth: int = 50, width: int = 5) -> DataFrame:
+    """source, rank, learned (log odds at the rank) and reciprocal (1 / (k + rank)): the learned decay beside the fixed one."""
+    ranks = table.sparkSession.range(depth).select(F.col("id").cast("int").alias("rank"))
+    return ranks.withColumn("bin", F.floor(F.col("rank") / width).cast("int")).join(F.broadcast(table), "bin").select("source", "rank", F.col("log_odds").alias("learned"), F.round(1 / (k + F.col("rank")), DIGITS).alias("reciprocal"))
+
+
+def modulated(scores: DataFrame, other: DataFrame, alphas: list[float]) -> DataFrame:
+    """scores(qid, docid, rank0, score), a fusion, moved towards the places of other(qid, docid, rank0), by how much alphas say: a document that the other puts higher gains a tenth of the log of the places, one that it puts lower loses a twentieth. alpha, qid, docid, rank0, score; a document that the other lacks has its place 1000."""
+    both = scores.select("qid", "docid", F.col("rank0").alias("a"), F.col("score").alias("x")).join(other.select("qid", "docid", F.col("rank0").alias("b")), ["qid", "docid"], "left")
+    delta = F.col("a") - F.coalesce("b", F.lit(1000))
+    step = F.when(delta > 0, F.log1p(delta) * 0.10).otherwise(-F.log1p(-delta) * 0.05)
+    each = both.withColumn("alpha", F.explode(F.array(*map(F.lit, alphas))))
+    return ranking(each.select("alpha", "qid", "docid", (F.col("x") * (1 + F.col("alpha") * step)).alias("score")), ["alpha", "qid"])
+
+
+def positional_mix(first: DataFrame, second: DataFrame, share: float = 0.5) -> DataFrame:
+    """Two rankings(qid, docid, rank0) mixed by 1 / (place + 1), share of it the second's; absent is 0."""
+    a = first.select("qid", "docid", F.col("rank0").alias("a"))
+    both = a.join(second.select("qid", "docid", F.col("rank0").alias("b")), ["qid", "docid"], "full")
+    part = lambda c: F.coalesce(1 / (F.col(c) + 1), F.lit(0.0))
+    return ranking(both.select("qid", "docid", ((1 - share) * part("a") + share * part("b")).alias("score")))
+
+
+#: Fixed weights of the gates: coverage, dispersion, lift, entropy, bias.
+GATES = {3: (1.8, 1.2, 1.3, 0.0, -1.2), 4: (1.5, 1.0, 1.2, 0.6, -1.0)}
+
+
+def gate_signals(runs: DataFrame, consensus: DataFrame, specialist: DataFrame, n_sources: int, k: float = K, depth: int = 200) -> DataFrame:
+    """qid, docid, cov (share of lists), disp (spread of ranks), lift (places by which the specialist ranking puts it higher, over depth), ent (entropy of its reciprocal ranks over lists, 0 to 1). consensus and specialist: rankings(qid, docid, rank0)."""
+    p = 1 / (k + F.col("rank") + 1)
+    rows = runs.groupBy("qid", "docid").agg(F.count(F.lit(1)).alias("c"), F.avg("rank").alias("mu"), F.stddev_pop("rank").alias("sd"), F.sum(p).alias("sp"), F.sum(p * F.ln(p)).alias("spl"))
+    total = F.col("sp") + 1e-12
+    place = lambda df, name: df.select("qid", "docid", F.col("rank0").alias(name))
+    rows = rows.join(place(consensus, "cr"), ["qid", "docid"], "left").join(place(specialist, "sr"), ["qid", "docid"], "left")
+    lift = F.greatest(F.lit(0.0), (F.coalesce("cr", F.lit(depth)) - F.coalesce("sr", F.lit(depth))) / depth)
+    entropy = -(F.col("spl") - F.col("sp") * F.ln(total)) / total
+    import math
+
+    return rows.select("qid", "docid", (F.col("c") / n_sources).alias("cov"), F.when(F.col("c") >= 2, F.col("sd") / (F.col("mu") + k)).otherwise(0.0).alias("disp"), lift.alias("lift"), (entropy / (math.log(n_sources) + 1e-12)).alias("ent"))
+
+
+def gates(signals: DataFrame, regimes: DataFrame, low: float = 0.05, high: float = 0.60, power: float = 1.5) -> DataFrame:
+    """signals and regimes(qid, tq) to qid, docid, gate3, gate4: how much a document listens to the specialists, from low up to a share of high that grows with the disagreement tq."""
+    top = low + (high - low) * F.pow(F.col("tq"), F.lit(power))
+    rows = signals.join(regimes.select("qid", "tq"), "qid")
+
+    def gate(n: int):
+        a, b, c, e, bias = GATES[n]
+        g = a * (1 - F.col("cov")) + b * F.col("disp") + c * F.col("lift") + e * (1 - F.col("ent")) + bias
+        return F.round(low + (top - low) / (1 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), g)))), 9)
+
+    return rows.select("qid", "docid", gate(3).alias("gate3"), gate(4).alias("gate4"))
+
+
+def guarded(gate: DataFrame, specialist: DataFrame, column: str, low: float = 0.05, least: float = 1e-6) -> DataFrame:
+    """gate with column set to low where specialist(qid, docid, score) is below least or lacks the document."""
+    rows = gate.join(specialist.select("qid", "docid", F.col("score").alias("s_")), ["qid", "docid"], "left")
+    return rows.withColumn(column, F.when(F.coalesce("s_", F.lit(0.0)) < least, low).otherwise(F.col(column))).drop("s_")
+
+
+def decomposition(runs: DataFrame, base: str, variants: list[str], other: str, k: int = K) -> DataFrame:
+    """The difference between the mean of base and its variants plus other, and base plus other: qid, docid, variant, category (shared, arrival, departure or absent, by who holds the document), num and den of the variant's part of it, an exact fraction."""
+    ranks = runs.where(F.col("source").isin([base, *variants, other])).groupBy("qid", "docid").agg(*[F.max(F.when(F.col("source") == s, F.col("rank") + 1)).cast("bigint").alias(f"r{i}") for i, s in enumerate([base, *variants])])
+    parts = F.array(*[F.struct(F.lit(v).alias("variant"), F.col(f"r{i}").alias("v")) for i, v in enumerate(variants, 1)])
+    rows = ranks.select("qid", "docid", F.col("r0").alias("a"), F.inline(parts))
+    a, v = F.col("a"), F.col("v")
+    category = F.when(a.isNotNull() & v.isNotNull(), "shared").when(v.isNotNull(), "arrival").when(a.isNotNull(), "departure").otherwise("absent")
+    m = len(variants) + 1
+    num = F.when(category == "shared", a - v).when(category == "arrival", 1).when(category == "departure", -1).otherwise(0).cast("bigint")
+    den = F.when(category == "shared", m * (k + a) * (k + v)).when(category == "arrival", m * (k + v)).when(category == "departure", m * (k + a)).otherwise(1).cast("bigint")
+    return rows.select("qid", "docid", "variant", category.alias("category"), num.alias("num"), den.alias("den"))
+
+
+def mc4(runs: DataFrame, pool: int = 100, damping: float = 0.15, iterations: int = 80, tolerance: float = 1e-7) -> DataFrame:
     """Markov chain fusion: from a document to one that most lists holding both put above it. A query's pool is bounded by pool times the number of lists, so each query is one small matrix: qid, docid, rank0, score."""
     import numpy as np
     import pandas as pd
@@ -193,3 +269,31 @@ def demo_runs(spark, queries: int = 50, documents: int = 500, rankers: int = 4,
     from rankloom.operators.ranking import rank_within
 
     return rank_within(scored, ["qid", "source"], [F.desc("score"), F.asc("docid")], depth).select("qid", "source", "docid", "rank", "score"), graded.select("qid", "docid", "grade")
+
+
+#: How each scenario's lists differ from the order of relevance: shift of scores by noise, and which lists follow whom.
+SCENARIOS = ("moderate", "specialist_outlier", "cabal", "agreement", "disagreement", "noisy_independent", "score_aware")
+
+
+def scenario_runs(spark, documents: int = 200, rankers: int = 4, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Synthetic runs and judgments of named scenarios, one query each (qid is the name): lists with moderate noise; one list of its own against alike ones; a cabal of three copies; all alike; all in unlike orders; much noise of each list's own; and noise that shrinks with relevance. Draws are hashes, alike on every machine."""
+    from rankloom.operators.ranking import rank_within
+
+    unit = lambda *c: F.pmod(F.xxhash64(*c, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
+    names = spark.createDataFrame([(s,) for s in SCENARIOS], "qid string")
+    base = names.join(spark.range(documents).select(F.format_string("d%05d", "id").alias("docid")), F.lit(True))
+    graded = base.withColumn("grade", F.floor(4 * F.pow(unit("qid", "docid"), F.lit(6.0))).cast("int"))
+    each = graded.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(rankers))))
+    own, common = unit("qid", "docid", "r"), unit("qid", "docid", F.lit("common"))
+    r, q = F.col("r"), F.col("qid")
+    score = (
+        F.when(q == "agreement", F.col("grade") + common)
+        .when(q == "disagreement", own)
+        .when(q == "cabal", F.when(r <= 3, 4 * unit("qid", "docid", F.lit("cabal"))).otherwise(F.col("grade") + own))
+        .when(q == "specialist_outlier", F.when(r == rankers, F.col("grade") + 0.2 * own).otherwise(2 * common + 0.2 * own))
+        .when(q == "noisy_independent", F.col("grade") + 6 * own)
+        .when(q == "score_aware", F.col("grade") + 3 * own / (1 + F.col("grade")))
+        .otherwise(F.col("grade") + 2 * own)
+    )
+    scored = each.select("qid", F.format_string("ranker%d", "r").alias("source"), "docid", F.round(score, 6).alias("score"))
+    return rank_within(scored, ["qid", "source"], [F.desc("score"), F.asc("docid")]).select("qid", "source", "docid", "rank", "score"), graded.select("qid", "docid", "grade")

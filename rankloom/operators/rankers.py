@@ -1,140 +1,188 @@
-"""Rankers over text: queries(qid, pos, term) and postings(docid, pos, term) to runs. Queries are the small side by nature, yet their terms are joined by hash, and only postings of query terms go on."""
+"""Rankers over text: queries(qid, text) and docs(docid, text), ids unlike, to rankings.
+
+A document's tokens are exploded in the scan's own tasks and met there with the queries' words, so only counts of query words are shuffled, one row for each document and word; lengths and totals come from the arrays. Rankers that score given candidates read the candidates' texts only. Queries are the small side by nature; their words are broadcast after their size was checked, and joined by shuffle beyond it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import bigrams, tokenize, tokenize_raw
 from rankloom.operators.ranking import ranking
 
 #: Fixed values of the published models.
 BM25, BM25_TUNED, MU = (1.2, 0.75), (0.9, 0.4), 2000
+#: What may be broadcast at most, counted before.
+ROWS, BYTES = 1 << 20, 1 << 25
 
 
-class Collection:
-    """Counts over all documents: tf(docid, term, tf), dl(docid, dl), terms(term, df, cf), totals(n, avg_dl, c)."""
+def few(rows: DataFrame) -> bool:
+    """Whether the counted size of rows allows a broadcast."""
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(F.to_json(F.struct("*")))).alias("bytes")).first()
+    return size["n"] <= ROWS and (size["bytes"] or 0) <= BYTES
+
 
-    def __init__(self, postings: DataFrame):
-        self.tf = postings.groupBy("docid", "term").agg(F.count(F.lit(1)).alias("tf"))
-        self.dl = postings.groupBy("docid").agg(F.count(F.lit(1)).alias("dl"))
+def _side(rows: DataFrame, small: bool) -> DataFrame:
+    return F.broadcast(rows) if small else rows
+
+
+class Collection:
+    """Counts over all documents for the queries' words: tf(docid, dl, term, tf), terms(term, df, cf), totals(n, avg_dl, c), and words(qid, term, qtf), in which a word that a query repeats counts as often."""
+
+    def __init__(self, queries: DataFrame, docs: DataFrame, tokens: Callable[[Column], Column] = tokenize):
+        words = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        self.few = few(words)  # of the words, hence of all that has at most one row for each of them
+        self.words = _side(words, self.few)
+        read = docs.select("docid", tokens(F.col("text")).alias("tokens"))
+        terms = read.select("docid", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        self.tf = terms.join(_side(words.select("term").distinct(), self.few), "term", "left_semi").groupBy("docid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
         self.terms = self.tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        self.totals = self.dl.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), F.sum("dl").alias("c"))
+        dl = F.size("tokens")
+        self.totals = read.agg(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("avg_dl"), F.sum(dl).alias("c"))
 
+    def weighted(self) -> DataFrame:
+        """words with df, cf and the totals: a row for each query word that some document has."""
+        return self.words.join(self.terms, "term").join(F.broadcast(self.totals), F.lit(True))
 
-def _matched(queries: DataFrame, c: Collection) -> DataFrame:
-    """One row for each query word (repeats count) and document that has it, with all counts."""
-    q = queries.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = q.select("term").distinct()
-    rows = q.join(c.tf.join(wanted, "term", "left_semi"), "term").join(c.terms.join(wanted, "term", "left_semi"), "term")
-    return rows.join(c.dl, "docid").join(F.broadcast(c.totals), F.lit(True))
+    def matched(self) -> DataFrame:
+        """One row for each query word and document that has it, with all counts. With few words nothing is shuffled by word, so a common one burdens no task."""
+        return self.tf.join(_side(self.weighted(), self.few), "term")
 
 
-def bm25(queries: DataFrame, c: Collection, k1: float = BM25[0], b: float = BM25[1], depth: int = 200) -> DataFrame:
+def bm25(c: Collection, k1: float = BM25[0], b: float = BM25[1], depth: int = 200) -> DataFrame:
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    return ranking(_matched(queries, c).groupBy("qid", "docid").agg(F.sum(part).alias("score")), None, depth)
+    return ranking(c.matched().groupBy("qid", "docid").agg(F.sum(part).alias("score")), None, depth)
 
 
-def tfidf(queries: DataFrame, c: Collection, depth: int = 200) -> DataFrame:
+def tfidf(c: Collection, depth: int = 200) -> DataFrame:
     part = F.col("qtf") * (1 + F.ln("tf")) * F.ln(F.col("n") / (F.col("df") + 1))
-    return ranking(_matched(queries, c).groupBy("qid", "docid").agg((F.sum(part) / F.sqrt(F.max("dl"))).alias("score")), None, depth)
+    return ranking(c.matched().groupBy("qid", "docid").agg((F.sum(part) / F.sqrt(F.max("dl"))).alias("score")), None, depth)
 
 
-def ql_dirichlet(queries: DataFrame, c: Collection, mu: int = MU, depth: int = 200) -> DataFrame:
-    """Query likelihood. A query word that a candidate lacks counts as well; candidates have at least one, so its share is that of an absent word, plus what having it changes: no join of words to candidates that lack them."""
-    q = queries.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    known = q.join(c.terms, "term").join(F.broadcast(c.totals), F.lit(True))
-    absent = known.groupBy("qid").agg(F.sum(F.col("qtf") * F.ln(mu * F.col("cf") / F.col("c"))).alias("base"), F.sum("qtf").alias("words"))
+def ql_dirichlet(c: Collection, mu: int = MU, depth: int = 200) -> DataFrame:
+    """Query likelihood. A query word that a candidate lacks counts as well; candidates have at least one, so its share is that of an absent word, plus what having it changes: no join of words to candidates that lack them. Words that no document has are left out."""
     p = mu * F.col("cf") / F.col("c")
-    got = _matched(queries, c).groupBy("qid", "docid").agg(F.sum(F.col("qtf") * F.ln((F.col("tf") + p) / p)).alias("gain"), F.max("dl").alias("dl"))
-    return ranking(got.join(absent, "qid").select("qid", "docid", (F.col("base") + F.col("gain") - F.col("words") * F.ln(F.col("dl") + mu)).alias("score")), None, depth)
+    absent = c.weighted().groupBy("qid").agg(F.sum(F.col("qtf") * F.ln(p)).alias("base"), F.sum("qtf").alias("words"))
+    got = c.matched().groupBy("qid", "docid").agg(F.sum(F.col("qtf") * F.ln((F.col("tf") + p) / p)).alias("gain"), F.max("dl").alias("dl"))
+    return ranking(got.join(_side(absent, c.few), "qid").select("qid", "docid", (F.col("base") + F.col("gain") - F.col("words") * F.ln(F.col("dl") + mu)).alias("score")), None, depth)
 
 
-def _features(rows: DataFrame, key: str) -> DataFrame:
-    """Words and neighbouring pairs with counts."""
-    nxt = F.lead("term").over(Window.partitionBy(key).orderBy("pos"))
-    both = rows.withColumn("pair", F.concat_ws("_", "term", nxt)).withColumn("has", nxt.isNotNull())
-    f = F.explode(F.when(F.col("has"), F.array("term", "pair")).otherwise(F.array("term")))
-    return both.select(key, f.alias("f")).groupBy(key, "f").agg(F.count(F.lit(1)).alias("tf"))
+def candidate_texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The texts of candidates(qid, docid): docid, text."""
+    return docs.join(candidates.select("docid").distinct(), "docid", "left_semi").select("docid", F.coalesce("text", F.lit("")).alias("text"))
 
 
-def bigram_cosine(queries: DataFrame, postings: DataFrame, candidates: DataFrame, depth: int | None = None) -> DataFrame:
-    """Cosine of words and pairs for candidates(qid, docid). Weights are 1 + ln tf times ln(n / (df + 1)), counted over a query's candidates and itself; features in one of them only, or in 95 hundredths and more, are left out, unless that leaves none."""
-    docs = candidates.select("qid", "docid").join(_features(postings.join(candidates.select("docid").distinct(), "docid", "left_semi"), "docid"), "docid")
-    own = _features(queries, "qid").select("qid", F.lit("").alias("docid"), "f", "tf")
-    rows = docs.select("qid", "docid", "f", "tf").unionByName(own)
-    n = candidates.groupBy("qid").agg((F.count(F.lit(1)) + 1).alias("n"))
-    df = rows.groupBy("qid", "f").agg(F.count(F.lit(1)).alias("df")).join(n, "qid")
-    fit = (F.col("df") >= 2) & (F.col("df") < 0.95 * F.col("n"))
-    df = df.withColumn("fit", fit).withColumn("any", F.max("fit").over(Window.partitionBy("qid"))).where("fit or not any")
-    w = rows.join(df.select("qid", "f", F.ln(F.col("n") / (F.col("df") + 1)).alias("idf")), ["qid", "f"]).withColumn("w", (1 + F.ln("tf")) * F.col("idf"))
-    q = w.where("docid = ''").select("qid", "f", F.col("w").alias("qw"))
-    q_norm = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    d = w.where("docid <> ''").join(q, ["qid", "f"], "left").groupBy("qid", "docid").agg(F.sum(F.coalesce(F.col("w") * F.col("qw"), F.lit(0.0))).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("dn"))
-    return ranking(d.join(q_norm, "qid").select("qid", "docid", F.coalesce(F.col("dot") / F.nullif(F.col("dn") * F.col("qn"), F.lit(0.0)), F.lit(0.0)).alias("score")), None, depth)
+def _spread(candidates: DataFrame) -> DataFrame:
+    """qid, docid in as many partitions as a shuffle has: each row grows to a text's features later, so few small partitions would become few great ones."""
+    n = int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return candidates.select("qid", "docid").repartition(n, "docid")
+
+
+def bigram_cosine(queries: DataFrame, docs: DataFrame, candidates: DataFrame, depth: int | None = None) -> DataFrame:
+    """Cosine of words and pairs for candidates(qid, docid). Weights are 1 + ln tf times ln(n / (df + 1)), counted over a query's candidates and itself; features in one of them only, or in 95 hundredths and more, are left out, unless that leaves none. A text without such features scores 0."""
 
+    def features(rows: DataFrame, key: str) -> DataFrame:
+        read = rows.select(key, tokenize(F.col("text")).alias("tokens"))
+        return read.select(key, F.explode(F.concat("tokens", bigrams(F.col("tokens")))).alias("f")).groupBy(key, "f").agg(F.count(F.lit(1)).alias("tf")).groupBy(key).agg(F.collect_list(F.struct("f", "tf")).alias("fs"))
 
-def matching(queries: DataFrame, postings: DataFrame) -> DataFrame:
+    pairs, small = _spread(candidates), few(queries)
+    found = pairs.join(features(candidate_texts(docs, candidates), "docid"), "docid").select("qid", "docid", "fs").unionByName(features(queries, "qid").select("qid", F.lit("").alias("docid"), "fs"))
+    rows = found.select("qid", "docid", F.inline("fs"))
+    n = pairs.groupBy("qid").agg((F.count(F.lit(1)) + 1).alias("n"))
+    df = rows.groupBy("qid", "f").agg(F.count(F.lit(1)).alias("df"), F.max(F.when(F.col("docid") == "", F.col("tf"))).alias("qtf")).join(_side(n, small), "qid")
+    fit = (F.col("df") >= 2) & (F.col("df") < 0.95 * F.col("n"))
+    df = df.withColumn("fit", fit)
+    any_ = df.groupBy("qid").agg(F.max("fit").alias("any"))
+    idf = F.ln(F.col("n") / (F.col("df") + 1))
+    df = df.join(_side(any_, small), "qid").where("fit or not any").select("qid", "f", idf.alias("idf"), (F.coalesce(1 + F.ln("qtf"), F.lit(0.0)) * idf).alias("qw"))
+    norms = df.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
+    w = (1 + F.ln("tf")) * F.col("idf")
+    scored = rows.where("docid <> ''").join(df, ["qid", "f"]).groupBy("qid", "docid").agg(F.sum(w * F.col("qw")).alias("dot"), F.sqrt(F.sum(w * w)).alias("dn"))
+    whole = pairs.join(scored, ["qid", "docid"], "left").join(_side(norms, small), "qid", "left")
+    return ranking(whole.select("qid", "docid", F.coalesce(F.col("dot") / F.nullif(F.col("dn") * F.col("qn"), F.lit(0.0)), F.lit(0.0)).alias("score")), None, depth)
+
+
+def matching(queries: DataFrame, docs: DataFrame, tokens: Callable[[Column], Column] = tokenize) -> DataFrame:
     """qid, docid of all documents with at least one of the query's words."""
-    return queries.select("qid", "term").distinct().join(postings.select("docid", "term").distinct(), "term").select("qid", "docid").distinct()
+    c = Collection(queries, docs, tokens)
+    return c.tf.join(c.words, "term").select("qid", "docid").distinct()
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """qid, docid, have, early, close (null if only one word stands in the text) and phrases of qid, docid and hits (place and number of word, in order of places)."""
+    """qid, docid, have, early, close: words found, the sum of 1 / (1 + first place) over them, and of 1 / (1 + nearest distance) over their pairs; from hits (place and number of word, in order of places)."""
     for b in batches:
-        out = [[] for _ in range(4)]
+        out = [[] for _ in range(3)]
         for hits in b.column("hits").to_pylist():
             number = {i: n for n, i in enumerate(dict.fromkeys(h["i"] for h in hits))}
             first = {}
             last, near = np.full(len(number), -np.inf), np.full((len(number), len(number)), np.inf)
-            phrases, before = set(), None
             for h in hits:
                 n, pos = number[h["i"]], h["pos"]
                 first.setdefault(n, pos)
                 np.minimum(near[n], pos - last, out=near[n])
                 last[n] = pos
-                if before and before["pos"] == pos - 1 and before["i"] == h["i"] - 1:
-                    phrases.add(h["i"])
-                before = h
             d = np.minimum(near, near.T)[np.triu_indices(len(number), 1)]
-            for col, v in zip(out, (len(number), sum(1 / (1 + x) for x in first.values()) / len(first), float((1 / (1 + d)).mean()) if len(d) else None, len(phrases))):
+            for col, v in zip(out, (len(number), sum(1 / (1 + x) for x in first.values()), float((1 / (1 + d)).sum()))):
                 col.append(v)
-        kinds = (pa.int64(), pa.float64(), pa.float64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("docid"), *(pa.array(c, k) for c, k in zip(out, kinds))], ["qid", "docid", "have", "early", "close", "phrases"])
-
-
-def proximity(queries: DataFrame, postings: DataFrame, candidates: DataFrame | None = None, depth: int | None = None) -> DataFrame:
-    """.20 share of query words found, .40 mean over pairs of words of 1 / (1 + nearest distance), .15 mean of 1 / (1 + first place), .25 neighbouring query words that are neighbours in the text (.3 each, at most 1). A query may have any number of words. Without candidates: every document with one of the words."""
-    terms = queries.groupBy("qid", "term").agg(F.min("pos").alias("at"))
-    size = terms.groupBy("qid").agg(F.count(F.lit(1)).alias("m"))
-    terms = terms.withColumn("i", F.row_number().over(Window.partitionBy("qid").orderBy("at")))
-    if candidates is None:
-        found = terms.join(postings, "term")
-    else:
-        found = candidates.select("qid", "docid").join(terms, "qid").join(postings, ["docid", "term"])
-    hits = found.groupBy("qid", "docid").agg(F.sort_array(F.collect_list(F.struct("pos", "i"))).alias("hits"))
+        kinds = (pa.int64(), pa.float64(), pa.float64())
+        yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("docid"), *(pa.array(c, k) for c, k in zip(out, kinds))], ["qid", "docid", "have", "early", "close"])
+
+
+def proximity(queries: DataFrame, docs: DataFrame, candidates: DataFrame, depth: int | None = None) -> DataFrame:
+    """For candidates(qid, docid): .20 share of query words found, .40 mean over all pairs of query words of 1 / (1 + nearest distance) (0 for a pair that isn't found), .15 mean over all query words of 1 / (1 + first place), .25 for phrases: 1 if the text holds the whole query, else .3 for each two neighbouring query words that it holds side by side, at most 1. Query words are distinct, in the order of their first places. A query may have any number of them."""
+    own = queries.select("qid", F.lower(F.coalesce("text", F.lit(""))).alias("query"), F.array_distinct(tokenize_raw(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
+    words = own.select("qid", F.posexplode("terms").alias("i", "term"))
+    small = few(words)
+    texts = candidate_texts(docs, candidates)
+    spread = texts.select("docid", F.posexplode(tokenize_raw(F.col("text"))).alias("pos", "term")).join(_side(words.select("term").distinct(), small), "term", "left_semi")
+    pairs = _spread(candidates)
+    hits = pairs.join(spread, "docid").join(_side(words, small), ["qid", "term"]).groupBy("qid", "docid").agg(F.sort_array(F.collect_list(F.struct("pos", "i"))).alias("hits"))
     kinds = dict(hits.dtypes)
-    rows = hits.mapInArrow(_places, f"qid {kinds['qid']}, docid {kinds['docid']}, have bigint, early double, close double, phrases bigint").join(size, "qid")
-    score = 0.2 * F.col("have") / F.col("m") + 0.4 * F.coalesce("close", F.lit(0.0)) + 0.15 * F.col("early") + 0.25 * F.least(0.3 * F.col("phrases"), F.lit(1.0))
-    return ranking(rows.select("qid", "docid", score.alias("score")), None, depth)
+    near = hits.mapInArrow(_places, f"qid {kinds['qid']}, docid {kinds['docid']}, have bigint, early double, close double")
+    low, m = F.lower("text"), F.size("terms")
+    side_by_side = F.when(m > 1, F.transform(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at("terms", i), F.element_at("terms", i + 1)))).otherwise(F.array().cast("array<string>"))
+    phrase = F.when(m < 2, 0.0).when(F.contains(low, F.col("query")), 1.0).otherwise(F.least(F.lit(1.0), 0.3 * F.size(F.filter("pairs", lambda p: F.contains(low, p)))))
+    said = pairs.join(_side(own.withColumn("pairs", side_by_side), small), "qid").join(texts, "docid").select("qid", "docid", m.alias("m"), phrase.alias("phrase"), (F.size(tokenize_raw(F.col("text"))) > 0).alias("any"))
+    rows = said.join(near, ["qid", "docid"], "left")
+    none = lambda c: F.coalesce(c, F.lit(0.0))
+    n_pairs = F.greatest(F.col("m") * (F.col("m") - 1) / 2, F.lit(1.0))
+    score = 0.2 * none(F.col("have") / F.col("m")) + 0.4 * none(F.col("close") / n_pairs) + 0.15 * none(F.col("early") / F.col("m")) + 0.25 * F.col("phrase")
+    return ranking(rows.select("qid", "docid", F.when(F.col("any"), score).otherwise(0.0).alias("score")), None, depth)
+
+
+def _sketch(text: str, buckets: int, signs: np.ndarray, n: int = 4) -> np.ndarray:
+    """Signed sums of the log counts of a text's buckets of four-letter sequences."""
+    letters = np.frombuffer(text.lower().encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(letters) < n:
+        return np.zeros(signs.shape[1])
+    h = np.zeros(len(letters) - n + 1, np.uint64)
+    for i in range(n):
+        h = (h ^ letters[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    at, count = np.unique(h % np.uint64(buckets), return_counts=True)
+    return np.log1p(count) @ signs[at.astype(np.int64)]
+
+
+def semantic_hash(queries: DataFrame, docs: DataFrame, candidates: DataFrame, buckets: int = 1 << 14, dims: int = 256, seed: int = 42, depth: int | None = None) -> DataFrame:
+    """For candidates(qid, docid): cosine of projected counts of four-letter sequences (blanks included). Each goes to a bucket by a fixed hash, log counts of buckets to dims sums by fixed signs. Alike on every machine. A text is read once, in Arrow batches; its sketch is dims doubles, whatever its length."""
 
+    def sums(rows: DataFrame, key: str) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            signs = np.random.default_rng(seed).integers(0, 2, (buckets, dims), np.int8) * 2.0 - 1
+            for b in batches:
+                v = [_sketch(x.as_py() or "", buckets, signs).tolist() for x in b.column("text")]
+                yield pa.RecordBatch.from_arrays([b.column(key), pa.array(v, pa.list_(pa.float64()))], [key, "v"])
 
-def semantic_hash(queries: DataFrame, postings: DataFrame, candidates: DataFrame, buckets: int = 1 << 14, dims: int = 64, depth: int | None = None) -> DataFrame:
-    """Cosine of projected counts of four-letter sequences: each sequence goes to a bucket by a fixed hash, log counts of buckets to dims signed sums, also by a hash. Deterministic on every machine."""
+        return rows.select(key, "text").mapInArrow(run, f"{key} {dict(rows.dtypes)[key]}, v array<double>")
 
-    def sums(rows: DataFrame, key: str) -> DataFrame:
-        text = rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]), " ").alias("t"))
-        grams = text.where("length(t) >= 4").select(key, F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 3), lambda i: F.substring("t", i, F.lit(4)))).alias("g"))
-        counts = grams.groupBy(key, F.pmod(F.xxhash64("g"), F.lit(buckets)).alias("h")).agg(F.ln(F.count(F.lit(1)) + 1).alias("x"))
-        sign = lambda d: F.when(F.shiftright(F.xxhash64("h", *[F.lit(d // 64)][: d // 64]), d % 64).bitwiseAND(1) == 1, F.col("x")).otherwise(-F.col("x"))
-        return counts.groupBy(key).agg(F.array(*[F.sum(sign(d)) for d in range(dims)]).alias("v"))
-
-    q = sums(queries, "qid").withColumnRenamed("v", "qv")
-    d = sums(postings.join(candidates.select("docid").distinct(), "docid", "left_semi"), "docid")
+    q = _side(sums(queries, "qid").withColumnRenamed("v", "qv"), few(queries))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = candidates.select("qid", "docid").join(d, "docid").join(q, "qid")
-    return ranking(rows.select("qid", "docid", (dot("v", "qv") / F.sqrt(dot("v", "v") * dot("qv", "qv"))).alias("score")), None, depth)
+    rows = candidates.select("qid", "docid").join(sums(candidate_texts(docs, candidates), "docid"), "docid").join(q, "qid")
+    norm = F.sqrt(dot("v", "v") * dot("qv", "qv"))
+    return ranking(rows.select("qid", "docid", F.coalesce(dot("v", "qv") / F.nullif(norm, F.lit(0.0)), F.lit(0.0)).alias("score")), None, depth)

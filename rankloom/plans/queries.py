@@ -54,14 +54,7 @@ def rrf_weighted(spark, d):
     return fusion.rrf(W.runs(spark, d), weights=WEIGHTS)
 
 
-_LIMBS = range(exact.LIMBS)
-_UNITS = "units(rank, " + ", ".join(f"l{i}" for i in _LIMBS) + ") AS (VALUES " + ", ".join(str(tuple(r)) for r in exact.unit_rows()[: W.DEPTH]) + ")"
-_TOTAL = "SELECT qid, docid, " + ", ".join(f"CAST(sum(l{i}) AS HUGEINT) AS l{i}" for i in _LIMBS) + " FROM runs JOIN units ON runs.rank = units.rank GROUP BY qid, docid"
-_HIGH, _LOW = f"(l4 * {exact.BASE}::HUGEINT + l3 + (l2 + (l1 + l0 // {exact.BASE}) // {exact.BASE}) // {exact.BASE})", f"((l2 + (l1 + l0 // {exact.BASE}) // {exact.BASE}) % {exact.BASE})"
-_LOWEST = f"(((l1 + l0 // {exact.BASE}) % {exact.BASE}) * {exact.BASE}::HUGEINT + l0 % {exact.BASE})"
-
-
-@query(with_runs(f"SELECT qid, docid, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_HIGH} DESC, {_LOW} DESC, {_LOWEST} DESC, docid) - 1 AS INT) AS rank0 FROM ({_TOTAL})", _UNITS))
+@query(with_runs(exact.exact_sql("runs"), exact.units_sql()))
 def rrf_canonical_exact(spark, d):
     return exact.exact_rrf(W.runs(spark, d))
 
@@ -85,7 +78,7 @@ def duplicate_quotient(spark, d):
     return fusion.duplicate_quotient(runs.unionByName(runs.where("source = 'revenue'").withColumn("source", F.lit("copy"))), ["revenue", "copy", *SOURCES[1:]])
 
 
-_OPS = {"sum": "sum(x)", "max": "max(x)", "median": "median(x)", "geomean": "exp(avg(ln(x)))", "rank_prod": "-sum(ln(rank + 1))", "harmonic": "count(*) / sum(1 / x)", "sum_normalized": "sum(x) / sqrt(count(*))"}
+_OPS = {"sum": "sum(x)", "max": "max(x)", "median": "median(x)", "geomean": "exp(avg(ln(x)))", "rank_prod": "0.0 - sum(ln(rank + 1))", "harmonic": "count(*) / sum(1 / x)", "sum_normalized": "sum(x) / sqrt(count(*))"}
 
 
 @query(with_runs(rank_sql(" UNION ALL ".join(f"SELECT '{k}' AS op, qid, docid, {e} AS score FROM (SELECT *, 1.0 / (60 + rank)::DOUBLE AS x FROM runs) GROUP BY qid, docid" for k, e in _OPS.items()), ("op", "qid"))))
@@ -117,7 +110,7 @@ def pairwise_jaccard(spark, d):
     return sets.pairwise_jaccard(W.runs(spark, d))
 
 
-@query(with_runs("SELECT qid, round(-sum(p * ln(p)) / ln(4), 9) AS h_cov FROM (SELECT qid, c, m / sum(m) OVER (PARTITION BY qid) AS p FROM (SELECT qid, c, count(*) AS m FROM (SELECT qid, docid, count(*) AS c FROM runs WHERE rank < 100 GROUP BY ALL) GROUP BY ALL)) GROUP BY qid"))
+@query(with_runs("SELECT qid, round(0.0 - sum(p * ln(p)) / ln(4), 9) + 0.0 AS h_cov FROM (SELECT qid, c, m / sum(m) OVER (PARTITION BY qid) AS p FROM (SELECT qid, c, count(*) AS m FROM (SELECT qid, docid, count(*) AS c FROM runs WHERE rank < 100 GROUP BY ALL) GROUP BY ALL)) GROUP BY qid"))
 def coverage_entropy(spark, d):
     return consensus.regime(W.runs(spark, d), SOURCES).select("qid", "h_cov")
 
@@ -181,20 +174,37 @@ def winner_counts(spark, d):
     return features.winners(_pair(spark, d), "vanilla", "v5")
 
 
-@query()
-@W.whole_runs
+_TAIL = "t * exp(-x * x + " + " + t * (".join(str(c) for c in statistics.TAIL) + ")" * len(statistics.TAIL)
+_TTEST = f"""SELECT 'v5-vanilla' AS pair, n, round(m, 9) AS mean_diff, round(tt, 6) AS t, CASE WHEN n < 2 THEN 1.0 ELSE round({_TAIL}, 6) END AS p, wins, losses, ties
+FROM (SELECT *, 1 / (1 + 0.5 * x) AS t FROM (SELECT *, abs(tt) / sqrt(2) AS x FROM (SELECT *, CASE WHEN n < 2 THEN 0.0 ELSE m / CASE WHEN v > 0 THEN sqrt(v / n) ELSE 1e-12 END END AS tt
+FROM (SELECT count(d) AS n, avg(d) AS m, var_samp(d) AS v, CAST(count(*) FILTER (d > 0) AS BIGINT) AS wins, CAST(count(*) FILTER (d < 0) AS BIGINT) AS losses, CAST(count(*) FILTER (d = 0) AS BIGINT) AS ties FROM (SELECT v5 - vanilla AS d FROM ({_PAIR}))))))"""
+
+
+@query(with_runs(_TTEST))
 def paired_ttest(spark, d):
     return statistics.paired_t(_pair(spark, d).select(F.lit("v5-vanilla").alias("pair"), F.col("v5").alias("a"), F.col("vanilla").alias("b")))
 
 
-_BOOT = f"SELECT row_number() OVER (ORDER BY qid) - 1 AS i, vanilla AS x FROM ({_PAIR})"
+def _draw_sql(reps: int, seed: int, columns: str, source: str) -> str:
+    """rep and means of columns over drawn queries of source(qid, ...)."""
+    means = ", ".join(f"avg({c}) AS {c}" for c in columns.split(", "))
+    return f"SELECT rep, {means} FROM (SELECT rep, (((rep + 1) * 1103515245 + (pos + 1) * (rep + 7) * 12345 + {seed}) % 2147483648) % n AS i FROM range({reps}) r(rep) CROSS JOIN (SELECT i AS pos, count(*) OVER () AS n FROM placed)) x JOIN placed USING (i) GROUP BY rep"
+
 
+def _placed_sql(columns: str, source: str) -> str:
+    return f"placed AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS i, {columns} FROM ({source}))"
 
-@query(with_runs(f"SELECT (SELECT count(*) FROM p) AS n, round((SELECT avg(p.x) FROM p), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high FROM (SELECT rep, avg(p.x) AS m FROM range(200) r(rep) CROSS JOIN p q JOIN p ON p.i = (((rep + 1) * 1103515245 + (q.i + 1) * (rep + 7) * 12345 + 42) % 2147483648) % (SELECT count(*) FROM p) GROUP BY rep)", f"p AS ({_BOOT})"))
+
+@query(with_runs(f"SELECT (SELECT count(*) FROM placed) AS n, round((SELECT avg(x) FROM placed), 9) AS mean, round(l[26], 9) AS low, round(l[975], 9) AS high FROM (SELECT list(x ORDER BY x) AS l FROM ({_draw_sql(1000, 42, 'x', '')}))", _placed_sql("x", f"SELECT qid, vanilla AS x FROM ({_PAIR})")))
 def bootstrap_ci(spark, d):
     return statistics.bootstrap(_pair(spark, d).select("qid", F.col("vanilla").alias("x")))
 
 
+@query(with_runs(f"SELECT n, mean_delta, round(l[101], 9) AS low, round(l[3901], 9) AS high, wins, losses, ties FROM (SELECT count(*) AS n, round(avg(delta), 9) AS mean_delta, CAST(count(*) FILTER (delta > 1e-12) AS BIGINT) AS wins, CAST(count(*) FILTER (delta < -1e-12) AS BIGINT) AS losses, CAST(count(*) FILTER (abs(delta) <= 1e-12) AS BIGINT) AS ties FROM placed) CROSS JOIN (SELECT list(delta ORDER BY delta) AS l FROM ({_draw_sql(4000, 1847, 'delta', '')}))", _placed_sql("delta", f"SELECT qid, v5 - vanilla AS delta FROM ({_PAIR})")))
+def paired_bootstrap(spark, d):
+    return statistics.paired_bootstrap(_pair(spark, d).select("qid", (F.col("v5") - F.col("vanilla")).alias("delta")))
+
+
 _KVAL = f"SELECT k, qid, ndcg10 AS x FROM ({metrics.evaluate_sql(rank_sql(' UNION ALL '.join(f'SELECT CAST({k} AS DOUBLE) AS k, qid, docid, sum(1.0 / ({k} + rank)::DOUBLE) AS score FROM runs GROUP BY qid, docid' for k in fusion.GRID), ('k', 'qid')), by=('k', 'qid'))})"
 _FOLDS = "SELECT qid, CAST((row_number() OVER (ORDER BY qid) - 1) % 3 AS INT) AS fold FROM (SELECT DISTINCT qid FROM runs)"
 
@@ -249,7 +259,6 @@ def empirical_fusion(spark, d):
 
 
 @query()
-@W.whole_runs
 def mc4(spark, d):
     return fusion.mc4(W.runs(spark, d))
 
@@ -268,12 +277,14 @@ def tail_support(spark, d):
     return sets.group_outcomes(sets.specialists(W.runs(spark, d)), W.qrels(spark, d))
 
 
+# lists that aren't cut before, so that every arm differs
+WHOLE_SQL = W.RUNS_SQL.replace(f" WHERE rank < {W.DEPTH})", ")")
 _ARMS = "SELECT *, min(n) OVER (PARTITION BY qid) AS least_n FROM (SELECT *, count(*) OVER (PARTITION BY qid, source) AS n FROM runs)"
 
 
-@query(with_runs("SELECT arm, qid, source, count(*) AS n, CAST(max(rank) AS INT) AS deepest FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS arm, qid, source, rank FROM ({_ARMS}) WHERE {c}" for a, c in {"full": "true", "equalized": "rank < least_n", "top30": "rank < 30", "shared": "rank < least(least_n, 200)"}.items()) + ") GROUP BY ALL"))
+@query(f"WITH {WHOLE_SQL} " + ("SELECT arm, qid, source, count(*) AS n, CAST(max(rank) AS INT) AS deepest FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS arm, qid, source, rank FROM ({_ARMS}) WHERE {c}" for a, c in {"full": "true", "equalized": "rank < least_n", "top30": "rank < 30", "shared": "rank < least(least_n, 200)"}.items()) + ") GROUP BY ALL"))
 def depth_arms(spark, d):
-    return ranking.depth_arms(W.runs(spark, d)).groupBy("arm", "qid", "source").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("deepest"))
+    return ranking.depth_arms(W.runs(spark, d, None)).groupBy("arm", "qid", "source").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("deepest"))
 
 
 _K200 = "SELECT qid, docid, sum(0.25 / (201.0 + rank)) AS score FROM runs GROUP BY qid, docid"
@@ -319,7 +330,10 @@ def rbp_bounds(spark, d):
     return bounds.rbp_bounds(_list(runs, "revenue"), _list(runs, "orders"), W.qrels(spark, d))
 
 
-@query(with_runs(f"SELECT qid, budget, CAST(least(budget, count(*)) AS BIGINT) AS realized, CAST(sum(s) AS BIGINT) AS width, CAST(sum(CASE WHEN i > budget THEN s ELSE 0 END) AS BIGINT) AS by_influence, CAST(sum(CASE WHEN h > budget THEN s ELSE 0 END) AS BIGINT) AS by_head FROM (SELECT *, abs(coef) AS s, row_number() OVER (PARTITION BY qid ORDER BY abs(coef) DESC, docid) AS i, row_number() OVER (PARTITION BY qid ORDER BY least(coalesce(ra, 11), coalesce(rb, 11)), docid) AS h FROM ({_SIDES}) c WHERE NOT EXISTS (SELECT 1 FROM qrels q WHERE q.qid = c.qid AND q.docid = c.docid)) CROSS JOIN (VALUES (0), (1), (3)) AS b(budget) GROUP BY qid, budget"))
+_PLAN = f"SELECT qid, budget, count(*) AS pool, CAST(least(budget, count(*)) AS BIGINT) AS realized, CAST(sum(s) AS BIGINT) AS width, CAST(sum(CASE WHEN i > budget THEN s ELSE 0 END) AS BIGINT) AS by_influence, CAST(sum(CASE WHEN h > budget THEN s ELSE 0 END) AS BIGINT) AS by_head, CAST(sum(s) * (count(*) - least(budget, count(*))) AS BIGINT) AS by_chance, count(*) FILTER (i <= budget AND h <= budget) AS shared FROM (SELECT *, abs(coef) AS s, row_number() OVER (PARTITION BY qid ORDER BY abs(coef) DESC, docid) AS i, row_number() OVER (PARTITION BY qid ORDER BY least(coalesce(ra, 11), coalesce(rb, 11)), docid) AS h FROM ({_SIDES}) c WHERE NOT EXISTS (SELECT 1 FROM qrels q WHERE q.qid = c.qid AND q.docid = c.docid)) CROSS JOIN (VALUES (0), (1), (3)) AS b(budget) GROUP BY qid, budget"
+
+
+@query(with_runs(_PLAN))
 def acquisition_plan(spark, d):
     runs = W.runs(spark, d)
     return bounds.acquisition_plan(_list(runs, "revenue"), _list(runs, "orders"), W.qrels(spark, d))
@@ -382,8 +396,22 @@ def exclusion_certificate(spark, d):
     return bounds.exclusion_certificate(W.runs(spark, d), LEXICAL, SPECIALIST)
 
 
-@query()
-@W.whole_runs
+_SX = "sx AS (SELECT qid, docid, CAST(sum(CASE WHEN source = 'revenue' THEN 100000000 // (61 + rank) ELSE 0 END) AS BIGINT) AS a, CAST(sum(CASE WHEN source = 'returned' THEN 100000000 // (61 + rank) ELSE 0 END) AS BIGINT) AS s FROM runs WHERE source IN ('revenue', 'returned') GROUP BY qid, docid), sr AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY a + s DESC, docid) AS place FROM sx)"
+_SPAIR = "SELECT x.qid, x.docid AS h, y.docid AS e, x.a - y.a AS den, y.s - x.s AS num, y.docid < x.docid AS strict FROM sr x JOIN sr y ON x.qid = y.qid AND x.place <= 10 AND y.place > 10"
+
+
+def _end_sql(where: str, strict: str, order: str) -> str:
+    exact = "(num::HUGEINT * 1000000000000000000 // den)"
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY {exact} {order}, {strict} {order}, num {order}, den {order}, h {order}, e {order}) AS i FROM sp WHERE {where}) WHERE i = 1"
+
+
+_SCALAR = f"""SELECT q.qid, coalesce(l.num, 0) AS lower_num, coalesce(l.den, 1) AS lower_den, coalesce(l.strict, false) AS lower_strict, u.num AS upper_num, u.den AS upper_den, u.strict AS upper_strict, reason = 'feasible' AS feasible, reason, l.h AS lower_head, l.e AS lower_excluded, u.h AS upper_head, u.e AS upper_excluded
+FROM (SELECT qid, bool_or(den = 0 AND (num > 0 OR num = 0 AND strict)) AS stuck FROM sp GROUP BY qid) q LEFT JOIN ({_end_sql('den > 0 AND num >= 0', 'strict', 'DESC')}) l ON l.qid = q.qid LEFT JOIN (SELECT qid, -num AS num, -den AS den, strict, h, e FROM ({_end_sql('den < 0', '(NOT strict)', 'ASC')})) u ON u.qid = q.qid
+CROSS JOIN LATERAL (SELECT CASE WHEN q.stuck THEN 'zero_slope' WHEN u.num IS NULL OR coalesce(l.num, 0)::HUGEINT * u.den < u.num::HUGEINT * coalesce(l.den, 1) OR coalesce(l.num, 0)::HUGEINT * u.den = u.num::HUGEINT * coalesce(l.den, 1) AND NOT coalesce(l.strict, false) AND NOT u.strict THEN 'feasible' ELSE 'empty_interval' END AS reason)"""
+_SCALAR_CTES = (_SX, f"sp AS ({_SPAIR})")
+
+
+@query(with_runs(_SCALAR, *_SCALAR_CTES))
 def scalar_interval(spark, d):
     """Weights of the revenue list against the returned list that give the fused head."""
     runs = W.runs(spark, d)
@@ -406,60 +434,52 @@ def per_query_features(spark, d):
     return features.query_features(runs, consensus.regime(runs, SOURCES), len(SOURCES))
 
 
-@query(with_runs(" UNION ALL ".join(f"SELECT '{k}' AS rule, CAST(sum(CASE WHEN {r} THEN 1 ELSE 0 END) AS BIGINT) AS n_true, count(*) AS n FROM f" for k, r in features.RULES.items()), f"f AS ({_FEATURES_SQL})"))
+@query(with_runs(" UNION ALL ".join(f"SELECT '{k}' AS rule, CAST(sum(CASE WHEN {r.replace('D)', ')').replace('0D', '0').replace('5D', '5').replace('2D', '2').replace('1D', '1').replace('3D', '3').replace('4D', '4')} THEN 1 ELSE 0 END) AS BIGINT) AS n_true, count(*) AS n FROM f" for k, r in features.RULES.items()), f"f AS ({_FEATURES_SQL})"))
 def route_rules(spark, d):
     return features.route(per_query_features(spark, d), features.RULES)
 
 
-@query()
-@W.whole_runs
-def pqas_selector(spark, d):
-    rows = features.standardize(per_query_features(spark, d)).join(statistics.folds(W.runs(spark, d), 3), "qid")
-    labels = _pair(spark, d).select("qid", (F.col("v5") > F.col("vanilla")).cast("int").alias("label"))
-    return features.select_by_regression(rows.join(labels, "qid"), epochs=2000)
-
-
-_STATS = "tf AS (SELECT docid, term, count(*) AS tf FROM post GROUP BY ALL), dl AS (SELECT docid, count(*) AS dl FROM post GROUP BY docid), st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term), tot AS (SELECT count(*) AS n, avg(dl) AS avg_dl, sum(dl) AS c FROM dl)"
 _MATCH = "q JOIN tf ON tf.term = q.term JOIN st ON st.term = q.term JOIN dl ON dl.docid = tf.docid CROSS JOIN tot"
 
 
 def with_text(body: str, *ctes: str) -> str:
-    return f"WITH {', '.join([W.TEXT_SQL, _STATS, *ctes])} {body}"
+    return f"WITH {', '.join([W.TEXT_SQL, *ctes])} {body}"
 
 
-def _bm25_sql(k1: float, b: float, depth: int = 200) -> str:
+def _bm25_sql(k1: float, b: float, depth: int = W.DEPTH) -> str:
     return rank_sql(f"SELECT qid, tf.docid, sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * {k1 + 1} / (tf + {k1} * (1 - {b} + {b} * dl / avg_dl))) AS score FROM {_MATCH} GROUP BY qid, tf.docid", ("qid",), depth)
 
 
-def _collection(spark, d, first: int | None = W.QUERY_WORDS):
-    return W.text_queries(spark, d, first), rankers.Collection(W.postings(spark, d))
+def _collection(spark, d):
+    return rankers.Collection(W.text_queries(spark, d), W.texts(spark, d))
 
 
 @query(with_text(_bm25_sql(*rankers.BM25)))
 def bm25(spark, d):
-    return rankers.bm25(*_collection(spark, d))
+    return rankers.bm25(_collection(spark, d))
 
 
 @query(with_text(_bm25_sql(*rankers.BM25_TUNED)))
 def bm25_tuned(spark, d):
-    return rankers.bm25(*_collection(spark, d), *rankers.BM25_TUNED)
+    return rankers.bm25(_collection(spark, d), *rankers.BM25_TUNED)
 
 
-@query(with_text(rank_sql(f"SELECT qid, tf.docid, sum((1 + ln(tf)) * ln(n / (df + 1)::DOUBLE)) / sqrt(max(dl)) AS score FROM {_MATCH} GROUP BY qid, tf.docid", ("qid",), 200)))
+@query(with_text(rank_sql(f"SELECT qid, tf.docid, sum((1 + ln(tf)) * ln(n / (df + 1)::DOUBLE)) / sqrt(max(dl)) AS score FROM {_MATCH} GROUP BY qid, tf.docid", ("qid",), W.DEPTH)))
 def tfidf(spark, d):
-    return rankers.tfidf(*_collection(spark, d))
+    return rankers.tfidf(_collection(spark, d))
 
 
-@query(with_text(rank_sql("SELECT x.qid, x.docid, sum(ln((coalesce(tf, 0) + 2000.0 * cf / c) / (dl + 2000))) AS score FROM (SELECT DISTINCT q.qid, tf.docid FROM q JOIN tf ON tf.term = q.term) x JOIN q ON q.qid = x.qid JOIN st ON st.term = q.term JOIN dl ON dl.docid = x.docid LEFT JOIN tf ON tf.docid = x.docid AND tf.term = q.term CROSS JOIN tot GROUP BY x.qid, x.docid", ("qid",), 200)))
+@query(with_text(rank_sql("SELECT x.qid, x.docid, sum(ln((coalesce(tf, 0) + 2000.0 * cf / c) / (dl + 2000))) AS score FROM (SELECT DISTINCT q.qid, tf.docid FROM q JOIN tf ON tf.term = q.term) x JOIN q ON q.qid = x.qid JOIN st ON st.term = q.term JOIN dl ON dl.docid = x.docid LEFT JOIN tf ON tf.docid = x.docid AND tf.term = q.term CROSS JOIN tot GROUP BY x.qid, x.docid", ("qid",), W.DEPTH)))
 def ql_dirichlet(spark, d):
-    return rankers.ql_dirichlet(*_collection(spark, d))
+    return rankers.ql_dirichlet(_collection(spark, d))
 
 
-_CAND = f"cand AS (SELECT qid, docid FROM ({_bm25_sql(*rankers.BM25, 50)}))"
-_F2 = "SELECT {k}, unnest(CASE WHEN nxt IS NULL THEN [term] ELSE [term, term || '_' || nxt] END) AS f FROM (SELECT {k}, term, lead(term) OVER (PARTITION BY {k} ORDER BY pos) AS nxt FROM {t})"
+# the rankers of given candidates score BM25's list
+_CAND = f"cand AS (SELECT qid, docid FROM ({_bm25_sql(*rankers.BM25)}))"
+_F2 = "SELECT {k}, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1]))) AS f FROM {t}"
 _BIGRAM = (
-    f"df2 AS (SELECT docid, f, count(*) AS tf FROM ({_F2.format(k='docid', t='post')}) GROUP BY ALL)",
-    f"qf2 AS (SELECT qid, f, count(*) AS tf FROM ({_F2.format(k='qid', t='q')}) GROUP BY ALL)",
+    f"df2 AS (SELECT docid, f, count(*) AS tf FROM ({_F2.format(k='docid', t='docs')}) GROUP BY ALL)",
+    f"qf2 AS (SELECT qid, f, count(*) AS tf FROM ({_F2.format(k='qid', t='items')}) GROUP BY ALL)",
     "al AS (SELECT qid, cand.docid, f, tf FROM cand JOIN df2 ON df2.docid = cand.docid UNION ALL SELECT qid, '', f, tf FROM qf2)",
     "fd AS (SELECT *, (df >= 2 AND df < 0.95 * n) AS fit FROM (SELECT al.qid, f, count(*) AS df, max(n) AS n FROM al JOIN (SELECT qid, count(*) + 1 AS n FROM cand GROUP BY qid) c ON c.qid = al.qid GROUP BY al.qid, f))",
     "fw AS (SELECT qid, f, ln(n / (df + 1)::DOUBLE) AS idf FROM (SELECT *, bool_or(fit) OVER (PARTITION BY qid) AS fits FROM fd) WHERE fit OR NOT fits)",
@@ -467,62 +487,31 @@ _BIGRAM = (
 )
 
 
-@query(with_text(rank_sql("SELECT d.qid, d.docid, coalesce(sum(d.w * q.w) / nullif(sqrt(sum(d.w * d.w)) * max(qn), 0), 0.0) AS score FROM (SELECT * FROM ww WHERE docid <> '') d LEFT JOIN (SELECT * FROM ww WHERE docid = '') q ON q.qid = d.qid AND q.f = d.f JOIN (SELECT qid, sqrt(sum(w * w)) AS qn FROM ww WHERE docid = '' GROUP BY qid) z ON z.qid = d.qid GROUP BY d.qid, d.docid"), _CAND, *_BIGRAM))
-def tfidf_bigram(spark, d):
-    q, c = _collection(spark, d)
-    return rankers.bigram_cosine(q, W.postings(spark, d), rankers.bm25(q, c, depth=50).select("qid", "docid"))
-
-
-_PROX = """SELECT w.qid, w.docid, 0.2 * have / m + 0.4 * coalesce(close, 0) + 0.15 * early + 0.25 * least(0.3 * coalesce(phrases, 0), 1.0) AS score
-FROM (SELECT qid, docid, count(*) AS have, avg(1.0 / (1 + first)) AS early FROM (SELECT qid, docid, i, min(pos) AS first FROM fo GROUP BY ALL) GROUP BY ALL) w
-JOIN (SELECT qid, count(*) AS m FROM te GROUP BY qid) s ON s.qid = w.qid
-LEFT JOIN (SELECT qid, docid, avg(1.0 / (1 + dist)) AS close, sum(nx) AS phrases FROM (SELECT x.qid, x.docid, x.i, y.i AS j, min(abs(x.pos - y.pos)) AS dist, max(CASE WHEN y.i = x.i + 1 AND y.pos = x.pos + 1 THEN 1 ELSE 0 END) AS nx FROM fo x JOIN fo y ON x.qid = y.qid AND x.docid = y.docid AND x.i < y.i GROUP BY ALL) GROUP BY ALL) p ON p.qid = w.qid AND p.docid = w.docid"""
-
-
-@query(with_text(rank_sql(_PROX), _CAND, "te AS (SELECT qid, term, row_number() OVER (PARTITION BY qid ORDER BY min(pos)) AS i FROM q GROUP BY qid, term)", "fo AS (SELECT cand.qid, cand.docid, i, pos FROM cand JOIN te ON te.qid = cand.qid JOIN post ON post.docid = cand.docid AND post.term = te.term)"))
-def proximity(spark, d):
-    q, c = _collection(spark, d)
-    return rankers.proximity(q, W.postings(spark, d), rankers.bm25(q, c, depth=50).select("qid", "docid"))
-
-
-# the same rankers for all words of an item, without SQL
-
-
-@query()
-def whole_bm25(spark, d):
-    return rankers.bm25(*_collection(spark, d, None))
-
-
-@query()
-def whole_bm25_tuned(spark, d):
-    return rankers.bm25(*_collection(spark, d, None), *rankers.BM25_TUNED)
+def _candidates(spark, d):
+    return W.text_queries(spark, d), W.texts(spark, d), bm25(spark, d).select("qid", "docid").persist()  # read several times
 
 
-@query()
-def whole_tfidf(spark, d):
-    return rankers.tfidf(*_collection(spark, d, None))
-
-
-@query()
-def whole_ql_dirichlet(spark, d):
-    return rankers.ql_dirichlet(*_collection(spark, d, None))
+@query(with_text(rank_sql("SELECT c.qid, c.docid, coalesce(sum(d.w * q.w) / nullif(sqrt(sum(d.w * d.w)) * max(qn), 0), 0.0) AS score FROM cand c LEFT JOIN (SELECT * FROM ww WHERE docid <> '') d ON d.qid = c.qid AND d.docid = c.docid LEFT JOIN (SELECT * FROM ww WHERE docid = '') q ON q.qid = d.qid AND q.f = d.f LEFT JOIN (SELECT qid, sqrt(sum(w * w)) AS qn FROM ww WHERE docid = '' GROUP BY qid) z ON z.qid = c.qid GROUP BY c.qid, c.docid"), _CAND, *_BIGRAM))
+def tfidf_bigram(spark, d):
+    return rankers.bigram_cosine(*_candidates(spark, d))
 
 
-@query()
-def whole_tfidf_bigram(spark, d):
-    q, p = W.text_queries(spark, d), W.postings(spark, d)
-    return rankers.bigram_cosine(q, p, rankers.matching(q, p), 200)
+_NEAR = """SELECT qid, docid, sum(1.0 / (1 + dist)) AS close FROM (SELECT x.qid, x.docid, x.i, y.i AS j, min(abs(x.pos - y.pos)) AS dist FROM fo x JOIN fo y ON x.qid = y.qid AND x.docid = y.docid AND x.i < y.i GROUP BY ALL) GROUP BY ALL"""
+_PROX = f"""SELECT c.qid, c.docid, CASE WHEN len(d.raw) = 0 THEN 0.0 ELSE 0.2 * coalesce(have, 0) / m + 0.4 * coalesce(close, 0) / greatest(m * (m - 1) / 2, 1) + 0.15 * coalesce(early, 0) / m
++ 0.25 * CASE WHEN m < 2 THEN 0.0 WHEN contains(lower(d.text), query) THEN 1.0 ELSE least(1.0, 0.3 * len(list_filter(list_transform(range(1, m), lambda i: terms[i] || ' ' || terms[i + 1]), lambda p: contains(lower(d.text), p)))) END END AS score
+FROM cand c JOIN te ON te.qid = c.qid JOIN docs d ON d.docid = c.docid
+LEFT JOIN (SELECT qid, docid, count(*) AS have, sum(1.0 / (1 + first)) AS early FROM (SELECT qid, docid, i, min(pos) AS first FROM fo GROUP BY ALL) GROUP BY ALL) w ON w.qid = c.qid AND w.docid = c.docid
+LEFT JOIN ({_NEAR}) p ON p.qid = c.qid AND p.docid = c.docid"""
 
 
-@query()
-def whole_proximity(spark, d):
-    return rankers.proximity(W.text_queries(spark, d), W.postings(spark, d), depth=200)
+@query(with_text(rank_sql(_PROX), _CAND, "te AS (SELECT qid, query, terms, len(terms) AS m FROM (SELECT qid, lower(text) AS query, list_filter(raw, lambda x, i: list_position(raw, x) = i) AS terms FROM items))", "spots AS (SELECT docid, generate_subscripts(raw, 1) - 1 AS pos, unnest(raw) AS term FROM docs)", "fo AS (SELECT cand.qid, cand.docid, i, pos FROM cand JOIN (SELECT qid, generate_subscripts(terms, 1) AS i, unnest(terms) AS term FROM te) t ON t.qid = cand.qid JOIN spots ON spots.docid = cand.docid AND spots.term = t.term)"))
+def proximity(spark, d):
+    return rankers.proximity(*_candidates(spark, d))
 
 
 @query()
 def semantic_hash(spark, d):
-    q, p = W.text_queries(spark, d), W.postings(spark, d)
-    return rankers.semantic_hash(q, p, rankers.matching(q, p), dims=256, depth=200)
+    return rankers.semantic_hash(*_candidates(spark, d))
 
 
 @query(with_runs("SELECT qid, source, docid, rank, score FROM runs"))
@@ -538,11 +527,6 @@ def strict_run_violations(spark, d):
     return trec.violations(trec.format_runs(runs, origin=1))
 
 
-@query()
-def brier_scores(spark, d):
-    return labs.losses(labs.policies(labs.packets(labs.worlds(spark))))
-
-
 @query("""
 WITH v(x) AS (VALUES (-1), (1)), sp(specialist, ps) AS (VALUES ('weak', 11), ('strong', 17)),
 w AS (SELECT specialist, y.x AS y, g1.x AS a, g2.x AS b, g3.x AS c, s.x AS s, (CASE WHEN g1.x = y.x THEN 7 ELSE 3 END) * (CASE WHEN g2.x = y.x THEN 7 ELSE 3 END) * (CASE WHEN g3.x = y.x THEN 7 ELSE 3 END) * (CASE WHEN s.x = y.x THEN ps ELSE 20 - ps END) AS w FROM sp, v y, v g1, v g2, v g3, v s),
@@ -554,17 +538,18 @@ def worlds_posterior(spark, d):
     return rows.groupBy("specialist", "s", "a", "b", "c").agg(F.sum("w").alias("mass"), F.round(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(F.lit(0).cast("bigint"))) / F.sum("w"), 9).alias("posterior"))
 
 
-@query()
+_PROGRAMS = [("p", -3, 4, 3), ("q", 1, 1, 8), ("r", 2, -5, 0), ("s", 1, -1, 64)]
+TRACE_SQL = f"t(program, step, a, b, rounds) AS (SELECT program, 0, a::BIGINT, b::BIGINT, rounds FROM (VALUES {', '.join(map(str, _PROGRAMS))}) AS p(program, a, b, rounds) UNION ALL SELECT program, step + 1, a + b, a, rounds FROM t WHERE step < rounds)"
+
+
+@query(f"WITH RECURSIVE {TRACE_SQL} SELECT program, step, a, b, CASE WHEN step = rounds THEN a > 0 END AS result FROM t")
 def program_trace(spark, d):
-    return labs.trace(spark, [("p", -3, 4, 3), ("q", 1, 1, 8), ("r", 2, -5, 0)])
+    return labs.trace(spark, _PROGRAMS)
 
 
 _TIMES = {"revenue": 1, "quantity": 1, "orders": 1, "returned": 3}
 _TIMES_SQL = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _TIMES.items()) + " END"
-_FAMILY = "SELECT qid, docid, " + ", ".join(f"CAST(sum(l{i} * {_TIMES_SQL}) AS HUGEINT) AS l{i}" for i in _LIMBS) + " FROM runs JOIN units ON runs.rank = units.rank GROUP BY qid, docid"
-
-
-@query(with_runs(f"SELECT qid, docid, CAST(row_number() OVER (PARTITION BY qid ORDER BY {_HIGH} DESC, {_LOW} DESC, {_LOWEST} DESC, docid) - 1 AS INT) AS rank0 FROM ({_FAMILY})", _UNITS))
+@query(with_runs(exact.exact_sql("runs", times=_TIMES_SQL), exact.units_sql()))
 def family_fusion(spark, d):
     """The mean of three lists plus a fourth, exactly."""
     return exact.exact_rrf(W.runs(spark, d), times=_TIMES)
@@ -633,7 +618,7 @@ def exact_score_order(spark, d):
     return trec.rank_exact_scores(lines)
 
 
-_TEXT_FN = "SELECT doc_id, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+'), lambda x: length(x) > 1 AND NOT list_contains([" + ", ".join(f"'{w}'" for w in text_functions.STOPWORDS) + "], x))) AS n_tokens, len(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')) AS n_raw, greatest(length(text) - 3, 0) AS n_grams FROM documents"
+_TEXT_FN = f"SELECT doc_id, len({W.TOKENS_SQL}) AS n_tokens, len({W.RAW_SQL}) AS n_raw, greatest(length(text) - 3, 0) AS n_grams FROM documents"
 
 
 @query(_TEXT_FN)
@@ -642,31 +627,12 @@ def token_counts(spark, d):
     return docs.select("doc_id", F.size(text_functions.tokenize(F.col("text"))).alias("n_tokens"), F.size(text_functions.tokenize_raw(F.col("text"))).alias("n_raw"), F.size(text_functions.char_ngrams(F.col("text"))).alias("n_grams"))
 
 
-@query()
-@W.whole_runs
-def whole_permutation_control(spark, d):
-    return fusion.permutation_control(W.runs(spark, d), W.qrels(spark, d), 256)
-
-
-@query()
-@W.whole_runs
-def whole_bootstrap_ci(spark, d):
-    return statistics.bootstrap(_pair(spark, d).select("qid", F.col("vanilla").alias("x")), 1000)
-
-
-# the arm 'shared' is cut at 200, so these see lists that aren't cut before
-for _name in [n for n in SQL if n.startswith("depth_arm")]:
-    query(name=f"whole_{_name}")(W.whole_runs(QUERIES[_name], 1 << 30))
-
-
-# every other query whose SQL states it for shorter runs, at the reference's depth and without SQL
-for _name in [n for n, sql in SQL.items() if W.RUNS_SQL in sql and f"whole_{n}" not in QUERIES]:
-    query(name=f"whole_{_name}")(W.whole_runs(QUERIES[_name]))
-
-
 def queries() -> dict:
+    from rankloom.plans import evidence, selectors  # noqa: F401  they register their queries
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

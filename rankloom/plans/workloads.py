@@ -1,47 +1,26 @@
 """Runs, judgments and candidate texts derived from the supplied tables.
 
-The relational workload ranks suppliers for each part type by several integer scores, so that orders do not depend on the order of floating-point sums. The text workload ranks documents for each benchmark item: for all its words, or, where SQL states the result, for its opening words.
+The relational workload ranks suppliers for each part type by several integer scores, so that orders do not depend on the order of floating-point sums. The text workload ranks documents for each benchmark item, for all its words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from contextvars import ContextVar
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankloom.functions.text import STOPWORDS
 from rankloom.operators.ranking import rank_within
 
 SOURCES = ("revenue", "quantity", "orders", "returned")
-DEPTH = 50
-#: Depth of the reference's runs, for the queries without SQL.
-WHOLE_DEPTH = 200
-_depth = ContextVar("depth", default=DEPTH)
+DEPTH = 200
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def whole_runs(query: Callable[[SparkSession, str], DataFrame], depth: int = WHOLE_DEPTH) -> Callable[[SparkSession, str], DataFrame]:
-    """The query over runs of the reference's depth, or another."""
-
-    @wraps(query)
-    def deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-        before = _depth.set(depth)
-        try:
-            return query(spark, sf_dir)
-        finally:
-            _depth.reset(before)
-
-    return deep
-
-
-def runs(spark: SparkSession, sf_dir: str, depth: int | None = None) -> DataFrame:
+def runs(spark: SparkSession, sf_dir: str, depth: int | None = DEPTH) -> DataFrame:
     """qid, source, docid, rank (from 0), score."""
-    depth = _depth.get() if depth is None else depth
     items = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     joined = items.join(parts, items.l_partkey == parts.p_partkey)
@@ -63,6 +42,11 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.join(suppliers.select("s_suppkey", "s_acctbal"), F.lit(True)).select("qid", F.lpad(F.col("s_suppkey").cast("string"), 6, "0").alias("docid"), grade.alias("grade"))
 
 
+def collection():
+    """Part types in two collections, by whether their names are of odd or even length."""
+    return F.when(F.length("qid") % 2 == 1, "odd").otherwise("even")
+
+
 RUNS_SQL = f"""
 sums AS (SELECT p_type AS qid, lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS docid, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS revenue,
   CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, count(*) AS orders, CAST(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS returned
@@ -73,32 +57,26 @@ qrels AS (SELECT qid, lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS docid, CAST(((
   FROM (SELECT DISTINCT p_type AS qid FROM part) CROSS JOIN supplier WHERE s_suppkey % 4 <> 0)
 """
 
-#: Opening words of an item in the queries that have SQL.
-QUERY_WORDS = 8
-#: ASCII words of more than one letter.
-WORDS = "[a-z0-9][a-z0-9]+"
-
-
-def words(text):
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({WORDS})"))
-
-
-def text_queries(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:
-    """qid, pos, term: the words of each benchmark item, or its first ones."""
+def text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, text of each benchmark item."""
     items = table(spark, sf_dir, "benchmark").where("item_id is not null")
-    own = words(F.col("text"))
-    return items.select(F.lpad(F.col("item_id").cast("string"), 6, "0").alias("qid"), F.posexplode(F.slice(own, 1, first) if first else own).alias("pos", "term"))
+    return items.select(F.lpad(F.col("item_id").cast("string"), 6, "0").alias("qid"), "text")
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """docid, pos, term of every document."""
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """docid, text of every document."""
     docs = table(spark, sf_dir, "documents").where("doc_id is not null")
-    return docs.select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("docid"), F.posexplode(words(F.col("text"))).alias("pos", "term"))
+    return docs.select(F.lpad(F.col("doc_id").cast("string"), 9, "0").alias("docid"), "text")
 
 
+_STOP = ", ".join(f"'{w}'" for w in STOPWORDS)
+TOKENS_SQL = f"list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) > 1 AND NOT list_contains([{_STOP}], x))"
+RAW_SQL = "regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')"
 TEXT_SQL = f"""
-qwords AS (SELECT lpad(CAST(item_id AS VARCHAR), 6, '0') AS qid, regexp_extract_all(lower(text), '{WORDS}')[1:{QUERY_WORDS}] AS w FROM benchmark),
-q AS (SELECT qid, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS term FROM qwords),
-dwords AS (SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS docid, regexp_extract_all(lower(text), '{WORDS}') AS w FROM documents),
-post AS (SELECT docid, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS term FROM dwords)
+items AS (SELECT lpad(CAST(item_id AS VARCHAR), 6, '0') AS qid, text, {TOKENS_SQL} AS w, {RAW_SQL} AS raw FROM benchmark),
+docs AS (SELECT lpad(CAST(doc_id AS VARCHAR), 9, '0') AS docid, text, {TOKENS_SQL} AS w, {RAW_SQL} AS raw FROM documents),
+q AS (SELECT qid, unnest(w) AS term FROM items),
+post AS (SELECT docid, unnest(w) AS term FROM docs),
+tf AS (SELECT docid, term, count(*) AS tf FROM post GROUP BY ALL), dl AS (SELECT docid, len(w) AS dl FROM docs),
+st AS (SELECT term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY term), tot AS (SELECT count(*) AS n, avg(dl) AS avg_dl, sum(dl) AS c FROM dl)
 """

@@ -8,7 +8,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def value(v) -> str:
     if v is None or v != v:
         return "null"
-    return f"{v:.7g}" if isinstance(v, float) else str(v)
+    return f"{v + 0.0:.7g}" if isinstance(v, float) else str(v)  # zeros have no sign
 
 
 def same(spark, query, sql: str, folder: str) -> None:

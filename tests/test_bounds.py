@@ -4,6 +4,8 @@ import itertools
 import random
 from fractions import Fraction
 
+import pytest
+
 from rankloom.operators import bounds, labs, statistics
 
 RANK, REL = "qid string, docid string, rank0 int", "qid string, docid string, grade int"
@@ -84,9 +86,26 @@ def test_scalar_interval(spark):
             continue
         assert got["feasible"] or not fits
         if got["feasible"]:
-            inside = [w for w in grid if w > Fraction(got["lower"]) + Fraction(1, 10**6) and (got["upper"] is None or w < Fraction(got["upper"]) - Fraction(1, 10**6))]
-            assert all(top(w) == head for w in inside)
-            assert all(w >= Fraction(got["lower"]) - Fraction(1, 10**6) and (got["upper"] is None or w <= Fraction(got["upper"]) + Fraction(1, 10**6)) for w in fits)
+            low = Fraction(got["lower_num"], got["lower_den"])
+            high = None if got["upper_num"] is None else Fraction(got["upper_num"], got["upper_den"])
+            inside = [w for w in grid if (w > low or w == low and not got["lower_strict"]) and (high is None or w < high or w == high and not got["upper_strict"])]
+            assert inside == fits
+            for end, who in ((low, "lower"), (high, "upper")):
+                if got[f"{who}_head"]:  # the pair that sets an end is equal there
+                    x, y = got[f"{who}_head"], got[f"{who}_excluded"]
+                    assert end * a.get(x, 0) + s.get(x, 0) == end * a.get(y, 0) + s.get(y, 0)
+
+
+def test_common_interval(spark):
+    kind = "qid string, lower_num bigint, lower_den bigint, lower_strict boolean, upper_num bigint, upper_den bigint, upper_strict boolean, feasible boolean"
+    one = lambda *rows: bounds.common_interval(spark.createDataFrame(rows, kind)).first()
+    a, b = ("a", 1, 3, False, 2, 1, False, True), ("b", 2, 6, True, 3, 2, False, True)
+    got = one(a, b, ("c", 0, 1, False, None, None, None, True))
+    assert (got["reason"], got["lower_qid"], got["lower_strict"], got["upper_qid"]) == ("feasible", "b", True, "b")
+    assert one(a, ("b", 5, 2, False, None, None, None, True))["reason"] == "empty_common"
+    assert one(a, ("b", 2, 1, False, None, None, None, True))["reason"] == "feasible"
+    assert one(a, ("b", 2, 1, True, None, None, None, True))["reason"] == "empty_common"
+    assert one(a, ("b", 0, 1, False, None, None, None, False))["reason"] == "query_infeasible"
 
 
 def test_published_laboratory_values(spark):
@@ -98,6 +117,18 @@ def test_published_laboratory_values(spark):
 def test_trace(spark):
     rows = [(r["step"], r["a"], r["b"], r["result"]) for r in labs.trace(spark, [("p", -3, 4, 2)]).orderBy("step").collect()]
     assert rows == [(0, -3, 4, None), (1, 1, -3, None), (2, -2, 1, False)]
+    with pytest.raises(Exception, match="more than 64 rounds"):
+        labs.trace(spark, [("p", 1, 1, 3), ("x", 1, 1, 65)]).collect()
+
+
+def test_votes_and_verifiers(spark):
+    answers = spark.createDataFrame([("p", "a", True, 1.0), ("p", "b", False, 3.0), ("p", "c", True, 1.0), ("q", "a", True, 1.0), ("q", "b", None, 9.0), ("r", "a", None, 1.0), ("s", "a", True, 1.0), ("s", "b", False, 1.0)], "program string, voter string, answer boolean, weight double")
+    got = {r["program"]: (r["majority"], r["weighted"], r["unanimous"]) for r in labs.votes(answers).collect()}
+    assert got == {"p": (True, False, None), "q": (True, True, True), "r": (None, None, None), "s": (None, None, None)}
+    seen = spark.createDataFrame([("v", "p", True, True), ("v", "q", False, True), ("v", "r", True, None), ("v", "s", True, False)], "verifier string, program string, valid boolean, accepted boolean")
+    assert tuple(labs.verifier_scores(seen).first()) == ("v", 4, 3, 0.25, 1, 1)
+    roots = labs.root_order(spark.createDataFrame([("x", i, v) for i, v in enumerate("babc")], "id string, place int, label string"))
+    assert [r["root"] for r in roots.orderBy("place").collect()] == [0, 1, 0, 2]
 
 
 def test_statistics(spark):

@@ -1,82 +1,107 @@
-"""Rankers for long queries against brute force, and the text workload's queries against the words of the items."""
+"""Rankers against brute force."""
 
 import math
-import os
 import random
 import re
 
 import pytest
 
+from rankloom.functions.text import STOPWORDS
 from rankloom.operators import rankers
-from rankloom.plans import queries, workloads
 
-FOLDER = "/root/testdata/sf0.001"
 RNG = random.Random(5)
 WORDS = [f"w{i}" for i in range(30)]
-TEXTS = {f"d{n}": [RNG.choice(WORDS) for _ in range(RNG.randint(1, 60))] for n in range(25)} | {"last": ["w28", "x", "w29"]}
-ITEMS = {"q1": WORDS, "q2": WORDS[::-1] + WORDS[:3], "q3": ["w1"]}
+TEXTS = {f"d{n:02d}": " ".join(RNG.choice(WORDS) for _ in range(RNG.randint(1, 60))) for n in range(25)} | {"d90": "w28 x w29", "d91": "The w1 of w2, w3: Éa éa!", "d92": "", "d93": None}
+ITEMS = {"q1": " ".join(WORDS), "q2": " ".join(WORDS[::-1] + WORDS[:3]), "q3": "w1", "q4": "w1 of W2", "q5": "the of", "q6": "éa w3 nowhere"}
 
 
 def rows(spark, texts, key):
-    return spark.createDataFrame([(k, i, w) for k, t in texts.items() for i, w in enumerate(t)], f"{key} string, pos int, term string")
+    return spark.createDataFrame(list(texts.items()), f"{key} string, text string")
 
 
 def scores(df):
     return {(r["qid"], r["docid"]): r["score"] for r in df.collect()}
 
 
+def tokens(text):
+    return [t for t in re.findall(r"[^\W_]+", (text or "").lower()) if len(t) > 1 and t not in STOPWORDS]
+
+
+def by_hand(part, norm=lambda x, t: x):
+    docs = {d: tokens(t) for d, t in TEXTS.items()}
+    n, c = len(docs), sum(map(len, docs.values()))
+    df = {w: sum(w in t for t in docs.values()) for t in docs.values() for w in t}
+    cf = {w: sum(t.count(w) for t in docs.values()) for w in df}
+    out = {}
+    for q, item in ITEMS.items():
+        for d, t in docs.items():
+            found = [w for w in tokens(item) if w in t]
+            if found:
+                out[q, d] = norm(sum(part(t.count(w), df[w], cf[w], len(t), n, c) for w in (tokens(item) if part is likelihood else found) if w in df), t)
+    return out
+
+
+def likelihood(tf, df, cf, dl, n, c):
+    return math.log((tf + 2000 * cf / c) / (dl + 2000))
+
+
+def test_lexical_rankers(spark):
+    c = rankers.Collection(rows(spark, ITEMS, "qid"), rows(spark, TEXTS, "docid"))
+    bm = lambda tf, df, cf, dl, n, total: math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl * n / total))
+    assert scores(rankers.bm25(c)) == pytest.approx(by_hand(bm), abs=1e-8)
+    assert scores(rankers.tfidf(c)) == pytest.approx(by_hand(lambda tf, df, cf, dl, n, total: (1 + math.log(tf)) * math.log(n / (df + 1)), lambda x, t: x / math.sqrt(len(t))), abs=1e-8)
+    assert scores(rankers.ql_dirichlet(c)) == pytest.approx(by_hand(likelihood), abs=1e-8)
+
+
+def test_sides_too_great_for_a_broadcast(spark, monkeypatch):
+    q, t = rows(spark, ITEMS, "qid"), rows(spark, TEXTS, "docid")
+    want = scores(rankers.bm25(rankers.Collection(q, t)))
+    monkeypatch.setattr(rankers, "ROWS", 0)
+    c = rankers.Collection(q, t)
+    assert scores(rankers.bm25(c)) == want and not c.few
+
+
 def near_by_hand(item, text):
-    at = {w: i for i, w in enumerate(dict.fromkeys(item))}
-    places = {w: [p for p, x in enumerate(text) if x == w] for w in at if w in text}
-    if not places:
-        return None
-    pairs = [(a, b) for a in places for b in places if at[a] < at[b]]
-    close = sum(1 / (1 + min(abs(x - y) for x in places[a] for y in places[b])) for a, b in pairs) / len(pairs) if pairs else 0
-    phrases = sum(any(x + 1 in places[b] for x in places[a]) for a, b in pairs if at[b] == at[a] + 1)
-    return 0.2 * len(places) / len(at) + 0.4 * close + 0.15 * sum(1 / (1 + p[0]) for p in places.values()) / len(places) + 0.25 * min(0.3 * phrases, 1)
-
-
-def test_proximity_of_long_queries(spark):
-    q, p = rows(spark, ITEMS, "qid"), rows(spark, TEXTS, "docid")
-    want = {(i, d): s for i, item in ITEMS.items() for d, text in TEXTS.items() if (s := near_by_hand(item, text)) is not None}
-    for candidates in (None, rankers.matching(q, p)):
-        assert scores(rankers.proximity(q, p, candidates)) == pytest.approx(want, abs=1e-9)
-    assert len(scores(rankers.proximity(q, p, depth=4))) == 12 - max(0, 4 - sum("w1" in t for t in TEXTS.values()))
-
-
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no supplied tables")
-def test_items_are_read_whole(spark):
-    def words(table, key):
-        return {r[key]: re.findall(workloads.WORDS, (r["text"] or "").lower()) for r in workloads.table(spark, FOLDER, table).where(f"{key} is not null").collect()}
-
-    items = {f"{k:06d}": w for k, w in words("benchmark", "item_id").items()}
-    texts = {f"{k:09d}": w for k, w in words("documents", "doc_id").items()}
-    assert max(map(len, items.values())) > workloads.QUERY_WORDS
-    n, avg = sum(map(bool, texts.values())), sum(map(len, texts.values())) / sum(map(bool, texts.values()))
-    df = {w: sum(w in t for t in map(set, texts.values())) for w in {w for i in items.values() for w in i}}
-    got = {}
-    for r in queries.queries()["whole_bm25"](spark, FOLDER).collect():
-        got.setdefault(r["qid"], {})[r["docid"]] = r["score"]
-    for qid, item in list(items.items())[:5]:
-        want = {d: sum(math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / avg)) for w in item if w in t) for d, t in texts.items() if set(item) & set(t)}
-        best = sorted(want, key=lambda d: (-round(want[d], 10), d))[:200]
-        assert got[qid] == pytest.approx({d: want[d] for d in best}, abs=1e-8)
-    for name in ("whole_proximity", "whole_bm25_tuned", "whole_tfidf", "whole_ql_dirichlet", "semantic_hash"):
-        assert {r["qid"] for r in queries.queries()[name](spark, FOLDER).select("qid").distinct().collect()} == {q for q, w in items.items() if w}
-
-
-@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no supplied tables")
-def test_reference_sizes(spark):
-    found = queries.queries()
-    deep = found["whole_permutation_control"](spark, FOLDER)
-    assert deep.select("rep").distinct().count() == 256
-    assert deep.where("rep = 0").count() == workloads.whole_runs(workloads.runs)(spark, FOLDER).count()
-    larger = FOLDER.replace("0.001", "0.01")
-    assert workloads.whole_runs(workloads.runs)(spark, larger).agg({"rank": "max"}).first()[0] >= workloads.DEPTH > workloads.runs(spark, larger).agg({"rank": "max"}).first()[0]
-    assert found["whole_bootstrap_ci"](spark, FOLDER).first()["low"] <= found["whole_bootstrap_ci"](spark, FOLDER).first()["high"]
-
-
-def test_semantic_hash_of_many_dimensions(spark):
-    q, p = rows(spark, {"q1": ["alpha", "beta"]}, "qid"), rows(spark, {"a": ["alpha", "beta"], "b": ["gamma", "alpha"]}, "docid")
-    got = scores(rankers.semantic_hash(q, p, rankers.matching(q, p), dims=256))
-    assert got[("q1", "a")] == pytest.approx(1) and got[("q1", "b")] < 0.95
+    text = text or ""
+    raw, terms = re.findall("[a-z0-9]+", text.lower()), list(dict.fromkeys(re.findall("[a-z0-9]+", item.lower())))
+    if not raw:
+        return 0.0
+    places = {w: [p for p, x in enumerate(raw) if x == w] for w in terms if w in raw}
+    m, pairs = len(terms), [(a, b) for i, a in enumerate(terms) for b in terms[i + 1 :]]
+    close = sum(1 / (1 + min(abs(x - y) for x in places[a] for y in places[b])) for a, b in pairs if a in places and b in places) / max(len(pairs), 1)
+    early = sum(1 / (1 + p[0]) for p in places.values()) / m
+    phrase = 0.0
+    if m > 1:
+        phrase = 1.0 if item.lower() in text.lower() else 0.3 * sum(f"{a} {b}" in text.lower() for a, b in zip(terms, terms[1:]))
+    return 0.2 * len(places) / m + 0.4 * close + 0.15 * early + 0.25 * min(phrase, 1)
+
+
+def test_rankers_of_candidates(spark):
+    q, t = rows(spark, ITEMS, "qid"), rows(spark, TEXTS, "docid")
+    pairs = [(a, b) for a in ITEMS for b in TEXTS]
+    candidates = spark.createDataFrame(pairs, "qid string, docid string")
+    assert scores(rankers.proximity(q, t, candidates)) == pytest.approx({(a, b): near_by_hand(ITEMS[a], TEXTS[b]) for a, b in pairs}, abs=1e-8)
+    got = scores(rankers.semantic_hash(q, t, candidates))
+    assert set(got) == set(pairs) and got["q3", "d92"] == 0 and max(got.values()) <= 1 + 1e-9
+    assert scores(rankers.semantic_hash(q, rows(spark, {"x": ITEMS["q1"].upper()}, "docid"), spark.createDataFrame([("q1", "x")], "qid string, docid string")))["q1", "x"] == pytest.approx(1)
+
+
+def test_bigrams_by_hand(spark):
+    from collections import Counter
+
+    q, t = rows(spark, ITEMS, "qid"), rows(spark, TEXTS, "docid")
+    pairs = [(a, b) for a in ITEMS for b in TEXTS if (len(a + b) + int(b[1:])) % 3]
+    got = scores(rankers.bigram_cosine(q, t, spark.createDataFrame(pairs, "qid string, docid string")))
+    feats = lambda x: Counter(tokens(x) + [f"{a}_{b}" for a, b in zip(tokens(x), tokens(x)[1:])])
+    want = {}
+    for a in ITEMS:
+        own = [b for x, b in pairs if x == a]
+        every = [feats(ITEMS[a]), *(feats(TEXTS[b]) for b in own)]
+        df = Counter(f for e in every for f in e)
+        n = len(every)
+        fit = {f for f in df if 2 <= df[f] < 0.95 * n} or set(df)
+        vec = [{f: (1 + math.log(c)) * math.log(n / (df[f] + 1)) for f, c in e.items() if f in fit} for e in every]
+        norm = [math.sqrt(sum(x * x for x in v.values())) for v in vec]
+        for b, v, m in zip(own, vec[1:], norm[1:]):
+            want[a, b] = sum(x * vec[0].get(f, 0) for f, x in v.items()) / (m * norm[0]) if m * norm[0] else 0.0
+    assert got == pytest.approx(want, abs=1e-8)
