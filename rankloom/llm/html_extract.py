@@ -1,7 +1,8 @@
-"""Main text of web pages: markup first, then a host suffix array for what markup leaves in doubt.
+"""Main text of web pages: markup, and a host suffix array for what repeats over pages.
 
-1. A page's tags are matched and its subtrees of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments dropped, by element, role, class or id. If there is an article or main element only what is inside counts. The rest is cut into blocks at block elements.
-2. Blocks that markup vouches for (paragraphs, headings, lists, quotations and the like inside an article or main element) stay. Of everything else (what was dropped, with negative block numbers; bare divisions; all blocks of a page without such an element) the token streams of a host's pages are concatenated, in groups of pages of bounded size, and sorted by their suffixes; suffixes that share LENGTH tokens are neighbours then. A shared beginning counts in how many distinct pages it stands; groups are summed up by key, so a host with a third of all pages is many groups. Beginnings on at least PAGES pages and a SHARE of the host's pages are boilerplate, learned from dropped and doubtful blocks alike: the tokens of doubtful blocks that they cover are removed, the runs between them stay. A block shorter than LENGTH is compared as a whole.
+1. A page's tags are matched and its subtrees of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments dropped, by element, role, class or id. If there is an article or main element only what is inside counts. The rest is cut into blocks at block elements. Inside an article a class or id marks an element only as a whole name (perhaps with a fixed affix), and names with other meanings (AMBIGUOUS) only if a third of the element's text is links.
+2. Blocks that markup vouches for (paragraphs, headings, lists, quotations and the like inside an article or main element) are compared as wholes. Of everything else (what was dropped, with negative block numbers; bare divisions; all blocks of a page without such an element) the token streams of a host's pages are concatenated, in groups of pages of bounded size, and their suffixes sorted, with the length of each common prefix of neighbours. Substrings of LENGTH tokens and of LONG tokens that several suffixes share count in how many distinct pages they stand; groups are summed up by key, so a host with a third of all pages is many groups.
+3. A substring repeats if it has LONG tokens and stands on PAGES pages, or LENGTH tokens and stands on a SHARE of the host's pages too; a whole block of any length if it stands on PAGES pages and a BLOCK_SHARE of the host's, one that markup vouches for on VOUCHED_PAGES and half of the host's. What repeats is removed from a page where it stands on at least PAGES times as many pages as the least shared fifth of the page's text does: so copies of an article, in which everything is shared alike, stay, whatever their markup, and a notice in them goes. Unique runs between stay.
 
 Defined results: null html is empty and gives an empty text; a null url is a host of its own. Rows that repeat get the same text each and count as one page. Character references are decoded also without semicolon, as browsers do. An element that is never closed is dropped to where a browser ends it: p at the next block element, li, dd, dt, td and tr at the next of their kind, and these and all others at the end of their parent, or at the next article or main element or the end of the page if no parent is closed. An empty table gives no rows. Pages are read whole.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +23,8 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import materialize, skew_join, small_batches, table
 
-LENGTH, PAGES, SHARE, GROUP_TOKENS, BROADCAST_ROWS = 6, 3, 0.2, 1 << 19, 50_000
+LENGTH, LONG, PAGES, SHARE, BLOCK_SHARE, VOUCHED_PAGES, LEAST_SHARED = 6, 20, 3, 0.2, 0.005, 10, 0.2
+GROUP_TOKENS, BROADCAST_ROWS = 1 << 19, 50_000
 #: Fixed names of HTML elements.
 DROP = frozenset("head title script style noscript template nav footer aside form button select option textarea iframe svg canvas object embed applet menu dialog audio video map".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -34,12 +37,47 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}} | dict.fromkeys
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Fixed words that mark an element as not of the article, as whole parts of a class or id.
 MARKS = frozenset("ad ads adsense advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments respond disqus replies social share sharing related recommended recommendations widget toolbar masthead copyright searchbox".split())
+#: Of them those with other meanings: dropped inside an article only if they are full of links.
+AMBIGUOUS = frozenset("menu related share sharing social recommended recommendations".split())
+#: Fixed words that may stand beside them in a class or id.
+AFFIXES = frozenset("area articles bar block bottom box button buttons container content desktop form group header heading icons inline inner items js left links list main mobile outer panel posts right section slot small stories text title top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|<[!?/a-zA-Z][^<>]*\Z""", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PARTS = re.compile(r"[a-z]+")
 
 
+def _names(value: str) -> set[str]:
+    """The marks that are names of their own in a class or id, perhaps with fixed affixes."""
+    found = set()
+    for token in value.split():
+        parts = re.split(r"[-_]+", token)
+        marks = MARKS.intersection(parts)
+        if marks and all(x in MARKS or x in AFFIXES or not x or x.isdigit() for x in parts):
+            found |= marks
+    return found
+
+
+LINK = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.S | re.I)
+
+
+def _full_of_links(part: str) -> bool:
+    words = lambda x: len(TAG.sub(" ", x).split())
+    return 3 * sum(words(m) for m in LINK.findall(part)) >= words(part)
+
+
+def _only_ambiguous(attributes: str) -> bool:
+    """Whether only names with other meanings mark an element of an article."""
+    for key, value in NAMED.findall(attributes):
+        key, value = key.lower(), value.strip("\"'").lower()
+        if key in ("class", "id"):
+            if _names(value) - AMBIGUOUS:
+                return False
+        elif _marked("", f'{key}="{value}"', True):
+            return False
+    return True
+
+
 def _marked(name: str, attributes: str, inside: bool) -> bool:
     """Whether an element's attributes say that it isn't of the article."""
     if not attributes or name in ("html", "body", "main"):
@@ -47,8 +85,12 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
     for key, value in NAMED.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
+            if inside:
+                if _names(value):
+                    return True
+                continue
             parts = PARTS.findall(value)
-            if MARKS.intersection(parts) or not inside and "header" in parts:
+            if MARKS.intersection(parts) or "header" in parts:
                 return True
         elif key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -99,8 +141,10 @@ def blocks(page: str, dropped: list[str] | None = None) -> list[tuple[str, bool]
     close, ended = _ends([(t[2], t[3]) for t in tags])
     roots = [i for i, t in enumerate(tags) if not t[2] and t[3] == "article" and not _marked(t[3], t[4], True)] or [i for i, t in enumerate(tags) if not t[2] and (t[3] == "main" or re.search(r"role\s*=\s*[\"']?main\b", t[4]))]
     spans = [(i, close[i]) for i, t in enumerate(tags) if roots and i in close and t[3] not in ("article", "main") and (t[3] in DROP or t[3] == "header" or _marked(t[3], t[4], False))]
-    free = [r for r in roots if not any(a < r < b for a, b in spans)]
-    around = set() if free else {a for a, b in spans if any(a < r < b for r in roots)}  # marked, but all there is of the article is inside
+    starts_of, reach = [a for a, _ in spans], np.maximum.accumulate([b for _, b in spans]) if spans else []
+    covered = lambda r: (n := bisect_left(starts_of, r)) > 0 and reach[n - 1] > r
+    free = [r for r in roots if not covered(r)]
+    around = set() if free else {a for a, b in spans if bisect_right(roots, a) < bisect_left(roots, b)}  # marked, but all there is of the article is inside
     roots = free or roots
     starts = set(roots)
     out: list[tuple[str, bool]] = []
@@ -122,7 +166,7 @@ def blocks(page: str, dropped: list[str] | None = None) -> list[tuple[str, bool]
         at = end
         if i <= skip_to or not name:
             continue
-        if not closing and name not in VOID and i not in starts and i not in around and (name in DROP or name == "header" and not inside or _marked(name, attributes, bool(inside))):
+        if not closing and name not in VOID and i not in starts and i not in around and (name in DROP or name == "header" and not inside or _marked(name, attributes, bool(inside)) and not (inside and _only_ambiguous(attributes) and not _full_of_links(page[end : tags[close[i]][0] if i in close else tags[ended[i]][0] if i in ended else len(page)]))):
             if name in BLOCKS or name in ("title", "head"):
                 flush()
             if i in close:
@@ -165,115 +209,135 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _hashes(block: str) -> list[int]:
-    return [xxhash.xxh64_intdigest(w) >> 2 for w in block.split()]
+def _hashes(block: str) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w) >> 2 for w in block.split()), np.int64)
+
+
+WINDOW, LONG_WINDOW, WHOLE = 0, 1, 2
 
 
-def _doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _key(place: str, kind: int, tokens: np.ndarray) -> int:
+    """The key of a substring (kind WINDOW or LONG_WINDOW) or whole block of a host."""
+    return xxhash.xxh64_intdigest(tokens.tobytes(), xxhash.xxh32_intdigest(place, kind)) - (1 << 63)
+
+
+def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, key, block, sure, whole (the whole block's key) and tokens (none for blocks that markup vouches for) of the blocks of pages."""
     for b in batches:
-        out = [[] for _ in range(4)]
+        out = [[] for _ in range(6)]
         for key, url, page in zip(b.column("key").to_pylist(), b.column("url").to_pylist(), b.column("html")):
             dropped: list[str] = []
             kept = blocks(page.as_py(), dropped)
-            for n, block in [*((n, x) for n, (x, sure) in enumerate(kept) if not sure), *((-1 - n, x) for n, x in enumerate(dropped))]:
-                for col, v in zip(out, (host(url), key, n, _hashes(block))):
+            place = host(url)
+            for n, block, sure in [*((n, x, sure) for n, (x, sure) in enumerate(kept)), *((-1 - n, x, False) for n, x in enumerate(dropped))]:
+                tokens = _hashes(block)
+                for col, v in zip(out, (place, key, n, sure, _key(place, WHOLE, tokens), [] if sure else tokens)):
                     col.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.string(), pa.int64(), pa.int32(), pa.list_(pa.int64())))], ["host", "key", "block", "tokens"])
-
-
-def suffix_classes(tokens: np.ndarray, length: int) -> np.ndarray:
-    """The rank of each suffix by its first tokens (length or more of them), by prefix doubling; equal ranks share them."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    done = 1
-    while done < length:
-        step = min(done, length - done)
-        after = np.full(len(rank), -1, np.int64)
-        after[:-step] = rank[step:]
-        order = np.lexsort((after, rank))
-        new = np.r_[True, (rank[order][1:] != rank[order][:-1]) | (after[order][1:] != after[order][:-1])]
-        rank = np.empty_like(rank)
-        rank[order] = np.cumsum(new) - 1
-        done += step
-    return rank
-
-
-def _windows(tokens: list[int], length: int = LENGTH) -> list[int]:
-    """A key for each window, as used for joins."""
-    n = min(length, len(tokens))
-    whole = 0 if len(tokens) >= length else len(tokens)
-    return [xxhash.xxh64_intdigest(np.array([whole, *tokens[i : i + n]], np.int64).tobytes()) - (1 << 63) for i in range(len(tokens) - n + 1)]
+        kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["host", "key", "block", "sure", "whole", "tokens"])
+
+
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes in order, and the length of the prefix that each has in common with the one before (0 for the first). By prefix doubling until all differ; common lengths from the ranks of all doublings, longest first."""
+    n = len(tokens)
+    levels = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)]
+    while n and levels[-1].max() < n - 1:
+        rank, step = levels[-1], 1 << (len(levels) - 1)
+        after = np.full(n, -1, np.int64)
+        after[: n - step] = rank[step:]
+        levels.append(np.unique(rank * (n + 1) + after + 1, return_inverse=True)[1].astype(np.int64))
+    order = np.argsort(levels[-1], kind="stable")
+    common = np.zeros(n, np.int64)
+    a, b = order[:-1], order[1:]
+    same = np.zeros(max(n - 1, 0), np.int64)
+    for level in range(len(levels) - 1, -1, -1):
+        size = 1 << level
+        i, j = a + same, b + same
+        inside = np.maximum(i, j) + size <= n
+        equal = np.zeros(len(same), bool)
+        equal[inside] = levels[level][i[inside]] == levels[level][j[inside]]
+        same += size * equal
+    common[1:] = same
+    return order, common
 
 
 def _shared(rows: pd.DataFrame) -> pd.DataFrame:
-    """One group of pages of a host: its windows' keys and in how many of the pages each stands, from the suffix array of the concatenated streams."""
+    """One group of pages of a host: keys of the substrings of LENGTH and of LONG tokens, and in how many of the pages each stands, from the suffix array of the concatenated streams."""
     rows = rows.sort_values(["key", "block"])
-    stream, page, starts, ends = [], [], [], []
-    for i, (key, tokens) in enumerate(zip(rows["key"], rows["tokens"])):
-        starts.append(len(stream))
-        stream += [*map(int, tokens), -1 - i]  # each end is unlike all others
-        page += [key] * (len(tokens) + 1)
-        ends.append(len(stream) - 1)
-    stream_a, page_a = np.array(stream, np.int64), np.array(page, np.int64)
-    rank = suffix_classes(stream_a, LENGTH)
-    left = np.repeat(np.array(ends), np.array(ends) - np.array(starts) + 1) - np.arange(len(stream))
-    good = np.flatnonzero(left >= LENGTH)
-    order = good[np.lexsort((page_a[good], rank[good]))]
-    new = np.r_[True, rank[order][1:] != rank[order][:-1]] if len(order) else np.empty(0, bool)
-    first = np.flatnonzero(new)
-    other = new | np.r_[True, page_a[order][1:] != page_a[order][:-1]] if len(order) else new
-    pages = np.add.reduceat(other.astype(np.int64), first) if len(first) else np.empty(0, np.int64)
-    keys = [_windows(stream_a[order[f] : order[f] + LENGTH].tolist())[0] for f in first]
-    short: dict[int, set[int]] = {}
-    for key, tokens in zip(rows["key"], rows["tokens"]):
-        if 0 < len(tokens) < LENGTH:
-            short.setdefault(_windows([*map(int, tokens)])[0], set()).add(key)
-    keys += list(short)
-    counts = [*pages.tolist(), *(len(x) for x in short.values())]
-    return pd.DataFrame({"host": rows["host"].iloc[0], "window": pd.Series(keys, dtype="int64"), "pages": pd.Series(counts, dtype="int64")})
+    place = rows["host"].iloc[0]
+    parts = [np.asarray(t, np.int64) for t in rows["tokens"]]
+    sizes = np.array([len(t) + 1 for t in parts])
+    stream = np.concatenate([x for i, t in enumerate(parts) for x in (t, np.array([-1 - i]))])  # each end is unlike all others
+    page = np.repeat(rows["key"].to_numpy(np.int64), sizes)
+    left = np.repeat(np.cumsum(sizes) - 1, sizes) - np.arange(len(stream))  # tokens to the block's end
+    order, common = suffix_array(stream)
+    keys, kinds, counts = [], [], []
+    for kind, length in ((WINDOW, LENGTH), (LONG_WINDOW, LONG)):
+        of = np.cumsum(common < length)  # suffixes that share so many tokens stand together
+        good = left[order] >= length
+        at, of = order[good], of[good]
+        if not len(at):
+            continue
+        by = np.lexsort((page[at], of))
+        at, of = at[by], of[by]
+        new = np.r_[True, of[1:] != of[:-1]]
+        other = new | np.r_[True, page[at][1:] != page[at][:-1]]
+        first = np.flatnonzero(new)
+        counts += np.add.reduceat(other.astype(np.int64), first).tolist()
+        keys += [_key(place, kind, stream[i : i + length]) for i in at[first].tolist()]
+        kinds += [kind] * len(first)
+    return pd.DataFrame({"host": place, "kind": pd.Series(kinds, dtype="int32"), "window": pd.Series(keys, dtype="int64"), "pages": pd.Series(counts, dtype="int64")})
 
 
 def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The places of all substrings and whole blocks."""
     for b in batches:
         out = []
-        for h, key, block, tokens in zip(b["host"], b["key"], b["block"], b["tokens"]):
-            tokens = [*map(int, tokens)]
-            for i, w in enumerate(_windows(tokens)):
-                out.append((h, key, block, i, min(LENGTH, len(tokens)), w))
-        yield pd.DataFrame(out, columns=["host", "key", "block", "at", "size", "window"])
+        for place, key, block, whole, tokens in zip(b["host"], b["key"], b["block"], b["whole"], b["tokens"]):
+            tokens = np.asarray(tokens, np.int64)
+            out.append((key, block, 0, -1, whole))
+            for kind, length in ((WINDOW, LENGTH), (LONG_WINDOW, LONG)):
+                out += [(key, block, i, length, _key(place, kind, tokens[i : i + length])) for i in range(len(tokens) - length + 1)]
+        yield pd.DataFrame(out, columns=["key", "block", "at", "size", "window"]).astype({"block": "int32", "at": "int32", "size": "int32"})
 
 
-def boilerplate(pages: DataFrame, share: float = SHARE) -> DataFrame:
-    """pages(key, url, html) to key and spans (array of block, at, size) that repeat over the host's pages."""
+def repeats(pages: DataFrame, share: float = SHARE) -> DataFrame:
+    """pages(key, url, html) to key and spans (array of block, at, size (-1: the whole block), pages) that repeat over the host's pages."""
     small_batches(pages.sparkSession)
     host_of = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     sizes = pages.groupBy(host_of.alias("host")).agg(F.count(F.lit(1)).alias("n_pages"))
-    rows = materialize(pages.mapInArrow(_doubtful, "host string, key bigint, block int, tokens array<bigint>"), "doubtful")
-    n = rows.count()
-    groups = rows.groupBy("host").agg(F.ceil(F.sum(F.size("tokens") + 1) / GROUP_TOKENS).cast("int").alias("groups"))
-    dealt = skew_join(rows, groups, "host", n, "inner").withColumn("group", F.pmod(F.xxhash64("key"), F.col("groups").cast("bigint")))
-    shared = dealt.groupBy("host", "group").applyInPandas(_shared, "host string, window bigint, pages bigint")
-    often = shared.groupBy("host", "window").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES)
-    often = often.join(sizes, "host").where(F.col("pages") >= F.col("n_pages") * share).select("host", "window")
-    spread = rows.where("block >= 0").mapInPandas(_spread, "host string, key bigint, block int, at int, size int, window bigint")
-    found = spread.join(often, ["host", "window"]).groupBy("key").agg(F.collect_set(F.struct("block", "at", "size")).alias("spans"))
-    return found
+    rows = materialize(pages.mapInArrow(_streams, "host string, key bigint, block int, sure boolean, whole bigint, tokens array<bigint>"), "streams")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("tokens")).alias("tokens")).first()
+    some = rows.where(F.size("tokens") >= LENGTH).select("host", "key", "block", "tokens")
+    groups = some.groupBy("host").agg(F.ceil(F.sum(F.size("tokens") + 1) / GROUP_TOKENS).cast("int").alias("groups"))
+    dealt = skew_join(some, groups, "host", total["n"], "inner").withColumn("group", F.pmod(F.xxhash64("key"), F.col("groups").cast("bigint")))
+    shared = dealt.groupBy("host", "group").applyInPandas(_shared, "host string, kind int, window bigint, pages bigint")
+    inner = shared.groupBy("host", "kind", "window").agg(F.sum("pages").alias("pages"))
+    wholes = rows.groupBy("host", "whole", "key").agg(F.max("sure").alias("sure")).groupBy("host", F.col("whole").alias("window")).agg(F.count(F.lit(1)).alias("pages"), F.max("sure").alias("sure"))
+    inner = inner.where(F.col("pages") >= PAGES).join(sizes, "host").where((F.col("kind") == LONG_WINDOW) | (F.col("pages") >= F.col("n_pages") * share))
+    least = F.when(F.col("sure"), F.greatest(F.lit(VOUCHED_PAGES), F.col("n_pages") / 2)).otherwise(F.col("n_pages") * BLOCK_SHARE)
+    wholes = wholes.where(F.col("pages") >= PAGES).join(sizes, "host").where(F.col("pages") >= least)
+    often = materialize(inner.select("window", "pages").unionByName(wholes.select("window", "pages")).groupBy("window").agg(F.max("pages").alias("pages")), "often")
+    spread = rows.where("block >= 0").mapInPandas(_spread, "key bigint, block int, at int, size int, window bigint")
+    found = skew_join(spread, often, "window", 2 * (total["tokens"] or 0) + total["n"], "inner")
+    return found.groupBy("key").agg(F.collect_set(F.struct("block", "at", "size", "pages")).alias("spans"))
 
 
 def _text(page: str, spans) -> str:
-    """Blocks joined by line ends, without the spans."""
-    kept = blocks(page)
+    """Blocks joined by line ends, without the spans that stand on many more pages than the least shared of the page's text."""
+    kept = [x for x, _ in blocks(page)]
     if not spans:
-        return "\n".join(x for x, _ in kept)
-    cover: dict[int, set[int]] = {}
+        return "\n".join(kept)
+    words = [x.split() for x in kept]
+    pages = [np.ones(len(x), np.int64) for x in words]
     for s in spans:
-        cover.setdefault(s["block"], set()).update(range(s["at"], s["at"] + s["size"]))
-    out = []
-    for n, (block, _) in enumerate(kept):
-        if n in cover:
-            block = " ".join(w for i, w in enumerate(block.split()) if i not in cover[n])
-        if block:
-            out.append(block)
-    return "\n".join(out)
+        if s["block"] < len(pages):
+            part = pages[s["block"]][s["at"] : s["at"] + s["size"] if s["size"] >= 0 else None]
+            np.maximum(part, s["pages"], out=part)
+    every = np.sort(np.concatenate(pages))
+    least = PAGES * every[int(len(every) * LEAST_SHARED)]
+    out = (" ".join(w for w, n in zip(x, p.tolist()) if n < least) if (p >= least).any() else t for t, x, p in zip(kept, words, pages))
+    return "\n".join(x for x in out if x)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -281,10 +345,10 @@ def extract(pages: DataFrame) -> DataFrame:
     small_batches(pages.sparkSession)
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("key", F.xxhash64("page_id", "url", "html"))
-    spans = materialize(boilerplate(rows.select("key", "url", "html").where("html <> ''")), "spans")
+    spans = materialize(repeats(rows.select("key", "url", "html").where("html <> ''")), "spans")
     small = spans.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.size("spans"))).first()
     side = F.broadcast(spans) if small[0] <= BROADCAST_ROWS and (small[1] or 0) <= 20 * BROADCAST_ROWS else spans
-    both = rows.join(side, "key", "left") if small[0] else rows.withColumn("spans", F.lit(None).cast("array<struct<block:int,at:int,size:int>>"))
+    both = rows.join(side, "key", "left") if small[0] else rows.withColumn("spans", F.lit(None).cast("array<struct<block:int,at:int,size:int,pages:bigint>>"))
     kind = dict(rows.dtypes)["page_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

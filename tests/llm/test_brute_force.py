@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from rankloom.llm import bpe, decontam, packing, simhash
+from rankloom.llm import bpe, decontam, packing, simhash, toxicity
 
 CLASHING = ["id_", "of_", "row", "id", "of", "first", "group", "first_", "text_", "of_text", "score", "predicted"]
 
@@ -150,3 +150,30 @@ def test_very_long_white_space(spark):
     for i, t in enumerate(texts):
         ids = [x for _, part in sorted(got[i].items()) for x in part]
         assert own.decode(ids) == t
+
+
+# toxicity
+
+
+def test_sample_by_row(spark, monkeypatch):
+    """A text on most rows neither vanishes from the sample nor floods it, and kept columns may be named like results."""
+    monkeypatch.setattr(toxicity, "UNLABELLED", 400)
+    monkeypatch.setattr(toxicity, "POSITIVES", 50)
+    seen = {}
+    monkeypatch.setattr(toxicity, "train", lambda p, u, prior: seen.update(p=p, u=u, prior=prior))
+    rows = [(i, "always the same words" if i % 3 else ("zorg " if i % 4 == 0 else "") + f"own{i} words") for i in range(3000)]
+    df = clashing(spark, rows)
+    labels = spark.createDataFrame([(i, int("zorg" in t)) for i, t in rows if i % 2 == 0], "doc_id bigint, toxic int")
+    toxicity.fit(df, labels)
+    same = sum("always" in f for f in seen["u"]) / len(seen["u"])
+    assert 300 < len(seen["u"]) < 500 and 0.55 < same < 0.78 and any("zorg" in f for f in seen["u"])
+    assert 30 < len(seen["p"]) < 75 and all("zorg" in f for f in seen["p"])
+    assert abs(seen["prior"] - sum("zorg" in t for i, t in rows if i % 2 == 0) / 1500) < 1e-9
+    got = toxicity.score(df, toxicity.Classifier({"zorg": 3.0}, -1.0), "doc_id", "score", "row")
+    assert got.columns == ["doc_id", "score_", "row", "score", "predicted"]
+    assert {r["doc_id"] for r in got.where("predicted = 1").collect()} == {i for i, t in rows if "zorg" in t}
+
+
+def test_long_and_repeated_toxic_texts():
+    m = toxicity.Classifier({"zorg": 3.0, "zorg~": 1.0}, -1.0)
+    assert m.score("word " * 200_000 + "zorg") == m.score("zorg " * 50_000) > 0.9 > m.score("")

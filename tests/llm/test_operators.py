@@ -442,12 +442,57 @@ def test_elements_without_end_tag():
     assert kept('<div><article><p>a</div><p>b</article><p>no') == ["a", "b"]
 
 
-def test_suffix_classes():
+def test_suffix_array():
     rng = np.random.default_rng(0)
-    tokens = rng.integers(0, 3, 200)
-    rank = html_extract.suffix_classes(tokens, 6)
-    for i, j in itertools.combinations(range(195), 2):
-        assert (rank[i] == rank[j]) == (tokens[i : i + 6].tolist() == tokens[j : j + 6].tolist())
+    for n, k in ((0, 1), (1, 1), (2, 1), (60, 1), (200, 3), (300, 40)):
+        tokens = rng.integers(0, k, n)
+        order, common = html_extract.suffix_array(tokens)
+        suffixes = sorted(range(n), key=lambda i: tokens[i:].tolist())
+        assert order.tolist() == suffixes
+        for at in range(1, n):
+            a, b = tokens[suffixes[at - 1] :].tolist(), tokens[suffixes[at] :].tolist()
+            same = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+            assert common[at] == same
+
+
+def test_shared_substrings_by_hand(monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(4)
+    monkeypatch.setattr(html_extract, "LENGTH", 3)
+    monkeypatch.setattr(html_extract, "LONG", 5)
+    rows = pd.DataFrame([("h", i // 2, i % 2, [rng.randrange(3) for _ in range(rng.randrange(12))]) for i in range(16)], columns=["host", "key", "block", "tokens"])
+    got = {(r.kind, r.window): r.pages for r in html_extract._shared(rows).itertuples()}
+    want = {}
+    for kind, length in ((0, 3), (1, 5)):
+        for _, key, _, tokens in rows.itertuples(index=False):
+            for i in range(len(tokens) - length + 1):
+                want.setdefault((kind, html_extract._key("h", kind, np.array(tokens[i : i + length], np.int64))), set()).add(key)
+    assert got == {k: len(v) for k, v in want.items()}
+
+
+def test_copies_of_articles_stay(spark):
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice("abcdefghij") + str(rng.randint(0, 9999)) for _ in range(n))
+    article, notice, menu = words(60), words(25), words(8)
+    rows = [(i, f"http://small.example/{i}", f"<body><div>{article}</div></body>") for i in range(3)] + [(3, "http://small.example/x", f"<div>{words(9)}</div>")]
+    # an article on three pages among many, each with the host's notice; the notice goes, the article stays
+    rows += [(10 + i, f"http://large.example/{i}", f"<body><div>{menu}</div><div>{notice}</div><div>{article if i < 3 else words(40)}</div></body>") for i in range(30)]
+    # a paragraph that markup vouches for, on all pages of a host
+    rows += [(50 + i, f"http://news.example/{i}", f"<article><p>{words(30)}</p><p>{notice}</p></article>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(pages_of(spark, rows)).collect()}
+    assert all(got[i] == article for i in range(3)) and all(got[10 + i] == article for i in range(3))
+    assert all(notice not in got[10 + i] and menu not in got[10 + i] and len(got[10 + i].split()) == 40 for i in range(3, 30))
+    assert all(notice not in got[50 + i] and len(got[50 + i].split()) == 30 for i in range(12))
+
+
+def test_words_in_class_names():
+    kept = lambda x: [b for b, _ in html_extract.blocks(x)]
+    assert kept('<article><div class="social-science">a b</div><p class="noticeable">c</p></article>') == ["a b", "c"]
+    assert kept('<article><div class="related">see also the text</div><div class="related-posts"><a href="x">one two</a> and</div></article>') == ["see also the text"]
+    assert kept('<article><p>a</p><div class="ad-slot-3">buy</div><div class="comments_list">no</div></article>') == ["a"]
+    listing = "<div class=nav>" * 3 + "".join(f"<article><p>t{i}</p></article><div class='ad'>x</div>" for i in range(3000))
+    assert len(kept(listing)) == 3000
 
 
 def test_host_boilerplate(spark, monkeypatch):
@@ -507,6 +552,27 @@ def test_licences(spark):
     assert license_scan.scan(files.limit(0)).count() == 0
 
 
+def test_real_licences(spark):
+    ts = license_scan.TEMPLATES
+    wrapped = lambda t, c: "\n".join(f"{c} {' '.join(t.split()[i : i + 9])}" for i in range(0, len(t.split()), 9))
+    rows = [
+        ("mit", "a/LICENSE", "MIT License\n\nCopyright (c) 2019 Some Body and others\n\n" + wrapped(ts["MIT"][1].removeprefix("MIT License "), "")),
+        ("spdx", "a/x.c", "// SPDX-License-Identifier: MIT\n" + "int main and much more code of its own " * 9),
+        ("spdx2", "b/x.c", "/* SPDX-License-Identifier: GPL-2.0-only */"),
+        ("bsd3", "c/COPYING", "Copyright 2001 The People\n" + wrapped(ts["BSD-3-Clause"][1], "")),
+        ("bsd2", "d/COPYING", "Copyright 2001 The People\n" + wrapped(ts["BSD-2-Clause"][0], "")),
+        ("apache", "e/x.py", "# Copyright 2020 Foo Inc.\n" + wrapped(ts["Apache-2.0"][1], "#") + "\n\nimport os\n" + "words of code " * 3000),
+        ("gpl2", "f/x.c", wrapped(ts["GPL-2.0"][0], " *") + "\ncode"),
+        ("gpl3", "g/x.c", wrapped(ts["GPL-3.0"][0], "//") + "\ncode"),
+        ("under", "a/y.c", "code of its own"),
+        ("rows", "a/y.c", "code of its own"),
+        ("prose", "h/a.txt", "he lost his licence when " + "the words went on and on in other ways " * 20000),
+    ]
+    files = spark.createDataFrame([(*r, None) for r in rows], "key string, path string, text string, is_licence_file boolean")
+    got = {r["key"]: (r["licence"], r["evidence"]) for r in license_scan.scan(files).collect()}
+    assert got == {"mit": ("MIT", "licence file"), "spdx": ("MIT", "header"), "spdx2": ("GPL-2.0", "licence file"), "bsd3": ("BSD-3-Clause", "licence file"), "bsd2": ("BSD-2-Clause", "licence file"), "apache": ("Apache-2.0", "header"), "gpl2": ("GPL-2.0", "licence file"), "gpl3": ("GPL-3.0", "licence file"), "under": ("MIT", "inherited"), "rows": ("MIT", "inherited"), "prose": (None, "none")}
+
+
 # shared helpers
 
 
