@@ -4,7 +4,7 @@ A linear classifier is trained in numpy from confirmed toxic texts P and unlabel
 
 Features of a text are its distinct lower-case words and their beginnings of STEMS letters. Those count that confirmed texts have significantly more often than unlabelled ones (Z standard deviations).
 
-Training takes a bounded sample, on the driver: at most POSITIVES confirmed and UNLABELLED other rows, by a hash of the text. The prior is the toxic share of all labelled training rows. Scoring reads every whole text, in Arrow batches.
+Training takes a bounded sample: at most about POSITIVES confirmed rows and UNLABELLED rows of all, confirmed ones among them, as the estimator asks. Both are drawn by a hash of the row (rows without id are not drawn), before any text is moved: unlabelled rows by a filter of the scan, confirmed ones by a broadcast of their bounded ids. Their features are computed where the texts lie, and only those, not the texts, reach the driver. The prior is the toxic share of all labelled training rows. Scoring reads every whole text, in Arrow batches.
 
 Defined results: null text counts as empty; a text without features has the score of the bias alone. Without confirmed rows all scores are 0. A row with several labels is toxic if one of them says so; a null label says nothing. Repeated rows get the same row twice; an empty table gives no rows.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import fold, small_batches, table
 
-POSITIVES, UNLABELLED, STEMS, Z, LEAST = 3000, 9000, (8,), 6.0, 3
+POSITIVES, UNLABELLED, STEMS, Z, LEAST = 3000, 9000, (4, 6, 8), 4.0, 3
 STEPS, RATE, L2, SEED, THRESHOLD = 600, 0.05, 1e-4, 11, 0.7
 WORDS = regex.compile(r"\p{L}+").findall
 
@@ -55,12 +55,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def train(positive: list[str], unlabelled: list[str], prior: float, steps: int = STEPS) -> Classifier | None:
-    """Adam on the non-negative risk over the whole sample."""
+def train(positive: list, unlabelled: list, prior: float, steps: int = STEPS) -> Classifier | None:
+    """Adam on the non-negative risk over the whole sample of texts' features."""
     if not positive or not unlabelled:
         return None
     prior = min(max(prior, 1e-3), 0.999)
-    sets = [features(t) for t in (*positive, *unlabelled)]
+    sets = [*positive, *unlabelled]
     n_p, n_u = len(positive), len(unlabelled)
     in_p, in_u = Counter(), Counter()
     for i, s in enumerate(sets):
@@ -95,37 +95,52 @@ def train(positive: list[str], unlabelled: list[str], prior: float, steps: int =
     return Classifier(dict(zip(names, w.tolist())), float(b))
 
 
-def _sample(rows: DataFrame, n: int, most: int) -> list[str]:
-    lot = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    got = rows.where(lot < min(1.0, 1.2 * most / max(1, n))).select("text").limit(2 * most).collect()
-    return sorted(r["text"] for r in got)[:: max(1, -(-len(got) // most))]
+def _lot(salt: int, *columns: str):
+    """A number from 0 to 1 for each row, by its columns."""
+    return F.pmod(F.xxhash64(*columns, F.lit(salt)), F.lit(1_000_003)) / 1_000_003.0
+
+
+def _features(rows: DataFrame) -> list[list[str]]:
+    """The features of rows(doc_id, text), in an order that doesn't depend on partitions."""
+    small_batches(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sorted(features(x.as_py())) for x in b.column("text")], pa.list_(pa.string()))], ["features"])
+
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    return sorted(r["features"] for r in rows.select(text).mapInArrow(run, "features array<string>").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier | None:
     """docs(doc_id, text), labels(doc_id, toxic): the rows to learn from."""
     said = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(said, "doc_id", "left")
-    n = rows.agg(F.count(F.lit(1)).alias("all"), F.count("toxic").alias("said"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")).first()
+    own = docs.select("doc_id").where("doc_id is not null")
+    n = own.join(said, "doc_id").agg(F.count(F.lit(1)).alias("said"), F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic")).first()
     if not n["toxic"]:
         return None
-    positive = _sample(rows.where("toxic > 0"), n["toxic"], POSITIVES)
-    unlabelled = _sample(rows.where("toxic is null or toxic = 0"), n["all"] - n["toxic"], UNLABELLED)
+    rows = docs.count()
+    confirmed = said.where("toxic > 0").where(_lot(1, "doc_id") < POSITIVES / n["toxic"]).select("doc_id")
+    ids = docs.sparkSession.createDataFrame(confirmed.collect(), confirmed.schema)  # about POSITIVES at most
+    positive = _features(docs.join(F.broadcast(ids), "doc_id", "left_semi"))
+    unlabelled = _features(docs.where(F.col("doc_id").isNotNull() & (_lot(2, "doc_id", "text") < UNLABELLED / rows)))
     return train(positive, unlabelled, n["toxic"] / n["said"])
 
 
 def score(docs: DataFrame, model: Classifier | None, *keep: str) -> DataFrame:
-    """The columns keep, score and predicted of every row of docs."""
+    """The columns keep, score and predicted of every row of docs; kept columns of these two names come back as score_ and predicted_."""
     small_batches(docs.sparkSession)
-    rows = docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text_"))
-    kinds = dict(rows.dtypes)
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"keep{i}") for i, c in enumerate(keep)], F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kinds = rows.dtypes[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [model.score(x.as_py()) if model else 0.0 for x in b.column("text_")]
-            own = [b.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(got, pa.float64()), pa.array([int(x >= THRESHOLD) for x in got], pa.int32())], [*keep, "score", "predicted"])
+            got = [model.score(x.as_py()) if model else 0.0 for x in b.column("text")]
+            own = [b.column(c) for c, _ in kinds]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(got, pa.float64()), pa.array([int(x >= THRESHOLD) for x in got], pa.int32())], [*(c for c, _ in kinds), "score", "predicted"])
 
-    return rows.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), "score double", "predicted int"]))
+    found = rows.mapInArrow(run, ", ".join([*(f"{c} {kind}" for c, kind in kinds), "score double", "predicted int"]))
+    return found.select(*[F.col(f"keep{i}").alias(f"{c}_" if c in ("score", "predicted") else c) for i, c in enumerate(keep)], "score", "predicted")
 
 
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
