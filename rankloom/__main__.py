@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 from rankloom.operators import consensus, fusion, metrics, ranking
 from rankloom.sources import trec
@@ -25,12 +24,9 @@ def main() -> None:
     runs, qrels = fusion.demo_runs(spark) if args.demo else (trec.read_runs(spark, args.runs), trec.read_qrels(spark, args.qrels))
     sources = [r["source"] for r in runs.select("source").distinct().orderBy("source").collect()]  # one for each run file
     runs = runs.join(ranking.cohort(runs, qrels, sources), "qid", "left_semi")
-    out = None
-    for name in args.fusion:
-        fused = fusion.rrf(runs, args.k) if name == "rrf" else consensus.fuse(runs, sources, name, args.k)
-        row = metrics.evaluate(fused, qrels).agg(F.lit(name).alias("fusion"), F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 4).alias(c) for c in ("ndcg10", "ndcg20", "map100", "mrr")])
-        out = row if out is None else out.unionByName(row)
-    out.show(len(args.fusion), truncate=False)
+    runs = ranking.judged(runs, qrels)
+    rankings = {name: fusion.rrf(runs, args.k) if name == "rrf" else consensus.fuse(runs, sources, name, args.k) for name in args.fusion}
+    metrics.report(rankings, qrels).show(len(rankings), truncate=False)
 
 
 if __name__ == "__main__":

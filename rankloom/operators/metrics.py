@@ -66,3 +66,24 @@ def evaluate_sql(rankings: str, qrels: str = "qrels", by: tuple[str, ...] = ("qi
         FROM ({rankings}) r LEFT JOIN {qrels} q ON q.qid = r.qid AND q.docid = r.docid) GROUP BY {keys}) s
     JOIN (SELECT qid, sum(CASE WHEN grade > 0 THEN 1 ELSE 0 END) AS n_relevant, {idcg(10)} AS ideal10, {idcg(20)} AS ideal20
       FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY grade DESC, docid) - 1 AS i FROM {qrels}) GROUP BY qid) t ON t.qid = s.qid WHERE n_relevant > 0"""
+
+
+def report(rankings: dict[str, DataFrame], qrels: DataFrame, base: str | None = None) -> DataFrame:
+    """variant, queries, mean metrics, and how NDCG@10 compares with that of base (the first if not given) query by query: difference, t, p, wins, losses, ties. One row for each ranking, in their order."""
+    from rankloom.operators import statistics
+
+    base = base or next(iter(rankings))
+    names = ["ndcg10", "ndcg20", "map100", "mrr"]
+    per = None
+    for i, (name, ranking) in enumerate(rankings.items()):
+        one = evaluate(ranking, qrels).select(F.lit(i).alias("nth"), F.lit(name).alias("variant"), "qid", *names)
+        per = one if per is None else per.unionByName(one)
+    means = per.groupBy("nth", "variant").agg(F.count(F.lit(1)).alias("queries"), *[F.round(F.avg(c), 4).alias(c) for c in names])
+    own = per.where(F.col("variant") == base).select("qid", F.col("ndcg10").alias("b"))
+    test = statistics.paired_t(per.join(own, "qid").select(F.col("variant").alias("pair"), F.col("ndcg10").alias("a"), "b"))
+    return means.join(test.drop("n").withColumnRenamed("pair", "variant"), "variant").orderBy("nth").drop("nth")
+
+
+def histogram(values: DataFrame, column: str, low: float, high: float, bins: int = 10) -> DataFrame:
+    """bin (0 below low, bins + 1 from high on), n of values(column); empty bins have no row."""
+    return values.groupBy(F.width_bucket(F.col(column).cast("double"), F.lit(low), F.lit(high), F.lit(bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))

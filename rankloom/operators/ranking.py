@@ -27,6 +27,11 @@ def cohort(runs: DataFrame, qrels: DataFrame, sources: list[str]) -> DataFrame:
     return full.select("qid").join(qrels.where("grade > 0").select("qid").distinct(), "qid", "left_semi")
 
 
+def judged(rows: DataFrame, qrels: DataFrame) -> DataFrame:
+    """The rows of queries that have judgments; put before scoring, nothing is scored for the others."""
+    return rows.join(qrels.select("qid").distinct(), "qid", "left_semi")
+
+
 def depth_arms(runs: DataFrame, cap: int = 30, shared: int = 200) -> DataFrame:
     """arm, qid, source, docid, rank for the lists as they are, cut to the query's shortest, cut to cap, and cut to the shortest of them and shared."""
     least = F.min("n").over(Window.partitionBy("qid"))

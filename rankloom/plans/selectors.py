@@ -76,6 +76,23 @@ def soft_alpha_targets(spark, d):
     return _curves(spark, d).select("qid", F.round(features.soft_target(F.col("curve"), _ALPHAS), 9).alias("target"))
 
 
+@query(with_runs(f"SELECT CAST(CASE WHEN delta < -0.5 THEN 0 WHEN delta >= 0.5 THEN 11 ELSE floor((delta + 0.5) * 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM (SELECT v5 - vanilla AS delta FROM ({Q._PAIR})) GROUP BY 1"))
+def delta_histogram(spark, d):
+    return metrics.histogram(Q._pair(spark, d).select((F.col("v5") - F.col("vanilla")).alias("delta")), "delta", -0.5, 0.5)
+
+
+_LINES = {"rrf": Q.rank_sql(Q.RRF), "v5": consensus.fuse_sql(W.SOURCES, "v5"), "ref_scoremix": consensus.fuse_sql(W.SOURCES, "ref_scoremix")}
+_REPORT = " UNION ALL ".join(f"SELECT '{k}' AS variant, * FROM ({metrics.evaluate_sql(v)})" for k, v in _LINES.items())
+
+
+@query(with_runs(f"SELECT variant, count(*) AS queries, {', '.join(f'round(avg({c}), 4) AS {c}' for c in ('ndcg10', 'ndcg20', 'map100', 'mrr'))}, round(avg(ndcg10 - b), 9) AS mean_diff, CAST(count(*) FILTER (ndcg10 > b) AS BIGINT) AS wins, CAST(count(*) FILTER (ndcg10 < b) AS BIGINT) AS losses, CAST(count(*) FILTER (ndcg10 = b) AS BIGINT) AS ties FROM re JOIN (SELECT qid, ndcg10 AS b FROM re WHERE variant = 'rrf') USING (qid) GROUP BY variant", f"re AS ({_REPORT})"))
+def fusion_report(spark, d):
+    """The report of the command line, without its test statistic (paired_ttest has that)."""
+    runs = W.runs(spark, d)
+    rankings = {"rrf": Q.fusion.rrf(runs), **{k: consensus.fuse(runs, W.SOURCES, k) for k in ("v5", "ref_scoremix")}}
+    return metrics.report(rankings, W.qrels(spark, d)).drop("t", "p")
+
+
 # learned selectors: gradient descent has no SQL; tests hold them against plain Python
 
 

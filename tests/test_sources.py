@@ -83,3 +83,57 @@ def test_demo(spark):
 
     runs, qrels = fusion.demo_runs(spark, 5, 60, 3, 20)
     assert runs.count() == 5 * 3 * 20 and metrics.evaluate(fusion.rrf(runs), qrels).count() <= 5
+
+
+def test_last_line_of_files_wins(spark, tmp_path):
+    (tmp_path / "a.qrels").write_text("q 0 d 3\nq 0 e 1\n" + "q 0 f 0\n" * 50 + "q 0 d 1\nq 0 e 2\n")
+    assert sorted(map(tuple, trec.read_qrels(spark, str(tmp_path / "a.qrels")).collect())) == [("q", "d", 1), ("q", "e", 2), ("q", "f", 0)]
+    assert trec.oversized(spark, str(tmp_path), 10_000).count() == 0 and trec.oversized(spark, str(tmp_path), 100).count() == 1
+
+
+def test_strict_judgments(spark):
+    frame = lambda *lines: spark.createDataFrame([(x,) for x in lines], "value string")
+    lines = frame("q 0.5 a 0", "q 0 b 3", "q 1 a 2", "q 1 c 4", "r 1 a x", "q 1 a", "", "s -1 é 1")
+    found = lambda **k: sorted(((r["qid"], r["docid"], r["problem"]) for r in trec.qrels_violations(lines, **k).collect()), key=str)
+    plain = [("q", "a", "duplicate"), ("q", "a", "duplicate"), ("q", "c", "grade"), ("r", "a", "grade"), ("s", "é", "id"), (None, None, "fields")]
+    assert found() == sorted(plain, key=str)
+    assert found(rounds=True) == sorted([*plain, ("q", "b", "round"), ("s", "é", "round")], key=str)
+    q, d = spark.createDataFrame([("q",), ("r",), ("z",)], "qid string"), spark.createDataFrame([("a",), ("b",), ("c",)], "docid string")
+    assert found(queries=q, inventory=d) == sorted([*plain, ("s", "é", "query"), ("s", "é", "document"), ("z", None, "missing")], key=str)
+    assert sorted(r["round"] for r in trec.parse_judgments(lines, d).collect()) == ["0", "0.5", "1", "1", "1"]
+    assert {(r["docid"], r["copies"]) for r in trec.judged_pairs(lines).collect()} >= {("a", 2), ("b", 1)}
+    names = frame(" a", "b ", "a", "c d", "")
+    assert sorted(r["docid"] for r in trec.parse_inventory(names).collect()) == ["a", "b"]
+    assert sorted(r["docid"] for r in trec.parse_inventory(names, "line").collect()) == [" a", "a", "b ", "c d"]
+    assert sorted(map(tuple, trec.inventory_violations(names).collect())) == [("", "id"), ("a", "duplicate"), ("c d", "id")]
+    assert [tuple(r) for r in trec.inventory_violations(names.limit(0)).collect()] == [(None, "empty")]
+
+
+def test_tagged_runs(spark):
+    lines = spark.createDataFrame([(x, "t") for x in ("q Q0 a 0 1.0 t", "q Q0 a 1 0.5 t", "q Q0 b +2 nan t", "q Q0 c -1 1e3 u", "too short")] + [("q Q0 a 0 1 w", "w")], "value string, source string")
+    got = sorted(((r["source"], r["docid"], r["problem"]) for r in trec.tagged_violations(lines, None, spark.createDataFrame([("q",), ("r",)], "qid string"), 3).collect()), key=str)
+    assert got == sorted([("t", "a", "duplicate")] * 2 + [("t", "b", "number"), ("t", "c", "rank"), ("t", "c", "tag"), ("t", None, "fields"), ("t", None, "depth"), ("t", None, "depth"), ("w", None, "depth")], key=str)
+
+
+def test_caches_and_corpora(spark, tmp_path):
+    row = {"query": {"qid": "q", "text": "t"}, "candidates": [{"docid": "b", "score": 1.0, "doc": {"_id": "b", "title": "", "text": "x"}}, {"docid": "a", "score": 1.0, "doc": {"_id": "a", "title": "", "text": "y"}}]}
+    (tmp_path / "c.jsonl").write_text(json.dumps(row) + "\n")
+    assert [r["value"] for r in trec.cache_lines(spark, str(tmp_path / "c.jsonl"), "tag").orderBy("value").collect()] == ["q Q0 a 2 1.0 tag", "q Q0 b 1 1.0 tag"]
+    runs, texts = trec.read_cache(spark, str(tmp_path / "c.jsonl"))
+    corpus = spark.createDataFrame([("b", "", "other")], "_id string, title string, text string")
+    assert sorted(map(tuple, trec.cache_mismatches(texts, corpus).collect())) == [("a", "missing"), ("b", "text")]
+    bad = trec.component_violations(corpus, spark.createDataFrame([("p",)], "qid string"), spark.createDataFrame([("p", "z", 1)], "qid string, docid string, grade int"), runs)
+    assert sorted(map(tuple, bad.collect())) == [("qrels docid", "z"), ("runs docid", "a"), ("runs qid", "q")]
+    lines = spark.createDataFrame([("1\tp\tfirst\tx", 1), ("1\tp\tsecond\tx", 2)], "value string, line_no int")
+    assert [tuple(r) for r in trec.first_queries(lines).collect()] == [("1", "first")]
+
+
+def test_scenarios_and_reports(spark):
+    from rankloom.operators import fusion, metrics
+
+    runs, qrels = fusion.scenario_runs(spark, 40)
+    rows = runs.groupBy("qid", "docid").pivot("source").agg({"rank": "first"}).collect()
+    same = {q: sum(r["ranker1"] == r["ranker2"] for r in rows if r["qid"] == q) for q in fusion.SCENARIOS}
+    assert same["agreement"] == same["cabal"] == 40 and same["disagreement"] < 12
+    got = metrics.report({"rrf": fusion.rrf(runs), "k1": fusion.rrf(runs, 1)}, qrels).collect()
+    assert [r["variant"] for r in got] == ["rrf", "k1"] and got[0]["ties"] == got[0]["queries"] and got[0]["p"] == 1.0
