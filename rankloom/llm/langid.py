@@ -2,7 +2,7 @@
 
 Every byte of a text gets label probabilities; a document's are the mean of their logarithms over its bytes, made to sum to one. Texts are read whole, as windows of WINDOW bytes that the network reads independently in both directions, many windows at once, so memory is bounded by the window and not by the text.
 
-Training takes a bounded sample (SAMPLE_DOCS labelled documents, at most so many of each label, the first by a hash of the text) and draws windows from anywhere in them; it runs once on the driver and its weights, some kilobytes, go to the workers. Labels and ids are never inputs of a prediction.
+Training takes a bounded sample (SAMPLE_DOCS labelled documents, at most so many of each label, chosen by a hash of id and text; of longer ones a piece of PIECE characters) and draws windows from anywhere in them; it runs once on the driver and its weights, some kilobytes, go to the workers. Labels and ids are never inputs of a prediction.
 
 Defined results: null text, or one without a letter, is `und` with score 1; if nothing can be learned (no labelled row) every text is `und` with score 0. Ties of labels go to the first in alphabetical order. Repeated rows get the same row twice; an empty table gives no rows.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from rankloom.llm.common import fold, small_batches, table
 
 HIDDEN, WINDOW, ROWS = 8, 96, 1024
-SAMPLE_DOCS, STEPS, BATCH, RATE, SEED = 2000, 500, 128, 0.02, 7
+SAMPLE_DOCS, PIECE, STEPS, BATCH, RATE, SEED = 2000, 4096, 500, 128, 0.02, 7
 LETTER = regex.compile(r"\p{L}")
 
 
@@ -160,17 +160,17 @@ def train(texts: list[bytes], labels: list[str], steps: int = STEPS, hidden: int
     return Model(names, w)
 
 
-def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model | None:
-    """rows(text, lang): trains on a bounded sample, the same number of rows of each label as far as there are, chosen by a hash of the text."""
-    rows = rows.where("text is not null and lang is not null").select(F.col("text").cast("string").alias("text"), "lang")
+def fit(rows: DataFrame, sample_docs: int = SAMPLE_DOCS, piece: int = PIECE) -> Model | None:
+    """rows(doc_id, text, lang): trains on a bounded sample, about the same number of rows of each label as far as there are, chosen by a hash of id and text, so that a text on many rows neither vanishes nor floods it. Of a longer text a piece of so many characters from a place that a hash gives is read: the sample is bounded in bytes too."""
+    rows = rows.where("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), "lang")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
     each = -(-sample_docs // len(counts))
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.5 * each / n))) for k, n in counts.items()])
-    lot = F.pmod(F.xxhash64("text"), F.lit(1_000_003)) / 1_000_003.0
-    piece = F.when(F.length("text") <= 4096, F.col("text")).otherwise(F.expr("substring(text, 1 + cast(pmod(xxhash64(text, 1), length(text) - 4096) as int), 4096)"))
-    got = rows.where(lot < share).select("lang", piece.alias("text"), F.xxhash64("text").alias("order")).limit(4 * sample_docs).collect()
+    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_003)) / 1_000_003.0
+    part = F.when(F.length("text") <= piece, F.col("text")).otherwise(F.expr(f"substring(text, 1 + cast(pmod(xxhash64(text, 1), length(text) - {piece}) as int), {piece})"))
+    got = rows.where(lot < share).select("lang", part.alias("text"), F.xxhash64("doc_id", "text").alias("order")).collect()  # about 1.5 times the sample
     got.sort(key=lambda r: (r["lang"], r["order"], r["text"]))
     texts, labels, had = [], [], {}
     for r in got:

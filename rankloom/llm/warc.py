@@ -2,7 +2,7 @@
 
 Headers alone (page id, payload digest, length) are shuffled by digest to find each payload's original, combined before the shuffle; revisits are joined to their originals; then archives are written, in which a repeated payload of at least LEAST_BYTES stands once and other records of it are revisits with fresh headers. Archives are written and committed by Spark's own writer into the shared folder, so a lost executor leaves no half-written archive. They are read back by Content-Length, each file whole; RECORD_BYTES bounds what a file holds on average.
 
-Defined results: null html is an empty payload; a null page_id gives a record without a number, which reads back as null, and is an original only if all ids of its payload are null. A null url has no target line; control characters in a url are percent-encoded. Of rows that repeat page_id and html all have the same record type. An empty table gives an archive without records and no rows.
+Defined results: null html is an empty payload; a null page_id gives a record without a number, which reads back as null, and is an original only if all ids of its payload are null. A null url has no target line; ASCII control characters and blanks in a url are percent-encoded. Of rows that repeat page_id and html all have the same record type. An empty table gives an archive without records and no rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import materialize, scratch, skew_join, small_batches, table
+from rankloom.llm.common import materialize, scratch, skew_join, table
 
 LEAST_BYTES, RECORD_BYTES, BROADCAST_ROWS, DATE = 1000, 8 << 20, 100_000, "2024-01-01T00:00:00Z"
 END = "\r\n"
@@ -45,8 +45,8 @@ def records(pages: DataFrame, found: DataFrame) -> DataFrame:
     rows = rows.join(side, F.col("page_id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_")), "left")
     revisit = F.col("digest_").isNotNull()
     url = F.col("url")
-    for c in ("\r", "\n", " ", "\t"):
-        url = F.replace(url, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    for c in (*range(33), 127):
+        url = F.replace(url, F.lit(chr(c)), F.lit(f"%{c:02X}"))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK" + END + "Content-Type: text/html; charset=utf-8" + END + "Content-Length: "), F.octet_length("html").cast("string"), F.lit(END + END))
     block = F.when(revisit, http).otherwise(F.concat(http, "html"))
@@ -116,11 +116,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark, path: str, kind: str = "bigint") -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of the records of archives; a revisit's payload is that of the response it refers to."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "1")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.gz").load(path).select("content")
     got = files.mapInArrow(_read, "page string, url string, payload_bytes bigint, payload_digest string, record_type string, refers string")
-    got = materialize(got, "records")
-    small_batches(spark)
+    try:
+        got = materialize(got, "records")
+    finally:
+        spark.conf.set(name, before)
     key = lambda c: F.concat_ws(":", F.coalesce(c, F.lit("none")), "payload_digest")
     ids = [F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to")]
     responses, others = got.where("record_type = 'response'"), got.where("record_type = 'revisit'")
