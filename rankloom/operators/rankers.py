@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -84,28 +85,34 @@ def _spread(candidates: DataFrame) -> DataFrame:
     return candidates.select("qid", "docid").repartition(n, "docid")
 
 
+def _cosines(rows: pd.DataFrame) -> pd.DataFrame:
+    """One query's texts (docid, empty for the query itself; hs and tfs: hashes and counts of their features) to qid, docid, score."""
+    hs = [np.asarray(x if x is not None else [], np.int64) for x in rows["hs"]]
+    tf = np.concatenate([np.asarray(x if x is not None else [], float) for x in rows["tfs"]])
+    own = (rows["docid"] == "").to_numpy()
+    n, text = len(rows) if own.any() else len(rows) + 1, np.repeat(np.arange(len(rows)), list(map(len, hs)))
+    _, at, df = np.unique(np.concatenate(hs), return_inverse=True, return_counts=True)
+    fit = (df >= 2) & (df < 0.95 * n)
+    w = (1 + np.log(tf)) * (np.log(n / (df + 1)) * (fit if fit.any() else 1))[at]
+    query = np.bincount(at[own[text]], w[own[text]], len(df))
+    dot, norm = np.bincount(text, w * query[at], len(rows)), np.sqrt(np.bincount(text, w * w, len(rows)) * (query @ query))
+    score = np.divide(dot, norm, out=np.zeros(len(rows)), where=norm > 0)
+    return pd.DataFrame({"qid": rows["qid"], "docid": rows["docid"], "score": score})[~own]
+
+
 def bigram_cosine(queries: DataFrame, docs: DataFrame, candidates: DataFrame, depth: int | None = None) -> DataFrame:
-    """Cosine of words and pairs for candidates(qid, docid). Weights are 1 + ln tf times ln(n / (df + 1)), counted over a query's candidates and itself; features in one of them only, or in 95 hundredths and more, are left out, unless that leaves none. A text without such features scores 0."""
+    """Cosine of words and pairs for candidates(qid, docid). Weights are 1 + ln tf times ln(n / (df + 1)), counted over a query's candidates and itself; features in one of them only, or in 95 hundredths and more, are left out, unless that leaves none. A text without such features scores 0. Features are counted once for each text, by their 64-bit hashes; then a query is one task's vectors, bounded by its candidates, a parameter of the caller."""
 
     def features(rows: DataFrame, key: str) -> DataFrame:
         read = rows.select(key, tokenize(F.col("text")).alias("tokens"))
-        return read.select(key, F.explode(F.concat("tokens", bigrams(F.col("tokens")))).alias("f")).groupBy(key, "f").agg(F.count(F.lit(1)).alias("tf")).groupBy(key).agg(F.collect_list(F.struct("f", "tf")).alias("fs"))
-
-    pairs, small = _spread(candidates), few(queries)
-    found = pairs.join(features(candidate_texts(docs, candidates), "docid"), "docid").select("qid", "docid", "fs").unionByName(features(queries, "qid").select("qid", F.lit("").alias("docid"), "fs"))
-    rows = found.select("qid", "docid", F.inline("fs"))
-    n = pairs.groupBy("qid").agg((F.count(F.lit(1)) + 1).alias("n"))
-    df = rows.groupBy("qid", "f").agg(F.count(F.lit(1)).alias("df"), F.max(F.when(F.col("docid") == "", F.col("tf"))).alias("qtf")).join(_side(n, small), "qid")
-    fit = (F.col("df") >= 2) & (F.col("df") < 0.95 * F.col("n"))
-    df = df.withColumn("fit", fit)
-    any_ = df.groupBy("qid").agg(F.max("fit").alias("any"))
-    idf = F.ln(F.col("n") / (F.col("df") + 1))
-    df = df.join(_side(any_, small), "qid").where("fit or not any").select("qid", "f", idf.alias("idf"), (F.coalesce(1 + F.ln("qtf"), F.lit(0.0)) * idf).alias("qw"))
-    norms = df.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    w = (1 + F.ln("tf")) * F.col("idf")
-    scored = rows.where("docid <> ''").join(df, ["qid", "f"]).groupBy("qid", "docid").agg(F.sum(w * F.col("qw")).alias("dot"), F.sqrt(F.sum(w * w)).alias("dn"))
-    whole = pairs.join(scored, ["qid", "docid"], "left").join(_side(norms, small), "qid", "left")
-    return ranking(whole.select("qid", "docid", F.coalesce(F.col("dot") / F.nullif(F.col("dn") * F.col("qn"), F.lit(0.0)), F.lit(0.0)).alias("score")), None, depth)
+        f = read.select(key, F.explode(F.concat("tokens", bigrams(F.col("tokens")))).alias("f")).select(key, F.xxhash64("f").alias("h"))
+        return f.groupBy(key, "h").agg(F.count(F.lit(1)).alias("tf")).groupBy(key).agg(F.collect_list("h").alias("hs"), F.collect_list("tf").alias("tfs"))
+
+    pairs = _spread(candidates)
+    rows = pairs.join(features(candidate_texts(docs, candidates), "docid"), "docid", "left").select("qid", "docid", "hs", "tfs")
+    rows = rows.unionByName(features(queries, "qid").select("qid", F.lit("").alias("docid"), "hs", "tfs").join(pairs.select("qid").distinct(), "qid", "left_semi"))
+    kinds = dict(rows.dtypes)
+    return ranking(rows.groupBy("qid").applyInPandas(_cosines, f"qid {kinds['qid']}, docid {kinds['docid']}, score double"), None, depth)
 
 
 def matching(queries: DataFrame, docs: DataFrame, tokens: Callable[[Column], Column] = tokenize) -> DataFrame:
