@@ -1,5 +1,7 @@
 """A corpus pipeline of five operators. Each stage works on all rows that the one before it kept, as read back from Parquet.
 
+Edge cases, for every stage: null texts count as empty (the first stage rejects both), null ids are kept as ids that equal each other, rows with one id and unlike texts are judged apart, texts are read whole, extra columns go through up to the last stage whatever their names, and an empty table gives no rows.
+
 STAGES: language ID (texts without letters go), exact deduplication (of equal texts the largest doc_id stays), SimHash near-deduplication (of each component the smallest doc_id stays), benchmark decontamination (documents that contain an item go), byte-level BPE (documents become token ids). All but the last return the columns of documents.
 """
 
@@ -21,14 +23,17 @@ def language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest id stays; null is less than any id, and of rows that repeat both one stays."""
     return exact_dedup.deduplicate(docs)
 
 
 def near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of a component of operator 10's links the row with the smallest id stays, null ids last; of rows that share the id the text with the smallest SHA-256."""
     return simhash.near_deduplicate(docs)
 
 
 def decontaminate(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that contain an item of the benchmark go; an empty benchmark drops nothing."""
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
