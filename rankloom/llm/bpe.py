@@ -31,7 +31,7 @@ from rankloom.llm.common import small_batches, table
 
 TOKENIZERS = "/opt/tokenizers"
 #: Entries kept before a cache is dropped.
-PIECES, STATES = 400_000, 200_000
+PIECES, STATES = 150_000, 100_000
 NEVER = 1 << 62
 
 

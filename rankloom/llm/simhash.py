@@ -212,13 +212,15 @@ def near_deduplicate(docs: DataFrame) -> DataFrame:
     own = docs.columns
     of_text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
     found = materialize(cluster(docs.select("doc_id", "text", of_text.alias("of_text")), "of_text"), "components")
-    first = found.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "of_text")).alias("first"))
-    both = skew_join(found.select("doc_id", "of_text", "group"), first, "group", found.count(), "inner")
-    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("of_text") == F.col("first.of_text"))
-    drop = both.where(~stays).select(F.col("doc_id").alias("id_"), F.col("of_text").alias("of_")).distinct()
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))  # also for components that have null ids only
+    drop = found.where(~first).select(F.col("doc_id").alias("id_"), F.col("of_text").alias("of_")).distinct()
+    again = materialize(found.where(first).groupBy("group").agg(F.min("of_text").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").select("group", "least"), "again")
+    some = not again.isEmpty()
+    if some:  # several rows have the component's smallest id
+        drop = drop.unionByName(found.where(first).join(again, "group").where("of_text <> least").select(F.col("doc_id").alias("id_"), F.col("of_text").alias("of_")).distinct())
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col("doc_id").alias("id"), of_text.alias("of"))
     rest = rows.join(drop, F.col("id").eqNullSafe(F.col("id_")) & (F.col("of") == F.col("of_")), "left_anti")
-    if not both.where(stays).groupBy("doc_id", "of_text").count().where("count > 1").isEmpty():
+    if some:
         rest = rest.dropDuplicates(["id", "of"])
     return rest.select(*[F.col("row").getField(c).alias(c) for c in own])
 
