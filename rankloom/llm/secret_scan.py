@@ -7,7 +7,7 @@ A version is one state of one path: a row with a text. Its content address is th
 3. reads the text of one row of each blob that is left, scans it by its unseen rules only, and appends what it found to the ledger in one write. A run that dies before the write is committed has changed nothing; one that is repeated finds nothing unseen,
 4. joins the spans of the current rule versions back to all paths by digest, hot digests by broadcast.
 
-The row to read is chosen by a hash of its id, so texts are joined to the wanted blobs on digest and hash, a key that only rows repeated as a whole share. Few wanted blobs (WANTED rows, counted) are broadcast, and then no text is moved at all; more are hashed where the texts arrive, without sorting them. The ledger and the table of addresses are written tables in the shared folder.
+The row to read is chosen by a hash of its id, so texts are joined to the wanted blobs on digest and hash, a key that only rows repeated as a whole share. Wanted blobs that take no more than spark.sql.autoBroadcastJoinThreshold (their rows are counted, ROW_BYTES each) are broadcast, and then no text is moved at all; more are hashed where the texts arrive, without sorting them. The ledger and the table of addresses are written tables in the shared folder.
 
 Rules are patterns over ASCII, read on UTF-8 bytes, where ASCII never is part of another character; spans are code points, end exclusive. A rule's matches are leftmost and don't overlap; a match whose group is shorter than least is dropped.
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import materialize, scratch, skew_join, small_batches, table
 
-#: As many wanted blobs are broadcast at most: a row has a digest, a hash and the names of the rules, about 200 bytes.
-WANTED = 50_000
+#: What a wanted blob takes: its digest, a hash and the names of the rules.
+ROW_BYTES = 200
 
 
 class Rule(NamedTuple):
@@ -107,7 +107,8 @@ class Ledger:
         n = wanted.count()
         if not n:
             return 0
-        side = F.broadcast(wanted) if n <= WANTED else wanted.hint("shuffle_hash")
+        most = self.spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(self.spark.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+        side = F.broadcast(wanted) if n * ROW_BYTES <= most else wanted.hint("shuffle_hash")
         texts = _addressed(versions).select("digest", "lot", "text").join(side, ["digest", "lot"]).select("digest", "rules", "text")
         small_batches(self.spark)
         patterns = {r.name: (r.name, r.pattern, r.group, r.least) for r in rules}

@@ -93,7 +93,7 @@ def test_ledger_outlives_the_object(spark):
 
 
 def test_hot_blob_and_many_blobs(spark, monkeypatch):
-    monkeypatch.setattr(S, "WANTED", 5)  # the joined way
+    monkeypatch.setattr(S, "ROW_BYTES", 1 << 30)  # the joined way
     rows = [(i, "api_key: hot-value-0" if i % 3 == 0 else t) for i, t in enumerate(texts(900, 2))]
     got = spans(S.audit(docs(spark, rows), "doc_id"))
     assert sorted(((i, [s for s in f if s[0] in S.BASE]) for i, f in got), key=str) == sorted(((i, base_by_hand(t)) for i, t in rows), key=str)
