@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.tables import written
+
 #: The features that the selector learns from.
 KEYS = ("rho", "h_cov", "frac_specialist", "frac_consensus", "mean_score_gap", "max_score_gap", "top1_spread", "score_var_mean", "mean_rank_dist")
 
@@ -63,8 +65,10 @@ def standardize(features: DataFrame, keys=KEYS) -> DataFrame:
 
 #: Fixed settings of the learned selectors: seeds, ridge penalties, thresholds, and the band in which the cascade trusts neither.
 SEEDS, PENALTIES, THRESHOLDS, UNSURE = (42, 123, 7, 2024, 99), (0.001, 0.01, 0.05, 0.10, 0.30, 1.0), (0.30, 0.40, 0.50, 0.60, 0.70), (0.35, 0.65)
-#: Queries that a selector is fitted to at most, by a hash of their ids: one task holds their features (8 bytes each).
-FIT_ROWS = 200_000
+#: Passes of a fit at most, the step or slope at which it has ended, and what keeps the matrix regular along the intercepts, which have no penalty.
+PASSES, TOLERANCE, RIDGE = 20, 1e-7, 1e-6
+#: The greatest p (1 - p) |1 - 2p|: how much a share bends along its logit.
+BEND = 0.0962250448649376
 
 
 def collection_features(rows: DataFrame, keys=KEYS) -> DataFrame:
@@ -90,80 +94,106 @@ def on_curve(curve, alphas: list[float], alpha):
     return F.element_at(curve, left + 1) * (1 - t) + F.element_at(curve, left + 2) * t
 
 
-def _gradient(kind: str, z, target):
-    """The loss's slope by z, row by row; target is the label, the wished alpha, the class, or the curve."""
-    import numpy as np
+#: By kind: the predictions p of the outputs z, then the loss's slopes by z, its curvatures by pairs of outputs, and the loss itself.
+_LOSSES = {
+    "label": ("array(1 / (1 + exp(-z[0])))", "array(p[0] - target)", "array(p[0] * (1 - p[0]))", "greatest(z[0], 0) - z[0] * target + log1p(exp(-abs(z[0])))"),
+    "alpha": ("array(1 / (1 + exp(-z[0])))", "array((p[0] - target) * p[0] * (1 - p[0]))", "array(power(p[0] * (1 - p[0]), 2))", "power(p[0] - target, 2) / 2"),
+    "curve": ("array(1 / (1 + exp(-z[0])))", "array(down * p[0] * (1 - p[0]))", f"array(abs(down) * {BEND}D)", "down * (p[0] * (size(target) - 1) - at) / (size(target) - 1) - target[at]"),
+    "classes": ("transform(z, v -> exp(v - array_max(z)) / aggregate(z, 0D, (a, u) -> a + exp(u - array_max(z))))", "transform(p, (v, k) -> v - if(k = target, 1, 0))", "flatten(transform(p, (v, a) -> transform(slice(p, a + 1, size(p)), (u, b) -> v * (if(b = 0, 1, 0) - u))))", "array_max(z) + ln(aggregate(z, 0D, (a, u) -> a + exp(u - array_max(z)))) - z[target]"),
+}
 
-    if kind == "classes":
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        return p - (target[:, None] == np.arange(z.shape[1]))
-    p = 0.5 * (1 + np.tanh(0.5 * z[:, 0]))
-    if kind == "label":
-        d = p - target
-    elif kind == "alpha":
-        d = (p - target) * p * (1 - p)
-    else:  # curve: minus the slope of the value at p
-        n = target.shape[1] - 1
-        left = np.minimum((p * n).astype(int), n - 1)
-        rows = np.arange(len(p))
-        d = -(target[rows, left + 1] - target[rows, left]) * n * p * (1 - p)
-    return d[:, None]
-
-
-def fit(x, target, kind: str, classes: int = 1, rate: float = 0.05, l2: float = 0.10, epochs: int = 2000, seed: int = 42):
-    """Weights (features by outputs) and biases after gradient descent over all rows; biases have no penalty."""
-    import numpy as np
 
-    w, b = np.random.default_rng(seed).uniform(-0.01, 0.01, (x.shape[1], classes)), np.zeros(classes)
-    for _ in range(epochs if len(x) else 0):
-        d = _gradient(kind, x @ w + b, target) / len(x)
-        w -= rate * (x.T @ d + l2 * w)
-        b -= rate * d.sum(axis=0)
-    return w, b
+def _predicted(rows: DataFrame, kind: str) -> DataFrame:
+    """rows with z and p, the outputs of weights w (an array for each) on features x."""
+    return rows.selectExpr("*", "transform(w, o -> aggregate(zip_with(o, x, (a, b) -> a * b), 0D, (a, b) -> a + b)) as z").selectExpr("*", f"{_LOSSES[kind][0]} as p")
 
 
-def predict(x, w, b, kind: str):
-    import numpy as np
+def _sums(rows: DataFrame, kind: str) -> DataFrame:
+    """seed, held, l2, nth, v: what a model's next step needs, summed over its rows: slopes (by output and feature), curvatures (by pair of outputs and of features), the loss, and the number of rows."""
+    _, slopes, bends, loss = _LOSSES[kind]
+    rows = _predicted(rows, kind)
+    if kind == "curve":  # minus the curve's slope at the share
+        rows = rows.selectExpr("*", "least(cast(floor(p[0] * (size(target) - 1)) as int), size(target) - 2) as at").selectExpr("*", "(target[at] - target[at + 1]) * (size(target) - 1) as down")
+    rows = rows.selectExpr("seed", "held", "l2", "x", f"{slopes} as d", f"{bends} as v", f"cast({loss} as double) as loss", "flatten(transform(x, (a, i) -> transform(slice(x, 1, i + 1), b -> a * b))) as xx")
+    each = rows.selectExpr("seed", "held", "l2", "posexplode(concat(flatten(transform(d, a -> transform(x, b -> a * b))), flatten(transform(v, a -> transform(xx, b -> a * b))), array(loss, 1D))) as (nth, v)")
+    return each.groupBy("seed", "held", "l2", "nth").agg(F.sum("v").alias("v"))
 
-    z = x @ w + b
-    if kind == "classes":
-        p = np.exp(z - z.max(axis=1, keepdims=True))
-        return p / p.sum(axis=1, keepdims=True)
-    return 0.5 * (1 + np.tanh(0.5 * z))
 
+def _step(sums, w, l2: float):
+    """What to take off the weights (outputs by features, the last for the intercept), the greatest slope, and the penalised mean loss."""
+    import numpy as np
 
-def cross_fit(rows: DataFrame, kind: str, keys=KEYS, classes: int = 1, penalties=(0.10,), epochs: int = 2000, most: int = FIT_ROWS) -> DataFrame:
-    """rows(seed, fold, qid, keys, target) to seed, fold, l2, qid, held (whether the row's fold was held out), p (array): for each seed, fold and penalty a model is fitted to the other folds and speaks about all rows. kind: label (a logistic regression), alpha (a sigmoid's squared error to a wished value), curve (the value of a curve at the sigmoid, to be made great) or classes. Features are standardised by the training rows' mean and population deviation (at least 1e-6). A fit sees at most about most queries, by a hash of their ids; all are predicted."""
+    k, d = w.shape
+    n = sums[-1]
+    penalty = np.array([l2] * (d - 1) + [0.0])
+    slope = sums[: k * d].reshape(k, d) / n + penalty * w
+    low = np.tril_indices(d)
+    h = np.zeros((k, d, k, d))
+    parts = iter(sums[k * d : -2].reshape(-1, len(low[0])) / n)
+    for a in range(k):
+        for b in range(a, k):
+            m = np.zeros((d, d))
+            m[low] = next(parts)
+            h[a, :, b, :] = h[b, :, a, :] = m + np.tril(m, -1).T
+    h = h.reshape(k * d, k * d) + np.diag(np.tile(np.where(penalty > 0, l2, RIDGE), k))
+    return np.linalg.solve(h, slope.ravel()).reshape(k, d), float(np.abs(slope).max()), sums[-2] / n + float((penalty * w * w).sum()) / 2
+
+
+def cross_fit(rows: DataFrame, kind: str, keys=KEYS, classes: int = 1, penalties=(0.10,), passes: int = PASSES) -> DataFrame:
+    """rows(seed, fold, qid, keys, target) to seed, fold, l2, qid, held (whether the row's fold was held out), p (array): for each seed, fold and penalty a model is fitted to the other folds and speaks about all rows. kind: label (a logistic regression), alpha (a sigmoid's squared error to a wished value), curve (the value of a curve at the sigmoid, to be made great) or classes. Features are standardised by the training rows' mean and population deviation (at least 1e-6).
+
+    All models are fitted at once by iteratively reweighted least squares, which need only sums over rows: a pass is one aggregation by model of slopes and curvatures, some numbers for each model come back, and the next weights go out with the models, a few rows. label and classes take Newton's steps, alpha those of Gauss and Newton, curve (which has corners) steps by a bound of its bend; a step that makes the loss greater is halved. No row leaves its task, so there may be any number."""
     import numpy as np
-    import pandas as pd
-
-    names = list(keys)
-    share = F.pmod(F.xxhash64("qid"), F.lit(1 << 20)) / float(1 << 20)
-    n = rows.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        fold, seed, l2 = int(part["held"].iloc[0]), int(part["seed"].iloc[0]), float(part["l2"].iloc[0])
-        part = part.sort_values("qid").reset_index(drop=True)
-        test = (part["fold"] == fold).to_numpy()
-        x = part[names].to_numpy(float)
-        used = ~test & part["fits"].to_numpy()
-        mean, sd = x[used].mean(axis=0) if used.any() else 0.0, np.maximum(x[used].std(axis=0), 1e-6) if used.any() else 1.0
-        x = (x - mean) / sd
-        target = np.stack(part["target"].to_numpy()[used]).astype(float) if kind == "curve" and used.any() else part["target"].to_numpy()[used]
-        w, b = fit(x[used], target if kind == "curve" else target.astype(float), kind, classes, 0.05, l2, epochs, seed)
-        return pd.DataFrame({"seed": seed, "fold": fold, "l2": l2, "qid": part["qid"], "held": test, "p": [np.round(p, 6).tolist() for p in predict(x, w, b, kind)]})
-
-    runs = rows.select("seed", F.col("fold").alias("held")).distinct().withColumn("l2", F.explode(F.array(*[F.lit(float(x)) for x in penalties])))
-    each = rows.withColumn("fits", share < min(1.0, most / max(n, 1))).join(F.broadcast(runs), "seed")  # seeds times folds times penalties, parameters all
-    return each.groupBy("seed", "held", "l2").applyInPandas(one, "seed int, fold int, l2 double, qid string, held boolean, p array<double>")
-
-
-def leave_one_out(rows: DataFrame, keys=KEYS, penalties=PENALTIES, thresholds=THRESHOLDS, epochs: int = 2000) -> DataFrame:
+
+    names, spark = list(keys), rows.sparkSession
+    d, outputs = len(names), classes if kind == "classes" else 1
+    data = written(rows.select(F.col("seed").cast("int"), F.col("fold").cast("int"), F.col("qid").cast("string"), F.array(*[F.col(f"`{k}`").cast("double") for k in names]).alias("k"), "target"), "fit")
+    held = [(r["seed"], r["fold"]) for r in data.select("seed", "fold").distinct().collect()]  # seeds times folds, parameters
+    if not held:
+        return spark.createDataFrame([], "seed int, fold int, l2 double, qid string, held boolean, p array<double>")
+    of = data.join(F.broadcast(spark.createDataFrame(held, "seed int, held int")), "seed").where("fold <> held")
+    stats = of.groupBy("seed", "held").agg(F.array(*[F.avg(F.col("k")[i]) for i in range(d)]).alias("m"), F.array(*[F.greatest(F.stddev_pop(F.col("k")[i]), F.lit(1e-6)) for i in range(d)]).alias("s")).collect()
+    scale = {(r["seed"], r["held"]): (r["m"], r["s"]) for r in stats}
+    models = [(*x, float(l2)) for x in held for l2 in penalties]
+    weights = {m: np.zeros((outputs, d + 1)) for m in models}
+
+    def applied(of: list) -> DataFrame:
+        """The rows with each of some models, their features standardised."""
+        small = [(*m, *scale.get(m[:2], ([0.0] * d, [1.0] * d)), weights[m].tolist()) for m in of]
+        both = data.join(F.broadcast(spark.createDataFrame(small, "seed int, held int, l2 double, m array<double>, s array<double>, w array<array<double>>")), "seed")
+        return both.selectExpr("seed", "held", "l2", "fold", "qid", "target", "w", "concat(transform(k, (v, i) -> (v - m[i]) / s[i]), array(1D)) as x")
+
+    best = {m: (weights[m], np.inf, None) for m in models}  # the last weights that made the loss less, it, and the step after them
+    active = [m for m in models if m[:2] in scale]
+    for _ in range(passes):
+        if not active:
+            break
+        found: dict = {}
+        for r in _sums(applied(active).where("fold <> held"), kind).collect():  # some numbers for each model
+            found.setdefault((r["seed"], r["held"], r["l2"]), {})[r["nth"]] = r["v"]
+        going = []
+        for m, v in found.items():
+            step, slope, loss = _step(np.array([v[i] for i in range(len(v))]), weights[m], m[2])
+            last, least, before = best[m]
+            if loss > least + 1e-12:
+                best[m] = last, least, before / 2
+                weights[m] = last - before / 2
+                ended = np.abs(before).max() / 2 <= TOLERANCE
+            else:
+                best[m] = weights[m], loss, step
+                weights[m] = weights[m] - step
+                ended = max(slope, np.abs(step).max()) <= TOLERANCE
+            if not ended:
+                going.append(m)
+        active = going
+    return _predicted(applied(models), kind).selectExpr("seed", "held as fold", "l2", "qid", "fold = held as held", "transform(p, v -> round(v, 6)) as p")
+
+
+def leave_one_out(rows: DataFrame, keys=KEYS, penalties=PENALTIES, thresholds=THRESHOLDS) -> DataFrame:
     """rows(collection, qid, keys, a, b) to collection, l2, threshold, queries, n_b, ndcg, train_ndcg, best: a model that the other collections train decides for each query of one between a and b (b where its probability is above the threshold); its label is whether b is at least a. best: the grid's first greatest ndcg by penalty and threshold."""
     numbered = {c: i for i, c in enumerate(sorted(r[0] for r in rows.select("collection").distinct().collect()))}  # a few names
     number = F.coalesce(*[F.when(F.col("collection") == c, F.lit(i)) for c, i in numbered.items()])
-    found = cross_fit(rows.withColumn("seed", F.lit(SEEDS[0])).withColumn("fold", number).withColumn("target", (F.col("b") >= F.col("a")).cast("int")), "label", keys, penalties=penalties, epochs=epochs)
+    found = cross_fit(rows.withColumn("seed", F.lit(SEEDS[0])).withColumn("fold", number).withColumn("target", (F.col("b") >= F.col("a")).cast("int")), "label", keys, penalties=penalties)
     name = F.element_at(F.array(*map(F.lit, numbered)), F.col("fold") + 1)
     each = found.select(name.alias("held_out"), "l2", "qid", "held", F.col("p")[0].alias("p"), F.explode(F.array(*[F.lit(float(t)) for t in thresholds])).alias("threshold")).join(rows.select("collection", "qid", "a", "b"), "qid")
     takes = F.col("p") > F.col("threshold")
