@@ -30,12 +30,46 @@ def exact_sums(runs: DataFrame, by: list[str], k: int = 60, depth: int = 200, ti
     n, unit = limbs(k, depth), units(runs.sparkSession, k, depth)
     times = F.lit(1) if times is None else times
     rows = runs.withColumn("rank", F.when(F.col("rank") < depth, F.col("rank")).otherwise(F.raise_error(F.lit(f"a rank beyond {depth}")).cast("int"))).join(F.broadcast(unit), "rank")
-    rows = rows.groupBy(*by).agg(*[F.sum(F.col(f"l{i}") * times).alias(f"l{i}") for i in range(n)])
+    return carried(rows.groupBy(*by).agg(*[F.sum(F.col(f"l{i}") * times).alias(f"l{i}") for i in range(n)]), n)
+
+
+def carried(rows: DataFrame, n: int) -> DataFrame:
+    """rows with limbs l0.. below BASE but for the highest."""
     for i in range(n - 1):
         rows = rows.withColumn(f"l{i + 1}", F.col(f"l{i + 1}") + F.expr(f"l{i} div {BASE}")).withColumn(f"l{i}", F.col(f"l{i}") % BASE)
     return rows
 
 
+#: Bits of a limb of a double, and how many limbs after the point: what is below 2 ** -(BITS * PARTS) has no place.
+BITS, PARTS = 40, 3
+
+
+def double_limbs(x: Column) -> list[Column]:
+    """A double, less than 2**22 in size, as whole numbers of its sign: its whole part and PARTS limbs of BITS bits after the point, exactly, as scaling by a power of two and taking a whole part off are. A double of 53 bits is whole from 2**-67 on; what a smaller one has beyond the last limb raises."""
+    sign, rest, out = F.when(x < 0, F.lit(-1)).otherwise(F.lit(1)).cast("bigint"), F.abs(x.cast("double")), []
+    for _ in range(PARTS + 1):
+        whole = F.floor(rest)
+        out.append(sign * whole)
+        rest = (rest - whole.cast("double")) * float(1 << BITS)
+    out[-1] = F.when(rest == 0, out[-1]).otherwise(F.raise_error(F.lit("a double with bits beyond the last limb")).cast("bigint"))
+    return out
+
+
+def exact_ranking(terms: DataFrame, by: list[str] | None = None, depth: int | None = None, x: str = "x") -> DataFrame:
+    """terms(by, docid, x) to by, docid, rank0, score: documents by the sum of their doubles without any error, then docid. Limbs are summed as longs, in any order and in every map task first, and carried at the end; so near-ties are told apart and true ties found, as fractions would, without rounding. score is the nearest double of the sum."""
+    from rankloom.operators.ranking import rank_within
+
+    by = by or ["qid"]
+    names = [f"d{i}" for i in range(PARTS + 1)]
+    sums = terms.select(*by, "docid", *[c.alias(n) for c, n in zip(double_limbs(F.col(x)), names)]).groupBy(*by, "docid").agg(*[F.sum(n).alias(n) for n in names])
+    for i in range(PARTS, 0, -1):
+        sums = sums.withColumn(f"d{i - 1}", F.col(f"d{i - 1}") + F.shiftright(f"d{i}", BITS)).withColumn(f"d{i}", F.col(f"d{i}").bitwiseAND(F.lit((1 << BITS) - 1)))
+    score = F.lit(0.0)
+    for n in reversed(names):
+        score = score / float(1 << BITS) + F.col(n)
+    return rank_within(sums.withColumn("score", score), by, [*[F.desc(n) for n in names], F.asc("docid")], depth, "rank0").select(*by, "docid", "rank0", "score")
+
+
 def exact_order(k: int = 60, depth: int = 200) -> list[Column]:
     """Greatest sum first, then docid."""
     return [*[F.desc(f"l{i}") for i in reversed(range(limbs(k, depth)))], F.asc("docid")]

@@ -15,11 +15,13 @@ STOPWORDS = tuple(
 )
 
 
+_WORD = r"[\p{L}\p{N}]"
+_TOKEN = rf"((?<!{_WORD})(?!(?:{'|'.join(w for w in STOPWORDS if len(w) > 1)})(?!{_WORD})){_WORD}{{2,}})"
+
+
 def tokenize(text: Column) -> Column:
-    """Lower-case runs of letters and numbers of any script, without stopwords and single characters."""
-    parts = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(parts, lambda x: (F.length(x) > 1) & ~F.array_contains(stop, x))
+    """Lower-case runs of letters and numbers of any script, without stopwords and single characters: one pattern, so no token is looked at again."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(_TOKEN))
 
 
 def tokenize_raw(text: Column) -> Column:

@@ -227,6 +227,24 @@ def share_contrast(groups: DataFrame, qrels: DataFrame, first: str = "tail_suppo
     return both.select("qid", F.round(low, 9).alias("lower"), F.round(high, 9).alias("upper"), F.round(high - low, 9).alias("width"))
 
 
+def association(groups: DataFrame, qrels: DataFrame, of: DataFrame, names: list[str], first: str = "tail_supported", second: str = "isolated", relevant: int = 2, replicates: int = 10_000) -> DataFrame:
+    """groups(qid, docid, group), of(qid, collection) to one row for each collection of names: queries, eligible (those with both groups), excluded (the ids of the others, sorted, joined by blanks; as many as a collection has queries), the mean ends of the contrast over eligible queries, the envelope of resampled ends, what it says, and branch: whether all collections say the same material thing. A collection without eligible queries has no envelope."""
+    from rankloom.operators import statistics
+
+    have = groups.groupBy("qid").agg(F.collect_set("group").alias("groups"))
+    every = of.join(have, "qid", "left").withColumn("eligible", F.coalesce(F.array_contains("groups", first) & F.array_contains("groups", second), F.lit(False)))
+    counts = every.groupBy("collection").agg(F.count(F.lit(1)).alias("queries"), F.sum(F.col("eligible").cast("bigint")).alias("eligible"), F.array_join(F.sort_array(F.collect_list(F.when(~F.col("eligible"), F.col("qid")))), " ").alias("excluded"))
+    ends = share_contrast(groups, qrels, first, second, relevant).join(of, "qid")
+    found = None
+    for name in names:
+        one = statistics.envelope(ends.where(F.col("collection") == name).select("qid", "lower", "upper"), replicates).select(F.lit(name).alias("collection"), "lower", "upper", F.col("lower_low").alias("low"), F.col("upper_high").alias("high"), "interpretation")
+        found = one if found is None else found.unionByName(one)
+    out = counts.join(found, "collection")
+    whole = Window.partitionBy()  # a row for each collection
+    same = (F.min("interpretation").over(whole) == F.max("interpretation").over(whole)) & F.col("interpretation").isin("material_positive", "material_negative")
+    return out.withColumn("branch", F.when(same, "advance").otherwise("stop"))
+
+
 def _fraction(num: Column, den: Column) -> Column:
     """A fraction with a positive denominator below 10^9 as a struct that sorts exactly: its whole part, then 18 digits of the rest."""
     n, d = num.cast("decimal(18,0)"), den.cast("decimal(18,0)")

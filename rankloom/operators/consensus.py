@@ -182,7 +182,7 @@ def soft_routed(b: Layers, n: int, k: int = 60, contribution_space=False, reliab
     b.add(have4=f"({have})", m4=m, sd4=sd)
     b.add(disp4=f"CASE WHEN have4 >= 2 THEN sd4 / (m4 + {'1e-12' if contribution_space else k}) ELSE 0.0 END", cov=f"have4 / {float(n)}")
     b.add(total="cov * (1 - disp4) + cov * disp4 + (1 - cov) + 1e-12", pos=f"least(1.0, base_rank / {float(protect)})" if protect else "1.0")
-    parts = []
+    mods = {}
     for r in range(n):
         local = f"(CASE WHEN cnt{r} >= 2 THEN z{r} END)" if per_document else "NULL"
         listwide = f"1.0 + ae * zc{r} * pos"
@@ -197,9 +197,9 @@ def soft_routed(b: Layers, n: int, k: int = 60, contribution_space=False, reliab
         if gate:
             open_ = {"sigmoid": sigmoid(f"z{r}"), "relu": f"greatest(0.0, z{r})", "bounded": f"least(1.0, greatest(0.0, z{r}))"}[gate]
             s = f"1.0 + be * zi{r} * CASE WHEN cnt{r} >= 2 THEN {open_} ELSE 1.0 END"
-        mod = f"greatest({floor}, cov * (1 - disp4) / total + cov * disp4 / total * ({d}) + (1 - cov) / total * ({s}))"
-        parts.append(f"CASE WHEN p{r} IS NULL THEN 0.0 ELSE {w[r]} * {mod} / ({k} + p{r} + 1) END")
-    b.add(final4=" + ".join(parts))
+        mods[f"mod{r}"] = f"greatest({floor}, cov * (1 - disp4) / total + cov * disp4 / total * ({d}) + (1 - cov) / total * ({s}))"
+    b.add(**mods)
+    b.add(final4=" + ".join(f"CASE WHEN p{r} IS NULL THEN 0.0 ELSE {w[r]} * mod{r} / ({k} + p{r} + 1) END" for r in range(n)))
 
 
 def fusion_layers(name: str, n: int, k: int = 60) -> Layers:

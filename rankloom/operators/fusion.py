@@ -208,33 +208,42 @@ def decomposition(runs: DataFrame, base: str, variants: list[str], other: str, k
     return rows.select("qid", "docid", "variant", category.alias("category"), num.alias("num"), den.alias("den"))
 
 
+def preferences(ranks):
+    """Of one list's ranks (nan where it lacks a document), by documents: both are held, and the second stands above the first."""
+    import numpy as np
+
+    have = ~np.isnan(ranks)
+    return np.outer(have, have).astype(float), (np.nan_to_num(ranks, nan=np.inf)[None, :] < np.nan_to_num(ranks, nan=-np.inf)[:, None]).astype(float)
+
+
+def stationary(both, above, damping: float, iterations: int, tolerance: float):
+    """Where the chain stays that moves from a document to one that most lists holding both put above it."""
+    import numpy as np
+
+    n = len(both)
+    move = (2 * above > both) & (both > 0)
+    step = (1 - damping) / n * move
+    np.fill_diagonal(step, (1 - damping) * (1 - move.sum(axis=1) / n))
+    pi = np.full(n, 1 / n)
+    for _ in range(iterations):
+        new = damping / n + pi @ step
+        new /= new.sum()
+        done = np.abs(new - pi).sum() < tolerance
+        pi = new
+        if done:
+            break
+    return pi
+
+
 def mc4(runs: DataFrame, pool: int = 100, damping: float = 0.15, iterations: int = 80, tolerance: float = 1e-7) -> DataFrame:
     """Markov chain fusion: from a document to one that most lists holding both put above it. A query's pool is bounded by pool times the number of lists, so each query is one small matrix: qid, docid, rank0, score."""
-    import numpy as np
     import pandas as pd
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         wide = rows.pivot(index="docid", columns="source", values="rank")
         wide = wide[(wide < pool).any(axis=1)].sort_index()
-        ranks = wide.to_numpy(float)
-        n = len(ranks)
-        both, above = np.zeros((n, n)), np.zeros((n, n))
-        for r in ranks.T:
-            have = ~np.isnan(r)
-            both += np.outer(have, have)
-            above += np.nan_to_num(r, nan=np.inf)[None, :] < np.nan_to_num(r, nan=-np.inf)[:, None]
-        move = (2 * above > both) & (both > 0)
-        step = (1 - damping) / n * move
-        np.fill_diagonal(step, (1 - damping) * (1 - move.sum(axis=1) / n))
-        pi = np.full(n, 1 / n)
-        for _ in range(iterations):
-            new = damping / n + pi @ step
-            new /= new.sum()
-            done = np.abs(new - pi).sum() < tolerance
-            pi = new
-            if done:
-                break
-        return pd.DataFrame({"qid": rows["qid"].iloc[0], "docid": wide.index, "score": pi})
+        both, above = map(sum, zip(*(preferences(r) for r in wide.to_numpy(float).T)))
+        return pd.DataFrame({"qid": rows["qid"].iloc[0], "docid": wide.index, "score": stationary(both, above, damping, iterations, tolerance)})
 
     return ranking(runs.select("qid", "source", "docid", "rank").groupBy("qid").applyInPandas(one, "qid string, docid string, score double"))
 
@@ -246,16 +255,17 @@ def ensembles(runs: DataFrame, arms: DataFrame, k: float = K) -> DataFrame:
     return ranking(rows.groupBy("arm", "qid", "docid").agg(F.sum(copies / (k + F.col("rank") + 1)).alias("score")), ["arm", "qid"])
 
 
-def permutation_control(runs: DataFrame, qrels: DataFrame, replicates: int = 4) -> DataFrame:
-    """rep, qid, source, docid, rank: lists in which documents of one grade (or unjudged) that the same lists hold have changed places. Draws come from a digest of replicate and document, so they are the same on every engine."""
-    own = Window.partitionBy("qid", "source", "grade", "mask")
+def permutation_control(runs: DataFrame, qrels: DataFrame, replicates: int = 256, sources: list[str] | None = None) -> DataFrame:
+    """rep, qid, source, docid, rank: lists in which documents of one grade that the same lists hold have changed places; unjudged documents, and lists that sources leaves out, stay as they are. Draws come from a digest of replicate and document, so they are the same on every engine."""
+    own = Window.partitionBy("qid", "source", "grade", "mask", "fixed")
     held = Window.partitionBy("qid", "docid")
     rows = runs.join(qrels, ["qid", "docid"], "left").withColumn("mask", F.array_join(F.sort_array(F.collect_set("source").over(held)), ","))
-    rows = rows.withColumn("grade", F.coalesce("grade", F.lit(-1))).withColumn("place", F.row_number().over(own.orderBy("rank")))
+    still = F.col("grade").isNull() if sources is None else F.col("grade").isNull() | ~F.col("source").isin(sources)
+    rows = rows.withColumn("fixed", F.when(still, F.col("docid")).otherwise("")).withColumn("grade", F.coalesce("grade", F.lit(-1))).withColumn("place", F.row_number().over(own.orderBy("rank")))
     each = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    mine = Window.partitionBy("rep", "qid", "source", "grade", "mask").orderBy(F.md5(F.concat_ws(":", "rep", "docid")), "docid")
-    drawn = each.select("rep", "qid", "source", "grade", "mask", "docid", F.row_number().over(mine).alias("place"))
-    keys = ["qid", "source", "grade", "mask", "place"]
+    mine = Window.partitionBy("rep", "qid", "source", "grade", "mask", "fixed").orderBy(F.md5(F.concat_ws(":", "rep", "docid")), "docid")
+    drawn = each.select("rep", "qid", "source", "grade", "mask", "fixed", "docid", F.row_number().over(mine).alias("place"))
+    keys = ["qid", "source", "grade", "mask", "fixed", "place"]
     return drawn.join(rows.select(*keys, "rank"), keys).select("rep", "qid", "source", "docid", "rank")
 
 

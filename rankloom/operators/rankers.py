@@ -1,10 +1,11 @@
 """Rankers over text: queries(qid, text) and docs(docid, text), ids unlike, to rankings.
 
-A document's tokens are exploded in the scan's own tasks and met there with the queries' words, so only counts of query words are shuffled, one row for each document and word; lengths and totals come from the arrays. Rankers that score given candidates read the candidates' texts only. Queries are the small side by nature; their words are broadcast after their size was checked, and joined by shuffle beyond it.
+The corpus is read and tokenised once: tokens are exploded in the scan's own tasks, met there with the queries' words, and counted in parts, so what is shuffled and written is a row for each document and query word, and one for each document. Every statistic (document and collection frequencies, lengths, numbers of documents) comes from this table. A document that is given several times counts once. Rankers that score given candidates read the candidates' texts only, each once, whatever the number of queries it is a candidate of. Queries are the small side by nature; their words are broadcast after their size was checked, and joined by shuffle beyond it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.exact import exact_ranking
+from rankloom.functions.tables import written
 from rankloom.functions.text import bigrams, tokenize, tokenize_raw
 from rankloom.operators.ranking import ranking
 
@@ -33,18 +36,26 @@ def _side(rows: DataFrame, small: bool) -> DataFrame:
 
 
 class Collection:
-    """Counts over all documents for the queries' words: tf(docid, dl, term, tf), terms(term, df, cf), totals(n, avg_dl, c), and words(qid, term, qtf), in which a word that a query repeats counts as often."""
+    """Counts over all documents for the queries' words: tf(docid, dl, term, tf), terms(term, df, cf), totals(n, avg_dl, c), and words(qid, term, qtf), in which a word that a query repeats counts as often. Rows that share a docid are one document: the text with the smallest hash, once."""
 
     def __init__(self, queries: DataFrame, docs: DataFrame, tokens: Callable[[Column], Column] = tokenize):
-        words = queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
+        words = written(queries.select("qid", F.explode(tokens(F.col("text"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf")), "words")
         self.few = few(words)  # of the words, hence of all that has at most one row for each of them
         self.words = _side(words, self.few)
-        read = docs.select("docid", tokens(F.col("text")).alias("tokens"))
-        terms = read.select("docid", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        self.tf = terms.join(_side(words.select("term").distinct(), self.few), "term", "left_semi").groupBy("docid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        read = docs.select("docid", F.xxhash64("text").alias("of"), tokens(F.col("text")).alias("tokens"))
+        # the empty term stands for the document itself, so that none is lost and its repetitions are counted
+        terms = read.select("docid", "of", F.size("tokens").alias("dl"), F.explode(F.concat(F.array(F.lit("")), "tokens")).alias("term"))
+        known = words.select("term").distinct().unionByName(words.sparkSession.createDataFrame([("",)], "term string"))
+        counts = terms.join(_side(known, self.few), "term", "left_semi").groupBy("docid", "of", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+        counts = written(counts, "counts")
+        given = counts.where("term = ''")
+        if not given.groupBy("docid").agg(F.sum("tf").alias("n")).where("n > 1").isEmpty():
+            own = Window.partitionBy("docid")
+            counts = counts.withColumn("first", F.min("of").over(own)).where("of = first").withColumn("times", F.max(F.when(F.col("term") == "", F.col("tf"))).over(own))
+            counts = written(counts.withColumn("tf", F.expr("tf div times")).drop("first", "times"), "counts")
+        self.tf = counts.where("term <> ''").select("docid", "dl", "term", "tf")
         self.terms = self.tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
-        dl = F.size("tokens")
-        self.totals = read.agg(F.count(F.lit(1)).alias("n"), F.avg(dl).alias("avg_dl"), F.sum(dl).alias("c"))
+        self.totals = counts.where("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avg_dl"), F.sum("dl").alias("c"))
 
     def weighted(self) -> DataFrame:
         """words with df, cf and the totals: a row for each query word that some document has."""
@@ -55,9 +66,12 @@ class Collection:
         return self.tf.join(_side(self.weighted(), self.few), "term")
 
 
-def bm25(c: Collection, k1: float = BM25[0], b: float = BM25[1], depth: int = 200) -> DataFrame:
+def bm25(c: Collection, k1: float = BM25[0], b: float = BM25[1], depth: int = 200, raw: bool = False) -> DataFrame:
+    """raw: in the order of the exact sums of the words' parts instead of sums rounded to ten digits."""
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
+    if raw:
+        return exact_ranking(c.matched().select("qid", "docid", part.alias("x")), None, depth)
     return ranking(c.matched().groupBy("qid", "docid").agg(F.sum(part).alias("score")), None, depth)
 
 
@@ -75,8 +89,13 @@ def ql_dirichlet(c: Collection, mu: int = MU, depth: int = 200) -> DataFrame:
 
 
 def candidate_texts(docs: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The texts of candidates(qid, docid): docid, text."""
-    return docs.join(candidates.select("docid").distinct(), "docid", "left_semi").select("docid", F.coalesce("text", F.lit("")).alias("text"))
+    """The texts of candidates(qid, docid): docid, text, once for each docid. Of rows that share one the text with the smallest hash counts, as in a Collection; texts are grouped only if some do."""
+    wanted = candidates.select("docid").distinct()
+    side = _side(wanted, few(wanted))
+    if docs.select("docid").join(side, "docid", "left_semi").groupBy("docid").count().where("count > 1").isEmpty():
+        return docs.join(side, "docid", "left_semi").select("docid", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.join(side, "docid", "left_semi").select("docid", F.xxhash64("text").alias("of"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.groupBy("docid").agg(F.min_by("text", "of").alias("text"))
 
 
 def _spread(candidates: DataFrame) -> DataFrame:
@@ -85,6 +104,14 @@ def _spread(candidates: DataFrame) -> DataFrame:
     return candidates.select("qid", "docid").repartition(n, "docid")
 
 
+def _counts(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
+    """Each row's hashes hs, repeated ones once, with their numbers."""
+    for b in batches:
+        found = [np.unique(np.asarray(x.values.to_numpy(zero_copy_only=False) if x.is_valid else [], np.int64), return_counts=True) for x in b.column("hs")]
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([b.column(key), pa.array([h for h, _ in found], kind), pa.array([n for _, n in found], kind)], [key, "hs", "tfs"])
+
+
 def _cosines(rows: pd.DataFrame) -> pd.DataFrame:
     """One query's texts (docid, empty for the query itself; hs and tfs: hashes and counts of their features) to qid, docid, score."""
     hs = [np.asarray(x if x is not None else [], np.int64) for x in rows["hs"]]
@@ -101,12 +128,12 @@ def _cosines(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def bigram_cosine(queries: DataFrame, docs: DataFrame, candidates: DataFrame, depth: int | None = None) -> DataFrame:
-    """Cosine of words and pairs for candidates(qid, docid). Weights are 1 + ln tf times ln(n / (df + 1)), counted over a query's candidates and itself; features in one of them only, or in 95 hundredths and more, are left out, unless that leaves none. A text without such features scores 0. Features are counted once for each text, by their 64-bit hashes; then a query is one task's vectors, bounded by its candidates, a parameter of the caller."""
+    """Cosine of words and pairs for candidates(qid, docid). Weights are 1 + ln tf times ln(n / (df + 1)), counted over a query's candidates and itself; features in one of them only, or in 95 hundredths and more, are left out, unless that leaves none. A text without such features scores 0. Features are counted once for each text, in the row, by their 64-bit hashes; then a query is one task's vectors, bounded by its candidates, a parameter of the caller."""
 
     def features(rows: DataFrame, key: str) -> DataFrame:
         read = rows.select(key, tokenize(F.col("text")).alias("tokens"))
-        f = read.select(key, F.explode(F.concat("tokens", bigrams(F.col("tokens")))).alias("f")).select(key, F.xxhash64("f").alias("h"))
-        return f.groupBy(key, "h").agg(F.count(F.lit(1)).alias("tf")).groupBy(key).agg(F.collect_list("h").alias("hs"), F.collect_list("tf").alias("tfs"))
+        hashed = read.select(key, F.transform(F.concat("tokens", bigrams(F.col("tokens"))), lambda f: F.xxhash64(f)).alias("hs"))
+        return hashed.mapInArrow(lambda batches: _counts(batches, key), f"{key} {dict(rows.dtypes)[key]}, hs array<bigint>, tfs array<bigint>")
 
     pairs = _spread(candidates)
     rows = pairs.join(features(candidate_texts(docs, candidates), "docid"), "docid", "left").select("qid", "docid", "hs", "tfs")
@@ -121,46 +148,74 @@ def matching(queries: DataFrame, docs: DataFrame, tokens: Callable[[Column], Col
     return c.tf.join(c.words, "term").select("qid", "docid").distinct()
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """qid, docid, have, early, close: words found, the sum of 1 / (1 + first place) over them, and of 1 / (1 + nearest distance) over their pairs; from hits (place and number of word, in order of places)."""
+#: Queries that a candidate text is evaluated for in one row, about; and cells of a table of places at once.
+TOGETHER, CELLS = 500, 1 << 21
+RAW = re.compile("[a-z0-9]+")
+
+
+def _nearest(place: np.ndarray, word: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of hits in order of their places, by words: the first place (infinite if none), and the least distance of each two words. Every hit looks back at the last place of each word, slice after slice."""
+    first, near, last = np.full(m, np.inf), np.full((m, m), np.inf), np.full(m, -np.inf)
+    step = max(1, CELLS // m)
+    for at in range(0, len(place), step):
+        p, w = place[at : at + step].astype(float), word[at : at + step]
+        seen = np.full((len(p) + 1, m), -np.inf)
+        seen[0] = last
+        seen[np.arange(1, len(p) + 1), w] = p
+        np.maximum.accumulate(seen, axis=0, out=seen)
+        back = p[:, None] - seen[:-1]
+        order = np.argsort(w, kind="stable")
+        begin = np.flatnonzero(np.r_[True, np.diff(w[order]) != 0])
+        own = w[order][begin]
+        near[own] = np.minimum(near[own], np.minimum.reduceat(back[order], begin, axis=0))
+        first[own] = np.minimum(first[own], p[order][begin])
+        last = seen[-1]
+    return first, np.minimum(near, near.T)
+
+
+def _proximities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """qid, docid, score of rows(docid, low, asked): each lower-case text is split once, for all queries that ask for it."""
     for b in batches:
         out = [[] for _ in range(3)]
-        for hits in b.column("hits").to_pylist():
-            number = {i: n for n, i in enumerate(dict.fromkeys(h["i"] for h in hits))}
-            first = {}
-            last, near = np.full(len(number), -np.inf), np.full((len(number), len(number)), np.inf)
-            for h in hits:
-                n, pos = number[h["i"]], h["pos"]
-                first.setdefault(n, pos)
-                np.minimum(near[n], pos - last, out=near[n])
-                last[n] = pos
-            d = np.minimum(near, near.T)[np.triu_indices(len(number), 1)]
-            for col, v in zip(out, (len(number), sum(1 / (1 + x) for x in first.values()), float((1 / (1 + d)).sum()))):
-                col.append(v)
-        kinds = (pa.int64(), pa.float64(), pa.float64())
-        yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("docid"), *(pa.array(c, k) for c, k in zip(out, kinds))], ["qid", "docid", "have", "early", "close"])
+        for docid, low, asked in zip(b.column("docid").to_pylist(), b.column("low").to_pylist(), b.column("asked").to_pylist()):
+            tokens = RAW.findall(low)
+            number: dict[str, int] = {}
+            every = np.fromiter((number.setdefault(t, len(number)) for t in tokens), np.int64, len(tokens))
+            order = np.argsort(every, kind="stable")
+            starts = np.searchsorted(every[order], np.arange(len(number) + 1))
+            for q in asked:
+                terms, score = q["terms"], 0.0
+                m = len(terms)
+                if tokens:
+                    have = [(i, number[t]) for i, t in enumerate(terms) if t in number]
+                    spots = [order[starts[n] : starts[n + 1]] for _, n in have]
+                    close = early = 0.0
+                    if have:
+                        place = np.concatenate(spots)
+                        by = np.argsort(place, kind="stable")
+                        first, near = _nearest(place[by], np.repeat(np.arange(len(have)), [len(x) for x in spots])[by], len(have))
+                        early = float((1 / (1 + first)).sum())
+                        close = float((1 / (1 + near[np.triu_indices(len(have), 1)])).sum())
+                    phrase = 0.0 if m < 2 else 1.0 if q["query"] in low else min(1.0, 0.3 * sum(f"{x} {y}" in low for x, y in zip(terms, terms[1:])))
+                    score = 0.2 * len(have) / m + 0.4 * close / max(m * (m - 1) / 2, 1) + 0.15 * early / m + 0.25 * phrase
+                for col, v in zip(out, (q["qid"], docid, score)):
+                    col.append(v)
+        kinds = (b.schema.field("asked").type.value_type.field("qid").type, b.schema.field("docid").type, pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["qid", "docid", "score"])
 
 
 def proximity(queries: DataFrame, docs: DataFrame, candidates: DataFrame, depth: int | None = None) -> DataFrame:
-    """For candidates(qid, docid): .20 share of query words found, .40 mean over all pairs of query words of 1 / (1 + nearest distance) (0 for a pair that isn't found), .15 mean over all query words of 1 / (1 + first place), .25 for phrases: 1 if the text holds the whole query, else .3 for each two neighbouring query words that it holds side by side, at most 1. Query words are distinct, in the order of their first places. A query may have any number of them."""
+    """For candidates(qid, docid): .20 share of query words found, .40 mean over all pairs of query words of 1 / (1 + nearest distance) (0 for a pair that isn't found), .15 mean over all query words of 1 / (1 + first place), .25 for phrases: 1 if the text holds the whole query, else .3 for each two neighbouring query words that it holds side by side, at most 1. Query words are distinct, in the order of their first places. A query may have any number of them.
+
+    Queries go to the texts: about TOGETHER of those that have a text among their candidates are a row, and meet the text once; it is made lower-case and split once for all of them, and numbers come back. A text that very many queries ask for is several rows."""
     own = queries.select("qid", F.lower(F.coalesce("text", F.lit(""))).alias("query"), F.array_distinct(tokenize_raw(F.col("text"))).alias("terms")).where(F.size("terms") > 0)
-    words = own.select("qid", F.posexplode("terms").alias("i", "term"))
-    small = few(words)
-    texts = candidate_texts(docs, candidates)
-    spread = texts.select("docid", F.posexplode(tokenize_raw(F.col("text"))).alias("pos", "term")).join(_side(words.select("term").distinct(), small), "term", "left_semi")
-    pairs = _spread(candidates)
-    hits = pairs.join(spread, "docid").join(_side(words, small), ["qid", "term"]).groupBy("qid", "docid").agg(F.sort_array(F.collect_list(F.struct("pos", "i"))).alias("hits"))
-    kinds = dict(hits.dtypes)
-    near = hits.mapInArrow(_places, f"qid {kinds['qid']}, docid {kinds['docid']}, have bigint, early double, close double")
-    low, m = F.lower("text"), F.size("terms")
-    side_by_side = F.when(m > 1, F.transform(F.sequence(F.lit(1), F.greatest(m - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.element_at("terms", i), F.element_at("terms", i + 1)))).otherwise(F.array().cast("array<string>"))
-    phrase = F.when(m < 2, 0.0).when(F.contains(low, F.col("query")), 1.0).otherwise(F.least(F.lit(1.0), 0.3 * F.size(F.filter("pairs", lambda p: F.contains(low, p)))))
-    said = pairs.join(_side(own.withColumn("pairs", side_by_side), small), "qid").join(texts, "docid").select("qid", "docid", m.alias("m"), phrase.alias("phrase"), (F.size(tokenize_raw(F.col("text"))) > 0).alias("any"))
-    rows = said.join(near, ["qid", "docid"], "left")
-    none = lambda c: F.coalesce(c, F.lit(0.0))
-    n_pairs = F.greatest(F.col("m") * (F.col("m") - 1) / 2, F.lit(1.0))
-    score = 0.2 * none(F.col("have") / F.col("m")) + 0.4 * none(F.col("close") / n_pairs) + 0.15 * none(F.col("early") / F.col("m")) + 0.25 * F.col("phrase")
-    return ranking(rows.select("qid", "docid", F.when(F.col("any"), score).otherwise(0.0).alias("score")), None, depth)
+    small = few(own)
+    share = max(1, own.count() // TOGETHER)
+    pairs = candidates.select("qid", "docid").distinct().join(_side(own, small), "qid").withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(share)))
+    asked = pairs.groupBy("docid", "part").agg(F.collect_list(F.struct("qid", "query", "terms")).alias("asked"))
+    rows = asked.join(candidate_texts(docs, candidates), "docid").select("docid", F.lower("text").alias("low"), "asked")
+    kinds = dict(pairs.dtypes)
+    return ranking(rows.mapInArrow(_proximities, f"qid {kinds['qid']}, docid {kinds['docid']}, score double"), None, depth)
 
 
 def _sketch(text: str, buckets: int, signs: np.ndarray, n: int = 4) -> np.ndarray:

@@ -30,12 +30,19 @@ def paired_t(values: DataFrame) -> DataFrame:
     return rows.select("pair", "n", F.round("mean", 9).alias("mean_diff"), F.round(t, 6).alias("t"), F.when(F.col("n") < 2, 1.0).otherwise(F.round(normal_tail(t), 6)).alias("p"), "wins", "losses", "ties")
 
 
+def splitters(values: DataFrame, key: str, parts: int, each: int = 32) -> list[str]:
+    """Keys that split values into about parts ranges of like size: whole keys, evenly spaced in a sorted sample of about each times parts of them, drawn by a hash."""
+    n = values.count()
+    share = min(1.0, parts * each / max(n, 1))
+    lot = F.pmod(F.xxhash64(key, F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
+    some = sorted((r[0] for r in values.where(F.col(key).isNotNull() & (lot < share)).select(F.col(key).cast("string")).collect()), key=lambda x: x.encode())
+    return sorted({some[i * len(some) // parts] for i in range(1, parts)}, key=lambda x: x.encode()) if some else []
+
+
 def place(values: DataFrame, key: str = "qid", name: str = "i", parts: int = 256) -> DataFrame:
-    """values with the place (from 0) of each row in the order of a unique key, over all rows but without one task that holds them: rows are dealt to ranges whose bounds come from approximate quantiles of the key's first bytes, numbered within their range, and moved on by the counts of the ranges before. Bounds decide only how evenly the ranges are filled."""
-    head = F.conv(F.rpad(F.substring(F.hex(F.col(key).cast("binary")), 1, 14), 14, "0"), 16, 10).cast("bigint")
-    found = values.agg(F.percentile_approx(head, [i / parts for i in range(1, parts)]).alias("b")).first()["b"]
-    bounds = sorted(set(found or []))
-    rows = values.withColumn("part_", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= head)) if bounds else F.lit(0))
+    """values with the place (from 0) of each row in the order of a unique key, over all rows but without one task that holds them: rows are dealt to ranges between sampled keys, numbered within their range, and moved on by the counts of the ranges before. The sample decides only how evenly the ranges are filled."""
+    bounds = splitters(values, key, parts)
+    rows = values.withColumn("part_", F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key).cast("string"))) if bounds else F.lit(0))
     before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # over at most as many rows as ranges
     starts = rows.groupBy("part_").agg(F.count(F.lit(1)).alias("n_")).select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
     own = F.row_number().over(Window.partitionBy("part_").orderBy(key)) - 1

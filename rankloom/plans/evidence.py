@@ -1,4 +1,4 @@
-"""Queries about judgments, intervals and the laboratory, over the supplied tables, and their SQL."""
+"""Queries about judgments and intervals over the supplied tables, and their SQL."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import exact
 from rankloom.functions import text as text_functions
-from rankloom.operators import bounds, consensus, fusion, labs, ranking, sets
+from rankloom.operators import bounds, consensus, fusion, ranking, sets
 from rankloom.plans import queries as Q
 from rankloom.plans import workloads as W
 from rankloom.plans.queries import query, with_runs
@@ -128,15 +128,12 @@ def generic_exchange(spark, d):
     return bounds.generic_exchange(Q._list(runs, "revenue").where("rank0 < 20"), Q._list(runs, "returned"), fusion.rrf(runs.where("source in ('revenue', 'returned')")))
 
 
-_CONTROLS = 8
-_DRAWN = f"""SELECT r.rep, r.qid, r.source, r.docid, t.rank FROM (SELECT *, row_number() OVER (PARTITION BY rep, qid, source, grade, mask ORDER BY md5(CAST(rep AS VARCHAR) || ':' || docid), docid) AS place FROM s CROSS JOIN (SELECT CAST(range AS INT) AS rep FROM range({_CONTROLS}))) r
-JOIN (SELECT *, row_number() OVER (PARTITION BY qid, source, grade, mask ORDER BY rank) AS place FROM s) t ON t.qid = r.qid AND t.source = r.source AND t.grade = r.grade AND t.mask = r.mask AND t.place = r.place"""
-_S = "s AS (SELECT r.qid, r.source, r.docid, r.rank, coalesce(grade, -1) AS grade, m.mask FROM runs r LEFT JOIN qrels q ON q.qid = r.qid AND q.docid = r.docid JOIN (SELECT qid, docid, string_agg(source, ',' ORDER BY source) AS mask FROM runs GROUP BY qid, docid) m ON m.qid = r.qid AND m.docid = r.docid)"
+_CONTROLS = Q.REPLICATES
 _CHEADS = f"ch AS (SELECT rep, qid, docid FROM ({exact.exact_sql('dr', 'rep, qid')}) WHERE rank0 < 10)"
 _CC = f"SELECT contrast, qid, docid, CAST(sum(coef) AS BIGINT) AS coef FROM (SELECT 'F-C' AS contrast, qid, docid, {_CONTROLS} AS coef FROM (SELECT * FROM ({Q.rank_sql(Q.RRF)}) WHERE rank0 < 10) UNION ALL SELECT 'S-C', qid, docid, {_CONTROLS} FROM runs WHERE source = 'returned' AND rank < 10 UNION ALL SELECT n, qid, docid, -count(*) FROM ch CROSS JOIN (VALUES ('F-C'), ('S-C')) AS v(n) GROUP BY n, qid, docid) GROUP BY ALL HAVING sum(coef) <> 0"
 
 
-@query(with_runs(Q._interval_sql(_CC, BINARY, 1, "contrast"), _S, f"dr AS ({_DRAWN})", exact.units_sql(), _CHEADS))
+@query(with_runs(Q._interval_sql(_CC, BINARY, 1, "contrast"), Q.CLASSES_SQL, f"dr AS ({Q.DRAWN_SQL})", exact.units_sql(), _CHEADS))
 def control_mean_bounds(spark, d):
     """P@10 of the fused and of one list's heads less the mean of permuted controls, over their number times ten, all queries together."""
     runs, qrels = W.runs(spark, d), W.qrels(spark, d)
@@ -157,13 +154,22 @@ def common_scalar_interval(spark, d):
     return bounds.common_interval(Q.scalar_interval(spark, d))
 
 
+SHORT = 40
+SHORT_SQL = W.RUNS_SQL.replace(f"WHERE rank < {W.DEPTH})", f"WHERE rank < {SHORT})")
+
+
+def with_short(body: str, *ctes: str) -> str:
+    return f"WITH {', '.join([SHORT_SQL, *ctes])} {body}"
+
+
 _SHARES = f'SELECT qid, "group", sum(CASE WHEN grade >= 2 THEN 1 ELSE 0 END) / count(*) AS l, sum(CASE WHEN grade >= 2 OR grade IS NULL THEN 1 ELSE 0 END) / count(*) AS u FROM (SELECT s.qid, s."group", grade FROM ({Q._SPEC}) s LEFT JOIN qrels q ON q.qid = s.qid AND q.docid = s.docid) GROUP BY ALL'
 _CONTRAST = f"""SELECT a.qid, round(a.l - b.u, 9) AS lower, round(a.u - b.l, 9) AS upper, round(a.u - b.l - (a.l - b.u), 9) AS width FROM (SELECT * FROM ({_SHARES}) WHERE "group" = 'tail_supported') a JOIN (SELECT * FROM ({_SHARES}) WHERE "group" = 'isolated') b ON a.qid = b.qid"""
 
 
-@query(with_runs(_CONTRAST))
+@query(with_short(_CONTRAST))
 def specialist_contrast(spark, d):
-    return bounds.share_contrast(sets.specialists(W.runs(spark, d)), W.qrels(spark, d))
+    """Of lists of depth 40: at their full depth, all lists hold the few suppliers of the small tables."""
+    return bounds.share_contrast(sets.specialists(W.runs(spark, d, SHORT)), W.qrels(spark, d))
 
 
 # overlaps, owners and observations
@@ -179,10 +185,10 @@ def two_lists(spark, d):
     return sets.at_least(W.runs(spark, d))
 
 
-@query(with_runs(f"""SELECT stratum, count(*) AS pairs, count(ar - br) AS judged_pairs, round(avg(aj - bj), 9) AS judged, round(avg(ar - br), 9) AS relevant, round(avg(ag - bg), 9) AS gain FROM
+@query(with_short(f"""SELECT stratum, count(*) AS pairs, count(ar - br) AS judged_pairs, round(avg(aj - bj), 9) AS judged, round(avg(ar - br), 9) AS relevant, round(avg(ag - bg), 9) AS gain FROM
 (SELECT qid, stratum, aj, ar, ag FROM g0 WHERE "group" = 'tail_supported') a JOIN (SELECT qid, stratum, aj AS bj, ar AS br, ag AS bg FROM g0 WHERE "group" = 'isolated') b USING (qid, stratum) GROUP BY stratum""", f'g0 AS (SELECT s.qid, s.stratum, s."group", avg(CASE WHEN grade IS NULL THEN 0 ELSE 1 END) AS aj, avg(CASE WHEN grade IS NULL THEN NULL WHEN grade >= 2 THEN 1 ELSE 0 END) AS ar, avg(power(2.0, coalesce(grade, 0)) - 1) AS ag FROM ({Q._SPEC}) s LEFT JOIN qrels q ON q.qid = s.qid AND q.docid = s.docid GROUP BY ALL)'))
 def group_contrast(spark, d):
-    return sets.group_contrast(sets.specialists(W.runs(spark, d)), W.qrels(spark, d))
+    return sets.group_contrast(sets.specialists(W.runs(spark, d, SHORT)), W.qrels(spark, d))
 
 
 @query(with_runs(f'SELECT owner, "group", count(DISTINCT s.qid) AS queries, count(*) AS n, count(grade) AS judged, count(DISTINCT CASE WHEN grade IS NOT NULL THEN s.qid END) AS visible_queries FROM ({Q._SPEC}) s LEFT JOIN qrels q ON q.qid = s.qid AND q.docid = s.docid GROUP BY ALL'))
@@ -195,10 +201,15 @@ def document_observation(spark, d):
     return sets.observation(W.runs(spark, d), list(W.SOURCES))
 
 
-@query(with_runs("SELECT source, qid, 'depth' AS problem FROM runs GROUP BY source, qid HAVING count(*) <> 100"))
+_DEPTHS = {"revenue": 100, "quantity": 200, "orders": 90, "copy": 5}
+_WANT = f"want(source, n) AS (VALUES {', '.join(map(str, _DEPTHS.items()))})"
+
+
+@query(with_runs("SELECT coalesce(h.source, w.source) AS source, coalesce(h.qid, w.qid) AS qid, CASE WHEN w.n IS NULL THEN 'unexpected source' WHEN h.n IS NULL THEN 'missing' ELSE 'depth' END AS problem FROM (SELECT source, qid, count(*) AS n FROM runs GROUP BY ALL) h FULL JOIN (SELECT want.*, qid FROM want CROSS JOIN (SELECT DISTINCT qid FROM runs)) w ON w.source = h.source AND w.qid = h.qid WHERE h.n IS DISTINCT FROM w.n", _WANT))
 def retained_depth_violations(spark, d):
+    """Lists that should have certain depths: one does or doesn't as the tables grow, others never do, one is missing and one isn't expected."""
     runs = W.runs(spark, d)
-    return sets.retained_depths(runs, dict.fromkeys(W.SOURCES, 100), runs.select("qid").distinct().count())
+    return sets.retained_depths(runs, _DEPTHS, runs.select("qid").distinct().count())
 
 
 # fractions, ids
@@ -222,63 +233,7 @@ def canonical_ids(spark, d):
     return W.table(spark, d, "region").select("r_regionkey", text_functions.canonical_json(names).alias("json"), text_functions.content_id(names).alias("id"), text_functions.digest_seed(F.lit("7"), F.col("r_name")).alias("seed"))
 
 
-# the laboratory
-
-_LAB = """v(x) AS (VALUES (-1), (1)), sp(specialist, ps) AS (VALUES ('weak', 11), ('strong', 17)),
-w AS (SELECT specialist, ps, y.x AS y, g1.x AS a, g2.x AS b, g3.x AS c, s.x AS s, (CASE WHEN g1.x = y.x THEN 7 ELSE 3 END) * (CASE WHEN g2.x = y.x THEN 7 ELSE 3 END) * (CASE WHEN g3.x = y.x THEN 7 ELSE 3 END) * (CASE WHEN s.x = y.x THEN ps ELSE 20 - ps END) AS w FROM sp, v y, v g1, v g2, v g3, v s),
-k AS (SELECT specialist, ps, 'padded' AS arm, 1 AS roots, y, a, 0 AS b, 0 AS c, s, w FROM w UNION ALL SELECT specialist, ps, 'copied', 1, y, a, a, a, s, w FROM w UNION ALL SELECT specialist, ps, 'independent', 3, y, a, b, c, s, w FROM w)"""
-_LIKE = "(power({g}, {u}) * power(1 - {g}, {n}) * CASE WHEN s = 1 THEN ps / 20 ELSE 1 - ps / 20 END) / (power({g}, {u}) * power(1 - {g}, {n}) * CASE WHEN s = 1 THEN ps / 20 ELSE 1 - ps / 20 END + power(1 - {g}, {u}) * power({g}, {n}) * CASE WHEN s = 1 THEN 1 - ps / 20 ELSE ps / 20 END)"
-
-
-def _like(up: str, down: str) -> str:
-    return _LIKE.format(g="0.7::DOUBLE", u=up, n=down)
-
-
-_COUNT = {v: f"((a = {v})::INT + (b = {v})::INT + (c = {v})::INT)" for v in (1, -1)}
-_ANY = {v: f"(a = {v} OR b = {v} OR c = {v})::INT" for v in (1, -1)}
-_ROOT = {v: f"(CASE WHEN roots = 1 THEN (a = {v})::INT ELSE {_COUNT[v]} END)" for v in (1, -1)}
-_SAID = {"naive": _like(_COUNT[1], _COUNT[-1]), "payload_quotient": _like(_ANY[1], _ANY[-1]), "blind_bayes": "blind", "equal_root": f"({_ROOT[1]} + (s = 1)::INT) / (roots + 1)", "aware_bayes": _like(_ROOT[1], _ROOT[-1]), "protected_minority": "CASE WHEN a = -s AND b = -s AND c = -s THEN CASE WHEN s = 1 THEN ps / 20 ELSE 1 - ps / 20 END ELSE blind END"}
-_ERR = "CASE WHEN {0} = 0.5 THEN 0.5 WHEN ({0} > 0.5) <> (y = 1) THEN 1.0 ELSE 0.0 END"
-_BELIEF = f"be AS (SELECT specialist, arm, y, s, a, b, c, w, unnest([{', '.join(repr(k) for k in _SAID)}]) AS policy, unnest([{', '.join(f'round(({v})::DOUBLE, 12)' for v in _SAID.values())}]) AS p FROM (SELECT *, sum(CASE WHEN y = 1 THEN w ELSE 0 END) OVER (PARTITION BY specialist, s, a, b, c) / sum(w) OVER (PARTITION BY specialist, s, a, b, c) AS blind FROM k)), ba AS (SELECT * FROM be UNION ALL SELECT specialist, 'all', y, s, a, b, c, w, policy, p FROM be)"
-_SCORED = f"sc AS (SELECT *, {_ERR.format('p')} AS own, {_ERR.format('bp')} AS bl FROM (SELECT *, max(CASE WHEN policy = 'blind_bayes' THEN p END) OVER (PARTITION BY specialist, arm, y, w, s, a, b, c) AS bp FROM ba))"
-_MEAN = {"brier": "power(p - (CASE WHEN y = 1 THEN 1 ELSE 0 END), 2)", "error": "own", "correction": "(1 - own) * bl", "harm": "own * (1 - bl)"}
-
-
-@query(f"WITH {_LAB}, {_BELIEF}, {_SCORED} SELECT specialist, arm, policy, brier, error, correction, harm, round(brier - max(CASE WHEN policy = 'aware_bayes' THEN brier END) OVER (PARTITION BY specialist, arm), 9) + 0.0 AS excess FROM (SELECT specialist, arm, policy, {', '.join(f'round(sum(w * {v}) / sum(w), 9) AS {k}' for k, v in _MEAN.items())} FROM sc GROUP BY ALL)")
-def brier_scores(spark, d):
-    return labs.losses(labs.policies(labs.packets(labs.worlds(spark))))
-
-
-_PAIRS = "pp AS (SELECT *, positive / w AS aware FROM (SELECT specialist, arm, s, a, b, c, sum(w) AS w, sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS positive FROM k GROUP BY ALL) JOIN (SELECT specialist, s, a, b, c, sum(CASE WHEN y = 1 THEN w ELSE 0 END) / sum(w) AS blind FROM k GROUP BY ALL) USING (specialist, s, a, b, c))"
-_PARTS = {"aware_brier": "positive * power(1 - pa, 2) + (w - positive) * power(pa, 2)", "blind_brier": "positive * power(1 - pb, 2) + (w - positive) * power(pb, 2)", "information": "positive * power(1 - aware, 2) + (w - positive) * power(aware, 2) - positive * power(1 - blind, 2) - (w - positive) * power(blind, 2)", "regret": "w * (power(pa - aware, 2) - power(pb - blind, 2))", "selection": "2 * ((pa - aware) * (w * aware - positive) - (pb - blind) * (w * blind - positive))"}
-
-
-@query(f"WITH {_LAB}, {_PAIRS} SELECT specialist, pairs, valid, coverage, {', '.join(_PARTS)}, gap FROM (SELECT specialist, count(*) AS pairs, count(pa) AS valid, round(sum(CASE WHEN pa IS NOT NULL THEN w ELSE 0 END) / sum(w), 9) AS coverage, {', '.join(f'round(sum(CASE WHEN pa IS NOT NULL THEN {v} END) / sum(CASE WHEN pa IS NOT NULL THEN w END), 9) AS {k}' for k, v in _PARTS.items())}, round(sum({_PARTS['aware_brier']} - ({_PARTS['blind_brier']})) / sum(CASE WHEN pa IS NOT NULL THEN w END), 9) AS gap FROM (SELECT *, CASE WHEN s = 1 OR arm <> 'copied' THEN round(0.9 * aware + 0.05, 6) END AS pa, CASE WHEN s = 1 OR arm <> 'copied' THEN round(0.8 * blind + 0.1, 6) END AS pb FROM pp) GROUP BY specialist)")
-def packet_decomposition(spark, d):
-    """Somebody who doesn't go far enough, and says nothing about copies with a negative specialist."""
-    pairs = labs.packet_pairs(spark)
-    said = pairs.where("s = 1 or arm <> 'copied'").select("specialist", "arm", "s", "a", "b", "c", F.round(0.9 * F.col("aware") + 0.05, 6).alias("p_aware"), F.round(0.8 * F.col("blind") + 0.1, 6).alias("p_blind"))
-    return labs.decompose(pairs, said)
-
-
-@query(f"WITH {_LAB}, e AS (SELECT * FROM k WHERE arm <> 'padded' AND a = -s AND b = -s AND c = -s), h AS (SELECT *, CASE WHEN arm = hint THEN 9 ELSE 1 END * w AS m FROM e CROSS JOIN (VALUES ('copied'), ('independent')) AS hh(hint)) SELECT x.specialist, x.generalist, x.hint, mass, positive, round(positive / mass, 9) AS noisy, trusting, blind FROM (SELECT specialist, a AS generalist, hint, CAST(sum(m) AS BIGINT) AS mass, CAST(sum(CASE WHEN y = 1 THEN m ELSE 0 END) AS BIGINT) AS positive FROM h GROUP BY ALL) x JOIN (SELECT specialist, a, arm, round(sum(CASE WHEN y = 1 THEN w ELSE 0 END) / sum(w), 9) AS trusting FROM e GROUP BY ALL) t ON t.specialist = x.specialist AND t.a = x.generalist AND t.arm = x.hint JOIN (SELECT specialist, a, round(sum(CASE WHEN y = 1 THEN w ELSE 0 END) / sum(w), 9) AS blind FROM k WHERE a = -s AND b = a AND c = a GROUP BY ALL) b ON b.specialist = x.specialist AND b.a = x.generalist")
-def noisy_lineage(spark, d):
-    return labs.noisy_lineage(spark)
-
-
-@query(f"WITH RECURSIVE {Q.TRACE_SQL}, se AS (SELECT *, min(step) OVER (PARTITION BY program, a, b) AS f FROM t) SELECT p.program, x.f AS first, x.step AS again FROM (SELECT DISTINCT program FROM t) p LEFT JOIN (SELECT program, f, step, row_number() OVER (PARTITION BY program ORDER BY step, f) AS i FROM se WHERE step > f) x ON x.program = p.program AND i = 1")
-def first_cycle(spark, d):
-    return labs.first_cycle(labs.trace(spark, Q._PROGRAMS))
-
-
-@query("SELECT * FROM (VALUES ('p', true, NULL), ('q', false, 'state'), ('r', false, 'extra'), ('s', false, 'missing')) AS v(program, valid, problem)")
-def certificate_check(spark, d):
-    """Certificates of which one has a wrong state, one a step too many and one too few."""
-    real = labs.trace(spark, Q._PROGRAMS)
-    said = real.withColumn("a", F.col("a") + ((F.col("program") == "q") & (F.col("step") == 4)).cast("int")).where("program <> 's' or step < 60")
-    extra = spark.createDataFrame([("r", 5, 0, 0, None)], "program string, step int, a bigint, b bigint, result boolean")
-    return labs.certificate_check(real, said.unionByName(extra))
-
+# joint errors
 
 _ERRORS = "pr AS (SELECT r.qid, length(r.qid) % 2 AS stratum, g >= 2 AS truth, (g >= 2) <> (r.rank < 5) AS g_error, (g >= 2) <> coalesce(s.rank < 5, false) AS s_error FROM (SELECT runs.*, grade AS g FROM runs JOIN qrels ON qrels.qid = runs.qid AND qrels.docid = runs.docid WHERE source = 'revenue' AND rank < 20) r LEFT JOIN runs s ON s.source = 'returned' AND s.qid = r.qid AND s.docid = r.docid)"
 _CELLS = ", ".join(f"CAST(count(*) FILTER (g_error = {bool(g)} AND s_error = {bool(s)}) AS BIGINT) AS n{g}{s}" for g in (0, 1) for s in (0, 1))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import exact
 from rankloom.functions import text as text_functions
-from rankloom.operators import bounds, consensus, features, fusion, labs, metrics, rankers, ranking, sets, statistics
+from rankloom.functions.tables import written
+from rankloom.operators import bounds, consensus, features, fusion, metrics, rankers, ranking, sets, statistics
 from rankloom.plans import workloads as W
 from rankloom.sources import trec
 
@@ -175,24 +176,26 @@ def winner_counts(spark, d):
 
 
 _TAIL = "t * exp(-x * x + " + " + t * (".join(str(c) for c in statistics.TAIL) + ")" * len(statistics.TAIL)
-_TTEST = f"""SELECT 'v5-vanilla' AS pair, n, round(m, 9) AS mean_diff, round(tt, 6) AS t, CASE WHEN n < 2 THEN 1.0 ELSE round({_TAIL}, 6) END AS p, wins, losses, ties
+def ttest_sql(pairs: str) -> str:
+    """The paired test over rows(pair, d)."""
+    return f"""SELECT pair, n, round(m, 9) AS mean_diff, round(tt, 6) AS t, CASE WHEN n < 2 THEN 1.0 ELSE round({_TAIL}, 6) END AS p, wins, losses, ties
 FROM (SELECT *, 1 / (1 + 0.5 * x) AS t FROM (SELECT *, abs(tt) / sqrt(2) AS x FROM (SELECT *, CASE WHEN n < 2 THEN 0.0 ELSE m / CASE WHEN v > 0 THEN sqrt(v / n) ELSE 1e-12 END END AS tt
-FROM (SELECT count(d) AS n, avg(d) AS m, var_samp(d) AS v, CAST(count(*) FILTER (d > 0) AS BIGINT) AS wins, CAST(count(*) FILTER (d < 0) AS BIGINT) AS losses, CAST(count(*) FILTER (d = 0) AS BIGINT) AS ties FROM (SELECT v5 - vanilla AS d FROM ({_PAIR}))))))"""
+FROM (SELECT pair, count(d) AS n, avg(d) AS m, var_samp(d) AS v, CAST(count(*) FILTER (d > 0) AS BIGINT) AS wins, CAST(count(*) FILTER (d < 0) AS BIGINT) AS losses, CAST(count(*) FILTER (d = 0) AS BIGINT) AS ties FROM ({pairs}) GROUP BY pair))))"""
 
 
-@query(with_runs(_TTEST))
+@query(with_runs(ttest_sql(f"SELECT 'v5-vanilla' AS pair, v5 - vanilla AS d FROM ({_PAIR})")))
 def paired_ttest(spark, d):
     return statistics.paired_t(_pair(spark, d).select(F.lit("v5-vanilla").alias("pair"), F.col("v5").alias("a"), F.col("vanilla").alias("b")))
 
 
-def _draw_sql(reps: int, seed: int, columns: str, source: str) -> str:
+def _draw_sql(reps: int, seed: int, columns: str, source: str, placed: str = "placed") -> str:
     """rep and means of columns over drawn queries of source(qid, ...)."""
     means = ", ".join(f"avg({c}) AS {c}" for c in columns.split(", "))
-    return f"SELECT rep, {means} FROM (SELECT rep, (((rep + 1) * 1103515245 + (pos + 1) * (rep + 7) * 12345 + {seed}) % 2147483648) % n AS i FROM range({reps}) r(rep) CROSS JOIN (SELECT i AS pos, count(*) OVER () AS n FROM placed)) x JOIN placed USING (i) GROUP BY rep"
+    return f"SELECT rep, {means} FROM (SELECT rep, (((rep + 1) * 1103515245 + (pos + 1) * (rep + 7) * 12345 + {seed}) % 2147483648) % n AS i FROM range({reps}) r(rep) CROSS JOIN (SELECT i AS pos, count(*) OVER () AS n FROM {placed})) x JOIN {placed} USING (i) GROUP BY rep"
 
 
-def _placed_sql(columns: str, source: str) -> str:
-    return f"placed AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS i, {columns} FROM ({source}))"
+def _placed_sql(columns: str, source: str, placed: str = "placed") -> str:
+    return f"{placed} AS (SELECT row_number() OVER (ORDER BY qid) - 1 AS i, {columns} FROM ({source}))"
 
 
 @query(with_runs(f"SELECT (SELECT count(*) FROM placed) AS n, round((SELECT avg(x) FROM placed), 9) AS mean, round(l[26], 9) AS low, round(l[975], 9) AS high FROM (SELECT list(x ORDER BY x) AS l FROM ({_draw_sql(1000, 42, 'x', '')}))", _placed_sql("x", f"SELECT qid, vanilla AS x FROM ({_PAIR})")))
@@ -258,11 +261,6 @@ def empirical_fusion(spark, d):
     return fusion.empirical_fusion(runs, fusion.empirical_log_odds(runs, W.qrels(spark, d)))
 
 
-@query()
-def mc4(spark, d):
-    return fusion.mc4(W.runs(spark, d))
-
-
 _SPEC = """SELECT qid, docid, owner, r AS owner_rank, CASE WHEN r <= 3 THEN 'rank1_3' ELSE 'rank4_10' END AS stratum, CASE WHEN n > 1 THEN 'tail_supported' ELSE 'isolated' END AS "group"
 FROM (SELECT qid, docid, source AS owner, rank + 1 AS r, (SELECT count(*) FROM runs o WHERE o.qid = a.qid AND o.docid = a.docid) AS n FROM runs a WHERE rank < 10 AND NOT EXISTS (SELECT 1 FROM runs o WHERE o.qid = a.qid AND o.docid = a.docid AND o.source <> a.source AND o.rank < 30))"""
 
@@ -488,7 +486,7 @@ _BIGRAM = (
 
 
 def _candidates(spark, d):
-    return W.text_queries(spark, d), W.texts(spark, d), bm25(spark, d).select("qid", "docid").persist()  # read several times
+    return W.text_queries(spark, d), W.texts(spark, d), written(bm25(spark, d).select("qid", "docid"), "candidates")  # read several times
 
 
 @query(with_text(rank_sql("SELECT c.qid, c.docid, coalesce(sum(d.w * q.w) / nullif(sqrt(sum(d.w * d.w)) * max(qn), 0), 0.0) AS score FROM cand c LEFT JOIN (SELECT * FROM ww WHERE docid <> '') d ON d.qid = c.qid AND d.docid = c.docid LEFT JOIN (SELECT * FROM ww WHERE docid = '') q ON q.qid = d.qid AND q.f = d.f LEFT JOIN (SELECT qid, sqrt(sum(w * w)) AS qn FROM ww WHERE docid = '' GROUP BY qid) z ON z.qid = c.qid GROUP BY c.qid, c.docid"), _CAND, *_BIGRAM))
@@ -527,26 +525,6 @@ def strict_run_violations(spark, d):
     return trec.violations(trec.format_runs(runs, origin=1))
 
 
-@query("""
-WITH v(x) AS (VALUES (-1), (1)), sp(specialist, ps) AS (VALUES ('weak', 11), ('strong', 17)),
-w AS (SELECT specialist, y.x AS y, g1.x AS a, g2.x AS b, g3.x AS c, s.x AS s, (CASE WHEN g1.x = y.x THEN 7 ELSE 3 END) * (CASE WHEN g2.x = y.x THEN 7 ELSE 3 END) * (CASE WHEN g3.x = y.x THEN 7 ELSE 3 END) * (CASE WHEN s.x = y.x THEN ps ELSE 20 - ps END) AS w FROM sp, v y, v g1, v g2, v g3, v s),
-k AS (SELECT specialist, y, a, 0 AS b, 0 AS c, s, w FROM w UNION ALL SELECT specialist, y, a, a, a, s, w FROM w UNION ALL SELECT specialist, y, a, b, c, s, w FROM w)
-SELECT specialist, s, a, b, c, CAST(sum(w) AS BIGINT) AS mass, round(sum(CASE WHEN y = 1 THEN w ELSE 0 END) / sum(w), 9) AS posterior FROM k GROUP BY ALL
-""")
-def worlds_posterior(spark, d):
-    rows = labs.packets(labs.worlds(spark)).fillna(0, ["b", "c"])
-    return rows.groupBy("specialist", "s", "a", "b", "c").agg(F.sum("w").alias("mass"), F.round(F.sum(F.when(F.col("y") == 1, F.col("w")).otherwise(F.lit(0).cast("bigint"))) / F.sum("w"), 9).alias("posterior"))
-
-
-_PROGRAMS = [("p", -3, 4, 3), ("q", 1, 1, 8), ("r", 2, -5, 0), ("s", 1, -1, 64)]
-TRACE_SQL = f"t(program, step, a, b, rounds) AS (SELECT program, 0, a::BIGINT, b::BIGINT, rounds FROM (VALUES {', '.join(map(str, _PROGRAMS))}) AS p(program, a, b, rounds) UNION ALL SELECT program, step + 1, a + b, a, rounds FROM t WHERE step < rounds)"
-
-
-@query(f"WITH RECURSIVE {TRACE_SQL} SELECT program, step, a, b, CASE WHEN step = rounds THEN a > 0 END AS result FROM t")
-def program_trace(spark, d):
-    return labs.trace(spark, _PROGRAMS)
-
-
 _TIMES = {"revenue": 1, "quantity": 1, "orders": 1, "returned": 3}
 _TIMES_SQL = "CASE source " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _TIMES.items()) + " END"
 @query(with_runs(exact.exact_sql("runs", times=_TIMES_SQL), exact.units_sql()))
@@ -570,10 +548,15 @@ def ensemble_sweep(spark, d):
     return rows.groupBy("arm").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(c), 9).alias(c) for c in ("ndcg10", "map100", "mrr")])
 
 
-@query(with_runs("""SELECT r.rep, r.qid, r.source, r.docid, t.rank FROM (SELECT *, row_number() OVER (PARTITION BY rep, qid, source, grade, mask ORDER BY md5(CAST(rep AS VARCHAR) || ':' || docid), docid) AS place FROM s CROSS JOIN (SELECT CAST(range AS INT) AS rep FROM range(4))) r
-JOIN (SELECT *, row_number() OVER (PARTITION BY qid, source, grade, mask ORDER BY rank) AS place FROM s) t ON t.qid = r.qid AND t.source = r.source AND t.grade = r.grade AND t.mask = r.mask AND t.place = r.place""", "s AS (SELECT r.qid, r.source, r.docid, r.rank, coalesce(grade, -1) AS grade, m.mask FROM runs r LEFT JOIN qrels q ON q.qid = r.qid AND q.docid = r.docid JOIN (SELECT qid, docid, string_agg(source, ',' ORDER BY source) AS mask FROM runs GROUP BY qid, docid) m ON m.qid = r.qid AND m.docid = r.docid)"))
+REPLICATES = 256
+CLASSES_SQL = "s AS (SELECT r.qid, r.source, r.docid, r.rank, coalesce(grade, -1) AS grade, m.mask, CASE WHEN grade IS NULL THEN r.docid ELSE '' END AS fixed FROM runs r LEFT JOIN qrels q ON q.qid = r.qid AND q.docid = r.docid JOIN (SELECT qid, docid, string_agg(source, ',' ORDER BY source) AS mask FROM runs GROUP BY qid, docid) m ON m.qid = r.qid AND m.docid = r.docid)"
+DRAWN_SQL = f"""SELECT r.rep, r.qid, r.source, r.docid, t.rank FROM (SELECT *, row_number() OVER (PARTITION BY rep, qid, source, grade, mask, fixed ORDER BY md5(CAST(rep AS VARCHAR) || ':' || docid), docid) AS place FROM s CROSS JOIN (SELECT CAST(range AS INT) AS rep FROM range({REPLICATES}))) r
+JOIN (SELECT *, row_number() OVER (PARTITION BY qid, source, grade, mask, fixed ORDER BY rank) AS place FROM s) t ON t.qid = r.qid AND t.source = r.source AND t.grade = r.grade AND t.mask = r.mask AND t.fixed = r.fixed AND t.place = r.place"""
+
+
+@query(with_runs(DRAWN_SQL, CLASSES_SQL))
 def permutation_control(spark, d):
-    return fusion.permutation_control(W.runs(spark, d), W.qrels(spark, d))
+    return fusion.permutation_control(W.runs(spark, d), W.qrels(spark, d), REPLICATES)
 
 
 @query(with_runs(f'SELECT "group", count(*) AS n, CAST(sum(CASE WHEN grade >= 2 THEN 1 ELSE 0 END) AS BIGINT) AS relevant, CAST(sum(CASE WHEN grade IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unknown, round(sum(CASE WHEN grade >= 2 THEN 1 ELSE 0 END) / count(*), 9) AS lower, round(sum(CASE WHEN grade >= 2 OR grade IS NULL THEN 1 ELSE 0 END) / count(*), 9) AS upper FROM ({_SPEC}) s LEFT JOIN qrels q ON q.qid = s.qid AND q.docid = s.docid GROUP BY ALL'))
@@ -628,7 +611,7 @@ def token_counts(spark, d):
 
 
 def queries() -> dict:
-    from rankloom.plans import evidence, selectors  # noqa: F401  they register their queries
+    from rankloom.plans import ablations, evidence, selectors  # noqa: F401  they register their queries
 
     return dict(QUERIES)
 

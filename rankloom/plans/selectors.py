@@ -15,11 +15,11 @@ _ENDS = ", ".join(f"round(quantile_cont({c}, {p}), 9) AS {c}_{n}" for c in ("low
 _BAND = "CASE WHEN lower_low > 0.1 THEN 'material_positive' WHEN upper_high < -0.1 THEN 'material_negative' WHEN lower_low >= -0.1 AND upper_high <= 0.1 AND upper_high - lower_low <= 0.1 THEN 'small_under_chosen_bound' ELSE 'inconclusive' END"
 
 
-@query(with_runs(f"SELECT n, round(l, 9) AS lower, round(u, 9) AS upper, lower_low, lower_high, upper_low, upper_high, {_BAND} AS interpretation FROM (SELECT count(*) AS n, avg(lower) AS l, avg(upper) AS u FROM placed) CROSS JOIN (SELECT {_ENDS} FROM ({Q._draw_sql(2000, 42, 'lower, upper', '')}))", Q._placed_sql("lower, upper", f"SELECT qid, lower / 10 AS lower, upper / 10 AS upper FROM ({Q._interval_sql(Q._HEADS, E.BINARY, 1)})")))
+@query(with_runs(f"SELECT n, round(l, 9) AS lower, round(u, 9) AS upper, lower_low, lower_high, upper_low, upper_high, {_BAND} AS interpretation FROM (SELECT count(*) AS n, avg(lower) AS l, avg(upper) AS u FROM placed) CROSS JOIN (SELECT {_ENDS} FROM ({Q._draw_sql(10000, 42, 'lower, upper', '')}))", Q._placed_sql("lower, upper", f"SELECT qid, lower / 10 AS lower, upper / 10 AS upper FROM ({Q._interval_sql(Q._HEADS, E.BINARY, 1)})")))
 def interval_envelope(spark, d):
     """Ends of P@10 bounds, resampled with the same draws."""
     rows = Q.p10_bounds(spark, d).select("qid", (F.col("lower") / 10).alias("lower"), (F.col("upper") / 10).alias("upper"))
-    return statistics.envelope(rows, 2000)
+    return statistics.envelope(rows)
 
 
 @query(with_runs("SELECT qid, 'striped' AS how, CAST((row_number() OVER (ORDER BY qid) - 1) % 5 AS INT) AS fold FROM t UNION ALL SELECT qid, 'chunks', CAST(least((row_number() OVER (ORDER BY md5('42:' || qid) || qid) - 1) // (SELECT greatest(count(*) // 5, 1) FROM t), 4) AS INT) FROM t UNION ALL SELECT qid, 'shuffled', CAST((row_number() OVER (ORDER BY md5('42:' || qid) || qid) - 1) % 5 AS INT) FROM t", "t AS (SELECT DISTINCT qid FROM runs)"))

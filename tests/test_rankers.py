@@ -105,3 +105,49 @@ def test_bigrams_by_hand(spark):
         for b, v, m in zip(own, vec[1:], norm[1:]):
             want[a, b] = sum(x * vec[0].get(f, 0) for f, x in v.items()) / (m * norm[0]) if m * norm[0] else 0.0
     assert got == pytest.approx(want, abs=1e-8)
+
+
+def test_repeated_documents_count_once(spark):
+    q, once = rows(spark, ITEMS, "qid"), rows(spark, TEXTS, "docid")
+    again = once.unionByName(once.where("docid < 'd10'")).unionByName(once.where("docid = 'd03'"))
+    pairs = spark.createDataFrame([(a, b) for a in ITEMS for b in TEXTS], "qid string, docid string")
+    a, b = rankers.Collection(q, once), rankers.Collection(q, again)
+    assert b.totals.first() == a.totals.first()
+    for ranker in (rankers.bm25, rankers.tfidf, rankers.ql_dirichlet):
+        assert scores(ranker(b)) == scores(ranker(a))
+    for ranker in (rankers.proximity, rankers.bigram_cosine, rankers.semantic_hash):
+        assert scores(ranker(q, again, pairs)) == scores(ranker(q, once, pairs))
+
+
+def test_one_docid_with_two_texts_is_one_document(spark):
+    two = spark.createDataFrame([("a", "w1 w2"), ("a", "w1 w1 w1 w3"), ("b", "w1")], "docid string, text string")
+    c = rankers.Collection(rows(spark, ITEMS, "qid"), two)
+    assert c.totals.first()["n"] == 2 and c.tf.where("docid = 'a'").agg({"dl": "max", "docid": "count"}).first()["max(dl)"] in (2, 4)
+    assert c.tf.where("docid = 'a' and term = 'w1'").count() == 1
+
+
+def test_corpus_is_read_once(spark, tmp_path):
+    rows(spark, TEXTS, "docid").write.parquet(f"{tmp_path}/docs")
+    c = rankers.Collection(rows(spark, ITEMS, "qid"), spark.read.parquet(f"{tmp_path}/docs"))
+    plan = rankers.bm25(c)._jdf.queryExecution().executedPlan().toString()
+    assert f"{tmp_path}/docs" not in plan  # only its written counts are
+
+
+def test_raw_scores(spark):
+    c = rankers.Collection(rows(spark, ITEMS, "qid"), rows(spark, TEXTS, "docid"))
+    assert scores(rankers.bm25(c, raw=True)) == pytest.approx(scores(rankers.bm25(c)), abs=1e-9)
+
+
+@pytest.mark.parametrize("cells", [1, 7, 1 << 21])
+def test_nearest_places(monkeypatch, cells):
+    monkeypatch.setattr(rankers, "CELLS", cells)
+    place = sorted(RNG.sample(range(200), 60))
+    word = [RNG.randrange(5) for _ in place]
+    import numpy as np
+
+    first, near = rankers._nearest(np.array(place), np.array(word), 5)
+    for a in range(5):
+        spots = [p for p, w in zip(place, word) if w == a]
+        assert first[a] == min(spots)
+        for b in range(a):
+            assert near[a, b] == min(abs(p - x) for p in spots for x, w in zip(place, word) if w == b)
