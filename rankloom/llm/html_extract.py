@@ -1,10 +1,10 @@
 """Main text of web pages: markup, and a host suffix array for what repeats over pages.
 
-1. A page's tags are matched and its subtrees of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments dropped, by element, role, class or id. If there is an article or main element only what is inside counts. The rest is cut into blocks at block elements. Inside an article a class or id marks an element only as a whole name (perhaps with a fixed affix), and names with other meanings (AMBIGUOUS) only if a third of the element's text is links.
+1. A page's tags are matched and its subtrees of menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments dropped, by element, role, class or id. The rest is cut into blocks at block elements. An article or main element vouches for what is inside; text outside of it stays too, but for blocks full of links, if it doesn't repeat over the host. Inside an article a class or id marks an element only as a whole name (perhaps with a fixed affix), and names with other meanings (AMBIGUOUS) only if a third of the element's text is links.
 2. Blocks that markup vouches for (paragraphs, headings, lists, quotations and the like inside an article or main element) are compared as wholes. Of everything else (what was dropped, with negative block numbers; bare divisions; all blocks of a page without such an element) the token streams of a host's pages are concatenated, in groups of pages of bounded size, and their suffixes sorted, with the length of each common prefix of neighbours. Substrings of LENGTH tokens and of LONG tokens that several suffixes share count in how many distinct pages they stand; groups are summed up by key, so a host with a third of all pages is many groups.
 3. A substring repeats if it has LONG tokens and stands on PAGES pages, or LENGTH tokens and stands on a SHARE of the host's pages too; a whole block of any length if it stands on PAGES pages and a BLOCK_SHARE of the host's, one that markup vouches for on VOUCHED_PAGES and half of the host's. What repeats is removed from a page where it stands on at least PAGES times as many pages as the least shared fifth of the page's text does: so copies of an article, in which everything is shared alike, stay, whatever their markup, and a notice in them goes. Unique runs between stay.
 
-Defined results: null html is empty and gives an empty text; a null url is a host of its own. Rows that repeat get the same text each and count as one page. Character references are decoded also without semicolon, as browsers do. An element that is never closed is dropped to where a browser ends it: p at the next block element, li, dd, dt, td and tr at the next of their kind, and these and all others at the end of their parent, or at the next article or main element or the end of the page if no parent is closed. An empty table gives no rows. Pages are read whole.
+Defined results: null html is empty and gives an empty text; a null url is a host of its own. Rows that repeat get the same text each and count as one page. Character references are decoded also without semicolon, as browsers do. An element that is never closed is dropped to where a browser ends it: p at the next block element, li, dd, dt, td and tr at the next of their kind, and these and all others at the end of their parent, or at the next article or main element or the end of the page if no parent is closed. An empty table gives no rows. Pages are read whole, in time that grows as they do: a tag that is never closed ends at the next one.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import html
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -34,6 +35,9 @@ ENDED_BY = {"p": BLOCKS - {"caption", "tbody", "td", "tfoot", "th", "thead", "tr
 CELLS = frozenset("td th tr tbody tfoot thead".split())
 #: Elements outside of which a new li, dd, dt or part of a table ends nothing.
 SCOPE = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}} | dict.fromkeys(CELLS, {"table"})
+#: By element, which ones its start tag may end, and beyond which open element it ends nothing.
+ENDS = {name: {o for o, by in ENDED_BY.items() if name in by} for name in set().union(*ENDED_BY.values())}
+WALLS = {name: SCOPE.get(name, set()) | (set() if name in CELLS else set(BLOCKS) - set(ENDED_BY) - ({"div", "address"} if name in SCOPE else set())) for name in ENDS}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Fixed words that mark an element as not of the article, as whole parts of a class or id.
 MARKS = frozenset("ad ads adsense advert adverts advertisement banner sponsor sponsored promo promotion cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments respond disqus replies social share sharing related recommended recommendations widget toolbar masthead copyright searchbox".split())
@@ -42,7 +46,9 @@ AMBIGUOUS = frozenset("menu related share sharing social recommended recommendat
 #: Fixed words that may stand beside them in a class or id.
 AFFIXES = frozenset("area articles bar block bottom box button buttons container content desktop form group header heading icons inline inner items js left links list main mobile outer panel posts right section slot small stories text title top unit wrap wrapper".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?][^>]*>|<[!?/a-zA-Z][^<>]*\Z""", re.S | re.I)
+_ATTRIBUTES = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
+#: Comments, elements whose content is no markup, tags, tags that are never closed (they end at the next one), declarations.
+TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|iframe)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES})>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^<>]*)(?:>|(?=<)|\Z)|<[!?][^<>]*>|<[!?/a-zA-Z][^<>]*\Z""", re.S | re.I)
 NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 PARTS = re.compile(r"[a-z]+")
 
@@ -58,12 +64,21 @@ def _names(value: str) -> set[str]:
     return found
 
 
-LINK = re.compile(r"<a\b[^>]*>(.*?)</a\s*>", re.S | re.I)
-
-
-def _full_of_links(part: str) -> bool:
-    words = lambda x: len(TAG.sub(" ", x).split())
-    return 3 * sum(words(m) for m in LINK.findall(part)) >= words(part)
+def _link_words(page: str, tags: list) -> tuple[np.ndarray, np.ndarray]:
+    """Words, and words in links, in the text before each tag and after the last, added up."""
+    words, linked = np.zeros(len(tags) + 2, np.int64), np.zeros(len(tags) + 2, np.int64)
+    at, begin = 0, -1
+    for i, (start, end, closing, name, _) in enumerate(tags):
+        words[i + 1] = words[i] + len(page[at:start].split())
+        linked[i + 1] = linked[i]
+        at = end
+        if name == "a" and not closing and begin < 0:
+            begin = i
+        elif name == "a" and closing and begin >= 0:
+            linked[i + 1] += words[i + 1] - words[begin + 1]
+            begin = -1
+    words[-1], linked[-1] = words[-2] + len(page[at:].split()), linked[-2]
+    return words, linked
 
 
 def _only_ambiguous(attributes: str) -> bool:
@@ -98,37 +113,46 @@ def _marked(name: str, attributes: str, inside: bool) -> bool:
 
 
 def _ends(tags: list[tuple[bool, str]]) -> tuple[dict[int, int], dict[int, int]]:
-    """Of tags (closing, name): the end tag of each element that has one, and for the others the tag before which they end (none if nothing ends them)."""
+    """Of tags (closing, name): the end tag of each element that has one, and for the others the tag before which they end (none if nothing ends them). Open elements are a stack, with the places of each name in it; what is closed below the top only loses its mark, so each element is looked at a bounded number of times."""
     close: dict[int, int] = {}
     ended: dict[int, int] = {}
     stack: list[int] = []
-    count: dict[str, int] = {}
+    is_open: list[bool] = []
+    where: dict[str, list[int]] = {}
+
+    def forget(name: str) -> None:
+        where[name].pop()
+        if not where[name]:
+            del where[name]
 
     def end(depth: int, at: int) -> None:
-        for j in stack[depth:]:
-            ended[j] = at
-            count[tags[j][1]] -= 1
-        del stack[depth:]
+        while len(stack) > depth:
+            j = stack.pop()
+            if is_open.pop():
+                ended[j] = at
+                forget(tags[j][1])
 
     for i, (closing, name) in enumerate(tags):
         if not name or name in VOID:
             continue
         if closing:
-            if count.get(name):
-                depth = max(d for d, j in enumerate(stack) if tags[j][1] == name)
-                if name in BLOCKS and not any(tags[j][1] in ("article", "main") for j in stack[depth + 1 :]):
+            if name in where:
+                depth = where[name][-1]
+                if name in BLOCKS and max((where[x][-1] for x in ("article", "main") if x in where), default=-1) <= depth:
                     end(depth + 1, i)
-                close[stack.pop(depth)] = i  # crossed tags end nothing else
-                count[name] -= 1
+                close[stack[depth]] = i  # crossed tags end nothing else
+                forget(name)
+                is_open[depth] = False
+                while is_open and not is_open[-1]:
+                    stack.pop()
+                    is_open.pop()
             continue
-        for depth in range(len(stack) - 1, -1, -1):
-            other = tags[stack[depth]][1]
-            if name in ENDED_BY.get(other, ()):
+        if name in ENDS:
+            while (depth := max((where[o][-1] for o in ENDS[name] if o in where), default=-1)) > max((at[-1] for o, at in where.items() if o in WALLS[name]), default=-1):
                 end(depth, i)
-            elif other in SCOPE.get(name, ()) or name not in CELLS and other in BLOCKS and other not in ENDED_BY and not (name in SCOPE and other in ("div", "address")):
-                break
+        where.setdefault(name, []).append(len(stack))
         stack.append(i)
-        count[name] = count.get(name, 0) + 1
+        is_open.append(True)
     return close, ended
 
 
@@ -149,16 +173,42 @@ def blocks(page: str, dropped: list[str] | None = None) -> list[tuple[str, bool]
     starts = set(roots)
     out: list[tuple[str, bool]] = []
     text: list[str] = []
-    stack: list[str] = []
-    inside, skip_to, until, at = 0, -1, -1, 0  # until: the tag up to which text belongs to a dropped element without end tag
+    stack: list[str] = []  # open blocks, and how often each name is among them
+    count: dict[str, int] = {}
+    inside, skip_to, until, at, begun = 0, -1, -1, 0, -1  # until: the tag up to which text belongs to a dropped element without end tag
     ends: list[int] = []
-
-    def flush() -> None:
+    linked = None
+
+    def pop() -> str:
+        name = stack.pop()
+        count[name] -= 1
+        return name
+
+    def full_of_links(i: int) -> bool:
+        """Whether a third of an element's words are links."""
+        words, of_links = links()
+        to = close.get(i, ended.get(i, len(tags))) + 1
+        return 3 * (of_links[to] - of_links[i + 1]) >= words[to] - words[i + 1]
+
+    def links() -> tuple[np.ndarray, np.ndarray]:
+        nonlocal linked
+        linked = linked or _link_words(page, tags)
+        return linked
+
+    def flush(i: int) -> None:
+        """Ends a block before tag i. Outside the article a block that is full of links isn't of it."""
+        nonlocal begun
         block = " ".join(html.unescape("".join(text)).split())
         text.clear()
-        if block and (inside or not roots):
-            own = next((x for x in reversed(stack) if x in BLOCKS), "")
-            out.append((block, bool(inside) and own in VOUCHED))
+        since, begun = begun, i
+        if block and roots and not inside:
+            words, of_links = links()
+            if 3 * (of_links[i + 1] - of_links[since + 1]) >= words[i + 1] - words[since + 1]:
+                if dropped is not None:
+                    dropped.append(block)
+                return
+        if block:
+            out.append((block, bool(inside) and bool(stack) and stack[-1] in VOUCHED))
 
     for i, (start, end, closing, name, attributes) in enumerate(tags):
         if i > skip_to and i != until:
@@ -166,13 +216,13 @@ def blocks(page: str, dropped: list[str] | None = None) -> list[tuple[str, bool]
         at = end
         if i <= skip_to or not name:
             continue
-        if not closing and name not in VOID and i not in starts and i not in around and (name in DROP or name == "header" and not inside or _marked(name, attributes, bool(inside)) and not (inside and _only_ambiguous(attributes) and not _full_of_links(page[end : tags[close[i]][0] if i in close else tags[ended[i]][0] if i in ended else len(page)]))):
+        if not closing and name not in VOID and i not in starts and i not in around and (name in DROP or name == "header" and not inside or _marked(name, attributes, bool(inside)) and not (inside and _only_ambiguous(attributes) and not full_of_links(i))):
             if name in BLOCKS or name in ("title", "head"):
-                flush()
+                flush(i)
             if i in close:
                 skip_to = close[i]
             else:
-                until = min(ended.get(i, len(tags)), next((r for r in roots if r > i), len(tags)))
+                until = min(ended.get(i, len(tags)), roots[n] if (n := bisect_right(roots, i)) < len(roots) else len(tags))
                 skip_to = until - 1
             if dropped is not None and name != "head":
                 rest = page[end : tags[skip_to][0] if i in close else tags[skip_to + 1][0] if skip_to + 1 < len(tags) else len(page)]
@@ -182,25 +232,26 @@ def blocks(page: str, dropped: list[str] | None = None) -> list[tuple[str, bool]
         if name == "br":
             text.append(" ")
         if name in BLOCKS:
-            flush()
+            flush(i)
             if closing:
-                while name in stack and stack.pop() != name:
+                while count.get(name) and pop() != name:
                     pass
             else:
                 if name in VOUCHED:
                     while stack and stack[-1] == "p":
-                        stack.pop()
+                        pop()
                 if name not in VOID:
                     stack.append(name)
+                    count[name] = count.get(name, 0) + 1
         if i in starts:
             inside += 1
-            ends.append(close.get(i, len(tags)))
-        while ends and i >= min(ends):
-            ends.remove(min(ends))
+            heappush(ends, close.get(i, len(tags)))
+        while ends and i >= ends[0]:
+            heappop(ends)
             inside -= 1
     if until < len(tags):
         text.append(page[at:])
-    flush()
+    flush(len(tags))
     return out
 
 
@@ -216,9 +267,26 @@ def _hashes(block: str) -> np.ndarray:
 WINDOW, LONG_WINDOW, WHOLE = 0, 1, 2
 
 
-def _key(place: str, kind: int, tokens: np.ndarray) -> int:
-    """The key of a substring (kind WINDOW or LONG_WINDOW) or whole block of a host."""
-    return xxhash.xxh64_intdigest(tokens.tobytes(), xxhash.xxh32_intdigest(place, kind)) - (1 << 63)
+def _key(place: str, tokens: np.ndarray) -> int:
+    """The key of a whole block of a host."""
+    return xxhash.xxh64_intdigest(tokens.tobytes(), xxhash.xxh32_intdigest(place, WHOLE)) - (1 << 63)
+
+
+def _window_keys(place: str, kind: int, tokens: np.ndarray, length: int) -> np.ndarray:
+    """The key of each substring of length tokens of a host, of kind WINDOW or LONG_WINDOW, all at once."""
+    n = len(tokens) - length + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    t = tokens.astype(np.uint64)
+    t ^= t >> np.uint64(31)
+    out = np.full(n, xxhash.xxh64_intdigest(place, kind), np.uint64)
+    for i in range(length):
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+        out += t[i : i + n]
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out ^= out >> np.uint64(32)
+    return out.view(np.int64)
 
 
 def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,7 +299,7 @@ def _streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             place = host(url)
             for n, block, sure in [*((n, x, sure) for n, (x, sure) in enumerate(kept)), *((-1 - n, x, False) for n, x in enumerate(dropped))]:
                 tokens = _hashes(block)
-                for col, v in zip(out, (place, key, n, sure, _key(place, WHOLE, tokens), [] if sure else tokens)):
+                for col, v in zip(out, (place, key, n, sure, _key(place, tokens), [] if sure else tokens)):
                     col.append(v)
         kinds = (pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.list_(pa.int64()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], ["host", "key", "block", "sure", "whole", "tokens"])
@@ -284,21 +352,26 @@ def _shared(rows: pd.DataFrame) -> pd.DataFrame:
         other = new | np.r_[True, page[at][1:] != page[at][:-1]]
         first = np.flatnonzero(new)
         counts += np.add.reduceat(other.astype(np.int64), first).tolist()
-        keys += [_key(place, kind, stream[i : i + length]) for i in at[first].tolist()]
+        keys += _window_keys(place, kind, stream, length)[at[first]].tolist()
         kinds += [kind] * len(first)
     return pd.DataFrame({"host": place, "kind": pd.Series(kinds, dtype="int32"), "window": pd.Series(keys, dtype="int64"), "pages": pd.Series(counts, dtype="int64")})
 
 
-def _spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The places of all substrings and whole blocks."""
     for b in batches:
-        out = []
-        for place, key, block, whole, tokens in zip(b["host"], b["key"], b["block"], b["whole"], b["tokens"]):
-            tokens = np.asarray(tokens, np.int64)
-            out.append((key, block, 0, -1, whole))
+        out = [[] for _ in range(5)]
+        for place, key, block, whole, tokens in zip(b.column("host").to_pylist(), b.column("key").to_pylist(), b.column("block").to_pylist(), b.column("whole").to_pylist(), b.column("tokens")):
+            tokens = tokens.values.to_numpy(zero_copy_only=False)
+            parts = [(np.zeros(1, np.int64), -1, np.array([whole]))]
             for kind, length in ((WINDOW, LENGTH), (LONG_WINDOW, LONG)):
-                out += [(key, block, i, length, _key(place, kind, tokens[i : i + length])) for i in range(len(tokens) - length + 1)]
-        yield pd.DataFrame(out, columns=["key", "block", "at", "size", "window"]).astype({"block": "int32", "at": "int32", "size": "int32"})
+                keys = _window_keys(place, kind, tokens, length)
+                parts.append((np.arange(len(keys)), length, keys))
+            n = sum(len(at) for at, _, _ in parts)
+            for col, v in zip(out, (np.full(n, key), np.full(n, block), np.concatenate([at for at, _, _ in parts]), np.concatenate([np.full(len(at), size) for at, size, _ in parts]), np.concatenate([k for _, _, k in parts]))):
+                col.append(v)
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else [], k) for c, k in zip(out, kinds)], ["key", "block", "at", "size", "window"])
 
 
 def repeats(pages: DataFrame, share: float = SHARE) -> DataFrame:
@@ -318,7 +391,7 @@ def repeats(pages: DataFrame, share: float = SHARE) -> DataFrame:
     least = F.when(F.col("sure"), F.greatest(F.lit(VOUCHED_PAGES), F.col("n_pages") / 2)).otherwise(F.col("n_pages") * BLOCK_SHARE)
     wholes = wholes.where(F.col("pages") >= PAGES).join(sizes, "host").where(F.col("pages") >= least)
     often = materialize(inner.select("window", "pages").unionByName(wholes.select("window", "pages")).groupBy("window").agg(F.max("pages").alias("pages")), "often")
-    spread = rows.where("block >= 0").mapInPandas(_spread, "key bigint, block int, at int, size int, window bigint")
+    spread = rows.where("block >= 0").select("host", "key", "block", "whole", "tokens").mapInArrow(_spread, "key bigint, block int, at int, size int, window bigint")
     found = skew_join(spread, often, "window", 2 * (total["tokens"] or 0) + total["n"], "inner")
     return found.groupBy("key").agg(F.collect_set(F.struct("block", "at", "size", "pages")).alias("spans"))
 

@@ -467,7 +467,7 @@ def test_shared_substrings_by_hand(monkeypatch):
     for kind, length in ((0, 3), (1, 5)):
         for _, key, _, tokens in rows.itertuples(index=False):
             for i in range(len(tokens) - length + 1):
-                want.setdefault((kind, html_extract._key("h", kind, np.array(tokens[i : i + length], np.int64))), set()).add(key)
+                want.setdefault((kind, int(html_extract._window_keys("h", kind, np.array(tokens[i : i + length], np.int64), length)[0])), set()).add(key)
     assert got == {k: len(v) for k, v in want.items()}
 
 
@@ -582,3 +582,34 @@ def test_skew_join(spark):
     for how in ("left", "inner"):
         got = sorted(collected(skew_join(left, right, "key", 203, how)), key=str)
         assert got == sorted(collected(left.join(right, "key", how)), key=str)
+
+
+# HTML: bodies beside an article element, and long untidy pages
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div><p>Intro text of the page.</p></div><article class='card'><p>teaser</p></article>", ["Intro text of the page.", "teaser"]),
+        ("<main><article><p>First part.</p></article><p>Rest of the body.</p></main>", ["First part.", "Rest of the body."]),
+        ("<p>Before.</p><main><p>Inside.</p></main><p>After.</p>", ["Before.", "Inside.", "After."]),
+        ("<main><p>Inside.</p></main><div><a href=x>one</a> <a href=y>two</a></div>", ["Inside."]),
+        ("<article><p>Text.</p></article><div class='sidebar'><p>More</p></div><footer>end</footer>", ["Text."]),
+    ],
+)
+def test_text_beside_an_article_stays(page, want):
+    assert [t for t, _ in html_extract.blocks(page)] == want
+
+
+@pytest.mark.parametrize("part", ["<a ", "<b>x ", "<div>", '<a "', "<p>x<b>", "<td>", "</p>", "<ul><li>", "<script ", "<article>", "<article><div class='share'>", "<!-", "<a 'x", "<i><td><b>"])
+def test_time_grows_as_the_page_does(part):
+    import time
+
+    def seconds(size):
+        page = part * (size // len(part))
+        began = time.process_time()
+        html_extract.blocks(page, [])
+        return time.process_time() - began
+
+    small = max(seconds(1 << 17), 0.02)
+    assert seconds(1 << 19) < 10 * small  # four times the page
