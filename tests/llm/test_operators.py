@@ -553,13 +553,13 @@ def test_licences(spark):
 
 
 def test_real_licences(spark):
-    ts = license_scan.TEMPLATES
+    ts = {k: [t for kind, t in v if kind in ("text", "notice")] for k, v in license_scan.TEMPLATES.items()}
     wrapped = lambda t, c: "\n".join(f"{c} {' '.join(t.split()[i : i + 9])}" for i in range(0, len(t.split()), 9))
     rows = [
-        ("mit", "a/LICENSE", "MIT License\n\nCopyright (c) 2019 Some Body and others\n\n" + wrapped(ts["MIT"][1].removeprefix("MIT License "), "")),
+        ("mit", "a/LICENSE", "MIT License\n\nCopyright (c) 2019 Some Body and others\n\n" + wrapped(ts["MIT"][0].removeprefix("MIT License "), "")),
         ("spdx", "a/x.c", "// SPDX-License-Identifier: MIT\n" + "int main and much more code of its own " * 9),
         ("spdx2", "b/x.c", "/* SPDX-License-Identifier: GPL-2.0-only */"),
-        ("bsd3", "c/COPYING", "Copyright 2001 The People\n" + wrapped(ts["BSD-3-Clause"][1], "")),
+        ("bsd3", "c/COPYING", "Copyright 2001 The People\n" + wrapped(ts["BSD-3-Clause"][0], "")),
         ("bsd2", "d/COPYING", "Copyright 2001 The People\n" + wrapped(ts["BSD-2-Clause"][0], "")),
         ("apache", "e/x.py", "# Copyright 2020 Foo Inc.\n" + wrapped(ts["Apache-2.0"][1], "#") + "\n\nimport os\n" + "words of code " * 3000),
         ("gpl2", "f/x.c", wrapped(ts["GPL-2.0"][0], " *") + "\ncode"),
@@ -570,7 +570,7 @@ def test_real_licences(spark):
     ]
     files = spark.createDataFrame([(*r, None) for r in rows], "key string, path string, text string, is_licence_file boolean")
     got = {r["key"]: (r["licence"], r["evidence"]) for r in license_scan.scan(files).collect()}
-    assert got == {"mit": ("MIT", "licence file"), "spdx": ("MIT", "header"), "spdx2": ("GPL-2.0", "licence file"), "bsd3": ("BSD-3-Clause", "licence file"), "bsd2": ("BSD-2-Clause", "licence file"), "apache": ("Apache-2.0", "header"), "gpl2": ("GPL-2.0", "licence file"), "gpl3": ("GPL-3.0", "licence file"), "under": ("MIT", "inherited"), "rows": ("MIT", "inherited"), "prose": (None, "none")}
+    assert got == {"mit": ("MIT", "licence file"), "spdx": ("MIT", "header"), "spdx2": ("GPL-2.0", "header"), "bsd3": ("BSD-3-Clause", "licence file"), "bsd2": ("BSD-2-Clause", "licence file"), "apache": ("Apache-2.0", "header"), "gpl2": ("GPL-2.0", "header"), "gpl3": ("GPL-3.0", "header"), "under": ("MIT", "inherited"), "rows": ("MIT", "inherited"), "prose": (None, "none")}
 
 
 # shared helpers
@@ -613,3 +613,56 @@ def test_time_grows_as_the_page_does(part):
 
     small = max(seconds(1 << 17), 0.02)
     assert seconds(1 << 19) < 10 * small  # four times the page
+
+
+# licences as they are found in the wild
+
+SHELF = "/usr/share/common-licenses"
+NAMED = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0"}
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir(SHELF), reason="no licence files")
+def test_real_licence_files(spark):
+    import os
+
+    files = [(n, f"{n}/LICENSE-text", open(f"{SHELF}/{n}", encoding="utf-8").read(), None) for n in NAMED if os.path.exists(f"{SHELF}/{n}")]
+    files += [(f"{n}/x", f"{n}/src/x.c", "int x;", None) for n, *_ in files]
+    got = {r["key"]: (r["licence"], r["evidence"]) for r in license_scan.scan(spark.createDataFrame(files, "key string, path string, text string, is_licence_file boolean")).collect()}
+    for n, *_ in files:
+        assert got[n] == ((NAMED[n], "licence file") if "/" not in n else (NAMED[n[:-2]], "inherited")), n
+
+
+def test_licences_that_are_not_the_templates(spark):
+    bsd = """/* Copyright (c) 2011, Somebody. All rights reserved.
+ *
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are met:
+ * * Redistributions of source code must retain the above copyright notice, this
+ *   list of conditions and the following disclaimer.
+ * * Redistributions in binary form must reproduce the above copyright notice,
+ *   this list of conditions and the following disclaimer in the documentation
+ *   and/or other materials provided with the distribution.
+ * * Neither the name of Somebody nor the names of other people
+ *   may be used to endorse or promote products derived from this
+ *   software without specific prior written permission.
+ * THIS SOFTWARE IS PROVIDED BY SOMEBODY "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+ */
+int main(void) { return 0; }
+"""
+    files = [
+        ("bsd", "a/main.c", bsd),
+        ("beside", "a/other.c", "int y;"),
+        ("spdx", "b/x.py", "# SPDX-License-Identifier: MIT\nx = 1\n"),
+        ("near spdx", "b/y.py", "y = 1\n"),
+        ("rights", "c/z.py", "# Copyright 2020 Firm. All rights reserved.\nz = 1\n"),
+        ("unknown", "d/LICENSE", "You may use this program under the licence of our village: bring bread on Sundays, and tell nobody about the well."),
+        ("mentioned", "e/COPYING", "This project is released under the MIT License."),
+        ("near mention", "e/src/a.c", "int a;"),
+        ("both", "f/a.py", "# SPDX-License-Identifier: Apache-2.0\n# All rights reserved.\n# This work is licensed under the GNU General Public License, version 2.\n"),
+    ]
+    got = {r["key"]: (r["licence"], r["evidence"]) for r in license_scan.scan(spark.createDataFrame([(*f, None) for f in files], "key string, path string, text string, is_licence_file boolean")).collect()}
+    assert got["bsd"] == ("BSD-3-Clause", "header") and got["beside"] == (None, "none")
+    assert got["spdx"] == ("MIT", "header") and got["near spdx"] == (None, "none")
+    assert got["rights"] == ("Proprietary", "header") and got["unknown"] == (None, "none")
+    assert got["mentioned"] == ("MIT", "licence file") and got["near mention"] == ("MIT", "inherited")
+    assert got["both"] == ("Apache-2.0", "header")
