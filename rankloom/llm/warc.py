@@ -10,6 +10,8 @@ from __future__ import annotations
 import gzip
 import hashlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import materialize, scratch, skew_join, table
 
-LEAST_BYTES, RECORD_BYTES, BROADCAST_ROWS, DATE = 1000, 8 << 20, 100_000, "2024-01-01T00:00:00Z"
+LEAST_BYTES, RECORD_BYTES, BROADCAST_ROWS = 1000, 8 << 20, 100_000
 END = "\r\n"
 
 
@@ -37,26 +39,33 @@ def _lines(*parts: tuple[str, Column]) -> Column:
     return F.concat_ws(END, *[F.concat(F.lit(f"{name}: "), value) for name, value in parts])
 
 
-def records(pages: DataFrame, found: DataFrame) -> DataFrame:
+def _encoded(text: Column, more: str = "") -> Column:
+    """text with ASCII control characters, blanks and the characters more as percent escapes."""
+    for c in (*more, *map(chr, (*range(33), 127))):
+        text = F.replace(text, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return text
+
+
+def _urn(page_id: Column) -> Column:
+    return F.when(page_id.isNull(), "<urn:none>").otherwise(F.concat(F.lit("<urn:page:"), _encoded(page_id.cast("string"), "%<>"), F.lit(">")))
+
+
+def records(pages: DataFrame, found: DataFrame, date: str) -> DataFrame:
     """One text for each row of pages(page_id, url, html): the record without the line ends that close it."""
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary")))
     side = found.select(F.col("page_id").alias("id_"), F.col("digest").alias("digest_"), "original")
     rows = rows.join(side, F.col("page_id").eqNullSafe(F.col("id_")) & (F.col("digest") == F.col("digest_")), "left")
     revisit = F.col("digest_").isNotNull()
-    url = F.col("url")
-    for c in (*range(33), 127):
-        url = F.replace(url, F.lit(chr(c)), F.lit(f"%{c:02X}"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
     http = F.concat(F.lit("HTTP/1.1 200 OK" + END + "Content-Type: text/html; charset=utf-8" + END + "Content-Length: "), F.octet_length("html").cast("string"), F.lit(END + END))
     block = F.when(revisit, http).otherwise(F.concat(http, "html"))
     head = _lines(
         ("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        ("WARC-Record-ID", urn(F.col("page_id"))),
-        ("WARC-Date", F.lit(DATE)),
-        ("WARC-Target-URI", url),
+        ("WARC-Record-ID", _urn(F.col("page_id"))),
+        ("WARC-Date", F.lit(date)),
+        ("WARC-Target-URI", _encoded(F.col("url"))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        ("WARC-Refers-To", F.when(revisit, urn(F.col("original")))),
+        ("WARC-Refers-To", F.when(revisit, _urn(F.col("original")))),
         ("WARC-Profile", F.when(revisit, "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
         ("Content-Type", F.lit("application/http;msgtype=response")),
         ("Content-Length", F.octet_length("block").cast("string")),
@@ -64,14 +73,15 @@ def records(pages: DataFrame, found: DataFrame) -> DataFrame:
     return rows.withColumn("block", block).select(F.concat(F.lit("WARC/1.1" + END), head, F.lit(END + END), "block").alias("value"))
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST_BYTES) -> None:
-    """Writes gzip archives of the rows of pages(page_id, url, html) to path, a folder that all executors reach."""
+def write(pages: DataFrame, path: str, least: int = LEAST_BYTES, date: str | None = None) -> None:
+    """Writes gzip archives of the rows of pages(page_id, url, html) to path, a folder that all executors reach. date: of all records, now if not given."""
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     headers = pages.select("page_id", F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
     found = materialize(revisits(headers, least), "revisits")
     few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     size = headers.agg(F.avg("n")).first()[0] or 1
-    out = records(pages, F.broadcast(found) if few else found)
+    out = records(pages, F.broadcast(found) if few else found, date)
     out.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(RECORD_BYTES / (size + 500)))).text(path)
 
 
@@ -93,7 +103,7 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _page(urn: str | None) -> str | None:
-    return None if urn in (None, "<urn:page:none>") else urn[len("<urn:page:") : -1]
+    return None if urn in (None, "<urn:none>") else unquote(urn[len("<urn:page:") : -1])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +135,7 @@ def read(spark, path: str, kind: str = "bigint") -> DataFrame:
         got = materialize(got, "records")
     finally:
         spark.conf.set(name, before)
-    key = lambda c: F.concat_ws(":", F.coalesce(c, F.lit("none")), "payload_digest")
+    key = lambda c: F.concat_ws(":", "payload_digest", c)
     ids = [F.col("page").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers").cast(kind).alias("refers_to")]
     responses, others = got.where("record_type = 'response'"), got.where("record_type = 'revisit'")
     n = others.count()

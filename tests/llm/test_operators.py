@@ -666,3 +666,36 @@ int main(void) { return 0; }
     assert got["rights"] == ("Proprietary", "header") and got["unknown"] == (None, "none")
     assert got["mentioned"] == ("MIT", "licence file") and got["near mention"] == ("MIT", "inherited")
     assert got["both"] == ("Apache-2.0", "header")
+
+
+# WARC: ids of any text
+
+
+def test_warc_ids_of_any_text(spark, tmp_path):
+    ids = ["a b", "line\r\nend", "100%", "<x>", "none", "é日", "", None, "a:b", "%41"]
+    page = "words " * 300
+    rows = [(i, "http://h/x", page if k % 2 else f"{k}") for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id string, url string, html string")
+    warc.write(df, f"{tmp_path}/warc")
+    got = {r["page_id"]: (r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read(spark, f"{tmp_path}/warc", "string").collect()}
+    original = max((i for i, _, t in rows if t == page and i is not None), key=lambda x: x.encode())
+    assert set(got) == set(ids)
+    for i, _, t in rows:
+        copy = t == page and i != original
+        assert got[i] == (len(t), "revisit" if copy else "response", original if copy else None)
+
+
+# toxicity: rows that repeat
+
+
+def test_repeated_rows_neither_flood_nor_vanish(spark):
+    rows = [(1, "a plain text about the weather")] * 30000 + [(2, "zorg zorgling in a nasty text")] * 20000 + [(i, f"zorg nasty number {i}" if i % 9 == 0 else f"plain number {i}") for i in range(3, 800)]
+    groups = spark.createDataFrame(rows, "doc_id int, text string").groupBy("doc_id", "text").count().selectExpr("doc_id", "xxhash64(text) as of", "count as n")
+    for salt in (1, 2, 3):
+        drawn = {r["doc_id"]: r["times"] for r in toxicity._draw(groups, 0.1, salt).collect()}
+        assert drawn[1] in (3000, 3001) and drawn[2] in (2000, 2001) and 40 < sum(v for k, v in drawn.items() if k > 2) < 130
+        assert drawn == {r["doc_id"]: r["times"] for r in toxicity._draw(groups.repartition(7), 0.1, salt).collect()}
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(2, 1), (1, 0), *((i, int(i % 9 == 0)) for i in range(3, 800))], "doc_id int, toxic int")
+    model = toxicity.fit(df, labels)
+    assert model.score("zorg nasty") > 0.7 > model.score("plain number 4")
