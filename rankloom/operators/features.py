@@ -66,7 +66,7 @@ def standardize(features: DataFrame, keys=KEYS) -> DataFrame:
 #: Fixed settings of the learned selectors: seeds, ridge penalties, thresholds, and the band in which the cascade trusts neither.
 SEEDS, PENALTIES, THRESHOLDS, UNSURE = (42, 123, 7, 2024, 99), (0.001, 0.01, 0.05, 0.10, 0.30, 1.0), (0.30, 0.40, 0.50, 0.60, 0.70), (0.35, 0.65)
 #: Passes of a fit at most, the step or slope at which it has ended, and what keeps the matrix regular along the intercepts, which have no penalty.
-PASSES, TOLERANCE, RIDGE = 20, 1e-7, 1e-6
+PASSES, TOLERANCE, RIDGE = 12, 1e-7, 1e-6
 #: The greatest p (1 - p) |1 - 2p|: how much a share bends along its logit.
 BEND = 0.0962250448649376
 

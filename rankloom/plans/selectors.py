@@ -225,7 +225,7 @@ def alpha_selector(spark, d):
     rows = rows.join(statistics.folds(rows, 5, "chunks"), "qid").withColumn("seed", F.lit(features.SEEDS[0]))
     out = None
     for name, kind, target in (("best", "alpha", F.col("best_alpha")), ("soft", "alpha", features.soft_target(F.col("curve"), _ALPHAS)), ("direct", "curve", F.col("curve"))):
-        found = features.cross_fit(rows.withColumn("target", target).drop("curve", "best_alpha"), kind).where("held").join(curves, "qid")
+        found = features.cross_fit(rows.withColumn("target", target).drop("curve", "best_alpha"), kind, passes=20).where("held").join(curves, "qid")
         one = found.select("qid", F.lit(name).alias("loss"), F.col("p")[0].alias("alpha"), F.round(features.on_curve(F.col("curve"), _ALPHAS, F.col("p")[0]), 9).alias("ndcg10"))
         out = one if out is None else out.unionByName(one)
     return out
