@@ -88,8 +88,8 @@ def _layers(n: int, k: int) -> tuple[C.Layers, C.Layers]:
         w = [f"w{i}_{r}" for r in one]
     zc, zi = _spread([f"c{r}" for r in one], 1e-3), _spread([f"ind{r}" for r in one], 1e-3)
     have = " + ".join(f"(CASE WHEN q{r} IS NULL THEN 0 ELSE 1 END)" for r in one)
-    b.add(**{f"zc{r}": zc[r] for r in one}, **{f"zi{r}": zi[r] for r in one}, ae="0.5 * power(tq, 1.5)", have=f"({have})", mu=f"(({' + '.join(f'coalesce(q{r}, 0.0)' for r in one)}) / ({have}))", van=rrf(["(1.0 / n_on)"] * n))
-    b.add(sd=f"sqrt(({' + '.join(f'coalesce((q{r} - mu) * (q{r} - mu), 0.0)' for r in one)}) / have)")
+    b.add(**{f"zc{r}": zc[r] for r in one}, **{f"zi{r}": zi[r] for r in one}, ae="0.5 * power(tq, 1.5)", have=f"({have})", mu=f"(({' + '.join(f'coalesce(q{r}, 0.0)' for r in one)}) / nullif({have}, 0))", van=rrf(["(1.0 / n_on)"] * n))
+    b.add(sd=f"sqrt(({' + '.join(f'coalesce((q{r} - mu) * (q{r} - mu), 0.0)' for r in one)}) / nullif(have, 0))")
     b.add(disp=f"CASE WHEN have >= 2 THEN sd / (mu + {k}) ELSE 0.0 END", cov="have / cast(n_on as double)")
     b.add(total="cov * (1 - disp) + cov * disp + (1 - cov) + 1e-12")
     mod = lambda r: f"greatest(0.1, cov * (1 - disp) / total + cov * disp / total * coalesce(1.0 + ae * CASE WHEN cnt{r} >= 2 THEN z{r} END, 1.0 + ae * zc{r}) + (1 - cov) / total * (1.0 + ae * zi{r}))"
@@ -100,14 +100,14 @@ def _layers(n: int, k: int) -> tuple[C.Layers, C.Layers]:
     return a, b
 
 
-def regime_aware(runs: DataFrame, sources, least: int = 1, k: int = 60) -> DataFrame:
-    """mask, qid, docid, rank0, score of regime-aware score mixing for every ensemble. Head sizes, overlaps of pairs and scores within lists are windows over the query, computed before documents are dealt to ensembles; disagreement and mean overlap of an ensemble are then sums over its pairs, and its rounds of consensus are windows over query and ensemble, which the one shuffle by query serves."""
+def regime_aware(runs: DataFrame, sources, least: int = 1, k: int = 60, whole: bool = False) -> DataFrame:
+    """mask, qid, docid, rank0, score of regime-aware score mixing for every ensemble. whole: each ranks all documents of the query, those that none of its lists holds with score 0; else its own only. Head sizes, overlaps of pairs and scores within lists are windows over the query, computed before documents are dealt to ensembles; disagreement and mean overlap of an ensemble are then sums over its pairs, and its rounds of consensus are windows over query and ensemble, which the one shuffle by query serves."""
     n = len(sources)
     a, b = _layers(n, k)
     rows = a.on(C.wide(runs.where(F.col("source").isin(list(sources))), sources))
     held = sum((F.when(F.col(f"p{r}").isNotNull(), 1 << r).otherwise(0) for r in range(n)), F.lit(0))
     every = F.array(*map(F.lit, masks(n, least)))
-    rows = rows.withColumn("held", held).withColumn("mask", F.explode(F.filter(every, lambda m: m.bitwiseAND(F.col("held")) != 0)))
+    rows = rows.withColumn("held", held).withColumn("mask", F.explode(every if whole else F.filter(every, lambda m: m.bitwiseAND(F.col("held")) != 0)))
     return ranking(b.on(rows).select("mask", "qid", "docid", F.col("final").alias("score")), ["mask", "qid"])
 
 

@@ -56,6 +56,20 @@ def test_lattices_hold_each_ensemble_alone(runs):
         assert places(chain.where(f"mask = {mask}")) == places(fusion.mc4(own, pool=20))
 
 
+def test_regime_lattice_ranks_all_documents_of_a_query(runs):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE runs(qid VARCHAR, source VARCHAR, docid VARCHAR, rank INT, score DOUBLE)")
+    con.executemany("INSERT INTO runs VALUES (?, ?, ?, ?, ?)", run_rows())
+    ref = lattice.regime_aware(runs, SOURCES, whole=True).where("qid <> 'q2'").cache()
+    for mask in (2, 5, 7):
+        some = [s for i, s in enumerate(SOURCES) if mask >> i & 1]
+        want = {r[:2]: r[2] for r in con.execute(f"SELECT qid, docid, rank0 FROM ({consensus.fuse_sql(some, 'ref_scoremix')}) WHERE qid <> 'q2'").fetchall()}
+        assert places(ref.where(f"mask = {mask}")) == want
+        assert len(want) == runs.where("qid <> 'q2'").select("qid", "docid").distinct().count()
+
+
 def test_at_least_so_many_lists(runs, qrels):
     found = lattice.sweep(lattice.additive(runs, SOURCES, least=2), qrels, ["fusion", "mask"]).collect()
     assert {r["mask"] for r in found} == {3, 5, 6, 7} and all(r["size"] == r["mask"].bit_count() for r in found)
