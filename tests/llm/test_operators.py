@@ -699,3 +699,20 @@ def test_repeated_rows_neither_flood_nor_vanish(spark):
     labels = spark.createDataFrame([(2, 1), (1, 0), *((i, int(i % 9 == 0)) for i in range(3, 800))], "doc_id int, toxic int")
     model = toxicity.fit(df, labels)
     assert model.score("zorg nasty") > 0.7 > model.score("plain number 4")
+
+
+def test_toxicity_is_written_once():
+    import ast
+
+    names = [x.name for x in ast.parse(open(toxicity.__file__).read()).body if isinstance(x, (ast.FunctionDef, ast.ClassDef))]
+    assert len(names) == len(set(names))  # a later one would be used instead, unseen
+
+
+def test_toxicity_draws_repeated_rows_by_their_number(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(toxicity, "UNLABELLED", 200)
+    monkeypatch.setattr(toxicity, "train", lambda p, u, prior: seen.update(p=p, u=u))
+    rows = [(1, "the same row again")] * 1000 + [(i, f"plain number {i}" + " zorg" * (i % 9 == 0)) for i in range(2, 1002)]
+    toxicity.fit(spark.createDataFrame(rows, "doc_id int, text string"), spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(2, 1002)], "doc_id int, toxic int"))
+    assert sum("again" in f for f in seen["u"]) in (99, 100, 101)  # its share, not all or none
+    assert 150 < len(seen["u"]) < 250 and all("zorg" in f for f in seen["p"])
