@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import exact
 from rankloom.operators import bounds, consensus, decay, diagnostics, fusion, lattice, metrics, replay, scope, statistics
+from rankloom.plans import ablations  # noqa: F401  registers its queries and those of evidence
+from rankloom.plans import queries as Q
 from rankloom.sources import strict
+from tests.oracle import same
 
 SOURCES = ["a", "b", "c"]
 
@@ -331,3 +334,22 @@ def test_association(spark):
     got = {r["collection"]: r for r in bounds.association(spark.createDataFrame(groups, "qid string, docid string, group string"), qrels, of, ["x", "y"], replicates=50).collect()}
     assert (got["x"]["queries"], got["x"]["eligible"], got["x"]["excluded"]) == (2, 1, "q2") and (got["y"]["excluded"], got["y"]["lower"]) == ("", 1.0)
     assert {r["interpretation"] for r in got.values()} == {"material_positive"} and {r["branch"] for r in got.values()} == {"advance"}
+
+
+@pytest.fixture(scope="module")
+def deep(tmp_path_factory):
+    """Tables of 260 suppliers: 101 and 250 lead one list, which the other lists hold at rank 101 and, beyond their depth of 200, not at all."""
+    import duckdb
+
+    folder, con = tmp_path_factory.mktemp("deep"), duckdb.connect()
+    con.execute("CREATE TABLE part AS SELECT 1::BIGINT AS p_partkey, 'ONE' AS p_type")
+    con.execute("CREATE TABLE supplier AS SELECT s AS s_suppkey, s * 10.0 AS s_acctbal FROM range(1, 261) t(s)")
+    con.execute("CREATE TABLE lineitem AS SELECT 1::BIGINT AS l_partkey, s AS l_suppkey, CASE s WHEN 101 THEN 900.0 WHEN 250 THEN 800.0 ELSE 10.0 END AS l_extendedprice, 1.0 AS l_quantity, 'N' AS l_returnflag FROM range(1, 261) t(s)")
+    for t in ("part", "supplier", "lineitem"):
+        con.execute(f"COPY {t} TO '{folder}/{t}.parquet'")
+    return str(folder)
+
+
+def test_specialist_contrast_reads_lists_to_their_depth(spark, deep):
+    same(spark, Q.QUERIES["specialist_contrast"], Q.SQL["specialist_contrast"], deep)
+    assert Q.QUERIES["specialist_contrast"](spark, deep).count() == 1
