@@ -353,3 +353,8 @@ def deep(tmp_path_factory):
 def test_specialist_contrast_reads_lists_to_their_depth(spark, deep):
     same(spark, Q.QUERIES["specialist_contrast"], Q.SQL["specialist_contrast"], deep)
     assert Q.QUERIES["specialist_contrast"](spark, deep).count() == 1
+
+
+def test_group_contrast_reads_lists_to_their_depth(spark, deep):
+    same(spark, Q.QUERIES["group_contrast"], Q.SQL["group_contrast"], deep)
+    assert [r["pairs"] for r in Q.QUERIES["group_contrast"](spark, deep).collect()] == [1]
