@@ -55,19 +55,31 @@ def double_limbs(x: Column) -> list[Column]:
     return out
 
 
-def exact_ranking(terms: DataFrame, by: list[str] | None = None, depth: int | None = None, x: str = "x") -> DataFrame:
-    """terms(by, docid, x) to by, docid, rank0, score: documents by the sum of their doubles without any error, then docid. Limbs are summed as longs, in any order and in every map task first, and carried at the end; so near-ties are told apart and true ties found, as fractions would, without rounding. score is the nearest double of the sum."""
-    from rankloom.operators.ranking import rank_within
-
-    by = by or ["qid"]
+def _summed(terms: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """keys, the carried limbs d0.. of the sum of a double without any error, and score, the sum as a double. Limbs are summed as longs, in any order and in every map task first, and carried at the end."""
     names = [f"d{i}" for i in range(PARTS + 1)]
-    sums = terms.select(*by, "docid", *[c.alias(n) for c, n in zip(double_limbs(F.col(x)), names)]).groupBy(*by, "docid").agg(*[F.sum(n).alias(n) for n in names])
+    sums = terms.select(*keys, *[c.alias(n) for c, n in zip(double_limbs(F.col(x)), names)]).groupBy(*keys).agg(*[F.sum(n).alias(n) for n in names])
     for i in range(PARTS, 0, -1):
         sums = sums.withColumn(f"d{i - 1}", F.col(f"d{i - 1}") + F.shiftright(f"d{i}", BITS)).withColumn(f"d{i}", F.col(f"d{i}").bitwiseAND(F.lit((1 << BITS) - 1)))
     score = F.lit(0.0)
     for n in reversed(names):
         score = score / float(1 << BITS) + F.col(n)
-    return rank_within(sums.withColumn("score", score), by, [*[F.desc(n) for n in names], F.asc("docid")], depth, "rank0").select(*by, "docid", "rank0", "score")
+    return sums.withColumn("score", score)
+
+
+def exact_scores(terms: DataFrame, by: list[str] | None = None, x: str = "x") -> DataFrame:
+    """terms(by, docid, x) to by, docid, score: sums of doubles that don't depend on the order of rows, so equal documents have equal scores."""
+    keys = [*(by or ["qid"]), "docid"]
+    return _summed(terms, keys, x).select(*keys, "score")
+
+
+def exact_ranking(terms: DataFrame, by: list[str] | None = None, depth: int | None = None, x: str = "x") -> DataFrame:
+    """terms(by, docid, x) to by, docid, rank0, score: documents by the sum of their doubles without any error, then docid; so near-ties are told apart and true ties found, as fractions would, without rounding. score is the nearest double of the sum."""
+    from rankloom.operators.ranking import rank_within
+
+    by = by or ["qid"]
+    order = [*[F.desc(f"d{i}") for i in range(PARTS + 1)], F.asc("docid")]
+    return rank_within(_summed(terms, [*by, "docid"], x), by, order, depth, "rank0").select(*by, "docid", "rank0", "score")
 
 
 def exact_order(k: int = 60, depth: int = 200) -> list[Column]:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankloom.functions.exact import exact_ranking
+from rankloom.functions.exact import exact_ranking, exact_scores
 from rankloom.functions.tables import written
 from rankloom.functions.text import bigrams, tokenize, tokenize_raw
 from rankloom.operators.ranking import ranking
@@ -67,12 +68,12 @@ class Collection:
 
 
 def bm25(c: Collection, k1: float = BM25[0], b: float = BM25[1], depth: int = 200, raw: bool = False) -> DataFrame:
-    """raw: in the order of the exact sums of the words' parts instead of sums rounded to ten digits."""
+    """Scores are sums without error, so rows' order never tells equal documents apart; raw: in the order of these sums instead of them rounded to ten digits. A document's share of the mean length is that of its exact product with b, a decimal."""
+    share = (F.col("dl") * F.lit(Decimal(str(b)))).cast("double")
     idf = F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
-    if raw:
-        return exact_ranking(c.matched().select("qid", "docid", part.alias("x")), None, depth)
-    return ranking(c.matched().groupBy("qid", "docid").agg(F.sum(part).alias("score")), None, depth)
+    part = F.col("qtf") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (float(1 - Decimal(str(b))) + share / F.col("avg_dl")))
+    parts = c.matched().select("qid", "docid", part.alias("x"))
+    return exact_ranking(parts, None, depth) if raw else ranking(exact_scores(parts), None, depth)
 
 
 def tfidf(c: Collection, depth: int = 200) -> DataFrame:

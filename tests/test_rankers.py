@@ -6,6 +6,7 @@ import re
 
 import pytest
 
+from rankloom.functions import exact
 from rankloom.functions.text import STOPWORDS
 from rankloom.operators import rankers
 
@@ -151,3 +152,19 @@ def test_nearest_places(monkeypatch, cells):
         assert first[a] == min(spots)
         for b in range(a):
             assert near[a, b] == min(abs(p - x) for p in spots for x, w in zip(place, word) if w == b)
+
+
+def test_bm25_does_not_depend_on_the_order_of_sums(spark):
+    rows = [("q", "one", x) for x in [0.1] * 10] + [("q", "two", x) for x in [1e5, 0.1, 2.0**-60]] + [("q", "three", 0.0)]
+    for n in (1, 3, 7):
+        got = {r["docid"]: r["score"] for r in exact.exact_scores(spark.createDataFrame(rows, "qid string, docid string, x double").repartition(n)).collect()}
+        assert got == {"one": math.fsum([0.1] * 10), "two": math.fsum([1e5, 0.1, 2.0**-60]), "three": 0.0}
+
+
+def test_bm25_takes_lengths_times_b_exactly(spark):
+    texts = {"a": "zorg " + "word " * 18, "b": "blag " * 4}
+    docs = spark.createDataFrame(list(texts.items()), "docid string, text string")
+    c = rankers.Collection(spark.createDataFrame([("q", "zorg")], "qid string, text string"), docs)
+    (got,) = rankers.bm25(c, 0.9, 0.4, raw=True).collect()
+    assert 0.4 * 19 != 7.6  # but in SQL, where 0.4 is a decimal
+    assert got["score"] == math.log((2 - 1 + 0.5) / (1 + 0.5) + 1) * 1.9 / (1 + 0.9 * (0.6 + 7.6 / 11.5))
