@@ -159,8 +159,9 @@ def oracle_alpha(spark, d):
 _PAIR = f"SELECT v.qid, v.ndcg10 AS vanilla, f.ndcg10 AS v5 FROM ({metrics.evaluate_sql(rank_sql(RRF))}) v JOIN ({metrics.evaluate_sql(consensus.fuse_sql(SOURCES, 'v5'))}) f ON f.qid = v.qid"
 
 
-def _pair(spark, d) -> DataFrame:
-    runs, qrels = W.runs(spark, d), W.qrels(spark, d)
+def _pair(spark, d, runs: DataFrame | None = None) -> DataFrame:
+    """runs: these lists, where a caller has them already."""
+    runs, qrels = W.runs(spark, d) if runs is None else runs, W.qrels(spark, d)
     one = lambda r, name: metrics.evaluate(r, qrels).select("qid", F.col("ndcg10").alias(name))
     return one(fusion.rrf(runs), "vanilla").join(one(consensus.fuse(runs, SOURCES, "v5"), "v5"), "qid")
 
@@ -427,8 +428,8 @@ LEFT JOIN (SELECT qid, round(avg(dist), 9) AS mean_rank_dist FROM (SELECT a.qid,
 
 
 @query(with_runs(_FEATURES_SQL))
-def per_query_features(spark, d):
-    runs = W.runs(spark, d)
+def per_query_features(spark, d, runs=None):
+    runs = W.runs(spark, d) if runs is None else runs
     return features.query_features(runs, consensus.regime(runs, SOURCES), len(SOURCES))
 
 

@@ -145,9 +145,14 @@ def _fit_sql(rows: str, kind: str, keys, classes: int = 1, penalties=(0.10,), pa
     return ctes
 
 
-def _rows(spark, d):
+def _runs(spark, d):
+    """The lists, written once: a selector reads them for each of its fusions and features, and they are few beside the rows that they are summed from."""
+    return written(W.runs(spark, d), "runs")
+
+
+def _rows(spark, d, runs=None):
     """The features of each query and its collection."""
-    return Q.per_query_features(spark, d).withColumn("collection", W.collection())
+    return Q.per_query_features(spark, d, runs).withColumn("collection", W.collection())
 
 
 def _folded(spark, d, rows):
@@ -170,10 +175,10 @@ def _curves(spark, d):
     return rows.select("qid", F.transform("c", lambda x: x["ndcg10"]).alias("curve"))
 
 
-def _three(spark, d):
+def _three(spark, d, runs):
     """qid, vanilla, v5, v6: NDCG@10."""
-    runs, qrels = W.runs(spark, d), W.qrels(spark, d)
-    return Q._pair(spark, d).join(metrics.evaluate(consensus.fuse(runs, W.SOURCES, "ref_scoremix"), qrels).select("qid", F.col("ndcg10").alias("v6")), "qid")
+    qrels = W.qrels(spark, d)
+    return Q._pair(spark, d, runs).join(metrics.evaluate(consensus.fuse(runs, W.SOURCES, "ref_scoremix"), qrels).select("qid", F.col("ndcg10").alias("v6")), "qid")
 
 
 _LABEL = "cast(v5 >= vanilla as int)"
@@ -184,8 +189,9 @@ _PR3 = f"pr AS MATERIALIZED (SELECT p.*, m.ndcg10 AS v6 FROM ({Q._PAIR}) p JOIN
 @query(with_runs("SELECT qid, round(avg(CASE WHEN p[1] > 0.5 THEN v5 ELSE vanilla END), 9) AS chosen FROM found JOIN pr USING (qid) WHERE held GROUP BY qid", _F, _PR, *_fit_sql(_folded_sql("(v5 >= vanilla)::INT"), "label", features.KEYS)))
 def pqas_selector(spark, d):
     """Chosen NDCG@10 of each query: a regression in five folds and five seeds decides between vanilla and v5."""
-    values = Q._pair(spark, d)
-    rows = _rows(spark, d).join(values, "qid").withColumn("target", F.expr(_LABEL)).drop("vanilla", "v5")
+    runs = _runs(spark, d)
+    values = written(Q._pair(spark, d, runs), "values")
+    rows = written(_rows(spark, d, runs).join(values, "qid").withColumn("target", F.expr(_LABEL)).drop("vanilla", "v5"), "features")
     return features.route_by(features.cross_fit(_folded(spark, d, rows), "label"), values, features.two_way(F.col("vanilla"), F.col("v5")))
 
 
@@ -234,7 +240,7 @@ def alpha_selector(spark, d):
 @query(with_runs("SELECT qid, round(avg(CASE list_position(p, list_max(p)) WHEN 1 THEN vanilla WHEN 2 THEN v5 ELSE v6 END), 9) AS chosen FROM found JOIN pr USING (qid) WHERE held GROUP BY qid", _F, _PR3, *_fit_sql(_folded_sql("list_position([vanilla, v5, v6], greatest(vanilla, v5, v6)) - 1"), "classes", features.KEYS, 3)))
 def class_selector(spark, d):
     """Chosen NDCG@10 of each query by a regression of three classes."""
-    values = _three(spark, d)
+    values = _three(spark, d, W.runs(spark, d))
     likeliest = F.array_position(F.array("vanilla", "v5", "v6"), F.greatest("vanilla", "v5", "v6")) - 1
     rows = _rows(spark, d).join(values, "qid").withColumn("target", likeliest.cast("int")).drop("vanilla", "v5", "v6")
     return features.route_by(features.cross_fit(_folded(spark, d, rows), "classes", classes=3), values, features.of_classes(F.col("vanilla"), F.col("v5"), F.col("v6")))
@@ -243,7 +249,7 @@ def class_selector(spark, d):
 @query(with_runs("SELECT qid, round(avg(CASE WHEN p[1] > 0.35 AND p[1] < 0.65 THEN v6 WHEN p[1] > 0.5 THEN v5 ELSE vanilla END), 9) AS chosen FROM found JOIN pr USING (qid) WHERE held GROUP BY qid", _F, _PR3, *_fit_sql(_folded_sql("(v5 >= vanilla)::INT"), "label", features.KEYS, penalties=(0.30,))))
 def cascade_selector(spark, d):
     """Chosen NDCG@10 of each query by the cascade of two: the third fusion where the regression trusts neither of the others."""
-    values = _three(spark, d)
+    values = _three(spark, d, W.runs(spark, d))
     rows = _rows(spark, d).join(values, "qid").withColumn("target", F.expr(_LABEL)).drop("vanilla", "v5", "v6")
     return features.route_by(features.cross_fit(_folded(spark, d, rows), "label", penalties=(0.30,)), values, features.cascade(F.col("vanilla"), F.col("v5"), F.col("v6")))
 

@@ -1,10 +1,15 @@
 """Learned selectors and resampling against plain Python."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from rankloom.operators import features, statistics
+from rankloom.plans import queries as Q
+from rankloom.plans import selectors  # noqa: F401  registers its queries
+from rankloom.plans import workloads as W
 
 
 def table(spark, n=40):
@@ -111,3 +116,13 @@ def test_places_and_bootstrap(spark):
 def test_bands(spark):
     df = spark.createDataFrame([(0.2, 0.3), (-0.3, -0.2), (-0.04, 0.05), (-0.08, 0.09), (0.05, 0.2)], "l double, u double")
     assert [r[0] for r in df.select(statistics.band(F.col("l"), F.col("u"))).collect()] == ["material_positive", "material_negative", "small_under_chosen_bound", "inconclusive", "inconclusive"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no supplied tables")
+@pytest.mark.parametrize("name", ["pqas_selector"])
+def test_selectors_sum_the_lists_once(spark, monkeypatch, name):
+    made = []
+    runs = W.runs
+    monkeypatch.setattr(W, "runs", lambda *x: made.append(x) or runs(*x))
+    plan = Q.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert len(made) == 1 and "l_suppkey" not in plan  # neither again for features and fusions nor after the fit
