@@ -249,8 +249,9 @@ def class_selector(spark, d):
 @query(with_runs("SELECT qid, round(avg(CASE WHEN p[1] > 0.35 AND p[1] < 0.65 THEN v6 WHEN p[1] > 0.5 THEN v5 ELSE vanilla END), 9) AS chosen FROM found JOIN pr USING (qid) WHERE held GROUP BY qid", _F, _PR3, *_fit_sql(_folded_sql("(v5 >= vanilla)::INT"), "label", features.KEYS, penalties=(0.30,))))
 def cascade_selector(spark, d):
     """Chosen NDCG@10 of each query by the cascade of two: the third fusion where the regression trusts neither of the others."""
-    values = _three(spark, d, W.runs(spark, d))
-    rows = _rows(spark, d).join(values, "qid").withColumn("target", F.expr(_LABEL)).drop("vanilla", "v5", "v6")
+    runs = _runs(spark, d)
+    values = written(_three(spark, d, runs), "values")
+    rows = written(_rows(spark, d, runs).join(values, "qid").withColumn("target", F.expr(_LABEL)).drop("vanilla", "v5", "v6"), "features")
     return features.route_by(features.cross_fit(_folded(spark, d, rows), "label", penalties=(0.30,)), values, features.cascade(F.col("vanilla"), F.col("v5"), F.col("v6")))
 
 
