@@ -240,9 +240,10 @@ def alpha_selector(spark, d):
 @query(with_runs("SELECT qid, round(avg(CASE list_position(p, list_max(p)) WHEN 1 THEN vanilla WHEN 2 THEN v5 ELSE v6 END), 9) AS chosen FROM found JOIN pr USING (qid) WHERE held GROUP BY qid", _F, _PR3, *_fit_sql(_folded_sql("list_position([vanilla, v5, v6], greatest(vanilla, v5, v6)) - 1"), "classes", features.KEYS, 3)))
 def class_selector(spark, d):
     """Chosen NDCG@10 of each query by a regression of three classes."""
-    values = _three(spark, d, W.runs(spark, d))
+    runs = _runs(spark, d)
+    values = written(_three(spark, d, runs), "values")
     likeliest = F.array_position(F.array("vanilla", "v5", "v6"), F.greatest("vanilla", "v5", "v6")) - 1
-    rows = _rows(spark, d).join(values, "qid").withColumn("target", likeliest.cast("int")).drop("vanilla", "v5", "v6")
+    rows = written(_rows(spark, d, runs).join(values, "qid").withColumn("target", likeliest.cast("int")).drop("vanilla", "v5", "v6"), "features")
     return features.route_by(features.cross_fit(_folded(spark, d, rows), "classes", classes=3), values, features.of_classes(F.col("vanilla"), F.col("v5"), F.col("v6")))
 
 

@@ -119,7 +119,7 @@ def test_bands(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no supplied tables")
-@pytest.mark.parametrize("name", ["pqas_selector", "cascade_selector"])
+@pytest.mark.parametrize("name", ["pqas_selector", "cascade_selector", "class_selector"])
 def test_selectors_sum_the_lists_once(spark, monkeypatch, name):
     made = []
     runs = W.runs
