@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from rankloom.llm import divergence as D
@@ -107,3 +108,69 @@ def test_radix_select_by_shuffle_with_repeated_rows(spark, tmp_path, monkeypatch
     spark.createDataFrame(rows, "g string, v long, item string").write.parquet(f"{tmp_path}/rows")
     got = sorted((r["rank"], r["item"]) for r in D.radix_select(spark.read.parquet(f"{tmp_path}/rows"), ["g"], "v", "item", 5).collect())
     assert got == [(1, "top"), (2, "sam"), (3, "sam"), (4, "same"), (5, "same")]
+
+
+def test_texts_end_their_terms():
+    texts = ["ab", "cd", "", "Ab-ef ", "", " é日 ab ab", "12", "ef"]
+    data = [t.encode() for t in texts]
+    letters, begins, counts = D.cut(b"".join(data), np.cumsum([len(d) for d in data]))
+    assert bytes(letters) == "abcdabefé日ababef".encode() and list(counts) == [1, 1, 0, 2, 0, 3, 0, 1]
+    groups = np.array([0, 1, 0, 0, 2, 1, 1, 1])
+    group, term, n, df = D.tally(letters, begins, np.repeat(np.arange(8), counts), groups)
+    got = sorted(zip(group.tolist(), term.to_pylist(), n.tolist(), df.tolist()))
+    assert got == [(0, b"ab", 2, 2), (0, b"ef", 1, 1), (1, b"ab", 2, 1), (1, b"cd", 1, 1), (1, b"ef", 1, 1), (1, "é日".encode(), 1, 1)]
+    letters, begins, counts = D.cut(b" 1 ", np.array([0, 3, 3]))
+    assert [len(x) for x in D.tally(letters, begins, np.repeat(np.arange(3), counts), np.array([0, 0, 0]))] == [0] * 4
+
+
+@pytest.mark.parametrize(("piece", "size", "docs"), [(7, 1 << 20, 1 << 20), (100, 50, 1 << 20), (1 << 20, 1 << 20, 3)])
+def test_buffers_of_any_size(spark, tmp_path, monkeypatch, piece, size, docs):
+    monkeypatch.setattr(D, "SLICE", piece)  # texts beyond it are counted one by one
+    monkeypatch.setattr(D, "BYTES", size)
+    monkeypatch.setattr(D, "DOCS", docs)
+    rows = drawn(150, 5) + [("en", "void", ""), ("xx", "void", None)]
+    assert sorted(tuple(r) for r in table(spark, rows, tmp_path).collect()) == by_hand(rows)
+
+
+def test_one_shuffle_counts(spark, tmp_path, monkeypatch, capsys):
+    plans = []
+
+    def written(df, name):
+        df.explain("simple")
+        plans.append((name, capsys.readouterr().out))
+        return df
+
+    monkeypatch.setattr(D, "materialize", written)
+    docs = spark.createDataFrame([("en", "a", "b c")], "lang string, source string, text string")
+    D.vocabulary(docs)
+    assert plans[0][0] == "terms" and plans[0][1].count("Exchange") == 1 and plans[0][1].count("Sort ") == 1
+
+
+def test_shares_and_sums_beyond_longs(spark):
+    for n in (0, 9223372034, 9223372035, 9223372036, 10**12):
+        assert spark.sql(f"select cast({n} as bigint) as n, cast(10000000000000 as bigint) as t").selectExpr(D._p("n", "t + 7")).collect()[0][0] == 1 + 10**9 * (n + 1) // (10**13 + 7)
+    values = [2 * 10**18] * 9 + [-1, -(2 * 10**18), 5, -(1 << 32)]
+    rows = spark.createDataFrame([(v,) for v in values], "x long")
+    assert int(rows.selectExpr(D._sum("x")).collect()[0][0]) == sum(values)
+
+
+@pytest.mark.parametrize("bits", [7, 16])
+def test_radix_select_to_the_last_bit(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(D, "BITS", bits)
+    monkeypatch.setattr(D, "FEW", 0)
+    draw = random.Random(bits)
+    rows = {("wide", draw.randrange(1 << 60), f"i{i}") for i in range(60)} | {("near", (1 << 59) + draw.randrange(40), f"n{i}") for i in range(60)} | {("same", 7, f"{i:03d}") for i in range(30)}
+    rows |= {("ends", v, str(v)) for e in range(60) for v in ((1 << e) - 1, 1 << e, (1 << e) + 1)}
+    rows = sorted(rows)
+    spark.createDataFrame(rows, "g string, v long, item string").write.parquet(f"{tmp_path}/rows")
+    got = D.radix_select(spark.read.parquet(f"{tmp_path}/rows"), ["g"], "v", "item", 21)
+    assert sorted(tuple(r) for r in got.collect()) == select_by_hand(rows, 21)
+
+
+def test_values_of_all_lengths_take_one_round(spark, tmp_path, monkeypatch):
+    rounds = []
+    monkeypatch.setattr(D, "materialize", lambda df, name, f=D.materialize: (rounds.append(name), f(df, name))[1])
+    rows = [("g", int(2 ** (i / 50)), f"i{i}") for i in range(3000)]
+    spark.createDataFrame(rows, "g string, v long, item string").write.parquet(f"{tmp_path}/rows")
+    got = D.radix_select(spark.read.parquet(f"{tmp_path}/rows"), ["g"], "v", "item", 1500)
+    assert sorted(tuple(r) for r in got.collect()) == select_by_hand(rows, 1500) and len(rounds) == 2
