@@ -27,7 +27,9 @@ LEAST, SCALE, TOP = 3, 1_000_000_000, 200
 #: The greatest long.
 LONG = (1 << 63) - 1
 #: A task sends its counts at so many terms (repeats included), bytes of them, or documents.
-ENTRIES, BYTES, DOCS = 5_000_000, 1 << 25, 1 << 18
+ENTRIES, BYTES, DOCS = 3_000_000, 1 << 25, 1 << 18
+#: Counts that a task sends in one Arrow batch.
+ROWS = 1 << 18
 #: Text that is split at once, in bytes; longer texts are counted one by one, in slices.
 SLICE = 1 << 22
 #: Groups whose state is broadcast at most, counted before; more are joined by shuffle.
@@ -63,10 +65,10 @@ def cut(data: bytes, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     first[1:] &= ~inside[:-1]
     at = ends[ends < len(folded)]
     first[at] = inside[at]  # a term ends where its text ends
-    return folded[inside], np.flatnonzero(first[inside]), np.diff(np.searchsorted(np.flatnonzero(first), ends), prepend=0)
+    return folded[inside], np.flatnonzero(first[inside]).astype(np.int32), np.diff(np.searchsorted(np.flatnonzero(first), ends), prepend=0)
 
 
-def tally(letters: np.ndarray, begins: np.ndarray, docs: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+def tally(letters: np.ndarray, begins: np.ndarray, docs: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, pa.DictionaryArray, np.ndarray, np.ndarray]:
     """Group, term, occurrences and documents of each term of a group. docs gives the terms' documents, in order, groups the documents' groups."""
     offsets = pa.py_buffer(np.append(begins, len(letters)).astype(np.int32))
     coded = pa.Array.from_buffers(pa.binary(), len(begins), [None, offsets, pa.py_buffer(letters)]).dictionary_encode()
@@ -82,7 +84,7 @@ def tally(letters: np.ndarray, begins: np.ndarray, docs: np.ndarray, groups: np.
     at = np.flatnonzero(np.diff(key, prepend=-1))
     group, term = np.divmod(key[at], kinds)
     df = np.add.reduceat(other, at, dtype=np.int64) if len(at) else at
-    return group, coded.dictionary.take(pa.array(term)), np.diff(at, append=len(key)), df
+    return group, pa.DictionaryArray.from_arrays(pa.array(term, pa.int32()), coded.dictionary), np.diff(at, append=len(key)), df
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -100,9 +102,12 @@ def _counted(rows: DataFrame) -> DataFrame:
 
         def flush():
             letters, begins, counts = zip(*parts)
-            shift = np.cumsum([0] + [len(x) for x in letters[:-1]])
-            docs = np.repeat(np.arange(len(groups)), np.concatenate(counts))
-            return batch(*tally(np.concatenate(letters), np.concatenate([b + s for b, s in zip(begins, shift)]), docs, np.array(groups)))
+            shift = np.cumsum([0] + [len(x) for x in letters[:-1]], dtype=np.int32)
+            docs = np.repeat(np.arange(len(groups), dtype=np.int32), np.concatenate(counts))
+            group, term, n, df = tally(np.concatenate(letters), np.concatenate([b + s for b, s in zip(begins, shift)]), docs, np.array(groups))
+            for at in range(0, len(group), ROWS):
+                to = at + ROWS
+                yield batch(group[at:to], term[at:to].dictionary_decode(), n[at:to], df[at:to])
 
         def present():
             new = np.arange(len(names))
@@ -127,15 +132,15 @@ def _counted(rows: DataFrame) -> DataFrame:
                     entries += len(parts[-1][1])
                 at = to
                 if entries > ENTRIES or size > BYTES or len(groups) > DOCS:
-                    yield flush()
+                    yield from flush()
                     parts, groups, size, entries = [], [], 0, 0
             if len(names) > DOCS:
                 if parts:
-                    yield flush()
+                    yield from flush()
                 yield present()
                 names, parts, groups, size, entries = {}, [], [], 0, 0
         if parts:
-            yield flush()
+            yield from flush()
         yield present()
 
     return rows.mapInArrow(run, "lang string, source string, term string, n bigint, df bigint")
